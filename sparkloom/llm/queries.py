@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,40 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed values of the query: (verdict, host, path).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("allow", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.urls import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.sharding import assign
+
+    placed = assign(table(spark, sf_dir, "documents"), shards=40, virtual=64, slack=0.0)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "own_shard"
+    )
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.fingerprint import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filters": op2_url_filters,
+    "op6_sharding": op6_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
