@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from sparkloom.operators.lineage import cut
 
 CELLS = 1 << 14
-#: Rows of a cell that are ranked by one task.
-PART_ROWS = 1_000_000
+#: A cell is ranked in parts that hold about one in so many of all rows.
+PARTS = 256
 MAX_PARTS = 1024
 
 
@@ -103,7 +103,7 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = 64, slack: float =
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, owner = sum(counts.values()), ring(shards, virtual)
     stretches = place(counts, owner, capacities(total, shards, slack))
-    parts = min(MAX_PARTS, 1 + max(counts.values(), default=0) // PART_ROWS)
+    parts = min(MAX_PARTS, 1 + PARTS * max(counts.values(), default=0) // max(1, total))
     rows = rows.withColumn("part", F.col("part") % parts)
     order = W.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
     rows = rows.withColumn("rank", F.row_number().over(order) - 1)
