@@ -36,6 +36,12 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.sharding import assign
 
@@ -65,6 +71,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
+    "op4_secret_scans": op4_secret_scans,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
