@@ -69,7 +69,14 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard import Threshold, components
+
+    return components(table(spark, sf_dir, "documents"), width=4, rule=Threshold(85))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op4_secret_scans": op4_secret_scans,
     "op6_sharding": op6_sharding,
