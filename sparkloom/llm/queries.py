@@ -30,6 +30,12 @@ URL_RULES = [
 ]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.urls import judge_urls
 
@@ -76,6 +82,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
     "op4_secret_scans": op4_secret_scans,
