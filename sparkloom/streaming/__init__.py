@@ -1,0 +1 @@
+"""Empty on purpose: the engine's scope has no streams, windows over time or late data."""
