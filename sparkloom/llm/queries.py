@@ -42,6 +42,18 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.pieces import sampled
+
+    return sampled(table(spark, sf_dir, "documents"), piece_model(), k=2)
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.secrets import report
 
@@ -85,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op2_url_filters": op2_url_filters,
+    "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_secret_scans": op4_secret_scans,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
