@@ -60,6 +60,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.sharding import assign
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_secret_scans": op4_secret_scans,
+    "op5_html_extraction": op5_html_extraction,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
