@@ -20,7 +20,6 @@ ignored by ``components`` and handed through by ``representatives``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +40,6 @@ DELETION_SIZE = 30
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 KEPT_WORDS = 400_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -54,7 +51,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -64,9 +61,12 @@ class _Words(dict):
 _words = _Words()
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = _WORD.findall((text or "").translate(_UPPER)) if text else []
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a UTF-8 text.
+
+    On bytes, ``lower`` changes A-Z alone and ``split`` parts at space and 9 to 13 alone.
+    """
+    words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
@@ -76,10 +76,13 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
             whole = mix(whole * _M1 + h[k : k + 1])
         return whole
     n = len(h) - width + 1
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = mix(out * _M1 + h[k : k + n])
-    return np.unique(out)
+    out = h[:n].copy()
+    for k in range(1, width):
+        out *= _M1
+        out += h[k : k + n]
+    out = mix(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 @dataclass(frozen=True)
@@ -161,9 +164,9 @@ def _sets(docs: DataFrame, width: int, columns: str, build) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             for step in range(0, batch.num_rows, 256):
-                yield build(ids.slice(step, 256), [shingle_set(x.as_py(), width) for x in texts.slice(step, 256)], seen)
+                yield build(ids.slice(step, 256), [shingle_set(x, width) for x in texts[step : step + 256]], seen)
 
     return docs.select("doc_id", "text").mapInArrow(run, columns)
 
