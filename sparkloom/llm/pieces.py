@@ -13,7 +13,7 @@ batches or retries. Lattices are built for the different words of a block of tex
 memory; nothing is cut off: all pieces of all words of whole texts take part.
 
 Defined results: null or empty text has one segmentation, the empty one; a text with fewer segmentations
-than asked for gives all of them, with inclusion 1; repeated rows get equal samples; a null key is a key;
+than asked for gives all of them, with inclusion 1 (logarithm 0); repeated rows get equal samples; a null key is a key;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -344,6 +344,14 @@ def _read(path: Path, lattice: Lattice, vocab: Vocabulary, n: int) -> Iterator[t
         yield own, float(logs[a:b].sum())
 
 
+def log_inclusion(logp: float, kappa: float) -> float:
+    """Logarithm of 1 - exp(-exp(logp - kappa)); texts of many words have far too small a probability itself."""
+    d = logp - kappa
+    if kappa == -np.inf:
+        return 0.0
+    return d if d < -30 else float(np.log(-np.expm1(-np.exp(min(d, 30.0)))))
+
+
 def blocks(texts: list[str]) -> Iterator[slice]:
     start, held = 0, 0
     for i, t in enumerate(texts):
@@ -356,7 +364,7 @@ def blocks(texts: list[str]) -> Iterator[slice]:
 
 
 def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bool = False, key: str = "doc_id") -> DataFrame:
-    """A row per document and sample: key, sample, n_pieces, ids_crc32, round_trip, log_prob, perturbed, inclusion.
+    """A row per document and sample: key, sample, n_pieces, ids_crc32, round_trip, log_prob, perturbed, log_inclusion.
 
     ``ids`` adds the sample's ids. ``round_trip`` says whether decoding them gives the text.
     """
@@ -372,8 +380,7 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bo
                 for i, found in enumerate(sample_texts(texts[part], seeds[part], k, vocab), part.start):
                     *samples, kappa = found
                     for m, (own, logp, value) in enumerate(samples):
-                        inclusion = -np.expm1(-np.exp(min(700.0, logp - kappa))) if kappa > -np.inf else 1.0
-                        rows.append((i, m, len(own), zlib.crc32(own.astype("<u4").tobytes()), vocab.decode(own) == texts[i], logp, value, float(inclusion), own if ids else None))
+                        rows.append((i, m, len(own), zlib.crc32(own.astype("<u4").tobytes()), vocab.decode(own) == texts[i], logp, value, log_inclusion(logp, kappa), own if ids else None))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
                 arrays = [batch.column(0).take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:8], kinds, strict=True)]
@@ -381,6 +388,6 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bo
                     arrays.append(pa.array([x.astype(np.int32) for x in columns[8]], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = [key, "sample", "n_pieces", "ids_crc32", "round_trip", "log_prob", "perturbed", "inclusion"] + (["ids"] if ids else [])
-    schema = f"{key} {key_type}, sample int, n_pieces long, ids_crc32 long, round_trip boolean, log_prob double, perturbed double, inclusion double"
+    names = [key, "sample", "n_pieces", "ids_crc32", "round_trip", "log_prob", "perturbed", "log_inclusion"] + (["ids"] if ids else [])
+    schema = f"{key} {key_type}, sample int, n_pieces long, ids_crc32 long, round_trip boolean, log_prob double, perturbed double, log_inclusion double"
     return docs.select(key, "text", F.xxhash64(F.lit(seed), F.col(key)).alias("seed")).mapInArrow(run, schema + (", ids array<int>" if ids else ""))
