@@ -143,7 +143,7 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     inner = np.ones(total, bool)
     inner[first + sizes] = False
     codes[inner] = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le"), np.uint32)
-    longest = int(min(vocab.longest, sizes[0] if len(sizes) else 1))
+    longest = vocab.longest  # whatever the words are, so that sums round alike in every block
     piece = np.full((total, longest), -1, np.int32)
     open_, h = inner.copy(), np.zeros(total, np.uint64)
     for k in range(longest):
@@ -259,10 +259,12 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
     here = np.arange(len(path.word))
     chosen = lattice.prob[path.node, path.edge]
     logs = np.log(chosen)
-    total = np.cumsum(logs) - logs
     edges = np.searchsorted(path.text, np.arange(len(values) + 1))
     begin = edges[path.text]
-    prefix = total - total[begin]
+    prefix = np.zeros(len(logs))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):  # text by text, so that sums round alike in every block
+        if b > a:
+            np.cumsum(logs[a : b - 1], out=prefix[a + 1 : b])
     other = np.where(lattice.single[path.node], 0.0, np.maximum(0.0, 1.0 - chosen))
     at = np.flatnonzero(special >= 0)  # at its branch more is barred than the path's own edge
     if at.size:
@@ -366,7 +368,7 @@ def blocks(texts: list[str]) -> Iterator[slice]:
 def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bool = False, key: str = "doc_id") -> DataFrame:
     """A row per document and sample: key, sample, n_pieces, ids_crc32, round_trip, log_prob, perturbed, log_inclusion.
 
-    ``ids`` adds the sample's ids. ``round_trip`` says whether decoding them gives the text.
+    Numbers are rounded to 8 digits: vector units round the last one by place. ``ids`` adds the sample's ids. ``round_trip`` says whether decoding them gives the text.
     """
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -380,7 +382,7 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bo
                 for i, found in enumerate(sample_texts(texts[part], seeds[part], k, vocab), part.start):
                     *samples, kappa = found
                     for m, (own, logp, value) in enumerate(samples):
-                        rows.append((i, m, len(own), zlib.crc32(own.astype("<u4").tobytes()), vocab.decode(own) == texts[i], logp, value, log_inclusion(logp, kappa), own if ids else None))
+                        rows.append((i, m, len(own), zlib.crc32(own.astype("<u4").tobytes()), vocab.decode(own) == texts[i], round(logp, 8), round(value, 8), round(log_inclusion(logp, kappa), 8), own if ids else None))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64()]
                 arrays = [batch.column(0).take(pa.array(columns[0], pa.int64()))] + [pa.array(c, t) for c, t in zip(columns[1:8], kinds, strict=True)]
