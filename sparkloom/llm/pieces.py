@@ -122,6 +122,8 @@ def units(text: str) -> list[str]:
 class Lattice:
     """Nodes of several words in a row; from each node up to ``longest`` edges, by their length."""
 
+    turn: np.ndarray  # number of each word of the block within its text
+
     first: np.ndarray  # first node of a word
     ends: np.ndarray  # whether a node ends its word
     prob: np.ndarray  # of each edge, given its node
@@ -169,7 +171,7 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
         s = e.sum(axis=1)
         beta[at] = top + np.log(s)
         prob[at, :reach] = e / s[:, None]
-    return Lattice(first[place], ~inner, prob, np.cumsum(prob, axis=1), (prob > 0).sum(axis=1) == 1, piece, codes)
+    return Lattice(np.empty(0, np.int64), first[place], ~inner, prob, np.cumsum(prob, axis=1), (prob > 0).sum(axis=1) == 1, piece, codes)
 
 
 @dataclass
@@ -191,7 +193,7 @@ def _draw(lattice: Lattice, word: np.ndarray, node: np.ndarray, step: np.ndarray
     out = []
     while word.size:
         cum = lattice.cum[node]
-        u = uniforms(seed, np.uint64(sample), word, step) * cum[:, -1]
+        u = uniforms(seed, np.uint64(sample), lattice.turn[word], step) * cum[:, -1]
         edge = (u[:, None] >= cum).sum(axis=1)
         out.append(np.stack([word, step, node, edge]))
         node = node + edge + 1
@@ -209,6 +211,7 @@ def sample_texts(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary)
     out: list[list] = [[] for _ in texts]
     lattice = build_lattice(list(index), vocab)
     text_of = np.repeat(np.arange(n), [len(ws) for ws in lists])
+    lattice.turn = np.concatenate([np.arange(len(ws)) for ws in lists]) if lists else lattice.turn
     start_node = lattice.first[np.array(flat, np.int64)] if flat else np.empty(0, np.int64)
     first_word = np.searchsorted(text_of, np.arange(n + 1))
     seeds = seeds.astype(np.uint64)
@@ -275,7 +278,7 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
     with np.errstate(divide="ignore"):
         mass = prefix + np.log(other)
     own = here - begin >= special[path.text]  # earlier decisions belong to regions of other paths
-    u = uniforms(seeds[path.text], np.uint64(sample), path.word, path.step + (1 << 20))
+    u = uniforms(seeds[path.text], np.uint64(sample), lattice.turn[path.word], path.step + (1 << 20))
     fresh = gumbel_below(mass, values[path.text], u)
     path.bound[:] = np.where(own & alive[path.text], fresh, -np.inf)
 
@@ -302,7 +305,7 @@ def _branch(paths, owner, where, alive, lattice, seeds, sample, text_of, first_w
         bar[same] |= p.barred[mine[same]]
         rows = np.where(bar, 0.0, lattice.prob[p.node[at]])
         cum = np.cumsum(rows, axis=1)
-        u = uniforms(seeds[mine], np.uint64(sample), p.word[at], p.step[at] + (1 << 21)) * cum[:, -1]
+        u = uniforms(seeds[mine], np.uint64(sample), lattice.turn[p.word[at]], p.step[at] + (1 << 21)) * cum[:, -1]
         edge = (u[:, None] >= cum).sum(axis=1)
         parts.append(np.stack([p.word[at], p.step[at], p.node[at], edge]))
         special[mine], barred[mine] = at - edges[mine], bar
