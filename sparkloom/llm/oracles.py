@@ -1,3 +1,21 @@
-"""DuckDB SQL for those queries of this subpackage that SQL can express."""
+"""DuckDB SQL for those queries of this subpackage that SQL can express on whole tables.
 
-ORACLES: dict[str, str] = {}
+The others are held against brute force in the tests: language model, sampling, labelling, packing, ring
+and fingerprints need state or functions that SQL lacks; spans, line surroundings and similarity components
+could be spelled out but not run on whole tables.
+"""
+
+from sparkloom.llm.queries import URL_RULES
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+ORACLES: dict[str, str] = {
+    "op2_url_filters": f"""with p as (select page_id, coalesce(url, '') u from pages),
+ r as (select page_id, case when position('://' in u) > 0 then substr(u, position('://' in u) + 3) else '' end r from p),
+ h as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+  regexp_extract(regexp_replace(r, '^[^/?#]*', ''), '^[^?#]*') path from r),
+ rules(verdict, rh, rp) as (values {_RULES}),
+ m as (select page_id, rh || rp "rule", verdict, row_number() over (partition by page_id order by length(rh || rp) desc) k
+  from h join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+ select h.page_id, host, path, "rule", coalesce(verdict, 'allow') verdict from h left join (select * from m where k = 1) m using (page_id)""",
+}
