@@ -20,8 +20,10 @@ ignored by ``components`` and handed through by ``representatives``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from sparkloom.operators.lineage import cut
 #: Bands grow by this ratio, up to the size's type.
 BAND = 1.4
 #: In bands up to this size every segment is indexed with its deletion neighbourhood.
-DELETION_SIZE = 30
+DELETION_SIZE = 120
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 KEPT_WORDS = 400_000
@@ -115,11 +117,23 @@ def bands(limit: int = 1 << 26) -> list[int]:
 _TOPS = np.array(bands())
 
 
+@lru_cache(maxsize=256)
+def segments_of(top: int, rule: Threshold) -> int:
+    """Segments of a band: its largest quota, and room for more empty ones than chance is likely to give."""
+    quota = rule.most(top) + 1
+    if top <= DELETION_SIZE:
+        return quota + 1  # neighbourhoods make up for empty ones
+    segments = quota
+    for _ in range(8):
+        empty = segments * math.exp(-top / segments)
+        segments = quota + 3 + math.ceil(empty + 5 * math.sqrt(empty))
+    return segments
+
+
 def segment_rows(tokens: np.ndarray, band: int, rule: Threshold) -> tuple[np.ndarray, bool]:
     """Hashes that the set emits in a band, and whether they are too few for its size."""
     top = int(_TOPS[band])
-    segments = rule.most(top) + 1
-    segments += 1 + segments // 50
+    segments = segments_of(top, rule)
     need = rule.most(min(len(tokens), top)) + 1
     at = (mix(tokens ^ np.uint64(band)) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(at, kind="stable")
@@ -294,8 +308,11 @@ def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def late_links(docs: DataFrame, keys: DataFrame, late: DataFrame, width: int, rule: Threshold) -> DataFrame:
     """Links of the few sets that no allocation serves, found through their single tokens."""
     tokens = signatures(docs, width, rule, single=True).select("sig", "k", "n")
-    rare = tokens.join(late, "k", "left_semi").select("sig", F.col("k").alias("a"), F.col("n").alias("na"))
-    met = tokens.select("sig", F.col("k").alias("b"), F.col("n").alias("nb")).join(rare, "sig").where("a <> b").where(fitting(rule))
+    few = late.count() <= BROADCAST_KEYS
+    rare = cut(tokens.join(F.broadcast(late) if few else late, "k", "left_semi").select("sig", F.col("k").alias("a"), F.col("n").alias("na")))
+    small = rare.count() <= BROADCAST_KEYS
+    met = tokens.select("sig", F.col("k").alias("b"), F.col("n").alias("nb")).join(F.broadcast(rare) if small else rare, "sig")
+    met = met.where("a <> b").where(fitting(rule))
     return cut(verified(docs, keys, cut(met.select("a", "b").distinct()), width, rule))
 
 
