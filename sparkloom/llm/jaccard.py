@@ -11,7 +11,8 @@ then is joined through its single tokens. Candidates are kept only if they meet
 bound from the two sizes), and each is verified on the whole sets.
 
 Groups of copies aren't expanded: equal sets are one class, a bucket of a segment hash links its members
-with its smallest one first, and only members that are in different components after that are paired.
+with a leader first, another one in each round, and only members that are in different components after
+that are paired.
 
 Defined results: null or blank text has an empty set and links with nothing; fewer words than a shingle
 count as one shingle; repeated rows are copies; an empty table gives an empty result; further columns are
@@ -39,6 +40,8 @@ from sparkloom.operators.lineage import cut
 BAND = 1.4
 #: In bands up to this size every segment is indexed with its deletion neighbourhood.
 DELETION_SIZE = 120
+#: Rounds in which members of a bucket are linked with one of them before the rest is paired.
+STAR_ROUNDS = 4
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 KEPT_WORDS = 400_000
@@ -271,17 +274,27 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     window = W.partitionBy("sig")
     rows = signatures(docs, width, rule)
     met = rows.withColumn("lo", F.min("k").over(window)).withColumn("hi", F.max("k").over(window)).where("lo <> hi or n < 0")
-    met = cut(met.select("sig", "k", "lo", F.abs("n").alias("n"), (F.col("n") < 0).alias("late")).distinct())
-    sizes = met.groupBy("k").agg(F.first("n").alias("n"))
-    star = met.where("k <> lo").groupBy(F.col("lo").alias("a"), F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    star = _sized(star, cut(sizes)).where(fitting(rule) & (F.col("c") >= least_shared(rule))).select("a", "b")
-    found = cut(verified(docs, keys, cut(star), width, rule))
-    labels = connected_components(found)
+    met = cut(met.select("sig", "k", F.abs("n").alias("n"), (F.col("n") < 0).alias("late")).distinct())
+    member = met.select("sig", "k", "n", F.col("k").alias("label"))
+    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(STAR_ROUNDS):
+        # each bucket has one member lead; who is in another component tries the leader it meets most often
+        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), "k", "label", "n")).over(window)
+        near = member.withColumn("lead", lead).where("label <> lead.label")
+        near = near.groupBy(F.col("lead.k").alias("a"), F.col("k").alias("b")).agg(
+            F.count(F.lit(1)).alias("c"), F.first("lead.n").alias("na"), F.first("n").alias("nb")
+        )
+        best = near.where(fitting(rule)).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b")
+        new = cut(verified(docs, keys, cut(best), width, rule))
+        if new.isEmpty():
+            break
+        found = cut(found.unionByName(new))
+        labels = connected_components(found)
+        member = member.drop("label").join(labels.withColumnRenamed("v", "k"), "k", "left")
+        member = member.withColumn("label", F.coalesce("label", "k"))
+        member = member.withColumn("lo", F.min("label").over(window)).withColumn("hi", F.max("label").over(window)).where("lo <> hi")
+        member = cut(member.select("sig", "k", "n", "label"))
     # what the stars left apart: pairs of members of one bucket in different components
-    member = met.select("sig", "k", "n").join(labels.withColumnRenamed("v", "k"), "k", "left")
-    member = member.withColumn("label", F.coalesce("label", "k"))
-    member = member.withColumn("lo", F.min("label").over(window)).withColumn("hi", F.max("label").over(window)).where("lo <> hi")
-    member = cut(member.select("sig", "k", "n", "label"))
     one, two = (member.select("sig", *[F.col(c).alias(c + x) for c in ("k", "n", "label")]) for x in ("1", "2"))
     pairs = one.join(two, "sig").where("k1 < k2 and label1 <> label2").where(
         F.least("n1", "n2") * rule.of >= F.greatest("n1", "n2") * rule.at
@@ -299,12 +312,6 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     return out
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("k").alias(side), F.col("n").alias("n" + side)), side)
-    return pairs
-
-
 def late_links(docs: DataFrame, keys: DataFrame, late: DataFrame, width: int, rule: Threshold) -> DataFrame:
     """Links of the few sets that no allocation serves, found through their single tokens."""
     tokens = signatures(docs, width, rule, single=True).select("sig", "k", "n")
