@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,15 +33,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators.lineage import cut
 
-#: Words kept by a worker between documents; the memory is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Words that a worker's younger memory keeps; full, it becomes the older one, which is dropped.
+KEPT_WORDS = 500_000
 END = (1).to_bytes(4, "little")
 GROUPS = 40
 #: A piece is large from this share of the capacity on.
 LARGE = 8
 MAX_PARTS = 64
 
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, list[dict[str, bytes]]] = {}
 _loaded: dict[str, object] = {}
 
 
@@ -49,7 +51,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
-        _known[path] = {}
+        _known[path] = [{}, {}]
     return _loaded[path], _known[path]
 
 
@@ -62,20 +64,55 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _core(word: str) -> tuple[str, str]:
+    """A word as a part and the full stops and commas that end it; the two are tokenized apart."""
+    core = word.rstrip(".,")
+    if core and len(core) < len(word) and core[-1].isalpha():
+        return core.lower() if core.isascii() else core, word[len(core) :]
+    return word.lower() if word.isascii() else word, ""
+
+
+def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> None:
+    """Ids of words that the younger memory lacks: from the older one, from their parts, or encoded."""
+    young, old = memory
+    parts = {}
+    for word in missing:
+        found = old.get(word)
+        if found is None:
+            parts[word] = _core(word)
+        else:
+            young[word] = found
+    needed = []
+    for part in {x for pair in parts.values() for x in pair if x and x not in young}:
+        found = old.get(part)
+        if found is None:
+            needed.append(part)
+        else:
+            young[part] = found
+    for i in range(0, len(needed), 8192):
+        some = needed[i : i + 8192]
+        for part, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            young[part] = _bytes(found.ids)
+    for word, (core, end) in parts.items():
+        young[word] = young[core] + young[end] if end else young[core]
+
+
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers, the end id last."""
-    tokenizer, known = _tokenizer(path)
+    tokenizer, memory = _tokenizer(path)
     lists = [split_words(t) for t in texts]
-    missing = list({w for words in lists for w in words if w not in known})
-    if len(known) + len(missing) > KEPT_WORDS:
-        needed = {w for words in lists for w in words}
-        missing = list(needed)
-        known.clear()
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-    get = known.__getitem__
+    if len(memory[0]) > KEPT_WORDS:
+        memory[:] = [{}, memory[0]]
+    words = set().union(*lists)
+    _learn(words.difference(memory[0]), tokenizer, memory)
+    get = memory[0].__getitem__
     for words in lists:
         yield b"".join(map(get, words)) + END
 
