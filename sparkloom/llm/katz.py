@@ -18,6 +18,7 @@ rows are learned and scored each; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,9 @@ KATZ_K = 5
 CHUNK_TOKENS = 3_000_000
 #: Bytes of text behind one range of hashes.
 RANGE_BYTES = 28_000_000
-KEPT_WORDS = 500_000
+#: A range is counted in so many slices, one after another.
+SLICES = 12
+KEPT_WORDS = 250_000
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(b"\x00 " + x)) for x in (b"end", b"begin"))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +73,7 @@ def thaw(block: bytes) -> list[np.ndarray]:
 
 def narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.int64)
 
 
 def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -162,67 +165,118 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield at, rows
 
 
+class Blocks:
+    """A range's blocks of tokens, kept coded; slices of the range are expanded one at a time."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]]):
+        self.chunks = [chunk for chunk, _ in blocks]
+        self.arrays = [thaw(block) for _, block in blocks]
+        self.starts = [np.r_[0, np.cumsum(times, dtype=np.int64)] for _, times, *_ in self.arrays]
+
+    def part(self, number: int, all_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """word, history, document and block of the tokens whose words lie in one of all parts."""
+        word, history, doc, sizes = [], [], [], []
+        for (w, times, names, codes, d), starts in zip(self.arrays, self.starts, strict=True):
+            a, b = np.searchsorted(ranges(w, all_parts), [number, number + 1])
+            s = slice(starts[a], starts[b])
+            word.append(np.repeat(w[a:b], times[a:b]))
+            history.append(names[codes[s]])
+            doc.append(d[s].astype(np.int32))
+            sizes.append(s.stop - s.start)
+        return np.concatenate(word), np.concatenate(history), np.concatenate(doc), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def count_range(p: int, rows: list[tuple[str, int, bytes]], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
     """Counts of a range of predicted words, and what follows from them."""
-    word, history, doc, chunks = [], [], [], []
     for kind, chunk, block in rows:
         if kind != "tokens":
             yield kind, p, chunk, block
+    _words.clear()  # a worker that packed before keeps none of it now
+    blocks = Blocks([(chunk, block) for kind, chunk, block in rows if kind == "tokens"])
+    rows.clear()
+    if not blocks.chunks:
+        return
+    figures = np.zeros(KATZ_K + 4, np.int64)
+    histories: list[list[np.ndarray]] = []
+    sums: list[list[list[np.ndarray]]] = [[] for _ in blocks.chunks]
+    held: list[list[np.ndarray]] = []
+    for number in range(p * SLICES, (p + 1) * SLICES):
+        word, history, doc, block = blocks.part(number, parts * SLICES)
+        if not len(word):
             continue
-        w, times, names, codes, d = thaw(block)
-        word.append(np.repeat(w, times))
-        history.append(names[codes])
-        doc.append(d.astype(np.int64))
-        chunks.append((chunk, len(d)))
-    if not word:
+        trained = (doc & 1) == 0
+        words, at = np.unique(word, return_inverse=True)
+        n_word = np.bincount(at[trained], minlength=len(words))
+        keys = (history ^ (history >> np.uint64(31))) * _M + word
+        _, first, pair = np.unique(keys, return_index=True, return_inverse=True)
+        n_pair = np.bincount(pair[trained], minlength=len(first))
+        figures += [n_word.sum(), (n_word > 0).sum(), n_word[words == END].sum(), *[(n_pair == r).sum() for r in range(1, KATZ_K + 2)]]
+        # per history: followers by count, the rest of their count, the unigram weight of its followers
+        seen = np.flatnonzero(n_pair)
+        names, own = np.unique(history[first[seen]], return_inverse=True)
+        n_seen = n_pair[seen]
+        columns = [np.bincount(own[n_seen == r], minlength=len(names)) for r in range(1, KATZ_K + 1)]
+        columns.append(np.bincount(own, weights=np.where(n_seen > KATZ_K, n_seen, 0), minlength=len(names)).astype(np.int64))
+        columns.append(np.bincount(own, weights=n_word[at[first[seen]]] + 1, minlength=len(names)).astype(np.int64))
+        histories.append([names, *map(narrow, columns)])
+        # per document of each chunk
+        c_word, c_pair = n_word[at], n_pair[pair]
+        plain = np.log10(c_word + 1.0)
+        value = np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), plain)
+        value -= np.where(trained & (word != END), np.log10(np.maximum(c_word, 1)), 0.0)
+        low = np.where(c_pair <= KATZ_K, c_pair, 0)
+        edges = np.searchsorted(block, np.arange(len(blocks.chunks) + 1))
+        for i in range(len(blocks.chunks)):
+            s = slice(edges[i], edges[i + 1])
+            if s.stop > s.start:
+                sums[i].append(by_document(doc[s] >> 1, plain[s], value[s], c_word[s] > 0, c_pair[s] == 0, low[s]))
+        out = np.flatnonzero(~trained)
+        held.append([history[out], block[out].astype(np.int32), (doc[out] >> 1), (c_pair[out] > 0).astype(np.uint8)])
+    yield "figures", p, 0, freeze(figures)
+    yield from history_rows(histories, parts)
+    for chunk, some in zip(blocks.chunks, sums, strict=True):
+        if some:
+            doc, *columns = (np.concatenate(x) for x in zip(*some, strict=True))
+            names, own = np.unique(doc, return_inverse=True)
+            added = [np.bincount(own, weights=c, minlength=len(names)) for c in columns]
+            whole = [narrow(c.astype(np.int64)) for c in added[2:]]
+            yield "sums", chunk % parts, chunk, freeze(narrow(names), added[0], added[1], *whole)
+    yield from event_rows(blocks.chunks, [np.concatenate(x) for x in zip(*held, strict=True)], parts)
+
+
+def by_document(doc: np.ndarray, plain: np.ndarray, value: np.ndarray, known: np.ndarray, unseen: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
+    """Sums per document: both logarithms, known words, pairs never seen, and pairs seen 1 to k times."""
+    names, own = np.unique(doc, return_inverse=True)
+    add = lambda x: np.bincount(own, weights=x, minlength=len(names))
+    counts = np.bincount(own * (KATZ_K + 1) + low, minlength=len(names) * (KATZ_K + 1)).reshape(-1, KATZ_K + 1)
+    return [names, add(plain), add(value), add(known), add(unseen), *counts[:, 1:].T]
+
+
+def history_rows(histories: list[list[np.ndarray]], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
+    if not histories:
         return
-    word, history, doc = np.concatenate(word), np.concatenate(history), np.concatenate(doc)
-    trained = (doc & 1) == 0
-    words, at = np.unique(word, return_inverse=True)
-    n_word = np.bincount(at[trained], minlength=len(words))
-    pairs, first, pair = np.unique((history ^ (history >> np.uint64(31))) * _M + word, return_index=True, return_inverse=True)
-    n_pair = np.bincount(pair[trained], minlength=len(pairs))
-    yield "figures", p, 0, freeze(np.array([n_word.sum(), (n_word > 0).sum(), n_word[words == END].sum(), *[(n_pair == r).sum() for r in range(1, KATZ_K + 2)]], np.int64))
-    # per history: followers by count, the rest of their count, the unigram weight of its followers
-    seen = np.flatnonzero(n_pair)
-    names, own = np.unique(history[first[seen]], return_inverse=True)
-    n_seen = n_pair[seen]
-    columns = [np.bincount(own[n_seen == r], minlength=len(names)) for r in range(1, KATZ_K + 1)]
-    columns.append(np.bincount(own, weights=np.where(n_seen > KATZ_K, n_seen, 0), minlength=len(names)).astype(np.int64))
-    columns.append(np.bincount(own, weights=n_word[at[first[seen]]] + 1, minlength=len(names)).astype(np.int64))
+    names, own = np.unique(np.concatenate([h[0] for h in histories]), return_inverse=True)
     borders = np.searchsorted(ranges(names, parts), np.arange(parts + 1))
+    columns = [np.bincount(own, weights=np.concatenate([h[1 + i] for h in histories]), minlength=len(names)).astype(np.int64) for i in range(KATZ_K + 2)]
     for q in range(parts):
-        cut_ = slice(borders[q], borders[q + 1])
-        if names[cut_].size:
-            yield "history", q, 0, freeze(names[cut_], *[narrow(c[cut_]) if c[cut_].max() < 2**32 else c[cut_] for c in columns])
-    # per document of each chunk
-    c_word, c_pair = n_word[at], n_pair[pair]
-    plain = np.log10(c_word + 1.0)
-    with np.errstate(divide="ignore"):
-        follow = np.where(word != END, np.log10(np.maximum(c_word, 1)), 0.0)
-        value = np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), plain) - np.where(trained, follow, 0.0)
-    kind = np.where((c_pair > 0) & (c_pair <= KATZ_K), c_pair, 0)
-    start = 0
-    for chunk, n in chunks:
-        s = slice(start, start + n)
-        start += n
-        d, i = np.unique(doc[s], return_inverse=True)
-        count = lambda mask: narrow(np.bincount(i, weights=mask, minlength=len(d)).astype(np.int64))  # noqa: B023, E731
-        yield (
-            "sums", chunk % parts, chunk,
-            freeze(narrow(d >> 1), np.bincount(i, weights=plain[s]), np.bincount(i, weights=value[s]), count(c_word[s] > 0), count(c_pair[s] == 0), *[count(kind[s] == r) for r in range(1, KATZ_K + 1)]),
-        )
-        held = np.flatnonzero(~trained[s]) + s.start
-        if not held.size:
-            continue
-        held = held[np.argsort(history[held], kind="stable")]
-        h = history[held]
-        borders = np.searchsorted(ranges(h, parts), np.arange(parts + 1))
+        s = slice(borders[q], borders[q + 1])
+        if names[s].size:
+            yield "history", q, 0, freeze(names[s], *[narrow(c[s]) for c in columns])
+
+
+def event_rows(chunks: list[int], held: list[np.ndarray], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
+    history, block, doc, seen = held
+    order = np.lexsort((history, block))
+    history, block, doc, seen = (x[order] for x in held)
+    edges = np.searchsorted(block, np.arange(len(chunks) + 1))
+    for i, chunk in enumerate(chunks):
+        h = history[edges[i] : edges[i + 1]]
+        borders = edges[i] + np.searchsorted(ranges(h, parts), np.arange(parts + 1))
         for q in range(parts):
-            some = held[borders[q] : borders[q + 1]]
-            if some.size:
-                names, codes = np.unique(history[some], return_inverse=True)
-                yield "events", q, chunk, freeze(names, narrow(codes), narrow(doc[some] >> 1), (c_pair[some] > 0).astype(np.uint8))
+            s = slice(borders[q], borders[q + 1])
+            if s.stop > s.start:
+                names, codes = np.unique(history[s], return_inverse=True)
+                yield "events", q, chunk, freeze(names, narrow(codes), narrow(doc[s]), seen[s])
 
 
 @dataclass(frozen=True)
@@ -275,6 +329,12 @@ def weigh_range(rows: list[tuple[str, int, bytes]], figures: Figures, parts: int
         yield "part", chunk % parts, chunk, freeze(docs, np.bincount(i, weights=np.where(seen > 0, -c[codes], a[codes])))
 
 
+def release(spark) -> None:
+    """Let go of shuffle files that no plan refers to any more, before the next ones are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -287,6 +347,8 @@ def score(docs: DataFrame) -> DataFrame:
                 yield _rows([row])
 
     counted = cut(tokens.mapInArrow(count, SCHEMA))
+    del tokens
+    release(docs.sparkSession)
     rows = [thaw(r["block"]) for r in counted.where("kind = 'figures'").select("block").collect()]  # a few numbers per range
     sums = np.sum([r[0] for r in rows], axis=0) if rows else np.zeros(KATZ_K + 4, np.int64)
     figures = Figures(int(sums[0]), int(sums[1]), int(sums[2]), tuple(map(int, sums[3:])))
