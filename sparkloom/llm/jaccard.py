@@ -41,7 +41,7 @@ BAND = 1.4
 #: In bands up to this size every segment is indexed with its deletion neighbourhood.
 DELETION_SIZE = 120
 #: Rounds in which members of a bucket are linked with one of them before the rest is paired.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 KEPT_WORDS = 400_000
