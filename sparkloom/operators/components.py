@@ -13,8 +13,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple:
-    """Number of edges and a digest of their set."""
-    parts = [F.sum(F.pmod(F.xxhash64(F.lit(i), "a", "b"), F.lit(1 << 40))) for i in range(2)]
+    """Number of edges and a digest of their set, of any size: exclusive or has no overflow."""
+    parts = [F.expr(f"bit_xor(xxhash64({i}, a, b))") for i in range(2)]
     return tuple(edges.agg(F.count(F.lit(1)), *parts).first())
 
 
