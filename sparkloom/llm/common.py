@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run without space, tab, line feed, vertical tab, form feed and carriage return.
@@ -37,3 +37,31 @@ def row_key(*columns: Column) -> Column:
         F.xxhash64(*columns).alias("a"),
         F.xxhash64(F.lit(7), *columns, F.lit("row")).alias("b"),
     )
+
+
+def free_names(df: DataFrame, *wanted: str) -> dict[str, str]:
+    """A column name for each wanted one that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = {}
+    for name in wanted:
+        free = f"_{name}"
+        while free.lower() in taken:
+            free = f"_{free}"
+        taken.add(free.lower())
+        out[name] = free
+    return out
+
+
+#: What an operator keeps in a Python worker between tasks, by its name: how to let go of it.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    _caches[owner] = clear
+
+
+def only(owner: str) -> None:
+    """Let go of what other operators kept in this worker: workers are reused from stage to stage."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()

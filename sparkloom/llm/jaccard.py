@@ -10,9 +10,9 @@ deleted, worth one unit more each, which all sets of bands up to ``DELETION_SIZE
 then is joined through its single tokens. Candidates are kept only if they meet often enough (a lower
 bound from the two sizes), and each is verified on the whole sets.
 
-Groups of copies aren't expanded: equal sets are one class, a bucket of a segment hash links its members
-with a leader first, another one in each round, and only members that are in different components after
-that are paired.
+Groups of copies aren't expanded: equal sets are one class, and a bucket with many members is never paired:
+its members are compared with a pivot, and further candidates come from what two members share beside it
+(see ``links``).
 
 Defined results: null or blank text has an empty set and links with nothing; fewer words than a shingle
 count as one shingle; repeated rows are copies; an empty table gives an empty result; further columns are
@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import free_names, keeps, only
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.lineage import cut
 
@@ -40,11 +41,13 @@ from sparkloom.operators.lineage import cut
 BAND = 1.4
 #: In bands up to this size every segment is indexed with its deletion neighbourhood.
 DELETION_SIZE = 120
-#: Rounds in which members of a bucket are linked with one of them before the rest is paired.
-STAR_ROUNDS = 2
+#: Members of a bucket that are paired without a pivot.
+SMALL_CELL = 6
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+#: Keys of sets that a task remembers to emit a set once.
+KEPT_KEYS = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,6 +67,7 @@ class _Words(dict):
 
 
 _words = _Words()
+keeps("jaccard", _words.clear)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -177,26 +181,30 @@ def set_key(tokens: np.ndarray) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def _sets(docs: DataFrame, width: int, columns: str, build) -> DataFrame:
+def _sets(docs: DataFrame, width: int, columns: str, build, *more: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("jaccard")
         seen: set[int] = set()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             for step in range(0, batch.num_rows, 256):
-                yield build(ids.slice(step, 256), [shingle_set(x, width) for x in texts[step : step + 256]], seen)
+                part = batch.slice(step, 256)
+                yield build(part, [shingle_set(x, width) for x in part.column(1).cast(pa.binary()).to_pylist()], seen)
 
-    return docs.select("doc_id", "text").mapInArrow(run, columns)
+    return docs.select("doc_id", "text", *[c.alias(f"more{i}") for i, c in enumerate(more)]).mapInArrow(run, columns)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def keyed(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document: doc_id, n (size of its set) and k (key of its set)."""
+    """One row per document: doc_id, n (size of its set), k (key of its set) and t (hash of its text)."""
 
-    def build(ids: pa.Array, sets: list, _: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())], ["doc_id", "n", "k"]
-        )
+    def build(rows: pa.RecordBatch, sets: list, _: set) -> pa.RecordBatch:
+        sizes, keys = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([rows.column(0), sizes, keys, rows.column(2)], ["doc_id", "n", "k", "t"])
 
-    return _sets(docs, width, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long", build)
+    return _sets(docs, width, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, k long, t long", build, text_hash())
 
 
 def signatures(docs: DataFrame, width: int, rule: Threshold, single: bool = False) -> DataFrame:
@@ -205,13 +213,13 @@ def signatures(docs: DataFrame, width: int, rule: Threshold, single: bool = Fals
     n is the set's size, negative if what it emits is too little for its size.
     """
 
-    def build(_: pa.Array, sets: list, seen: set[int]) -> pa.RecordBatch:
+    def build(_: pa.RecordBatch, sets: list, seen: set[int]) -> pa.RecordBatch:
         sig, k, n = [], [], []
         for s in sets:
             key = set_key(s)
             if not key or key in seen:
                 continue
-            if len(seen) > 1_000_000:
+            if len(seen) > KEPT_KEYS:
                 seen.clear()
             seen.add(key)
             rows, short = (s, False) if single else emitted(s, rule)
@@ -226,14 +234,14 @@ def signatures(docs: DataFrame, width: int, rule: Threshold, single: bool = Fals
 
 
 def whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    def build(_: pa.Array, sets: list, seen: set[int]) -> pa.RecordBatch:
+    def build(_: pa.RecordBatch, sets: list, seen: set[int]) -> pa.RecordBatch:
         keys = [set_key(s) for s in sets]
         first = []
         for i, key in enumerate(keys):
             if key not in seen:
                 seen.add(key)
                 first.append(i)
-        if len(seen) > 1_000_000:
+        if len(seen) > KEPT_KEYS:
             seen.clear()
         values = pa.array([sets[i].view(np.int64) for i in first], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in first], pa.int64()), values], ["k", "tokens"])
@@ -241,6 +249,15 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return _sets(docs, width, "k long, tokens array<long>", build)
 
 
+def fitting(rule: Threshold, a: str = "na", b: str = "nb") -> Column:
+    return F.least(a, b) * rule.of >= F.greatest(a, b) * rule.at
+
+
+def needed(rule: Threshold, na: str, nb: str) -> Column:
+    """Least intersection of a linking pair of these sizes."""
+    return F.expr(f"({rule.at} * ({na} + {nb}) + {rule.of + rule.at - 1}) div {rule.of + rule.at}")
+
+
 def least_shared(rule: Threshold) -> Column:
     """Fewest equal hashes of a linking pair of sizes na and nb: the smaller one's quota less what may differ."""
     lo = F.least("na", "nb")
@@ -250,62 +267,125 @@ def least_shared(rule: Threshold) -> Column:
     return F.when(lo <= DELETION_SIZE, F.lit(1)).otherwise(F.greatest(F.lit(1), quota - differ))
 
 
-def fitting(rule: Threshold) -> Column:
-    return F.least("na", "nb") * rule.of >= F.greatest("na", "nb") * rule.at
+def sets_of(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(k, tokens) of the wanted set keys, each from one document that has it."""
+    few = wanted.count() <= BROADCAST_KEYS
+    held = keys.join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
+    ids = cut(held.groupBy("k").agg(F.min("doc_id").alias("id")).select("id").distinct())
+    some = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    found = whole_sets(some, width).dropDuplicates(["k"])
+    return found.join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
 
 
-def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, width: int, rule: Threshold) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     """The pairs (a, b) of set keys that link, by their whole sets."""
-    ends = cut(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
-    few = ends.count() <= BROADCAST_KEYS
-    held = keys.join(F.broadcast(ends) if few else ends, "k", "left_semi")
-    wanted = cut(held.groupBy("k").agg(F.min("doc_id").alias("id")).select("id").distinct())
-    some = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = whole_sets(some, width).dropDuplicates(["k"])
-    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
+    left = pairs.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
     both = left.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
     shared = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
     union = F.size("ta") + F.size("tb") - F.col("i")
     return shared.where(F.col("i") * rule.of >= union * rule.at).select("a", "b")
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the component of the set ``key``; a set without links is its own."""
+    own = labels.select(F.col("v").alias(key), F.col("label").alias(name))
+    return rows.join(own, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
+    """Of (p, k): np, n, i (sizes, intersection), linked, away and back (what must be shared, see ``links``)."""
+    left = pairs.join(sets.select("k", F.col("tokens").alias("t")), "k")
+    both = left.join(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), "p")
+    rows = both.withColumns({"np": F.size("tp"), "n": F.size("t"), "i": F.size(F.array_intersect("t", "tp"))})
+    rows = rows.withColumn("linked", F.col("i") * rule.of >= (F.col("np") + F.col("n") - F.col("i")) * rule.at)
+    least = F.greatest(F.lit(1), F.expr(f"({rule.at} * n + {rule.of - 1}) div {rule.of} - i").cast("int"))
+    away = F.slice(F.array_except("t", "tp"), F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("i") - least + 1))
+    inside = F.col("i") * rule.of >= F.col("n") * rule.at
+    some = F.expr("np - i - (n + np - 2 * i + 2) div 2 + 1").cast("int")
+    empty = F.expr("cast(array() as array<bigint>)")
+    gone = F.array_except("tp", "t")
+    probe = F.when(inside & (F.col("n") < F.col("np")), F.slice(gone, F.lit(1), F.greatest(F.lit(0), some))).otherwise(empty)
+    index = F.when(inside & ~F.col("linked"), gone).otherwise(empty)
+    return rows.select("p", "k", "np", "n", "i", "linked", away.alias("away"), probe.alias("probe"), index.alias("index"))
+
+
+def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFrame:
+    """Candidates (a, b) among members of a pivot's cells that are in different components."""
+    rows = labelled(labelled(seen, labels, "k", "label"), labels, "p", "own")
+    member = ["p", "k", "label", "n", "np", "i"]
+
+    def tokens(rows: DataFrame, column: str, side: str) -> DataFrame:
+        out = rows.select(*[F.col(c).alias(c if c == "p" else c + side) for c in member], F.explode(column).alias("token"))
+        return out
+
+    apart = (F.col("label_a") != F.col("label_b")) & (F.col("k_a") != F.col("k_b")) & fitting(rule, "n_a", "n_b")
+    need = needed(rule, "n_a", "n_b")
+    others = rows.where("label <> own")  # of two members in different components at least one is outside the pivot's
+    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    sharing = tokens(others, "away", "_a").join(tokens(rows, "away", "_b"), ["p", "token"])
+    sharing = sharing.where(apart & (need - F.least("i_a", "i_b") <= room))
+    lost = F.abs((F.col("np_a") - F.col("i_a")) - (F.col("np_b") - F.col("i_b")))
+    differ = F.expr(f"({rule.of - rule.at} * (n_a + n_b)) div {rule.of + rule.at}")
+    lacking = tokens(rows, "probe", "_a").join(tokens(rows, "index", "_b"), ["p", "token"])
+    lacking = lacking.where(apart & (F.least("i_a", "i_b") >= need) & (F.col("n_a") - F.col("i_a") + F.col("n_b") - F.col("i_b") + lost <= differ))
+    both = sharing.select("k_a", "k_b").unionByName(lacking.select("k_a", "k_b"))
+    return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> DataFrame:
-    """(a, b) links between set keys, enough of them to connect all that are connected by links."""
-    window = W.partitionBy("sig")
+    """(a, b) links between set keys, enough of them to connect all that are connected by links.
+
+    Cells (buckets of one hash) of up to ``SMALL_CELL`` members are paired. A larger cell has a pivot p, the
+    member that meets most; all members are compared with it exactly, and again with a second one if they
+    are in other components by then. Two members x and y of different components that may still link
+    are found by what they share beside p, not by pairing the cell: an intersection of at least ``need``
+    has at least need - min(|x & p|, |y & p|) tokens outside p. Where that is positive, x and y meet in
+    the prefixes of their tokens outside p (``away``). Else one of them, x, is smaller than p and the
+    other, y, isn't linked with p, and they lack more than half of x's differences to p both; so they meet
+    in a part of what x lacks (``probe``) and all that y lacks (``index``).
+    """
+    order = W.partitionBy("sig").orderBy("k")
     rows = signatures(docs, width, rule)
-    met = rows.withColumn("lo", F.min("k").over(window)).withColumn("hi", F.max("k").over(window)).where("lo <> hi or n < 0")
-    met = cut(met.select("sig", "k", F.abs("n").alias("n"), (F.col("n") < 0).alias("late")).distinct())
-    member = met.select("sig", "k", "n", F.col("k").alias("label"))
+    beside = (F.lag("k").over(order) != F.col("k")) | (F.lead("k").over(order) != F.col("k"))  # streams, holds no bucket
+    met = rows.withColumn("met", F.coalesce(beside, F.lit(False))).where("met or n < 0")
+    met = cut(met.select("sig", "k", F.abs("n").alias("n"), (F.col("n") < 0).alias("late")).dropDuplicates(["sig", "k"]))
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    held = cut(met.join(sizes, "sig").select("sig", "k", "n", "c"))
+    sets = cut(sets_of(docs, keys, cut(held.select("k").distinct()), width))
     found = docs.sparkSession.createDataFrame([], "a long, b long")
-    for turn in range(STAR_ROUNDS):
-        # each bucket has one member lead; who is in another component tries the leader it meets most often
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "k").alias("h"), "k", "label", "n")).over(window)
-        near = member.withColumn("lead", lead).where("label <> lead.label")
-        near = near.groupBy(F.col("lead.k").alias("a"), F.col("k").alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.first("lead.n").alias("na"), F.first("n").alias("nb")
-        )
-        best = near.where(fitting(rule)).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b")
-        new = cut(verified(docs, keys, cut(best), width, rule))
-        if new.isEmpty():
-            break
-        found = cut(found.unionByName(new))
-        labels = connected_components(found)
-        member = member.drop("label").join(labels.withColumnRenamed("v", "k"), "k", "left")
-        member = member.withColumn("label", F.coalesce("label", "k"))
-        member = member.withColumn("lo", F.min("label").over(window)).withColumn("hi", F.max("label").over(window)).where("lo <> hi")
-        member = cut(member.select("sig", "k", "n", "label"))
-    # what the stars left apart: pairs of members of one bucket in different components
-    one, two = (member.select("sig", *[F.col(c).alias(c + x) for c in ("k", "n", "label")]) for x in ("1", "2"))
-    pairs = one.join(two, "sig").where("k1 < k2 and label1 <> label2").where(
-        F.least("n1", "n2") * rule.of >= F.greatest("n1", "n2") * rule.at
+    labels = docs.sparkSession.createDataFrame([], "v long, label long")
+    large = held.where(F.col("c") > SMALL_CELL)
+    pairs = None
+    if not large.isEmpty():
+        degree = large.groupBy("k").agg(F.sum("c").alias("d"))
+        member = cut(large.join(degree, "k").select("sig", "k", "n", "d"))
+        lead = member.groupBy("sig").agg(F.max(F.struct("d", "k"))["k"].alias("p"))
+        lead = cut(lead)
+        seen = cut(compared(member.join(lead, "sig").where("k <> p").select("p", "k").distinct(), sets, rule))
+        found = cut(seen.where("linked").select(F.col("p").alias("a"), F.col("k").alias("b")))
+        labels = cut(connected_components(found))
+        again = labelled(labelled(member.join(lead, "sig"), labels, "k", "label"), labels, "p", "own").where("label <> own")
+        again = cut(again.select("sig", "k", "n", "d", "label"))
+        lead = again.groupBy("sig").agg(F.max(F.struct("d", "k", "n", "label")).alias("m"))
+        near = again.join(lead, "sig").where("label <> m.label").select(F.col("m.k").alias("a"), F.col("k").alias("b"), F.col("m.n").alias("na"), F.col("n").alias("nb"))
+        near = near.where(fitting(rule)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+        best = near.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a"))
+        more = cut(verified(best, sets, rule))
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            labels = cut(connected_components(found))
+        pairs = beside_pivots(seen, labels, rule)
+    # cells of few members; a pair's other meetings, in large cells, are as many as either has at most
+    often = held.groupBy("k").agg(F.sum((F.col("c") > SMALL_CELL).cast("int")).alias("l"))
+    rows = labelled(held.where(F.col("c") <= SMALL_CELL).join(often, "k"), labels, "k", "label")
+    one, two = (rows.select("sig", *[F.col(c).alias(c + x) for c in ("k", "n", "l", "label")]) for x in ("a", "b"))
+    few = one.join(two, "sig").where("ka < kb and labela <> labelb").where(fitting(rule))
+    few = few.groupBy(F.col("ka").alias("a"), F.col("kb").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l")
     )
-    pairs = pairs.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b")).agg(
-        F.count(F.lit(1)).alias("c"), F.first("n1").alias("na"), F.first("n2").alias("nb")
-    )
-    pairs = cut(pairs.where(F.col("c") >= least_shared(rule)).select("a", "b"))
-    out = found
-    if not pairs.isEmpty():
-        out = out.unionByName(cut(verified(docs, keys, pairs, width, rule)))
+    few = few.where(F.col("c") + F.col("l") >= least_shared(rule)).select("a", "b")
+    pairs = few if pairs is None else few.unionByName(pairs).distinct()
+    out = found.unionByName(cut(verified(pairs, sets, rule)))
     late = cut(met.where("late").select("k").distinct())
     if not late.isEmpty():
         out = out.unionByName(late_links(docs, keys, late, width, rule))
@@ -319,15 +399,16 @@ def late_links(docs: DataFrame, keys: DataFrame, late: DataFrame, width: int, ru
     rare = cut(tokens.join(F.broadcast(late) if few else late, "k", "left_semi").select("sig", F.col("k").alias("a"), F.col("n").alias("na")))
     small = rare.count() <= BROADCAST_KEYS
     met = tokens.select("sig", F.col("k").alias("b"), F.col("n").alias("nb")).join(F.broadcast(rare) if small else rare, "sig")
-    met = met.where("a <> b").where(fitting(rule))
-    return cut(verified(docs, keys, cut(met.select("a", "b").distinct()), width, rule))
+    met = cut(met.where("a <> b").where(fitting(rule)).select("a", "b").distinct())
+    ends = cut(met.select(F.col("a").alias("k")).unionByName(met.select(F.col("b").alias("k"))).distinct())
+    return cut(verified(met, cut(sets_of(docs, keys, ends, width)), rule))
 
 
 def classes(docs: DataFrame, width: int = 4, rule: Threshold = Threshold()) -> DataFrame:
     """One row per document: doc_id, n_shingles, k (its set's key) and label (its component's key)."""
     keys = cut(keyed(docs, width))
     labels = connected_components(links(docs, keys, width, rule)).withColumnRenamed("v", "k")
-    return keys.join(labels, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", F.coalesce("label", "k").alias("label"))
+    return keys.join(labels, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), "k", "t", F.coalesce("label", "k").alias("label"))
 
 
 def components(docs: DataFrame, width: int = 4, rule: Threshold = Threshold()) -> DataFrame:
@@ -340,15 +421,24 @@ def components(docs: DataFrame, width: int = 4, rule: Threshold = Threshold()) -
 
 
 def representatives(docs: DataFrame, width: int = 5, rule: Threshold = Threshold(80)) -> DataFrame:
-    """One document of each component (that of the smallest doc_id), with all columns.
+    """One row of each component with all its columns: that of the smallest doc_id (null last) and text hash.
 
-    Of rows that repeat the id of a component one stays for each different text; rows without id stay.
+    Rows are told apart by doc_id and text, so an id may repeat with other texts. Of rows equal in both one
+    stays. Rows without words link with nothing and stay, but for repeated ones of the same id and text.
     """
-    found = cut(components(docs, width, rule))
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rows = cut(classes(docs, width, rule))
+    row = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")
+    stays = rows.where("k <> 0").groupBy("label").agg(F.min(row).alias("r")).select("r.doc_id", "r.t")
+    stays = cut(stays.unionByName(rows.where("k = 0").select("doc_id", "t")).distinct())
+    times = rows.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("times"))
+    names = free_names(docs, "id", "t")
+    match = F.col(names["id"]).eqNullSafe(F.col("doc_id")) & (F.col(names["t"]) == text_hash())
+    same = (stays["doc_id"].eqNullSafe(times["doc_id"])) & (stays["t"] == times["t"])
+    gone = cut(times.join(stays, same, "left_anti").select(F.col("doc_id").alias(names["id"]), F.col("t").alias(names["t"])))
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, match, "left_anti")
+    again = times.where("times > 1").join(stays, same, "left_semi")
+    again = cut(again.select(F.col("doc_id").alias(names["id"]), F.col("t").alias(names["t"])))
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return once.select(*docs.columns)
+    once = kept.join(again, match, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, match, "left_anti").unionByName(once).select(*docs.columns)
