@@ -1,7 +1,8 @@
 """Main text of web pages: a linear-chain conditional random field over leaf blocks.
 
 A page becomes a sequence of leaf blocks: stretches of text between block-level tags, each with its open
-elements. Features are ancestor tags, words of their class and id, and figures of the text and its links.
+elements. Features are ancestor tags, words of their class and id, and figures of the text, its links, its
+neighbours, and of how much of the page's prose its container holds. Reading takes time in proportion to the page.
 The field is trained by its exact likelihood (forward-backward) on ``TRAIN_PAGES`` labelled pages, a bound
 that is a parameter, and each page is decoded by Viterbi.
 
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from sparkloom.llm.html_pages import labelled_page
 
-TRAIN_PAGES = 600
+TRAIN_PAGES = 900
 TRAIN_STEPS = 160
 #: Fixed lists of the markup language.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img label".split())
@@ -32,125 +33,214 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
 CLOSED_BY = {"p": frozenset("p div ul ol li dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 blockquote pre main figure hr".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"]), "head": frozenset(["body"])}
 CONTAINERS = frozenset("body div section article aside nav header footer main form table td th ul ol dl blockquote figure fieldset".split())
+TELLING = frozenset("article main nav header footer aside form".split())
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+""")
 _NAME = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Node:
+    """An open element, with what it hands down: features are shared with its parent unless it adds some."""
+
+    __slots__ = ("tag", "linked", "names", "told", "features", "leaf", "above", "closable", "home")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, depth: int, known: Container[str] | None):
+        self.tag = tag
+        self.linked = tag == "a" or (parent is not None and parent.linked)
+        shown = tag not in ("html", "body")
+        own = [f"name:{n}" for n in names] + ([f"in:{tag}"] if shown else [])
+        above = parent.features if parent else frozenset()
+        more = [f for f in own if f not in above and (known is None or f in known)]
+        self.features = above.union(more) if more else above
+        self.names = bool(names) or (parent is not None and parent.names)
+        self.told = tag in TELLING or (parent is not None and parent.told)
+        self.leaf = tag if shown else parent.leaf if parent else "-"
+        blocks = parent.above if parent else ()
+        self.above = (*blocks[-1:], tag) if shown and tag not in INLINE else blocks
+        self.home = self if parent is None or tag in CONTAINERS else parent.home
+        # the deepest open element of each kind that may be closed unsaid, up to the next container
+        self.closable = {} if parent is None or tag in CONTAINERS else parent.closable
+        if tag in CLOSED_BY:
+            self.closable = {**self.closable, tag: depth}
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    node: Node | None
 
 
 @dataclass
 class _Builder:
+    known: Container[str] | None = None
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, tuple[str, ...]]] = field(default_factory=list)
+    stack: list[Node] = field(default_factory=list)
+    open_tags: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    begun: tuple | None = None
+    node: Node | None = None
 
     def text(self, raw: str) -> None:
-        if not raw:
+        if not raw or not (self.parts or not raw.isspace()):
             return
-        if self.begun is None:
-            if raw.isspace():
-                return
-            self.begun = tuple(self.stack)
+        top = self.stack[-1] if self.stack else None
+        if not self.parts:
+            self.node = top
         self.parts.append(raw)
-        if any(tag == "a" for tag, _ in self.stack):
+        if top is not None and top.linked:
             self.linked += len(raw)
 
     def end(self) -> None:
-        if self.begun is not None:
+        if self.parts:
             words = html.unescape("".join(self.parts)).split()
             if words:
-                tags = tuple(tag for tag, _ in self.begun)
-                names = tuple(dict.fromkeys(n for _, ns in self.begun for n in ns))
                 size = max(1, sum(map(len, self.parts)))
-                self.blocks.append(Block(" ".join(words), min(100, 100 * self.linked // size), tags, names))
-        self.parts, self.linked, self.begun = [], 0, None
+                self.blocks.append(Block(" ".join(words), min(100, 100 * self.linked // size), self.node))
+        self.parts, self.linked, self.node = [], 0, None
+
+    def cut(self, depth: int) -> None:
+        for node in self.stack[depth:]:
+            self.open_tags[node.tag] -= 1
+        del self.stack[depth:]
 
     def open(self, tag: str, attributes: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            open_tag = self.stack[i][0]
-            if tag in CLOSED_BY.get(open_tag, ()):
-                del self.stack[i:]
-                break
-            if open_tag in CONTAINERS:
-                break
+        if self.stack:
+            found = [depth for kind, depth in self.stack[-1].closable.items() if tag in CLOSED_BY[kind]]
+            if found:
+                self.cut(max(found))
         if tag not in VOID and not attributes.endswith("/"):
-            self.stack.append((tag, attribute_names(attributes) if "=" in attributes else ()))
+            names = attribute_names(attributes) if "=" in attributes else ()
+            self.stack.append(Node(tag, names, self.stack[-1] if self.stack else None, len(self.stack), self.known))
+            self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open_tags.get(tag):
+            depth = len(self.stack) - 1
+            while self.stack[depth].tag != tag:
+                depth -= 1
+            self.cut(depth)
 
 
-@lru_cache(maxsize=4096)
-def attribute_names(attributes: str) -> tuple[str, ...]:
+def _names(attributes: str) -> tuple[str, ...]:
     found = []
     for groups in _NAME.findall(attributes):
         for value in groups:
             found += [p.lower() for p in _PART.findall(value)]
-    return tuple(dict.fromkeys(found))[:12]
+    return tuple(dict.fromkeys(found))
+
+
+_short_names = lru_cache(maxsize=4096)(_names)
+
+
+def attribute_names(attributes: str) -> tuple[str, ...]:
+    return _short_names(attributes) if len(attributes) <= 200 else _names(attributes)
+
 
+def markup(page: str) -> Iterator[tuple[str, str, str]]:
+    """Texts ("", text, ""), opened ("+", tag, attributes) and closed ("-", tag, "") elements, in order.
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks in order; raw elements (scripts, styles, titles, ...) have none."""
-    built, at = _Builder(), 0
+    The scanner never returns behind a place it gave out, and an unclosed quote is searched for once:
+    from then on quotes count as other characters. Elements with raw content are given without it.
+    """
+    at, quotes, begin = 0, True, 0
     while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            built.text(page[at:])
-            built.end()
-            return built.blocks
-        built.text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        begin = page.find("<", begin)
+        if begin < 0:
+            break
+        if page.startswith(("<!", "<?"), begin):
+            stop = "-->" if page.startswith("<!--", begin) else "]]>" if page.startswith("<![CDATA[", begin) else ">"
+            yield "", page[at:begin], ""
+            end = page.find(stop, begin + (4 if stop == "-->" else 2))
+            at = begin = end + len(stop) if end >= 0 else len(page)
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if tag == "br":
-            built.text(" ")
+        m = _TAG.match(page, begin)
+        if m is None:
+            begin += 1
             continue
-        if tag not in INLINE:
-            built.end()
-        if closing:
-            built.close(tag)
+        end = -1
+        if quotes:
+            end = _QUOTED.match(page, m.end()).end()
+            if end >= len(page) or page[end] != ">":
+                quotes, end = False, -1
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:  # no tag ends any more
+                break
+        yield "", page[at:begin], ""
+        tag = m[1].lower()
+        at = begin = end + 1
+        if page[m.start() + 1] == "/":
+            yield "-", tag, ""
         elif tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            closing = _closing(tag).search(page, at)
+            end = page.find(">", closing.end()) if closing else -1
+            at = begin = end + 1 if end >= 0 else len(page)
+            yield "+", "hr", ""
         else:
-            built.open(tag, attributes)
+            yield "+", tag, page[m.end() : end]
+    yield "", page[at:], ""
+
+
+@lru_cache(maxsize=64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?![a-zA-Z0-9_])", re.I)
+
+
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """The page's blocks in order; raw elements (scripts, styles, titles, ...) have none.
+
+    ``known`` are the features worth keeping, all if None.
+    """
+    built = _Builder(known)
+    for kind, value, attributes in markup(page):
+        if not kind:
+            built.text(value)
+        elif value == "br":
+            built.text(" ")
+        else:
+            if value not in INLINE:
+                built.end()
+            if kind == "-":
+                built.close(value)
+            else:
+                built.open(value, attributes)
+    built.end()
+    return built.blocks
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features of each block."""
+    """Names of the features of each block: its elements, its text, its neighbours, its container's share of plain text."""
+    masses: dict[int, int] = {}
+    plain = []
+    for b in blocks:
+        n = b.text.count(" ") + 1
+        prose = n if b.linked < 34 and n >= 8 else 0
+        plain.append(prose)
+        home = id(b.node.home) if b.node else 0
+        masses[home] = masses.get(home, 0) + prose
+    most, all_ = max(masses.values(), default=0), max(1, sum(masses.values()))
     out = []
     for i, b in enumerate(blocks):
-        tags = [t for t in b.tags if t not in ("html", "body")]
-        own = {f"in:{t}" for t in tags} | {f"name:{n}" for n in b.names}
-        own.add(f"leaf:{tags[-1] if tags else '-'}")
-        blocks_ = [t for t in tags if t not in INLINE]
-        own.add(f"pair:{'>'.join(blocks_[-2:])}")
+        node = b.node
+        own = set(node.features) if node else set()
         n = b.text.count(" ") + 1
-        own.add(f"words:{min(6, n.bit_length())}")
-        own.add(f"links:{b.linked // 34}")
-        own.add(f"stop:{b.text[-1] in '.!?…:;\"»”'}")
-        if "©" in b.text:
+        mass = masses[id(node.home) if node else 0]
+        rich = "most" if mass == most and most else "some" if 4 * mass >= all_ else "few" if mass else "none"
+        words = f"words:{min(6, n.bit_length())}"
+        stop = b.text[-1] in ".!?…:;\"»”"
+        beside = "".join("p" if 0 <= j < len(blocks) and plain[j] else "-" for j in (i - 1, i + 1))
+        own |= {f"leaf:{node.leaf if node else '-'}", f"pair:{'>'.join(node.above) if node else ''}", words, f"links:{b.linked // 34}", f"stop:{stop}"}
+        if "©" in b.text or "(c)" in b.text:
             own.add("copyright")
-        if not b.names:
-            own.add("unnamed")
+        if node is None or not (node.names or node.told):  # markup says nothing: the text must
+            leaf = node.leaf if node else "-"
+            own |= {"untold", f"mass:{rich}", f"mass:{rich}&{words}", f"mass:{rich}&{b.linked // 34}{stop}", f"mass:{rich}&{leaf}"}
+            own |= {f"beside:{beside}", f"beside:{beside}&mass:{rich}"}
+        elif not node.told:  # names may say nothing
+            own |= {f"named&mass:{rich}", f"named&mass:{rich}&{words}", f"named&beside:{beside}"}
         own.add("first" if i == 0 else "last" if i + 1 == len(blocks) else "inside")
         own.add("bias")
         out.append(sorted(own))
@@ -275,7 +365,7 @@ def trained(pages: int = TRAIN_PAGES, seed: int = 1) -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", model.index)
     labels = model.decode(features(blocks))
     return " ".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 

@@ -19,6 +19,8 @@ BOILER = {
     "comments": "comments comment comment-list reply replies discussion disqus responses user-comments reader-comments comment-body".split(),
     "social": "share social sharing follow like-buttons".split(),
 }
+#: Names that say nothing of what a part is.
+PLAIN = "col row box inner outer left right wide block module item x1 c2 grid panel cell layer".split()
 SEMANTIC = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}
 
 
@@ -27,6 +29,7 @@ class PageWriter:
         self.r = random.Random(seed)
         self.out: list[str] = []
         self.labels: list[tuple[str, int]] = []  # text of a block, 1 for content
+        self.plain = self.r.random() < 0.3  # elements without meaning, names that say nothing
 
     def sentence(self, least: int, most: int) -> str:
         words = [self.r.choice(WORDS) for _ in range(self.r.randint(least, most))]
@@ -45,6 +48,8 @@ class PageWriter:
 
     def opened(self, tag: str, names: list[str], named: float) -> str:
         attributes = ""
+        if self.plain:
+            names, named, tag = PLAIN, self.plain_names, tag if tag in ("ul", "table") else "div"
         if self.r.random() < named:
             attributes = f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
             if self.r.random() < 0.2:
@@ -53,10 +58,10 @@ class PageWriter:
         return tag
 
     def content(self, tag: str, names: list[str], named: float, nested: list[str]) -> None:
-        self.opened(tag, names, named)
+        tag = self.opened(tag, names, named)
         if self.r.random() < 0.8:
             self.leaf("h1", self.sentence(3, 12), 1)
-        for _ in range(self.r.randint(1, 14)):
+        for _ in range(self.r.choice([self.r.randint(0, 2), self.r.randint(1, 14), self.r.randint(1, 14)])):
             kind = self.r.random()
             if kind < 0.78:
                 self.leaf("p", " ".join(self.sentence(1, 24) for _ in range(self.r.randint(1, 6))), 1, 0.02)
@@ -76,9 +81,9 @@ class PageWriter:
     def boiler(self, kind: str, named: float) -> None:
         semantic = SEMANTIC.get(kind)
         tag = semantic if semantic and self.r.random() < 0.6 else self.r.choice(["div", "div", "section", "ul" if kind == "nav" else "div"])
-        self.opened(tag, BOILER[kind], 0.5 if tag == semantic else named)
+        tag = self.opened(tag, BOILER[kind], 0.5 if tag == semantic else named)
         linked = kind in ("nav", "aside", "social") or (kind in ("header", "footer") and self.r.random() < 0.5)
-        long = kind in ("comments", "ad", "notice", "aside") and self.r.random() < 0.6
+        long = self.r.random() < (0.6 if kind in ("comments", "ad", "notice", "aside") else 0.4 if kind in ("footer", "form", "header") else 0.0)
         for _ in range(self.r.randint(1, 6 if kind in ("nav", "comments", "aside") else 3)):
             text = " ".join(self.sentence(1, 20) for _ in range(self.r.randint(1, 4))) if long else self.sentence(1, 8 if not linked else 3)
             if kind == "footer" and self.r.random() < 0.6:
@@ -93,6 +98,7 @@ class PageWriter:
 
     def page(self) -> str:
         named = self.r.choice([1.0, 1.0, 0.9, 0.6])
+        self.plain_names = self.r.choice([0.0, 0.0, 0.5, 1.0])
         self.out.append(f"<!DOCTYPE html><html><head><title>{self.sentence(2, 8)}</title><style>p{{margin:0}}</style></head><body>")
         for kind in ("notice", "header", "nav", "ad"):
             if self.r.random() < 0.55:
