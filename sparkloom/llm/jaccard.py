@@ -22,7 +22,7 @@ ignored by ``components`` and handed through by ``representatives``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -41,6 +41,8 @@ from sparkloom.operators.lineage import cut
 BAND = 1.4
 #: In bands up to this size every segment is indexed with its deletion neighbourhood.
 DELETION_SIZE = 120
+#: Bitmaps of differences to a pivot have so many words (a power of two).
+LANES = 4
 #: Members of a bucket that are paired without a pivot.
 SMALL_CELL = 6
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
@@ -303,31 +305,53 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     inside = F.col("i") * rule.of >= F.col("n") * rule.at
     some = F.expr("np - i - (n + np - 2 * i + 2) div 2 + 1").cast("int")
     empty = F.expr("cast(array() as array<bigint>)")
-    gone = F.array_except("tp", "t")
-    probe = F.when(inside & (F.col("n") < F.col("np")), F.slice(gone, F.lit(1), F.greatest(F.lit(0), some))).otherwise(empty)
-    index = F.when(inside & ~F.col("linked"), gone).otherwise(empty)
-    return rows.select("p", "k", "np", "n", "i", "linked", away.alias("away"), probe.alias("probe"), index.alias("index"))
+    rows = rows.withColumns({"more": F.array_except("t", "tp"), "gone": F.array_except("tp", "t")})
+    away = F.slice("more", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("i") - least + 1))
+    probe = F.when(inside & (F.col("n") < F.col("np")), F.slice("gone", F.lit(1), F.greatest(F.lit(0), some))).otherwise(empty)
+    index = F.when(inside & ~F.col("linked"), F.col("gone")).otherwise(empty)
+    marks = [bits(x, lane).alias(f"{x}{lane}") for x in ("more", "gone") for lane in range(LANES)]
+    return rows.select("p", "k", "np", "n", "i", "linked", away.alias("away"), probe.alias("probe"), index.alias("index"), *marks)
 
 
-def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFrame:
-    """Candidates (a, b) among members of a pivot's cells that are in different components."""
-    rows = labelled(labelled(seen, labels, "k", "label"), labels, "p", "own")
-    member = ["p", "k", "label", "n", "np", "i"]
+def bits(tokens: str, lane: int) -> Column:
+    """64 of the bits of a set's bitmap: one for each token, by its hash; tokens may share one."""
+    return F.expr(f"aggregate({tokens}, 0L, (m, t) -> if(((t >> 6) & {LANES - 1}) = {lane}, m | shiftleft(1L, cast(t & 63 as int)), m))")
 
-    def tokens(rows: DataFrame, column: str, side: str) -> DataFrame:
-        out = rows.select(*[F.col(c).alias(c if c == "p" else c + side) for c in member], F.explode(column).alias("token"))
-        return out
 
-    apart = (F.col("label_a") != F.col("label_b")) & (F.col("k_a") != F.col("k_b")) & fitting(rule, "n_a", "n_b")
+def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFrame:
+    """Candidates (a, b) among members of a pivot's cells that are in different components."""
+    rows = cut(labelled(labelled(seen, labels, "k", "label"), labels, "p", "own"))
+    tokens = None
+    for kind, column in enumerate(("away", "probe", "index")):
+        some = rows.select("p", "k", "label", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
+        tokens = some if tokens is None else tokens.unionByName(some)
+    # first the few tokens that members of different components share
+    tokens = cut(tokens.withColumn("part", F.col("kind") > 0))
+    apart = tokens.groupBy("p", "token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b"))
+    apart = apart.where("lo <> hi and (not part or a <> b)").select("p", "token", "part")
+    kept = tokens.join(apart, ["p", "token", "part"], "left_semi").drop("part", "label")
+    figures = ["np", "n", "i", "label", "own", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
+    kept = cut(kept.join(rows.select("p", "k", *figures), ["p", "k"]))
+
+    def side(kind: int, end: str) -> DataFrame:
+        return kept.where(F.col("kind") == kind).select("p", "token", *[F.col(c).alias(c + end) for c in ("k", *figures)])
+
+    def count(body: Callable[[Column, Column], Column], of: str) -> Column:
+        return sum((F.bit_count(body(F.col(f"{of}{lane}_a"), F.col(f"{of}{lane}_b"))) for lane in range(LANES)), F.lit(0))
+
+    different = (F.col("label_a") != F.col("label_b")) & (F.col("k_a") != F.col("k_b")) & fitting(rule, "n_a", "n_b")
     need = needed(rule, "n_a", "n_b")
-    others = rows.where("label <> own")  # of two members in different components at least one is outside the pivot's
-    room = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    sharing = tokens(others, "away", "_a").join(tokens(rows, "away", "_b"), ["p", "token"])
-    sharing = sharing.where(apart & (need - F.least("i_a", "i_b") <= room))
+    out_a, out_b = F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")
+    # bitmaps bound from above what two members share: outside the pivot, and of the pivot
+    outside = F.least(out_a - count(lambda a, b: a.bitwiseAND(F.bitwise_not(b)), "more"), out_b - count(lambda a, b: b.bitwiseAND(F.bitwise_not(a)), "more"))
+    within = F.least("i_a", "i_b", F.col("np_a") - count(lambda a, b: a.bitwiseOR(b), "gone"))
+    # of two members in different components at least one is outside the pivot's
+    sharing = side(0, "_a").where("label_a <> own_a").join(side(0, "_b"), ["p", "token"])
+    sharing = sharing.where(different & (outside + within >= need))
     lost = F.abs((F.col("np_a") - F.col("i_a")) - (F.col("np_b") - F.col("i_b")))
     differ = F.expr(f"({rule.of - rule.at} * (n_a + n_b)) div {rule.of + rule.at}")
-    lacking = tokens(rows, "probe", "_a").join(tokens(rows, "index", "_b"), ["p", "token"])
-    lacking = lacking.where(apart & (F.least("i_a", "i_b") >= need) & (F.col("n_a") - F.col("i_a") + F.col("n_b") - F.col("i_b") + lost <= differ))
+    lacking = side(1, "_a").join(side(2, "_b"), ["p", "token"])
+    lacking = lacking.where(different & (outside + within >= need) & (F.least("i_a", "i_b") >= need) & (out_a + out_b + lost <= differ))
     both = sharing.select("k_a", "k_b").unionByName(lacking.select("k_a", "k_b"))
     return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
 

@@ -18,6 +18,7 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import sys
 import zlib
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import keeps, only
 from sparkloom.operators.lineage import cut
 
 #: Words that a worker's younger memory keeps; full, it becomes the older one, which is dropped.
@@ -41,17 +43,40 @@ GROUPS = 40
 LARGE = 8
 MAX_PARTS = 64
 
+#: Fixed values of vocabularies whose tokens never cross white space, and which ignore case.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+#: By file: two generations of known words and their ids; empty if its texts must be encoded whole.
 _known: dict[str, list[dict[str, bytes]]] = {}
 _loaded: dict[str, object] = {}
 
 
+def _forget() -> None:
+    for memory in _known.values():
+        memory[:] = [{}, {}] if memory else []
+
+
+keeps("packing", _forget)
+
+
 def _tokenizer(path: str):
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
-        _known[path] = [{}, {}]
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        _known[path] = [{}, {}] if {k: parts.get(k) for k in WORDWISE} == WORDWISE else []
     return _loaded[path], _known[path]
 
 
@@ -105,8 +130,15 @@ def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> None
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers, the end id last."""
+    """Ids of each text as little-endian unsigned 32-bit numbers, the end id last.
+
+    Words are looked up where the file's rules allow it (``WORDWISE``), else texts are encoded whole.
+    """
     tokenizer, memory = _tokenizer(path)
+    if not memory:
+        for text in texts:
+            yield _bytes(tokenizer.encode(text, add_special_tokens=False).ids) + END
+        return
     lists = [split_words(t) for t in texts]
     if len(memory[0]) > KEPT_WORDS:
         memory[:] = [{}, memory[0]]
@@ -123,6 +155,7 @@ def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
@@ -300,7 +333,7 @@ def plan_table(runs: list[Run]) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cutup = cut(pieces(docs, tokenizer_path, capacity).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(MAX_PARTS)).cast("int")))
+    cutup = cut(pieces(docs, tokenizer_path, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(MAX_PARTS)).cast("int")))
     rows = cutup.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * MAX_PARTS at most
     counts: dict[int, int] = {}
     for r in rows:

@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import keeps, only
+
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text whose lattices are held at once.
-BLOCK_CHARS = 600_000
+BLOCK_CHARS = 1_500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SLOTS = 1 << 20
+PREFIX = -2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,30 +75,37 @@ class Vocabulary:
         self.weights[normal] = -np.log(ranks + 2.0)
         self.byte_weight = -np.log(len(normal) + 2.0)
         self.longest = max(len(self.pieces[i]) for i in normal)
-        self.table = np.full((_SLOTS, 4), -1, np.int32)
-        self.hashes = np.zeros((_SLOTS, 4), np.uint64)
+        # strings that pieces begin with are in the table too, so that a place is left once nothing can follow
+        known: dict[int, int] = {}
         for i in normal:
-            codes = np.frombuffer(self.pieces[i].encode("utf-32-le"), np.uint32)
-            h = np.zeros(1, np.uint64)
-            for c in codes:
-                h = h * _M1 + np.uint64(c) + np.uint64(1)
-            h = _mix(h)
-            slot = int(h[0] >> np.uint64(44))
-            free = int(np.flatnonzero(self.table[slot] < 0)[0])
-            self.table[slot, free], self.hashes[slot, free] = i, h[0]
+            h = 0
+            for c in map(ord, self.pieces[i]):
+                h = (h * int(_M1) + c + 1) & 0xFFFFFFFFFFFFFFFF
+                known.setdefault(h, PREFIX)
+            known[h] = i
+        hashes = _mix(np.fromiter(known, np.uint64, len(known)))
+        slots = (hashes >> np.uint64(44)).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        hashes, slots, ids = hashes[order], slots[order], np.fromiter(known.values(), np.int32, len(known))[order]
+        way = np.arange(len(slots)) - np.searchsorted(slots, slots)
+        self.ways = int(way.max()) + 1
+        self.table = np.full((self.ways, _SLOTS), -1, np.int32)
+        self.hashes = np.zeros((self.ways, _SLOTS), np.uint64)
+        self.table[way, slots], self.hashes[way, slots] = ids, hashes
+        self.piece_weights = np.append(self.weights, [-np.inf, -np.inf])  # at PREFIX and at -1 too
         self.bytes = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for b in range(256):
             self.bytes[self.first_byte + b] = bytes([b])
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of pieces by rolling hashes; -1 where there is none."""
+        """Ids of pieces by rolling hashes; PREFIX where a piece begins like that, -1 where none does."""
         h = _mix(h)
         slot = (h >> np.uint64(44)).astype(np.int64)
-        out = np.where(self.hashes[slot, 0] == h, self.table[slot, 0], -1)
-        for k in range(1, 4):
-            again = np.flatnonzero((out < 0) & (self.table[slot, k] >= 0))
+        out = np.where(self.hashes[0, slot] == h, self.table[0, slot], -1)
+        for k in range(1, self.ways):
+            again = np.flatnonzero((out == -1) & (self.table[k, slot] != -1))
             if again.size:
-                out[again] = np.where(self.hashes[slot[again], k] == h[again], self.table[slot[again], k], -1)
+                out[again] = np.where(self.hashes[k, slot[again]] == h[again], self.table[k, slot[again]], -1)
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -105,6 +115,7 @@ class Vocabulary:
 
 
 _loaded: dict[str, Vocabulary] = {}
+keeps("pieces", _loaded.clear)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -120,58 +131,93 @@ def units(text: str) -> list[str]:
 
 @dataclass
 class Lattice:
-    """Nodes of several words in a row; from each node up to ``longest`` edges, by their length."""
+    """Nodes of several words in a row, and their edges in order of node and length."""
 
     turn: np.ndarray  # number of each word of the block within its text
 
     first: np.ndarray  # first node of a word
     ends: np.ndarray  # whether a node ends its word
+    start: np.ndarray  # first edge of each node, and the number of edges
+    length: np.ndarray  # characters of an edge
     prob: np.ndarray  # of each edge, given its node
-    cum: np.ndarray  # its running sums
-    single: np.ndarray  # whether a node has one edge only
+    cum: np.ndarray  # its running sums within the node
     piece: np.ndarray  # id; below 0 a character's bytes
     codes: np.ndarray
+    widest: int  # most edges of a node
+
+    def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node in whose part of the probability u lies."""
+        edge = self.start[node]
+        u = u * self.cum[self.start[node + 1] - 1]
+        more = np.flatnonzero(u >= self.cum[edge])
+        while more.size:
+            edge[more] += 1
+            more = more[u[more] >= self.cum[edge[more]]]
+        return edge
+
+    def row(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of the edges of some nodes, side by side, and their numbers."""
+        edge = self.start[node][:, None] + np.arange(self.widest)
+        there = edge < self.start[node + 1][:, None]
+        edge = np.where(there, edge, 0)
+        return np.where(there, self.prob[edge], 0.0), edge
 
 
 def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
     sizes = np.array([len(w) for w in words], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    place = np.empty_like(order)
-    place[order] = np.arange(len(order))
-    sizes = sizes[order]
     first = np.cumsum(sizes + 1) - sizes - 1
     total = int((sizes + 1).sum())
     codes = np.zeros(total, np.uint64)
     inner = np.ones(total, bool)
     inner[first + sizes] = False
-    codes[inner] = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le"), np.uint32)
-    longest = vocab.longest  # whatever the words are, so that sums round alike in every block
-    piece = np.full((total, longest), -1, np.int32)
-    open_, h = inner.copy(), np.zeros(total, np.uint64)
-    for k in range(longest):
-        at = np.flatnonzero(open_)
+    codes[inner] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    nodes, lengths, ids = [], [], []
+    at, h = np.flatnonzero(inner), np.zeros(total, np.uint64)
+    for k in range(vocab.longest):
+        if not at.size:
+            break
         h[at] = h[at] * _M1 + codes[at + k] + np.uint64(1)
-        piece[at, k] = vocab.find(h[at])
-        open_[at] = inner[at + k + 1]
-    weight = np.where(piece >= 0, vocab.weights[piece], -np.inf)
-    lone = inner & (piece[:, 0] < 0)
-    lengths = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-    weight[lone, 0] = vocab.byte_weight * lengths[lone]
-    piece[lone, 0] = -2
-    beta = np.full(total, -np.inf)
-    beta[first + sizes] = 0.0
-    prob = np.zeros((total, longest))
-    for back in range(1, int(sizes[0]) + 1 if len(sizes) else 0):
-        n = int(np.searchsorted(-sizes, -back, side="right"))  # words of at least ``back`` characters
-        at = first[:n] + sizes[:n] - back
-        reach = min(back, longest)
-        own = weight[at, :reach] + beta[at[:, None] + np.arange(1, reach + 1)]
-        top = own.max(axis=1)
-        e = np.exp(own - top[:, None])
-        s = e.sum(axis=1)
-        beta[at] = top + np.log(s)
-        prob[at, :reach] = e / s[:, None]
-    return Lattice(np.empty(0, np.int64), first[place], ~inner, prob, np.cumsum(prob, axis=1), (prob > 0).sum(axis=1) == 1, piece, codes)
+        found = vocab.find(h[at])
+        is_piece = found >= 0
+        if k == 0:  # a character without a piece stands for its bytes
+            is_piece[:] = True
+            found = np.where(found < 0, PREFIX, found)
+        nodes.append(at[is_piece])
+        lengths.append(np.full(len(nodes[-1]), k + 1, np.int32))
+        ids.append(found[is_piece])
+        at = at[(found != -1) & inner[at + k + 1]]
+    empty = np.empty(0, np.int64)
+    node, length, piece = (np.concatenate(x) if x else empty for x in (nodes, lengths, ids))
+    order = np.argsort(node, kind="stable")
+    node, length, piece = node[order], length[order], piece[order]
+    raw = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    weight = np.where(piece >= 0, vocab.piece_weights[piece], vocab.byte_weight * raw[node])
+    start = np.searchsorted(node, np.arange(total + 1))
+    # backward sums, all nodes with the same distance to their word's end at once
+    back = np.repeat(first + sizes, sizes + 1) - np.arange(total)
+    order = np.argsort(back[node], kind="stable")
+    target, sorted_node, sorted_weight = (node + length)[order], node[order], weight[order]
+    heads = np.flatnonzero(np.r_[True, sorted_node[1:] != sorted_node[:-1]]) if len(order) else empty
+    head_node = sorted_node[heads]
+    count = np.diff(np.r_[heads, len(order)])
+    levels = np.searchsorted(back[head_node], np.arange(1, int(sizes.max(initial=0)) + 2))
+    beta, prob = np.zeros(total), np.zeros(len(order))
+    for a, b in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True):
+        lo, hi = heads[a], heads[b] if b < len(heads) else len(order)
+        own = sorted_weight[lo:hi] + beta[target[lo:hi]]
+        inside, n = heads[a:b] - lo, count[a:b]
+        top = np.maximum.reduceat(own, inside)
+        e = np.exp(own - np.repeat(top, n))
+        s = np.add.reduceat(e, inside)
+        beta[head_node[a:b]] = top + np.log(s)
+        prob[order[lo:hi]] = e / np.repeat(s, n)
+    cum = prob.copy()
+    degree = np.diff(start)
+    widest = int(degree.max(initial=1))
+    for j in range(1, widest):
+        edge = start[:-1][degree > j] + j
+        cum[edge] += cum[edge - 1]
+    return Lattice(np.empty(0, np.int64), first, ~inner, start, length, prob, cum, piece, codes, widest)
 
 
 @dataclass
@@ -188,15 +234,21 @@ class Path:
     barred: np.ndarray  # per text those exclusions
 
 
+class _Numbers(dict):
+    """Each different word's number, in the order they come."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
 def _draw(lattice: Lattice, word: np.ndarray, node: np.ndarray, step: np.ndarray, seed: np.ndarray, sample: int) -> list[np.ndarray]:
     """Decisions from the given nodes to the ends of their words."""
     out = []
     while word.size:
-        cum = lattice.cum[node]
-        u = uniforms(seed, np.uint64(sample), lattice.turn[word], step) * cum[:, -1]
-        edge = (u[:, None] >= cum).sum(axis=1)
+        edge = lattice.drawn(node, uniforms(seed, np.uint64(sample), lattice.turn[word], step))
         out.append(np.stack([word, step, node, edge]))
-        node = node + edge + 1
+        node = node + lattice.length[edge]
         more = ~lattice.ends[node]
         word, node, step, seed = word[more], node[more], step[more] + 1, seed[more]
     return out
@@ -205,8 +257,8 @@ def _draw(lattice: Lattice, word: np.ndarray, node: np.ndarray, step: np.ndarray
 def sample_texts(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k samples (ids, log probability, perturbed value), the best first, and kappa last."""
     lists = [units(t) for t in texts]
-    index: dict[str, int] = {}
-    flat = [index.setdefault(w, len(index)) for ws in lists for w in ws]
+    index = _Numbers()
+    flat = [i for ws in lists for i in map(index.__getitem__, ws)]
     n = len(texts)
     out: list[list] = [[] for _ in texts]
     lattice = build_lattice(list(index), vocab)
@@ -219,7 +271,7 @@ def sample_texts(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary)
     words = np.arange(len(flat))
     parts = _draw(lattice, words, start_node, np.zeros(len(words), np.int64), seeds[text_of], 0)
     alive = np.ones(n, bool)
-    width = lattice.prob.shape[1]
+    width = lattice.widest
     special, barred = np.full(n, -1), np.zeros((n, width), bool)
     paths: list[Path] = []
     for sample in range(k):
@@ -232,11 +284,16 @@ def sample_texts(texts: list[str], seeds: np.ndarray, k: int, vocab: Vocabulary)
         best, owner, where = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for m, p in enumerate(paths):
             edges = np.searchsorted(p.text, np.arange(n + 1))
-            for i in np.flatnonzero((edges[1:] > edges[:-1]) & alive):
-                s = slice(edges[i], edges[i + 1])
-                j = int(np.argmax(p.bound[s]))
-                if p.bound[s][j] > best[i]:
-                    best[i], owner[i], where[i] = p.bound[s][j], m, edges[i] + j
+            mine = np.flatnonzero(edges[1:] > edges[:-1])
+            if not mine.size:
+                continue
+            top = np.full(n, -np.inf)
+            top[mine] = np.maximum.reduceat(p.bound, edges[mine])
+            first = np.flatnonzero(p.bound == top[p.text])[::-1]  # the first of equal ones is written last
+            place = np.zeros(n, np.int64)
+            place[p.text[first]] = first
+            better = alive & (top > best)
+            best[better], owner[better], where[better] = top[better], m, place[better]
         alive = best > -np.inf
         values = best
         if sample + 1 == k or not alive.any():
@@ -260,7 +317,7 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
     if not len(path.word):
         return
     here = np.arange(len(path.word))
-    chosen = lattice.prob[path.node, path.edge]
+    chosen = lattice.prob[path.edge]
     logs = np.log(chosen)
     edges = np.searchsorted(path.text, np.arange(len(values) + 1))
     begin = edges[path.text]
@@ -268,13 +325,15 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
     for a, b in zip(edges[:-1], edges[1:], strict=True):  # text by text, so that sums round alike in every block
         if b > a:
             np.cumsum(logs[a : b - 1], out=prefix[a + 1 : b])
-    other = np.where(lattice.single[path.node], 0.0, np.maximum(0.0, 1.0 - chosen))
+    single = lattice.start[path.node + 1] - lattice.start[path.node] == 1
+    other = np.where(single, 0.0, np.maximum(0.0, 1.0 - chosen))
     at = np.flatnonzero(special >= 0)  # at its branch more is barred than the path's own edge
     if at.size:
         branch = edges[at] + special[at]
         bar = path.barred[at].copy()
-        bar[np.arange(len(at)), path.edge[branch]] = True
-        other[branch] = np.where(bar, 0.0, lattice.prob[path.node[branch]]).sum(axis=1)
+        node = path.node[branch]
+        bar[np.arange(len(at)), path.edge[branch] - lattice.start[node]] = True
+        other[branch] = np.where(bar, 0.0, lattice.row(node)[0]).cumsum(axis=1)[:, -1]
     with np.errstate(divide="ignore"):
         mass = prefix + np.log(other)
     own = here - begin >= special[path.text]  # earlier decisions belong to regions of other paths
@@ -286,7 +345,7 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
 def _branch(paths, owner, where, alive, lattice, seeds, sample, text_of, first_word, start_node):
     """The next path of each text: its owner's decisions before the branch, another edge there, then fresh ones."""
     n = len(owner)
-    width = lattice.prob.shape[1]
+    width = lattice.widest
     parts, special, barred = [], np.full(n, -1), np.zeros((n, width), bool)
     words, nodes, steps = [], [], []
     for m, p in enumerate(paths):
@@ -300,17 +359,17 @@ def _branch(paths, owner, where, alive, lattice, seeds, sample, text_of, first_w
         parts.append(np.stack([p.word[keep], p.step[keep], p.node[keep], p.edge[keep]]))
         at = where[mine]
         bar = np.zeros((len(mine), width), bool)
-        bar[np.arange(len(mine)), p.edge[at]] = True
+        bar[np.arange(len(mine)), p.edge[at] - lattice.start[p.node[at]]] = True
         same = p.special[mine] == at - edges[mine]
         bar[same] |= p.barred[mine[same]]
-        rows = np.where(bar, 0.0, lattice.prob[p.node[at]])
-        cum = np.cumsum(rows, axis=1)
+        rows, edges_ = lattice.row(p.node[at])
+        cum = np.cumsum(np.where(bar, 0.0, rows), axis=1)
         u = uniforms(seeds[mine], np.uint64(sample), lattice.turn[p.word[at]], p.step[at] + (1 << 21)) * cum[:, -1]
-        edge = (u[:, None] >= cum).sum(axis=1)
+        edge = edges_[np.arange(len(mine)), (u[:, None] >= cum).sum(axis=1)]
         parts.append(np.stack([p.word[at], p.step[at], p.node[at], edge]))
         special[mine], barred[mine] = at - edges[mine], bar
         p.bound[at] = -np.inf
-        node = p.node[at] + edge + 1
+        node = p.node[at] + lattice.length[edge]
         more = ~lattice.ends[node]
         words.append(p.word[at][more])
         nodes.append(node[more])
@@ -327,11 +386,10 @@ def _branch(paths, owner, where, alive, lattice, seeds, sample, text_of, first_w
 def _read(path: Path, lattice: Lattice, vocab: Vocabulary, n: int) -> Iterator[tuple[np.ndarray, float]]:
     """Ids and log probability of each text's segmentation."""
     edges = np.searchsorted(path.text, np.arange(n + 1))
-    logs = np.log(lattice.prob[path.node, path.edge]) if len(path.node) else np.empty(0)
-    ids = lattice.piece[path.node, path.edge].astype(np.uint32) if len(path.node) else np.empty(0, np.uint32)
-    code = lattice.codes[path.node] if len(path.node) else np.empty(0, np.uint64)
-    bare = lattice.piece[path.node, path.edge] < 0 if len(path.node) else np.empty(0, bool)
-    ids = np.where(bare & (code < 0x80), (code + np.uint64(vocab.first_byte)).astype(np.uint32), ids)
+    logs, code = np.log(lattice.prob[path.edge]), lattice.codes[path.node]
+    ids = lattice.piece[path.edge].astype(np.int64)
+    bare = ids < 0
+    ids = np.where(bare & (code < 0x80), code.astype(np.int64) + vocab.first_byte, ids).astype(np.uint32)
     lone = np.flatnonzero(bare & (code >= 0x80))  # characters of several bytes
     for i in range(n):
         a, b = edges[i], edges[i + 1]
@@ -349,6 +407,45 @@ def _read(path: Path, lattice: Lattice, vocab: Vocabulary, n: int) -> Iterator[t
         yield own, float(logs[a:b].sum())
 
 
+def best_texts(texts: list[str], vocab: Vocabulary) -> list[np.ndarray]:
+    """Ids of each text's segmentation of greatest weight (Viterbi); of equal ones that of the shortest first piece."""
+    lists = [units(t) for t in texts]
+    index = _Numbers()
+    flat = [[index[w] for w in ws] for ws in lists]
+    ids = [best_word(w, vocab) for w in index]
+    return [np.concatenate([ids[i] for i in ws]) if ws else np.empty(0, np.uint32) for ws in flat]
+
+
+def best_word(word: str, vocab: Vocabulary) -> np.ndarray:
+    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(codes)
+    if n == 0:
+        return np.empty(0, np.uint32)
+    score, step = np.full(n + 1, -np.inf), np.zeros(n, np.int64)
+    score[n] = 0.0
+    ids = np.full((n, min(n, vocab.longest)), -1, np.int32)
+    h = np.zeros(n, np.uint64)
+    for k in range(ids.shape[1]):
+        at = np.arange(n - k)
+        h[at] = h[at] * _M1 + codes[at + k] + np.uint64(1)
+        ids[at, k] = vocab.find(h[at])
+    raw = [chr(int(c)).encode("utf-8", "surrogatepass") for c in codes]
+    for i in range(n - 1, -1, -1):
+        reach = min(n - i, ids.shape[1])
+        own = vocab.piece_weights[ids[i, :reach]]
+        if ids[i, 0] < 0:
+            own[0] = vocab.byte_weight * len(raw[i])
+        own = own + score[i + 1 : i + reach + 1]
+        step[i] = int(np.argmax(own))
+        score[i] = own[step[i]]
+    out, i = [], 0
+    while i < n:
+        k = int(step[i])
+        out += [int(ids[i, k])] if ids[i, k] >= 0 else [vocab.first_byte + b for b in raw[i]]
+        i += k + 1
+    return np.array(out, np.uint32)
+
+
 def log_inclusion(logp: float, kappa: float) -> float:
     """Logarithm of 1 - exp(-exp(logp - kappa)); texts of many words have far too small a probability itself."""
     d = logp - kappa
@@ -376,6 +473,7 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bo
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces")
         vocab = vocabulary(model_path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -396,3 +494,31 @@ def sampled(docs: DataFrame, model_path: str, k: int = 3, seed: int = 1, ids: bo
     names = [key, "sample", "n_pieces", "ids_crc32", "round_trip", "log_prob", "perturbed", "log_inclusion"] + (["ids"] if ids else [])
     schema = f"{key} {key_type}, sample int, n_pieces long, ids_crc32 long, round_trip boolean, log_prob double, perturbed double, log_inclusion double"
     return docs.select(key, "text", F.xxhash64(F.lit(seed), F.col(key)).alias("seed")).mapInArrow(run, schema + (", ids array<int>" if ids else ""))
+
+
+def encoded(docs: DataFrame, model_path: str, key: str = "doc_id") -> DataFrame:
+    """A row per document: key, ids (its segmentation of greatest weight). Null text has no ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model_path)
+        for batch in batches:
+            for step in range(0, batch.num_rows, 256):
+                part = batch.slice(step, 256)
+                found = best_texts([t or "" for t in part.column(1).to_pylist()], vocab)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], [key, "ids"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>")
+
+
+def decoded(rows: DataFrame, model_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """A row per row: key, text of its ids. Null ids give null; ids outside the vocabulary are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model_path)
+        for batch in batches:
+            for step in range(0, batch.num_rows, 256):
+                part = batch.slice(step, 256)
+                texts = [None if x is None else vocab.decode(np.array(x, np.int64)) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return rows.select(key, ids).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, text string")

@@ -1,12 +1,9 @@
 """Quality rules: word rules of a document, and lines that too many documents of a host share.
 
 A line is compared by its normal form (trimmed, lower-cased, inner white space as one space). It is
-boilerplate of its host when more than ``max_documents`` documents of that host with *different
-surroundings* hold it, and those are at least ``min_spread`` of the host's different texts that hold it.
-Surroundings are told apart by the smallest and the largest line hash of a document, so that a group of
-copies or near copies counts as about one document and isn't taken for boilerplate. Boilerplate lines
-are removed; a document is depleted when more than ``max_removed_percent`` of its words go and fewer
-than ``min_words`` are left.
+boilerplate of its host when more than ``max_documents`` different documents of that host hold it; exact
+copies of a text count once. Boilerplate lines are removed; a document is depleted when more than
+``max_removed_percent`` of its words go and fewer than ``min_words`` are left.
 
 Defined results: null text has no words and no lines (base_failed, not kept); null host is a host of its
 own; repeated rows get the same verdict; an empty table gives an empty result; further columns are
@@ -20,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bind, row_key, words
+from sparkloom.llm.common import bind, free_names, row_key, words
 from sparkloom.operators.lineage import cut
 
 
@@ -30,9 +27,8 @@ class QualityRules:
     max_repeat_percent: int = 30
     window: int = 8
     max_documents: int = 20
-    min_spread: float = 0.5
     max_removed_percent: int = 80
-    #: Frequent lines are broadcast up to this number of them, and joined by a shuffle beyond it.
+    #: Frequent lines, and documents that have some, are broadcast up to this number; beyond it a shuffle joins them.
     broadcast_lines: int = 200_000
 
 
@@ -123,38 +119,22 @@ def document_key(host: str) -> Column:
 
 
 def document_lines(docs: DataFrame, host: str) -> DataFrame:
-    """One row per document and different line: its key, its words (all its occurrences), the surroundings."""
-    base = docs.select("doc_id", F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = base.select(
-        "host",
-        row_key(F.col("doc_id"), F.col("host"), F.col("text")).alias("key"),
-        F.xxhash64("text").alias("digest"),
-        F.split("text", "\n").alias("lines"),
-    )
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    around = bind(hashes, lambda h: F.xxhash64(F.array_min(h), F.array_max(h)))
-    return (
-        keyed.select("host", "key", "digest", around.alias("around"), F.posexplode("lines").alias("i", "one"))
-        .where(has_word(F.col("one")))
-        .select("key", "digest", "around", "i", line_key(F.col("host"), F.col("one")).alias("line"), F.size(words(F.col("one"))).alias("n"))
-    )
+    """A row per document and line with a word: key and digest of the document, place, line, number of words."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(
+        F.col(host).alias("host"), document_key(host).alias("key"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("i", "one")
+    ).where(has_word(F.col("one")))
+    return rows.select("key", "digest", "i", line_key(F.col("host"), F.col("one")).alias("line"), F.size(words(F.col("one"))).alias("n"))
 
 
 def frequent_lines(lines: DataFrame, rules: QualityRules) -> tuple[DataFrame, DataFrame]:
-    """The boilerplate lines, and the occurrences from which they were told (of all candidates)."""
-    spread = rules.max_documents
-    candidates = cut(lines.groupBy("line").count().where(F.col("count") > spread).select("line"))
+    """The boilerplate lines, and the occurrences of all lines that occur often enough to be some."""
+    limit = rules.max_documents
+    candidates = cut(lines.groupBy("line").count().where(F.col("count") > limit).select("line"))
     small = candidates.count() <= rules.broadcast_lines
     held = cut(lines.join(F.broadcast(candidates) if small else candidates, "line"))
-    texts = held.groupBy("line", "digest").agg(F.min("around").alias("around"))
-    around = texts.groupBy("line", "around").agg(F.count(F.lit(1)).alias("texts"))
-    found = (
-        around.groupBy("line")
-        .agg(F.count(F.lit(1)).alias("n_around"), F.sum("texts").alias("n_texts"))
-        .where((F.col("n_around") > spread) & (F.col("n_around") >= rules.min_spread * F.col("n_texts")))
-        .select("line")
-    )
-    return cut(found), held
+    texts = held.select("line", "digest").distinct()  # dealt by both, so that a line of many documents is counted in parts
+    return cut(texts.groupBy("line").count().where(F.col("count") > limit).select("line")), held
 
 
 def line_removals(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:
@@ -165,39 +145,45 @@ def line_removals(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:
     return once.groupBy("key").agg(F.collect_set("line").alias("bad_lines"), F.sum("n").alias("removed_words"))
 
 
-def _judged(docs: DataFrame, host: str, rules: QualityRules) -> DataFrame:
-    """``docs`` with _f (figures), _key, _bad (boilerplate lines or null), _removed and _kept."""
-    removed = line_removals(docs, host, rules).select(
-        F.col("key").alias("_key"), F.col("bad_lines").alias("_bad"), F.col("removed_words").alias("_removed")
+def _judged(docs: DataFrame, host: str, rules: QualityRules) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with figures, failed, bad (boilerplate lines or null), removed and kept under names that are free."""
+    as_ = free_names(docs, "figures", "key", "bad", "removed", "failed", "kept")
+    removed = cut(
+        line_removals(docs, host, rules).select(
+            F.col("key").alias(as_["key"]), F.col("bad_lines").alias(as_["bad"]), F.col("removed_words").alias(as_["removed"])
+        )
     )
-    out = docs.withColumn("_f", word_rules(F.col("text"), rules)).withColumn("_key", document_key(host))
-    out = out.withColumn("_failed", base_failed("_f", rules)).join(removed, "_key", "left")
-    out = out.withColumn("_removed", F.coalesce("_removed", F.lit(0)))
-    n = F.col("_f")["n_words"]
-    depleted = (100 * F.col("_removed") > rules.max_removed_percent * n) & (n - F.col("_removed") < rules.min_words)
-    return out.withColumn("_kept", ~F.col("_failed") & ~depleted)
+    few = removed.count() <= rules.broadcast_lines
+    out = docs.withColumns({as_["figures"]: word_rules(F.col("text"), rules), as_["key"]: document_key(host)})
+    out = out.withColumn(as_["failed"], base_failed(as_["figures"], rules)).join(F.broadcast(removed) if few else removed, as_["key"], "left")
+    gone, n = F.coalesce(as_["removed"], F.lit(0)), F.col(as_["figures"])["n_words"]
+    depleted = (100 * gone > rules.max_removed_percent * n) & (n - gone < rules.min_words)
+    return out.withColumns({as_["removed"]: gone, as_["kept"]: ~F.col(as_["failed"]) & ~depleted}), as_
 
 
 def judge(docs: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """One row per document: figures, base_failed, words removed with boilerplate lines, kept."""
-    narrow = docs.select("doc_id", host, "text")
-    return _judged(narrow, host, rules).select(
-        "doc_id", "_f.*", F.col("_failed").alias("base_failed"), F.col("_removed").alias("removed_words"), F.col("_kept").alias("kept")
+    out, as_ = _judged(docs.select("doc_id", host, "text"), host, rules)
+    return out.select(
+        "doc_id",
+        f"{as_['figures']}.*",
+        F.col(as_["failed"]).alias("base_failed"),
+        F.col(as_["removed"]).alias("removed_words"),
+        F.col(as_["kept"]).alias("kept"),
     )
 
 
 def clean(docs: DataFrame, host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
     """The kept documents with all their columns, their text without boilerplate lines, n_chars anew."""
-    out = _judged(docs, host, rules).where("_kept")
+    out, as_ = _judged(docs, host, rules)
+    out = out.where(as_["kept"])
+    bad = F.col(as_["bad"])
     stays = F.array_join(
-        F.filter(
-            F.split("text", "\n"),
-            lambda x: ~(has_word(x) & F.coalesce(F.array_contains(F.col("_bad"), line_key(F.col(host), x)), F.lit(False))),
-        ),
+        F.filter(F.split("text", "\n"), lambda x: ~(has_word(x) & F.coalesce(F.array_contains(bad, line_key(F.col(host), x)), F.lit(False)))),
         "\n",
     )
-    out = out.withColumn("text", F.when(F.col("_bad").isNull(), F.col("text")).otherwise(stays))
+    text = F.when(bad.isNull(), F.col("text")).otherwise(stays)
     if "n_chars" in docs.columns:
-        anew = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_bad").isNull(), F.col("n_chars")).otherwise(anew))
-    return out.select(*docs.columns)
+        anew = F.when(bad.isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", anew)
+    return out.withColumn("text", text).select(*docs.columns)

@@ -16,11 +16,13 @@ handed through by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bind, row_key
+from sparkloom.llm.common import bind, free_names, row_key
 from sparkloom.operators.lineage import cut
 
 #: Fixed patterns: (kind, role, pattern, group whose length counts, least length).
@@ -37,29 +39,65 @@ WEAK = [
 KINDS = [x[0] for x in BASE + WEAK]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 MASK = "[REDACTED]"
+#: Elements that running sums take at once.
+BLOCK = 128
+#: Characters of a text in which a place is looked up from the start.
+STRETCH = 4096
 #: Spans that ``redact`` broadcasts at most; beyond it they are joined by a shuffle.
 BROADCAST_SPANS = 500_000
 
 
-def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of the leftmost non-overlapping matches that are long enough, in order."""
+def running(values: Column, start: int, step: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (maxima, ...) of an array, in blocks: an aggregate that lengthens an array would be quadratic."""
 
-    def located(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(start), step)
 
-        def step(acc: Column, pair: Column) -> Column:
-            begin = acc["at"] + F.length(pair["gap"])
-            end = begin + F.length(pair["hit"])
-            one = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            long = F.length(F.regexp_extract(pair["hit"], pattern, group)) >= least
-            return F.struct(end.alias("at"), F.when(long, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def blocked(all_: Column) -> Column:
+        count = (F.size(all_) + (BLOCK - 1)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor(count / BLOCK).cast("int") - 1), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+        return bind(
+            parts,
+            lambda p: bind(
+                F.transform(p, total),
+                lambda sums: F.flatten(
+                    F.transform(
+                        p,
+                        lambda x, j: bind(
+                            total(F.slice(sums, F.lit(1), j)), lambda before: F.transform(x, lambda _, i: step(before, total(F.slice(x, F.lit(1), i + 1))))
+                        ),
+                    )
+                ),
+            ),
+        )
 
-        pairs = bind(gaps, lambda g: F.transform(found, lambda hit, i: F.struct(F.get(g, i).alias("gap"), hit.alias("hit"))))
-        return F.aggregate(pairs, start, step)["spans"]
+    return bind(values, lambda x: F.when(F.size(x) == 0, x).otherwise(blocked(x)))
+
+
+def spans_of(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+    """Spans of the leftmost non-overlapping matches that are long enough, in order."""
+
+    def located(found: Column, gaps: Column) -> Column:
+        ends = running(F.transform(found, lambda hit, i: F.length(F.get(gaps, i)) + F.length(hit)), 0, lambda a, b: a + b)
+        spans = bind(
+            ends,
+            lambda e: F.transform(
+                found,
+                lambda hit, i: F.struct(
+                    (F.get(e, i) - F.length(hit)).alias("start"),
+                    F.lit(kind).alias("kind"),
+                    F.get(e, i).alias("end"),
+                    (F.length(F.regexp_extract(hit, pattern, group)) >= least).alias("long"),
+                ),
+            ),
+        )
+        return F.transform(F.filter(spans, lambda s: s["long"]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
     none = F.expr(f"cast(array() as {SPAN})")
-    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(located(m)))
+    return bind(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda m: F.when(F.size(m) == 0, none).otherwise(bind(F.split(text, pattern, -1), lambda gaps: located(m, gaps))),
+    )
 
 
 def span_text(spans: Column) -> Column:
@@ -92,7 +130,8 @@ def linked(found: DataFrame, reach: int) -> DataFrame:
     rows = rows.withColumn("scope", F.sum((F.col("kind") < 0).cast("int")).over(order)).where("kind >= 0")
     rows = rows.withColumn("role", F.get(roles, F.col("kind")))
     strong = F.col("kind") < len(BASE)
-    before, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    before = order.rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy("key").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)  # growing frames are linear
     rows = rows.withColumn("reached", F.max(F.when(strong, F.col("end"))).over(before))
     rows = rows.withColumn("coming", F.min(F.when(strong, F.col("start"))).over(after))
     near = W.partitionBy("key", "scope").orderBy("start").rangeBetween(-reach, reach)
@@ -130,26 +169,44 @@ def report(docs: DataFrame, reach: int = 300) -> DataFrame:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    """The text with each stretch of overlapping or adjoining spans masked, adjoining ones by a mask each.
+
+    A place is looked up within a stretch of the text, so that many spans of a long text don't each read
+    it from its start.
+    """
+    count = F.floor((F.length(text) + (STRETCH - 1)) / STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda b: F.substring(text, b * STRETCH + 1, F.lit(STRETCH)))
+    reach = running(F.transform(spans, lambda x: x["end"]), 0, lambda a, b: F.greatest(a, b))
+
+    def piece(parts: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / STRETCH).cast("int"), F.floor(b / STRETCH).cast("int")
+        within = F.substring(F.get(parts, first), a % STRETCH + 1, b - a)
+        head = F.substring(F.get(parts, first), a % STRETCH + 1, F.lit(STRETCH))
+        middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.coalesce(F.substring(F.get(parts, last), F.lit(1), b % STRETCH), F.lit(""))
+        return F.when(b <= a, F.lit("")).when(first == last, within).otherwise(F.concat(head, middle, tail))
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(between, F.lit(MASK)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    def joined(parts: Column, ends: Column) -> Column:
+        before = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("before")))
+        open_ = F.filter(before, lambda x: x["start"] >= x["before"])  # else it overlaps an earlier span
+        between = F.transform(open_, lambda x: F.concat(piece(parts, x["before"], x["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(between, ""), piece(parts, F.element_at(ends, -1), F.length(text)))
 
-    done = F.aggregate(spans, begin, step)
-    return bind(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
+    return bind(stretches, lambda parts: bind(reach, lambda ends: joined(parts, ends)))
 
 
 def redact(docs: DataFrame, reach: int = 300) -> DataFrame:
     """All documents with all their columns; spans of secrets are masked in the text, n_chars follows."""
-    found = scan(docs, reach).where(F.size("spans") > 0).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    found = cut(found.dropDuplicates(["_key"]))
-    small = (found.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
-    out = keyed.join(F.broadcast(found) if small else found, "_key", "left")
-    clean = F.col("_spans").isNull()
-    out = out.withColumn("text", F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col("_spans"))))
+    as_ = free_names(docs, "key", "spans")
+    key, spans = as_["key"], as_["spans"]
+    found = scan(docs, reach).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(spans))
+    found = cut(found.dropDuplicates([key]))
+    small = (found.agg(F.sum(F.size(spans))).first()[0] or 0) <= BROADCAST_SPANS
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    out = keyed.join(F.broadcast(found) if small else found, key, "left")
+    clean = F.col(spans).isNull()
+    text = F.when(clean, F.col("text")).otherwise(masked(F.col("text"), F.col(spans)))
+    out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         anew = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(anew))

@@ -97,7 +97,7 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = 64, slack: float =
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int").alias("cell"),
-        F.pmod(F.monotonically_increasing_id(), F.lit(MAX_PARTS)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(F.lit(5), "doc_id", text), F.lit(MAX_PARTS)).cast("int").alias("part"),  # of the row, not its place
     )
     rows = cut(rows)
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}

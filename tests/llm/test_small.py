@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,34 @@ def test_pieces(docs, empty):
     assert units("a  b") == ["▁a", "▁▁b"] and vocab.decode(np.array([], np.uint32)) == ""
 
 
+def test_pieces_best_path(docs, rows, empty):
+    from sparkloom.llm.pieces import best_texts, decoded, encoded, units, vocabulary
+    from sparkloom.llm.queries import piece_model
+
+    vocab = vocabulary(piece_model())
+    ids = {p: i for i, p in enumerate(vocab.pieces) if vocab.weights[i] > -np.inf}
+
+    def best(w):
+        if not w:
+            return 0.0, []
+        own = [(vocab.weights[ids[w[:k]]], [ids[w[:k]]], k) for k in range(1, len(w) + 1) if w[:k] in ids]
+        if w[0] not in ids:
+            raw = w[0].encode()
+            own.append((vocab.byte_weight * len(raw), [vocab.first_byte + b for b in raw], 1))
+        return max(((s + best(w[k:])[0], one + best(w[k:])[1]) for s, one, k in own), key=lambda x: x[0])
+
+    weight = lambda x: sum(vocab.weights[i] if vocab.weights[i] > -np.inf else vocab.byte_weight for i in x)
+    for text in ("there is a way", "naïve 🦖 hê", "  two  spaces ", "x"):
+        got = best_texts([text], vocab)[0].tolist()
+        assert weight(got) == pytest.approx(sum(best(w)[0] for w in units(text))) and vocab.decode(np.array(got)) == text
+    coded = encoded(repeated(docs), piece_model())
+    back = {r["doc_id"]: r["text"] for r in decoded(coded, piece_model()).collect()}
+    assert all(back[i] == (t or "") for i, t, _ in rows) and coded.count() == repeated(docs).count()
+    assert encoded(empty, piece_model()).collect() == []
+    none = docs.sparkSession.createDataFrame([(1, None)], "doc_id long, ids array<int>")
+    assert decoded(none, piece_model()).collect()[0]["text"] is None
+
+
 def test_pieces_distribution():
     from sparkloom.llm.pieces import sample_texts, units, vocabulary
     from sparkloom.llm.queries import piece_model
@@ -234,6 +263,79 @@ def test_secrets(docs, rows, empty):
     assert report(twice).count() == redact(twice).count() == twice.count()
 
 
+def linked_by_hand(text, reach):
+    """All spans: base ones, and weak ones with complementary parts in their scope, by comparing each with each."""
+    from sparkloom.llm.secrets import BASE, WEAK
+
+    found = []
+    for k, (_, role, pattern, group, least) in enumerate(BASE + WEAK):
+        found += [(m.start(), k, m.end(), role) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    breaks = [m.start() for m in re.finditer(r"\n\x20*\n\s*", text)]
+    scope = lambda s: sum(b <= s[0] for b in breaks)
+    base = [s for s in found if s[1] < len(BASE)]
+    out = list(base)
+    for s in found:
+        near = {o[3] for o in found if o is not s and scope(o) == scope(s) and abs(o[0] - s[0]) <= reach}
+        wanted = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[s[3]]
+        if s[1] >= len(BASE) and wanted <= near and all(b[2] <= s[0] or b[0] >= s[2] for b in base):
+            out.append(s)
+    names = [x[0] for x in BASE + WEAK]
+    return sorted((a, k, b) for a, k, b, _ in out), ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in sorted(out))
+
+
+def test_secret_links(spark):
+    """Planted multipart credentials of all kinds against a plain linker; masks against a plain one."""
+    from sparkloom.llm.secrets import MASK, redact, report
+
+    r = np.random.default_rng(5)
+    chars = lambda n, of="abcdefXYZ0123456789": "".join(of[x] for x in r.integers(0, len(of), n))
+    part = [
+        lambda: "AKIA" + chars(10, "ABCDEFGH0123"),
+        lambda: "user_id = " + chars(9),
+        lambda: "wJalr" + chars(38),
+        lambda: chars(18, "0123456789abcdef"),
+        lambda: f"https://{chars(5)}.example.com",
+        lambda: f'endpoint: "{chars(4)}.example.org"',
+        lambda: f"password={chars(8)}",
+        lambda: "AKIA" + chars(20, "ABCDEFGH0123"),
+        lambda: chars(30, "0123456789abcdef"),
+        lambda: "é🦖 plain words here",
+        lambda: "x" * int(r.integers(1, 39)) + " " + "lorem " * int(r.integers(0, 60)),
+        lambda: "\n \n",
+    ]
+    made = [(i, " ".join(part[x]() for x in r.integers(0, len(part), r.integers(1, 12)))) for i in range(400)]
+    made.append((400, "sep=" + "-".join(chars(24, "0123456789abcdef") for _ in range(300)) + " token=" + ".".join(chars(24, "0123456789abcdef") for _ in range(300))))
+    docs = spark.createDataFrame(made, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("_key", "_spans", "key", "spans")})
+    got, clean = by_id(report(docs)), by_id(redact(docs))
+    weak = 0
+    for i, t in made:
+        spans, want = linked_by_hand(t, 300)
+        assert got[i]["spans"] == want
+        weak += any(k > 2 for _, k, _ in spans)
+        at, out = 0, []
+        for a, _, b in spans:
+            if a >= at:
+                out += [t[at:a], MASK]
+            at = max(at, b)
+        assert clean[i]["text"] == "".join(out) + t[at:]
+        assert clean[i]["_key"] == clean[i]["_spans"] == 7
+    assert 100 < weak < 400
+
+
+def test_many_secrets_in_one_text(spark):
+    """Linear in the number of matches: 100,000 in one text within seconds."""
+    from sparkloom.llm.secrets import redact, report
+
+    one = "password=abc%06d client_id=svc-%05d 0123456789abcdef%02d\n"
+    text = "".join(one % (i, i % 99999, i % 99) for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = report(docs).collect()[0]
+    assert row["n_assign"] == 100_000 and row["spans"].count("identifier:") == 100_000
+    assert redact(docs).collect()[0]["text"].count("REDACTED") == row["spans"].count(",") + 1
+    assert time.perf_counter() - began < 90
+
+
 # 5
 
 
@@ -262,6 +364,32 @@ def test_html(spark, sf):
     assert len(got) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert extract(pages.where("false")).collect() == []
     assert [r["text"] for r in extract(spark.createDataFrame([(None, None, None)], pages.schema)).collect()] == [""]
+    # the table's pages against their article element, and again with elements and names that say nothing
+    html_of = {r["page_id"]: r["html"] for r in pages.collect()}
+    want = {i: " ".join(b.text for b in leaf_blocks(re.search(r"(?s)<article[^>]*>(.*)</article>", x)[1])) for i, x in html_of.items()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    bare = lambda x: re.sub(r"""\s(class|id)\s*=\s*("[^"]*"|'[^']*')""", "", re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", x))
+    assert sum(main_text(bare(x), model) == want[i] for i, x in html_of.items()) > 0.9 * len(want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 300_000, "<b>" * 60_000 + "</i>" * 60_000 + "x", '<div class="a b">x' * 50_000, '<a ">" ' * 100_000 + "'", "<script " * 100_000, "</script " * 100_000 + "<p>x",
+     "<!--" * 200_000, "<p>" * 100_000, "".join(f'<div class="n{i}">x' for i in range(50_000))],
+)
+def test_html_in_linear_time(page):
+    from sparkloom.llm.html import main_text, trained
+
+    model = trained()
+    began = time.perf_counter()
+    main_text(page, model)
+    assert time.perf_counter() - began < 15
+
+
+def test_html_keeps_all_names():
+    from sparkloom.llm.html import attribute_names
+
+    assert len(attribute_names('class="' + " ".join(f"n{chr(97 + i)}" for i in range(26)) + '"')) == 26
 
 
 # 6
@@ -315,6 +443,14 @@ def test_packing(docs, rows, empty):
     total = sum(n for s in places.values() for _, n in s)
     assert len(places) <= math.ceil(total / 4096) + 2
     assert pack(empty, path).collect() == []
+    other = public_tokenizers.path("byte_bpe_50k.json")  # another normaliser: encoded whole
+    plain = Tokenizer.from_file(other)
+    some = docs.where("doc_id < 40 or doc_id > 1003")
+    got = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in pack(some, other).collect()}
+    for i, t, _ in rows:
+        if i < 40 or i > 1003:
+            ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+            assert all(got[i, k // 4096] == zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes()) for k in range(0, len(ids), 4096))
     counts = {4096: 3, 3000: 40, 2049: 7, 2048: 9, 1000: 100, 513: 50, 400: 33, 7: 1000, 1: 5}
     runs = make_plan(counts, 4096)
     used = collections.Counter()
@@ -345,25 +481,58 @@ def test_quality(spark, docs, rows, empty):
         assert (r["n_symbols"], r["n_dup_lines"]) == (len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)))
         assert (r["n_repeat_words"], r["base_failed"]) == (len(twice), len(w) < 20 or 100 * len(twice) > 30 * len(w))
         assert r["kept"] == (not r["base_failed"])
+    for limit in (1, 2, 20):
+        rules = QualityRules(max_documents=limit, max_removed_percent=30)
+        want = lines_by_hand(rows, rules)
+        seen = {i: (r["removed_words"], r["kept"]) for i, r in by_id(judge(docs, rules=rules)).items()}
+        assert seen == {i: (w[0], w[1]) for i, w in want.items()}
+        texts = {i: r["text"] for i, r in by_id(clean(docs, rules=rules)).items()}
+        assert texts == {i: w[2] for i, w in want.items() if w[1]}
+        assert limit > 2 or any(w[0] for w in want.values())
     assert judge(empty).collect() == [] and clean(empty).collect() == []
     assert judge(repeated(docs)).count() == repeated(docs).count()
-    # boilerplate in different texts goes; the same line in near copies stays
+    # lines that many documents of a host share go; copies of one text count once; another host counts apart
     r = np.random.default_rng(1)
     some = lambda n: " ".join(f"v{x}" for x in r.integers(0, 10_000, n))
-    body = [some(12) for _ in range(9)]
-    made = [(i, f"{some(30)}\nAccept  all cookies now\n{some(30)}", "h") for i in range(30)]
-    made += [(100 + i, "\n".join([*body[:4], some(12), *body[5:]]), "h") for i in range(30)]
-    made += [(200 + i, "accept all cookies now", "other") for i in range(30)]
-    made += [(300, "accept all cookies now\n" + some(3), "h")]
+    menu = [f"Menu  entry number {i}" for i in range(12)]
+    copy = "\n".join(some(12) for _ in range(4))
+    made = [(i, "\n".join([some(30), *menu, "Accept  all cookies now", some(30)]), "h") for i in range(200)]
+    made += [(1000 + i, copy, "h") for i in range(30)]
+    made += [(2000 + i, f"accept all cookies now\n{some(25)}", f"other{i}") for i in range(30)]
+    made += [(3000, "accept all cookies now\n" + "\n".join(menu), "h")]
     made = spark.createDataFrame(made, "doc_id long, text string, source string")
-    rules = QualityRules(max_documents=10, min_words=5, max_removed_percent=50)
-    kept = by_id(judge(made, rules=rules))
-    assert all(kept[i]["removed_words"] == 4 and kept[i]["kept"] for i in range(30))
-    assert all(kept[100 + i]["removed_words"] == 0 and kept[100 + i]["kept"] for i in range(30))
-    assert not kept[300]["kept"] and kept[300]["removed_words"] == 4
-    left = by_id(clean(made, rules=rules))
+    kept = by_id(judge(made))
+    assert all(kept[i]["removed_words"] == 52 and kept[i]["kept"] for i in range(200))
+    assert all(kept[1000 + i]["removed_words"] == 0 and kept[1000 + i]["kept"] for i in range(30))
+    assert all(kept[2000 + i]["removed_words"] == 0 and kept[2000 + i]["kept"] for i in range(30))
+    assert not kept[3000]["base_failed"] and not kept[3000]["kept"]  # depleted
+    clash = made.withColumns({c: F.lit(7) for c in ("_key", "_Figures", "_bad", "_removed", "_kept", "_failed")})
+    left = by_id(clean(clash))
     assert set(left) == {i for i, r in kept.items() if r["kept"]}
     assert "cookies" not in left[0]["text"] and left[0]["text"].count("\n") == 1
+    assert clean(clash).columns == clash.columns and all(r["_key"] == r["_bad"] == r["_Figures"] == 7 for r in left.values())
+
+
+def lines_by_hand(rows, rules):
+    """Per id: words of boilerplate lines, whether the document is kept, its text without them."""
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    holds = collections.defaultdict(set)
+    for _, t, host in rows:
+        for x in (t or "").split("\n"):
+            if WORD.search(x):
+                holds[host, norm(x)].add(t)
+    bad = {k for k, v in holds.items() if len(v) > rules.max_documents}
+    out = {}
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        gone = [x for x in lines if WORD.search(x) and (host, norm(x)) in bad]
+        w, n = words(t), sum(len(words(x)) for x in gone)
+        at = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        twice = {j for k in range(len(w) - 7) if at[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        failed = len(w) < 20 or 100 * len(twice) > 30 * len(w)
+        depleted = 100 * n > rules.max_removed_percent * len(w) and len(w) - n < rules.min_words
+        out[i] = (n, not failed and not depleted, "\n".join(x for x in lines if x not in gone) if gone else t)
+    return out
 
 
 # 9
@@ -439,6 +608,45 @@ def test_jaccard(spark, docs, rows, empty):
     assert ids == sorted({c for _, c in components(rows, 5, 80).values()})
 
 
+def test_jaccard_pivots(spark):
+    """A large group of near copies around and below the threshold, shorter ones and chains, against brute force."""
+    from sparkloom.llm import jaccard as J
+
+    r = np.random.default_rng(11)
+    vocabulary = [f"t{i}" for i in range(3000)]
+    base = [vocabulary[x] for x in r.integers(0, 3000, 150)]
+    made, passage = [], [f"license{i}" for i in range(12)]
+    for g in range(420):
+        copy = list(base)
+        for _ in range(int(r.integers(0, 16))):
+            copy[int(r.integers(0, 150))] = vocabulary[int(r.integers(0, 3000))]
+        if g % 5 == 1:
+            copy = copy[: 150 - int(r.integers(0, 60))]
+        if g % 7 == 2:
+            copy += passage
+        made.append((g, " ".join(copy), "x"))
+        if g % 9 == 3:  # a copy of the changed copy
+            copy[3] = "again"
+            made.append((1000 + g, " ".join(copy), "x"))
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    for width, at in ((4, 85), (5, 80)):
+        want = components(made, width, at)
+        assert len({c for _, c in want.values()}) > 40
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.components(docs, width, J.Threshold(at)).collect()}
+        assert got == want
+
+
+def test_representatives_of_repeated_ids(spark):
+    from sparkloom.llm.jaccard import representatives
+
+    a, b = "one two three four five six seven", "other words stand here for once again"
+    rows = [(5, a, 1), (3, b, 2), (5, b, 3), (None, a, 4), (7, None, 5), (7, None, 6), (8, " ", 7), (None, "x y z", 8), (3, b, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").withColumn("_t", F.lit(1))
+    left = representatives(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, b), (5, a), (7, None), (8, " "), (None, "x y z")], key=str)
+
+
 def test_jaccard_late(spark, monkeypatch):
     """Sets that no allocation serves are still linked, by single tokens."""
     from sparkloom.llm import jaccard as J
