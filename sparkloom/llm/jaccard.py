@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import free_names, keeps, only
+from sparkloom.llm.common import free_names, only
+from sparkloom.llm.tokens import mix, word_hashes
 from sparkloom.operators.components import connected_components
 from sparkloom.operators.lineage import cut
 
@@ -47,40 +48,15 @@ LANES = 4
 SMALL_CELL = 6
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
-KEPT_WORDS = 200_000
 #: Keys of sets that a task remembers to emit a set once.
 KEPT_KEYS = 300_000
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads all bits."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
-keeps("jaccard", _words.clear)
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a UTF-8 text.
-
-    On bytes, ``lower`` changes A-Z alone and ``split`` parts at space and 9 to 13 alone.
-    """
-    words = text.lower().split() if text else []
-    if not words:
+def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text, given the hashes of its words."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if len(h) < width:
         whole = np.array([len(h)], np.uint64)
         for k in range(len(h)):
@@ -96,6 +72,12 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return out[np.r_[True, out[1:] != out[:-1]]]
 
 
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    return [shingle_set(hashes[e - c : e], width) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
 @dataclass(frozen=True)
 class Threshold:
     """Two sets link when ``of`` * intersection >= ``at`` * union."""
@@ -190,7 +172,7 @@ def _sets(docs: DataFrame, width: int, columns: str, build, *more: Column) -> Da
         for batch in batches:
             for step in range(0, batch.num_rows, 256):
                 part = batch.slice(step, 256)
-                yield build(part, [shingle_set(x, width) for x in part.column(1).cast(pa.binary()).to_pylist()], seen)
+                yield build(part, shingle_sets(part.column(1), width), seen)
 
     return docs.select("doc_id", "text", *[c.alias(f"more{i}") for i, c in enumerate(more)]).mapInArrow(run, columns)
 

@@ -1,16 +1,21 @@
-"""Katz backoff language model of order two, and the scores of all documents under it.
+"""Katz backoff language model of any order (three by default): training, storage and scoring.
 
-A token's probability after its history is d(c) * c / c(history) if training saw the pair c times, with
-Good-Turing discounts d for counts up to ``KATZ_K``; else it backs off to the unigram level (add-one, the
-base model) times the history's weight. Weights normalise exactly: left mass of the seen pairs over left
-unigram mass of the seen followers. A history that training never saw has weight 1.
+A token's probability after its history (the words before it, begin marks before a text) is
+d(c) * c / c(history) if training saw the n-gram c times, with Good-Turing discounts d for counts up to
+``KATZ_K``; else it is the history's backoff weight times the probability after the history shortened by
+its first word, down to the base model: add-one over single tokens. A history that training never saw has
+weight 1. Discounts that the counts of counts don't allow (outside 0 to 1) are 1; a history that then
+loses nothing counts one token more, so that something is left. Weights normalise exactly: what the seen n-grams leave,
+over what the shorter history gives to all but their last words.
 
-Tokens don't travel one by one. A task packs its tokens, sorted and coded against small dictionaries, into
-one block for each range of the *predicted* word's hash; the blocks form the partitioned table of pairs.
-There pairs and words are counted, and what depends on the pair is summed per document. Sums per history
-and the events of held-out texts go on to the range of the history's hash, where weights are made; document
-sums return to their task's number and are added up. Global figures (tokens, words, counts of counts) are
-a few numbers per range. All blocks have bounded size, so memory doesn't follow the corpus.
+The model is a table of compressed blocks, dealt by hash ranges of the *last* history word, so that all
+n-grams from two words up, their histories' sums and their weights meet in one range; ranges are worked
+off in slices. A word's own count is that of the history it is. Words that follow in a range ask the words'
+ranges for their counts. Scoring deals texts' tokens to the ranges in the same way, evaluates the recursion
+for each token, and returns sums to the texts. Blocks are bounded by ``CHUNK_TOKENS``, so memory doesn't follow the corpus.
+A single word that were a third of all tokens would make its range that large: a limit of this form.
+
+A text is known by its place in its partition, which is sorted by id and text for that: a retried task finds the same places.
 
 Defined results: null text is the end token alone; a null id counts as empty text for the split; repeated
 rows are learned and scored each; an empty table gives an empty result; further columns are ignored.
@@ -18,56 +23,50 @@ rows are learned and scored each; an empty table gives an empty result; further
 
 from __future__ import annotations
 
-import gc
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import only
+from sparkloom.llm.tokens import mix, word_hashes
 from sparkloom.operators.lineage import cut
 
 KATZ_K = 5
 #: Tokens that a task packs at once.
 CHUNK_TOKENS = 3_000_000
 #: Bytes of text behind one range of hashes.
-RANGE_BYTES = 28_000_000
-#: A range is counted in so many slices, one after another.
-SLICES = 12
-KEPT_WORDS = 250_000
-END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(b"\x00 " + x)) for x in (b"end", b"begin"))
+RANGE_BYTES = 40_000_000
+#: A range is worked off in so many slices.
+SLICES = 8
+#: Texts whose words make the code book; it shortens blocks and has no effect on results.
+BOOK_TEXTS = 2_000
+BEGIN, END = np.uint64(1), np.uint64(2)
 _M = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_words = _Words()
+RARE = 0xFFFF
 
 
 def freeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed block; bytes of equal weight stand together."""
     head = np.array([len(arrays), *[v for a in arrays for v in (ord(a.dtype.char), len(a))]], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(a.tobytes() for a in arrays), 1)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(head.tobytes() + b"".join(planes), 1)
 
 
 def thaw(block: bytes) -> list[np.ndarray]:
     data = zstandard.decompress(block)
     n = int(np.frombuffer(data, np.int64, 1)[0])
-    head = np.frombuffer(data, np.int64, 2 * n, 8)
     at, out = 8 + 16 * n, []
-    for char, length in head.reshape(-1, 2):
+    for char, length in np.frombuffer(data, np.int64, 2 * n, 8).reshape(-1, 2).tolist():
         kind = np.dtype(chr(char))
-        out.append(np.frombuffer(data, kind, int(length), at))
-        at += kind.itemsize * int(length)
+        size = kind.itemsize * length
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at).reshape(kind.itemsize, -1).T).view(kind).reshape(-1))
+        at += size
     return out
 
 
@@ -81,6 +80,30 @@ def ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
+def range_borders(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
+    return np.searchsorted(ranges(sorted_hashes, parts), np.arange(parts + 1))
+
+
+class Book:
+    """Two-byte codes of frequent words; others stand by their hash."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words  # by frequency
+        self.order = np.argsort(words)
+        self.sorted = words[self.order]
+
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.full(len(words), RARE, np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == words, self.order[at], RARE).astype(np.uint16)
+
+    def words_of(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        out = np.append(self.words, np.zeros(max(0, RARE + 1 - len(self.words)), np.uint64))[codes]
+        out[codes == RARE] = rare
+        return out
+
+
 SCHEMA = "kind string, target int, chunk long, block binary"
 
 
@@ -90,306 +113,499 @@ def _rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "target", "chunk", "block"])
 
 
-def pack_chunk(texts: list[np.ndarray], held: np.ndarray, parts: int, chunk: int) -> Iterator[tuple[str, int, int, bytes]]:
-    sizes = np.array([len(t) for t in texts])
-    word = np.concatenate(texts)
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[np.cumsum(sizes) - sizes] = BEGIN
-    doc = np.repeat(np.arange(len(texts)) * 2 + held, sizes)  # lowest bit: held out
-    order = np.lexsort((history, word))
-    word, history, doc = word[order], history[order], doc[order]
-    borders = np.searchsorted(ranges(word, parts), np.arange(parts + 1))
-    for p in range(parts):
-        a, b = borders[p], borders[p + 1]
-        if a == b:
-            continue
-        w = word[a:b]
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        names, codes = np.unique(history[a:b], return_inverse=True)
-        yield "tokens", p, chunk, freeze(w[first], narrow(np.diff(np.r_[first, b - a])), names, narrow(codes), narrow(doc[a:b]))
+@dataclass(frozen=True)
+class Setup:
+    order: int
+    parts: int
+    book: Book
 
 
-def pack_tokens(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of SCHEMA: blocks of tokens for each range, and one block per chunk with its documents."""
+@dataclass(frozen=True)
+class Figures:
+    """Of the training texts: tokens, different tokens, texts, and n-grams seen once, twice, ... by order from two."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[np.ndarray] = []
-        ids: list[pa.Array] = []
-        held: list[bool] = []
-        base, tokens = None, 0
-
-        def flush() -> pa.RecordBatch:
-            flags = np.array(held, np.int64)
-            rows = list(pack_chunk(texts, flags, parts, base))
-            frame = pa.table({"doc_id": pa.chunked_array(ids), "held_out": pa.array(held), "n_tokens": pa.array([len(t) for t in texts], pa.int64())})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, frame.schema) as out:
-                out.write_table(frame)
-            rows.append(("documents", base % parts, base, zstandard.compress(sink.getvalue().to_pybytes(), 1)))
-            return _rows(rows)
+    tokens: int = 0
+    words: int = 0
+    texts: int = 0
+    counts: tuple[tuple[int, ...], ...] = ()
 
-        for batch in batches:
-            raw, flags, numbers = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for i in range(batch.num_rows):
-                if base is None:
-                    base = numbers[i]
-                words = (raw[i] or b"").lower().split()  # on bytes: A-Z alone, and space and 9 to 13 alone
-                texts.append(np.append(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), END))
-                ids.append(batch.column(0).slice(i, 1))
-                held.append(flags[i])
-                tokens += len(words) + 1
-                if tokens >= CHUNK_TOKENS:
-                    yield flush()
-                    texts, ids, held, base, tokens = [], [], [], None, 0
-        if texts:
-            yield flush()
-
-    split = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7) == 2
-    return docs.select("doc_id", "text", split.alias("held"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, SCHEMA)
-
-
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple[str, int, bytes]]]]:
-    """Rows of each value of ``key``; the rows come sorted by it."""
-    at, rows = None, []
+    @property
+    def whole(self) -> int:
+        return self.tokens + self.words + 1
+
+    def discounts(self, order: int) -> np.ndarray:
+        """d(0..k) of n-grams of an order by Good-Turing with Katz's cutoff; 1 where the counts of counts don't allow it."""
+        n, k = self.counts[order - 2] if len(self.counts) > order - 2 else (0,) * (KATZ_K + 1), KATZ_K
+        out = np.ones(k + 1)
+        tail = (k + 1) * n[k] / n[0] if n[0] else 1.0
+        for r in range(1, k + 1):
+            if n[r - 1] and tail < 1:
+                d = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail)
+                if 0 < d <= 1:
+                    out[r] = d
+        return out
+
+
+# packing
+
+
+def columns_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """The last history word, the one before it, ..., and the word itself, of each token; words end with END."""
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = []
+    for back in range(1, order):
+        h = np.full(len(words), BEGIN)
+        h[back:] = np.where(place[back:] >= back, words[:-back], BEGIN)
+        out.append(h)
+    return [*out, words]
+
+
+def packed(columns: list[np.ndarray], more: np.ndarray, setup: Setup) -> Iterator[tuple[int, bytes]]:
+    """A block for each range: the last history words and their numbers of rows, the other columns coded, ``more``."""
+    names, at = np.unique(columns[0], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    count = np.bincount(at, minlength=len(names))
+    edges = np.r_[0, np.cumsum(count)]
+    others = [c[order] for c in columns[1:]]
+    coded = [setup.book.codes(c) for c in others]
+    more = more[order]
+    borders = range_borders(names, setup.parts)
+    for p in range(setup.parts):
+        a, b = borders[p], borders[p + 1]
+        if a < b:
+            s = slice(edges[a], edges[b])
+            arrays = []
+            for c, code in zip(others, coded, strict=True):
+                arrays += [code[s], c[s][code[s] == RARE]]
+            yield p, freeze(names[a:b], narrow(count[a:b]), narrow(more[s]), *arrays)
+
+
+class Blocks:
+    """Blocks of a range, kept coded; slices of the range are read one at a time."""
+
+    def __init__(self, blocks: list[bytes], setup: Setup):
+        self.setup, self.arrays = setup, [thaw(b) for b in blocks]
+        self.edges = [np.r_[0, np.cumsum(a[1], dtype=np.int64)] for a in self.arrays]
+        self.rare = [[np.r_[0, np.cumsum(code == RARE, dtype=np.int32)] for code in a[3::2]] for a in self.arrays]
+
+    def read(self, i: int, number: int, all_parts: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Columns and ``more`` of the rows of a block whose last history words lie in one of all parts."""
+        names, count, more, *coded = self.arrays[i]
+        a, b = np.searchsorted(ranges(names, all_parts), [number, number + 1])
+        s = slice(self.edges[i][a], self.edges[i][b])
+        columns = [np.repeat(names[a:b], count[a:b])]
+        for j, rare in enumerate(self.rare[i]):
+            columns.append(self.setup.book.words_of(coded[2 * j][s], coded[2 * j + 1][rare[s.start] : rare[s.stop]]))
+        return columns, more[s]
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """Texts (id, text, place) in chunks: number, words with end marks, sizes, and the rows without texts."""
+    words: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    rows: list[pa.RecordBatch] = []
+    number, tokens = None, 0
+    for batch in batches:
+        for step in range(0, batch.num_rows, 128):
+            part = batch.slice(step, 128)
+            hashes, counts = word_hashes(part.column(1))
+            ends = np.cumsum(counts + 1) - 1
+            own = np.full(len(hashes) + len(counts), END)
+            inner = np.ones(len(own), bool)
+            inner[ends] = False
+            own[inner] = hashes
+            number = part.column(2)[0].as_py() if number is None else number
+            words.append(own)
+            sizes.append(counts + 1)
+            rows.append(part.select([0]))
+            tokens += len(own)
+            if tokens >= CHUNK_TOKENS:
+                yield number, np.concatenate(words), np.concatenate(sizes), rows
+                words, sizes, rows, number, tokens = [], [], [], None, 0
+    if words:
+        yield number, np.concatenate(words), np.concatenate(sizes), rows
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """id, text and a number that grows with the place, which the id and the text decide within a partition."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, dict[str, list[tuple[int, bytes]]]]]:
+    """Rows of each value of ``key`` by kind; the rows come sorted by it."""
+    at, rows = None, {}
     for batch in batches:
-        kinds, keys, chunks, blocks = (batch.column(batch.schema.get_field_index(x)) for x in ("kind", key, "chunk", "block"))
+        kinds, keys, numbers, blocks = (batch.column(batch.schema.get_field_index(x)) for x in ("kind", key, "chunk", "block"))
         for i in range(batch.num_rows):
             k = keys[i].as_py()
             if k != at:
                 if rows:
                     yield at, rows
-                at, rows = k, []
-            rows.append((kinds[i].as_py(), chunks[i].as_py(), blocks[i].as_py()))
+                at, rows = k, {}
+            rows.setdefault(kinds[i].as_py(), []).append((numbers[i].as_py(), blocks[i].as_py()))
     if rows:
         yield at, rows
 
 
-class Blocks:
-    """A range's blocks of tokens, kept coded; slices of the range are expanded one at a time."""
-
-    def __init__(self, blocks: list[tuple[int, bytes]]):
-        self.chunks = [chunk for chunk, _ in blocks]
-        self.arrays = [thaw(block) for _, block in blocks]
-        self.starts = [np.r_[0, np.cumsum(times, dtype=np.int64)] for _, times, *_ in self.arrays]
-
-    def part(self, number: int, all_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """word, history, document and block of the tokens whose words lie in one of all parts."""
-        word, history, doc, sizes = [], [], [], []
-        for (w, times, names, codes, d), starts in zip(self.arrays, self.starts, strict=True):
-            a, b = np.searchsorted(ranges(w, all_parts), [number, number + 1])
-            s = slice(starts[a], starts[b])
-            word.append(np.repeat(w[a:b], times[a:b]))
-            history.append(names[codes[s]])
-            doc.append(d[s].astype(np.int32))
-            sizes.append(s.stop - s.start)
-        return np.concatenate(word), np.concatenate(history), np.concatenate(doc), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def count_range(p: int, rows: list[tuple[str, int, bytes]], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """Counts of a range of predicted words, and what follows from them."""
-    for kind, chunk, block in rows:
-        if kind != "tokens":
-            yield kind, p, chunk, block
-    _words.clear()  # a worker that packed before keeps none of it now
-    blocks = Blocks([(chunk, block) for kind, chunk, block in rows if kind == "tokens"])
-    rows.clear()
-    if not blocks.chunks:
-        return
-    figures = np.zeros(KATZ_K + 4, np.int64)
-    histories: list[list[np.ndarray]] = []
-    sums: list[list[list[np.ndarray]]] = [[] for _ in blocks.chunks]
-    held: list[list[np.ndarray]] = []
-    for number in range(p * SLICES, (p + 1) * SLICES):
-        word, history, doc, block = blocks.part(number, parts * SLICES)
-        if not len(word):
-            continue
-        trained = (doc & 1) == 0
-        words, at = np.unique(word, return_inverse=True)
-        n_word = np.bincount(at[trained], minlength=len(words))
-        keys = (history ^ (history >> np.uint64(31))) * _M + word
-        _, first, pair = np.unique(keys, return_index=True, return_inverse=True)
-        n_pair = np.bincount(pair[trained], minlength=len(first))
-        figures += [n_word.sum(), (n_word > 0).sum(), n_word[words == END].sum(), *[(n_pair == r).sum() for r in range(1, KATZ_K + 2)]]
-        # per history: followers by count, the rest of their count, the unigram weight of its followers
-        seen = np.flatnonzero(n_pair)
-        names, own = np.unique(history[first[seen]], return_inverse=True)
-        n_seen = n_pair[seen]
-        columns = [np.bincount(own[n_seen == r], minlength=len(names)) for r in range(1, KATZ_K + 1)]
-        columns.append(np.bincount(own, weights=np.where(n_seen > KATZ_K, n_seen, 0), minlength=len(names)).astype(np.int64))
-        columns.append(np.bincount(own, weights=n_word[at[first[seen]]] + 1, minlength=len(names)).astype(np.int64))
-        histories.append([names, *map(narrow, columns)])
-        # per document of each chunk
-        c_word, c_pair = n_word[at], n_pair[pair]
-        plain = np.log10(c_word + 1.0)
-        value = np.where(c_pair > 0, np.log10(np.maximum(c_pair, 1)), plain)
-        value -= np.where(trained & (word != END), np.log10(np.maximum(c_word, 1)), 0.0)
-        low = np.where(c_pair <= KATZ_K, c_pair, 0)
-        edges = np.searchsorted(block, np.arange(len(blocks.chunks) + 1))
-        for i in range(len(blocks.chunks)):
-            s = slice(edges[i], edges[i + 1])
-            if s.stop > s.start:
-                sums[i].append(by_document(doc[s] >> 1, plain[s], value[s], c_word[s] > 0, c_pair[s] == 0, low[s]))
-        out = np.flatnonzero(~trained)
-        held.append([history[out], block[out].astype(np.int32), (doc[out] >> 1), (c_pair[out] > 0).astype(np.uint8)])
-    yield "figures", p, 0, freeze(figures)
-    yield from history_rows(histories, parts)
-    for chunk, some in zip(blocks.chunks, sums, strict=True):
-        if some:
-            doc, *columns = (np.concatenate(x) for x in zip(*some, strict=True))
-            names, own = np.unique(doc, return_inverse=True)
-            added = [np.bincount(own, weights=c, minlength=len(names)) for c in columns]
-            whole = [narrow(c.astype(np.int64)) for c in added[2:]]
-            yield "sums", chunk % parts, chunk, freeze(narrow(names), added[0], added[1], *whole)
-    yield from event_rows(blocks.chunks, [np.concatenate(x) for x in zip(*held, strict=True)], parts)
-
-
-def by_document(doc: np.ndarray, plain: np.ndarray, value: np.ndarray, known: np.ndarray, unseen: np.ndarray, low: np.ndarray) -> list[np.ndarray]:
-    """Sums per document: both logarithms, known words, pairs never seen, and pairs seen 1 to k times."""
-    names, own = np.unique(doc, return_inverse=True)
-    add = lambda x: np.bincount(own, weights=x, minlength=len(names))
-    counts = np.bincount(own * (KATZ_K + 1) + low, minlength=len(names) * (KATZ_K + 1)).reshape(-1, KATZ_K + 1)
-    return [names, add(plain), add(value), add(known), add(unseen), *counts[:, 1:].T]
-
-
-def history_rows(histories: list[list[np.ndarray]], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
-    if not histories:
-        return
-    names, own = np.unique(np.concatenate([h[0] for h in histories]), return_inverse=True)
-    borders = np.searchsorted(ranges(names, parts), np.arange(parts + 1))
-    columns = [np.bincount(own, weights=np.concatenate([h[1 + i] for h in histories]), minlength=len(names)).astype(np.int64) for i in range(KATZ_K + 2)]
-    for q in range(parts):
-        s = slice(borders[q], borders[q + 1])
-        if names[s].size:
-            yield "history", q, 0, freeze(names[s], *[narrow(c[s]) for c in columns])
-
-
-def event_rows(chunks: list[int], held: list[np.ndarray], parts: int) -> Iterator[tuple[str, int, int, bytes]]:
-    history, block, doc, seen = held
-    order = np.lexsort((history, block))
-    history, block, doc, seen = (x[order] for x in held)
-    edges = np.searchsorted(block, np.arange(len(chunks) + 1))
-    for i, chunk in enumerate(chunks):
-        h = history[edges[i] : edges[i + 1]]
-        borders = edges[i] + np.searchsorted(ranges(h, parts), np.arange(parts + 1))
-        for q in range(parts):
-            s = slice(borders[q], borders[q + 1])
-            if s.stop > s.start:
-                names, codes = np.unique(history[s], return_inverse=True)
-                yield "events", q, chunk, freeze(names, narrow(codes), narrow(doc[s]), seen[s])
+def dealt(rows: DataFrame, key: str, parts: int, work) -> DataFrame:
+    """``work(key, rows by kind)`` for each value of the key, one group at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("katz")
+        for k, group in grouped(batches, key):
+            for row in work(k, group):
+                yield _rows([row])
 
-@dataclass(frozen=True)
-class Figures:
-    tokens: int
-    words: int
-    documents: int
-    counts: tuple[int, ...]  # pairs seen once, twice, ... KATZ_K + 1 times
-
-    def discounts(self) -> np.ndarray:
-        """d(1..k) by Good-Turing with Katz's cutoff; 1 where the counts of counts don't allow it."""
-        n, k = self.counts, KATZ_K
-        out = np.ones(k)
-        tail = (k + 1) * n[k] / n[0] if n[0] else 1.0
-        for r in range(1, k + 1):
-            if n[r - 1] and tail < 1:
-                d = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail)
-                if 0 < d <= 1:
-                    out[r - 1] = d
-        if n[0] and (out == 1).all():
-            out[0] = 0.5  # some mass must be left for pairs never seen
-        return out
+    return rows.repartition(parts, key).sortWithinPartitions(key, "kind", "chunk").mapInArrow(run, SCHEMA)
+
+
+# training
+
+
+def merged(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows as one, in order of the last history word and the others; their counts added."""
+    order = np.lexsort((columns[-1], *columns[-2:0:-1], columns[0]))
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(count[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+
+
+def pack_types(docs: DataFrame, setup: Setup) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("katz")
+        for number, words, sizes, _ in chunks(batches):
+            columns, count = merged(columns_of(words, sizes, setup.order), np.ones(len(words), np.int64))
+            for p, block in packed(columns, count, setup):
+                yield _rows([("types", p, number, block)])
+
+    return _placed(docs).mapInArrow(run, SCHEMA)
+
+
+def count_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup) -> Iterator[tuple[str, int, int, bytes]]:
+    """Merged n-grams of a range, its words' counts, the words that ask for theirs, and counts of counts."""
+    blocks = Blocks([b for _, b in rows.pop("types")], setup)
+    seen = np.zeros((setup.order - 1, KATZ_K + 1), np.int64)
+    followers = np.empty(0, np.uint64)
+    tokens = words = texts = 0
+    for number in range(SLICES):
+        parts = [blocks.read(i, p * SLICES + number, setup.parts * SLICES) for i in range(len(blocks.arrays))]
+        columns, count = merged([np.concatenate(c) for c in zip(*[x[0] for x in parts], strict=True)], np.concatenate([x[1] for x in parts]))
+        if not len(count):
+            continue
+        yield from (("grams", p, number, block) for _, block in packed(columns, count, Setup(setup.order, 1, setup.book)))
+        for level in range(2, setup.order + 1):
+            _, inverse = np.unique(gram_keys(columns, level), return_inverse=True)
+            own = np.bincount(inverse, weights=count).astype(np.int64)
+            seen[level - 2] += [(own == r).sum() for r in range(1, KATZ_K + 2)]
+        names, at = np.unique(columns[0], return_inverse=True)
+        total = np.bincount(at, weights=count).astype(np.int64)
+        tokens += int(count.sum())
+        texts += int(total[names == BEGIN].sum())
+        word = names != BEGIN
+        words += int(word.sum())
+        yield "vocab", p, number, freeze(names[word], narrow(total[word]))
+        followers = np.union1d(followers, columns[-1])
+    yield "figures", p, 0, freeze(np.array([tokens, words, texts, *seen.ravel()], np.int64))
+    borders = range_borders(followers, setup.parts)
+    for q in range(setup.parts):
+        if borders[q] < borders[q + 1]:
+            yield "ask", q, p, freeze(followers[borders[q] : borders[q + 1]])
+
+
+def counts_of(rows: dict[str, list[tuple[int, bytes]]], texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a range and their counts; the end mark's is the number of texts."""
+    blocks = [thaw(b) for _, b in rows.pop("vocab", [])]
+    names = np.concatenate([np.array([END]), *[b[0] for b in blocks]])
+    count = np.concatenate([np.array([texts], np.int64), *[b[1].astype(np.int64) for b in blocks]])
+    order = np.argsort(names, kind="stable")
+    return names[order], count[order]
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether each wanted one is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def gram_keys(columns: list[np.ndarray], level: int) -> np.ndarray:
+    """Keys of the n-grams of an order: the history's key and the word."""
+    return mix(history_keys(columns, level) * _M + columns[-1])
+
+
+def history_keys(columns: list[np.ndarray], level: int) -> np.ndarray:
+    key = columns[0].copy()
+    for c in columns[1 : level - 1]:
+        key = mix(key * _M + c)
+    return key
+
+
+@dataclass
+class Level:
+    """All n-grams of one order in a slice."""
+
+    keys: np.ndarray  # sorted
+    chance: np.ndarray  # discounted probability
+    histories: np.ndarray  # sorted
+    total: np.ndarray
+    weight: np.ndarray  # backoff weight of each history
+    history: np.ndarray = field(repr=False)  # of each n-gram
+    shorter: np.ndarray = field(repr=False)  # probability of each n-gram's word after the shorter history
+
+
+def levels_of(columns: list[np.ndarray], count: np.ndarray, word_count: np.ndarray, setup: Setup, figures: Figures) -> list[Level]:
+    """Orders two and up of a slice's n-grams, with exactly normalised weights; word_count: of each row's word."""
+    out: list[Level] = []
+    for level in range(2, setup.order + 1):
+        keys, first, own = np.unique(gram_keys(columns, level), return_index=True, return_inverse=True)
+        c = np.bincount(own, weights=count)
+        histories, history = np.unique(history_keys(columns, level)[first], return_inverse=True)
+        total = np.bincount(history, weights=c, minlength=len(histories))
+        d = figures.discounts(level)
+        kept = c * d[np.where(c <= KATZ_K, c, 0).astype(np.int64)]
+        left = np.bincount(history, weights=c - kept, minlength=len(histories))
+        none = left <= 0  # such a history counts one token more
+        chance = np.where(none[history], c / (total + 1)[history], kept / total[history])
+        left = np.where(none, 1 / (total + 1), left / total)
+        if level == 2:
+            ones = word_count[first] + 1
+            rest = (figures.whole - np.bincount(history, weights=ones, minlength=len(histories))) / figures.whole
+            shorter = ones / figures.whole
+        else:
+            below = out[-1]
+            shorter = below.chance[np.searchsorted(below.keys, gram_keys([x[first] for x in columns], level - 1))]
+            rest = 1 - np.bincount(history, weights=shorter, minlength=len(histories))
+        out.append(Level(keys, chance, histories, total, left / rest, history, shorter))
+    return out
 
 
-def weigh_range(rows: list[tuple[str, int, bytes]], figures: Figures, parts: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """Backoff weights of a range of histories, and their part in the held-out events."""
-    blocks = [thaw(b) for kind, _, b in rows if kind == "history"]
-    events = [(chunk, thaw(b)) for kind, chunk, b in rows if kind == "events"]
-    if not events:
-        return
-    names, own = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True) if blocks else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    sums = [np.bincount(own, weights=np.concatenate([b[1 + i] for b in blocks]), minlength=len(names)) if blocks else np.empty(0) for i in range(KATZ_K + 2)]
-    d = figures.discounts()
-    total = sum(((r + 1) * sums[r] for r in range(KATZ_K)), sums[KATZ_K]) if blocks else np.empty(0)
-    lost = sum((r + 1) * sums[r] * (1 - d[r]) for r in range(KATZ_K)) if blocks else np.empty(0)
-    whole = figures.tokens + figures.words + 1
-    rest = whole - sums[KATZ_K + 1]
-    # a history with the whole discount at 0 keeps one count's share of a pair for what it never saw
-    lost = np.where(lost > 0, lost, 1e-9 * total)
-    alpha = np.log10(lost / total) - np.log10(rest / whole)
-    count = np.log10(total)
-    for chunk, (h, codes, doc, seen) in events:
-        at = np.searchsorted(names, h)
-        known = np.zeros(len(h), bool)
-        inside = at < len(names)
-        known[inside] = names[at[inside]] == h[inside]
-        a, c = np.zeros(len(h)), np.zeros(len(h))
-        a[known], c[known] = alpha[at[known]], count[at[known]]
-        docs, i = np.unique(doc, return_inverse=True)
-        yield "part", chunk % parts, chunk, freeze(docs, np.bincount(i, weights=np.where(seen > 0, -c[codes], a[codes])))
-
-
-def release(spark) -> None:
-    """Let go of shuffle files that no plan refers to any more, before the next ones are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def score(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def answer_range(q: int, rows: dict[str, list[tuple[int, bytes]]], texts: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """The counts that the ranges asked for, in the order of their words."""
+    names, count = counts_of(rows, texts)
+    for p, block in rows.get("ask", []):
+        at, known = found_in(names, thaw(block)[0])
+        yield "counts", p, q, freeze(narrow(np.where(known, count[at], 0)))
+
+
+@dataclass
+class Model:
+    """Stored rows of SCHEMA: grams (n-grams and counts by range and slice), vocab (words and counts), counts (of the words that follow in a range)."""
+
+    rows: DataFrame
+    setup: Setup
+    figures: Figures
+
+    def save(self, path: str) -> None:
+        """Parquet partitioned by kind; refuses a path that exists."""
+        meta = pickle.dumps((self.setup.order, self.setup.parts, self.setup.book.words.tobytes(), self.figures))
+        spark = self.rows.sparkSession
+        head = spark.createDataFrame([("meta", 0, 0, bytearray(meta))], SCHEMA)
+        self.rows.unionByName(head).write.partitionBy("kind").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        rows = spark.read.parquet(path).select("kind", "target", "chunk", "block")
+        order, parts, book, figures = pickle.loads(rows.where("kind = 'meta'").first()["block"])
+        return Model(rows.where("kind <> 'meta'"), Setup(order, parts, Book(np.frombuffer(book, np.uint64))), figures)
+
+    def table(self) -> DataFrame:
+        """The model in plain columns: an n-gram of every order from two a row, its discounted and its shorter probability, its history's backoff weight."""
+        setup, figures = self.setup, self.figures
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, rows in grouped(batches, "target"):
+                for level, found in ((i, x) for levels in range_levels(rows, setup, figures) for i, x in enumerate(levels[0], 2)):
+                    arrays = [np.full(len(found.keys), level, np.int32), found.histories[found.history].view(np.int64), found.keys.view(np.int64)]
+                    arrays += [found.chance, found.shorter, found.weight[found.history]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["order", "history", "gram", "probability", "shorter", "weight"])
+
+        rows = self.rows.where("kind in ('grams', 'counts')").repartition(setup.parts, "target").sortWithinPartitions("target", "kind", "chunk")
+        return rows.mapInArrow(run, "order int, history long, gram long, probability double, shorter double, weight double")
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """One row per text: doc_id, n_tokens, n_known, base_score, score (log10 probabilities)."""
+        setup, figures, parts = self.setup, self.figures, self.setup.parts
+        tokens = pack_tokens(docs, setup).unionByName(self.rows.where("kind in ('grams', 'counts')"))
+        scored = cut(dealt(tokens, "target", parts, lambda p, rows: score_range(p, rows, setup, figures)))
+        asked = scored.where("kind = 'base'").unionByName(self.rows.where("kind = 'vocab'"))
+        added = dealt(asked, "target", parts, lambda q, rows: base_range(rows, setup, figures))
+        back = scored.where("kind in ('texts', 'sums')").unionByName(added)
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        back = back.repartition(parts, "chunk").sortWithinPartitions("chunk")
+        return back.mapInArrow(_finisher(figures), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+
+def train(docs: DataFrame, order: int = 3) -> Model:
+    """The model of all texts of ``docs``."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(8, -(-size // RANGE_BYTES))
-    tokens = pack_tokens(docs, parts).repartition(parts, "target").sortWithinPartitions("target")
+    setup = Setup(order, max(8, -(-size // RANGE_BYTES)), code_book(docs))
+    counted = cut(dealt(pack_types(docs, setup), "target", setup.parts, lambda p, rows: count_range(p, rows, setup)))
+    found = [thaw(r["block"])[0] for r in counted.where("kind = 'figures'").select("block").collect()]  # a few numbers per range
+    sums = np.sum(found, axis=0) if found else np.zeros(3 + (order - 1) * (KATZ_K + 1), np.int64)
+    texts = int(sums[2])
+    counts = tuple(tuple(map(int, x)) for x in sums[3:].reshape(order - 1, KATZ_K + 1))
+    figures = Figures(int(sums[0]), int(sums[1]) + (texts > 0), texts, counts)
+    asked = counted.where("kind in ('ask', 'vocab')")
+    answers = cut(dealt(asked, "target", setup.parts, lambda q, rows: answer_range(q, rows, texts)))
+    return Model(counted.where("kind in ('grams', 'vocab')").unionByName(answers), setup, figures)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, rows in grouped(batches, "target"):
-            for row in count_range(p, rows, parts):
-                yield _rows([row])
 
-    counted = cut(tokens.mapInArrow(count, SCHEMA))
-    del tokens
-    release(docs.sparkSession)
-    rows = [thaw(r["block"]) for r in counted.where("kind = 'figures'").select("block").collect()]  # a few numbers per range
-    sums = np.sum([r[0] for r in rows], axis=0) if rows else np.zeros(KATZ_K + 4, np.int64)
-    figures = Figures(int(sums[0]), int(sums[1]), int(sums[2]), tuple(map(int, sums[3:])))
+def code_book(docs: DataFrame) -> Book:
+    """The most frequent words of some texts."""
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(batches, "target"):
-            for row in weigh_range(rows, figures, parts):
-                yield _rows([row])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in range(0, batch.num_rows, 128):
+                words, count = np.unique(word_hashes(batch.slice(step, 128).column(0))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["word", "n"])
+
+    some = docs.select("text").limit(BOOK_TEXTS).mapInArrow(run, "word long, n long")
+    top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(RARE - 2).select("word").collect()
+    return Book(np.concatenate([np.array([END, BEGIN]), np.array([r["word"] for r in top], np.int64).view(np.uint64)]))
 
-    ranged = counted.where("kind in ('history', 'events')").repartition(parts, "target").sortWithinPartitions("target")
-    added = ranged.mapInArrow(weigh, SCHEMA)
-    back = counted.where("kind in ('documents', 'sums')").unionByName(added)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return back.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(
-        _finisher(figures),
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+
+# scoring
+
+
+def pack_tokens(docs: DataFrame, setup: Setup) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("katz")
+        for number, words, sizes, rows in chunks(batches):
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            for p, block in packed(columns_of(words, sizes, setup.order), text, setup):
+                yield _rows([("tokens", p, number, block)])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema) as out:
+                for r in rows:
+                    out.write_batch(r)
+            body = zstandard.compress(sink.getvalue().to_pybytes(), 1)
+            yield _rows([("texts", number % setup.parts, number, pickle.dumps((narrow(sizes).tobytes(), narrow(sizes).dtype.char, body)))])
+
+    return _placed(docs).mapInArrow(run, SCHEMA)
+
+
+def range_levels(rows: dict[str, list[tuple[int, bytes]]], setup: Setup, figures: Figures) -> Iterator[tuple[list[Level], int, np.ndarray, np.ndarray]]:
+    """Of each slice of a range that has any: levels, number, and the words that follow in the range with their counts."""
+    grams = [(number, Blocks([b], setup)) for number, b in sorted(rows.pop("grams", []))]
+    followers = np.empty(0, np.uint64)
+    for _, g in grams:
+        followers = np.union1d(followers, g.read(0, 0, 1)[0][-1])
+    count = [thaw(b)[0].astype(np.int64) for _, b in sorted(rows.pop("counts", []))]
+    count = np.concatenate(count) if count else np.empty(0, np.int64)
+    for number, g in grams:
+        columns, c = g.read(0, 0, 1)
+        yield levels_of(columns, c, count[np.searchsorted(followers, columns[-1])], setup, figures), number, followers, count
+
+
+def score_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup, figures: Figures) -> Iterator[tuple[str, int, int, bytes]]:
+    """Sums of a range's tokens per text; base-level tokens whose word doesn't follow in the range ask the word's range."""
+    for number, block in rows.pop("texts", []):
+        yield "texts", p, number, block
+    found = rows.pop("tokens", [])
+    blocks = Blocks([b for _, b in found], setup)
+    parts: list[list[list[np.ndarray]]] = [[] for _ in found]
+    bases: list[list[np.ndarray]] = [[] for _ in found]
+    followers, count, done = np.empty(0, np.uint64), np.empty(0, np.int64), set()
+
+    def work(levels: list[Level] | None, number: int) -> None:
+        for i in range(len(found)):
+            columns, text = blocks.read(i, p * SLICES + number, setup.parts * SLICES)
+            if len(text):
+                value, base, known, late = evaluate(columns, levels, followers, count, figures)
+                names, own = np.unique(text, return_inverse=True)
+                parts[i].append([names, *[np.bincount(own, weights=x, minlength=len(names)) for x in (value, base, known)]])
+                if len(late):
+                    bases[i].append((columns[-1][late], text[late]))
+
+    for levels, number, followers, count in range_levels(rows, setup, figures):  # noqa: B020
+        done.add(number)
+        work(levels, number)
+    for number in set(range(SLICES)) - done:
+        work(None, number)
+    for (chunk, _), some, late in zip(found, parts, bases, strict=True):
+        if some:
+            text, value, base, known = (np.concatenate(x) for x in zip(*some, strict=True))
+            names, own = np.unique(text, return_inverse=True)
+            value, base, known = (np.bincount(own, weights=x) for x in (value, base, known))
+            yield "sums", 0, chunk, freeze(narrow(names), value, base, narrow(known.astype(np.int64)))
+        if late:
+            word, text = (np.concatenate(x) for x in zip(*late, strict=True))
+            order = np.argsort(word, kind="stable")
+            word, text = word[order], text[order]
+            borders = range_borders(word, setup.parts)
+            for q in range(setup.parts):
+                s = slice(borders[q], borders[q + 1])
+                if s.stop > s.start:
+                    first = np.flatnonzero(np.r_[True, word[s][1:] != word[s][:-1]])
+                    yield "base", q, chunk, freeze(word[s][first], narrow(np.diff(np.r_[first, s.stop - s.start])), narrow(text[s]))
+
+
+def evaluate(columns: list[np.ndarray], levels: list[Level] | None, followers: np.ndarray, count: np.ndarray, figures: Figures):
+    """Per token: log10 probability (without the base level's of late ones), log10(c + 1) and whether c > 0 of its last history word; late ones."""
+    n = len(columns[0])
+    value, rest = np.zeros(n), np.arange(n)
+    for level in range(len(columns), 1, -1):  # from the longest history to the shortest
+        if levels is None or not len(rest):
+            continue
+        model, some = levels[level - 2], [c[rest] for c in columns]
+        at, seen = found_in(model.keys, gram_keys(some, level))
+        value[rest[seen]] += np.log10(model.chance[at[seen]])
+        rest, some = rest[~seen], [c[~seen] for c in some]
+        at, known = found_in(model.histories, history_keys(some, level))
+        value[rest[known]] += np.log10(model.weight[at[known]])
+    at, here = found_in(followers, columns[-1][rest])
+    value[rest[here]] += np.log10(count[at[here]] + 1.0)
+    value[rest] -= np.log10(figures.whole)
+    inner = columns[0] != BEGIN  # each word but the end mark is the last history word of one token
+    own = np.zeros(n)
+    if levels is not None:
+        at, known = found_in(levels[0].histories, columns[0])
+        own = np.where(known & inner, levels[0].total[at], 0.0)
+    return value, np.log10(own + 1.0), own > 0, rest[~here]
+
+
+def base_range(rows: dict[str, list[tuple[int, bytes]]], setup: Setup, figures: Figures) -> Iterator[tuple[str, int, int, bytes]]:
+    names, count = counts_of(rows, figures.texts)
+    for chunk, block in rows.get("base", []):
+        word, times, text = thaw(block)
+        at, known = found_in(names, word)
+        value = np.repeat(np.log10(np.where(known, count[at], 0) + 1.0), times)
+        texts, own = np.unique(text, return_inverse=True)
+        zero = np.zeros(len(texts))
+        yield "sums", 0, chunk, freeze(texts, np.bincount(own, weights=value), zero, zero.astype(np.uint8))
 
 
 def _finisher(figures: Figures):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = np.log10(figures.discounts())
-        whole = np.log10(figures.tokens + figures.words + 1.0)
         for _, rows in grouped(batches, "chunk"):
-            frame = next(pa.ipc.open_stream(zstandard.decompress(b)).read_all() for kind, _, b in rows if kind == "documents")
-            n = frame.num_rows
-            base, value, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            for kind, _, block in rows:
-                if kind == "sums":
-                    doc, plain, own, c, unseen, *by = thaw(block)
-                    base[doc] += plain
-                    value[doc] += own - unseen * whole + sum(d[r] * by[r] for r in range(KATZ_K))
-                    known[doc] += c
-                elif kind == "part":
-                    doc, own = thaw(block)
-                    value[doc] += own
-            held, tokens = frame["held_out"].to_numpy(), frame["n_tokens"].to_numpy()
-            begun = np.log10(max(1, figures.documents))
-            value -= np.where(held, 0.0, begun)
-            columns = [frame["doc_id"].combine_chunks(), frame["held_out"].combine_chunks(), frame["n_tokens"].combine_chunks()]
-            columns += [pa.array(known), pa.array(np.full(n, figures.tokens, np.int64)), pa.array(base - tokens * whole), pa.array(value)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            raw, char, body = pickle.loads(rows["texts"][0][1])
+            ids = pa.ipc.open_stream(zstandard.decompress(body)).read_all().column(0).combine_chunks()
+            sizes = np.frombuffer(raw, np.dtype(char)).astype(np.int64)
+            value, base, known = (np.zeros(len(sizes)) for _ in range(3))
+            for _, block in sorted(rows.get("sums", [])):  # in one order, so that sums round alike
+                text, *some = thaw(block)
+                for out, x in zip((value, base, known), some, strict=True):
+                    out[text] += x
+            base += np.log10(figures.texts + 1.0) - sizes * np.log10(figures.whole)
+            known += figures.texts > 0
+            columns = [ids, pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base), pa.array(value)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return finish
+
+
+def held_out() -> Column:
+    return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7) == 2
+
+
+def score(docs: DataFrame, order: int = 3) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from those not held out."""
+    model = train(docs.where(~held_out()), order)
+    tokens = F.lit(model.figures.tokens).cast("long").alias("train_tokens")
+    return model.score(docs).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", tokens, "base_score", "score")
