@@ -23,11 +23,6 @@ def over(numerator: Column, denominator: Column, otherwise: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(otherwise)
 
 
-def lowered(old: Column, candidate: Column) -> Column:
-    """Whether a minimum would go down."""
-    return candidate < F.coalesce(old, F.lit(UNREACHED))
-
-
 def human_size(bytes_: Column) -> Column:
     """Bytes with a unit, two digits."""
     out = F.concat(F.format_number(bytes_ / F.lit(1.0), 2), F.lit(" B"))

@@ -6,6 +6,7 @@ the driver reads one small figure from it. Lineage is cut by reliable checkpoint
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import UNREACHED, over
 from sparkloom.operators.components import connected_components as star_components
-from sparkloom.operators.kernels import active_edges, direction, edge_map
-from sparkloom.operators.lineage import cut
+from sparkloom.operators.kernels import direction, edge_map
+from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
 from sparkloom.plans.graph import Graph
 
 DAMPING = 0.85
@@ -47,6 +48,7 @@ def pagerank(graph: Graph, iterations: int, damping: float = DAMPING) -> DataFra
 
     With no iteration the state that would be sent is returned: 1/out_degree, or 1 without out-edges.
     """
+    graph = graph.laid_out()
     degrees = cut(graph.out_degrees())
     if iterations == 0:
         return degrees.select("v", over(F.lit(1.0), F.col("out_degree"), F.lit(1.0)).alias("pr"))
@@ -64,6 +66,7 @@ def pagerank_changes(graph: Graph, iterations: int, damping: float = DAMPING) ->
     The change is the mean |difference| of two states; the states are scaled by the out-degree and weighted
     by it again, so that it cancels.
     """
+    graph = graph.laid_out()
     state = cut(graph.out_degrees()).withColumn("pr", F.lit(1.0))
     rows = [(0, 1.0)]
     for i in range(1, iterations):
@@ -85,26 +88,39 @@ def component_sizes(graph: Graph) -> DataFrame:
     return components(graph).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
+def _extent(frontier: DataFrame) -> tuple[int, int]:
+    """Rows of a frontier (v, out_degree, ...) and the sum of its out-degrees, by one job."""
+    r = frontier.agg(F.count(F.lit(1)).alias("rows"), F.sum("out_degree").alias("n")).first()
+    return r["rows"], r["n"] or 0
+
+
 def shortest_paths(graph: Graph, root: int, how: str = "auto", limit: float = UNREACHED) -> Traversal:
-    """(v, dist): Bellman-Ford from the frontier of lowered vertices; ``limit`` where nothing arrives."""
+    """(v, dist): Bellman-Ford from the frontier of lowered vertices; ``limit`` where nothing arrives.
+
+    A step is two jobs: the next frontier, and its extent. Distances are a base and the frontiers since; a
+    vertex's least one holds, and all are written together every ``COMPACT_EVERY`` steps.
+    """
+    graph = graph.laid_out()
     kind = graph.edges.schema["w"].dataType
     degrees = cut(graph.out_degrees())
-    frontier = graph.spark.range(1).select(F.lit(root).cast("long").alias("v"), F.lit(0).cast(kind).alias("dist"))
-    dist, rows, step, steps = frontier, 1, 0, []
+    frontier = degrees.where(F.col("v") == root).select("v", F.lit(0).cast(kind).alias("dist"), "out_degree")
+    known, step, steps = frontier.select("v", "dist"), 0, []
+    rows, n = _extent(frontier)
     while rows:
-        n = active_edges(frontier, degrees)
         mode = direction(n, graph.num_edges) if how == "auto" else how
         steps.append((step, rows, n, mode))
-        got = edge_map(graph, frontier, (F.col("dist") + F.col("w")).cast(kind), "min", how=mode, rows=rows)
-        old = dist.withColumnRenamed("dist", "old")
+        got = edge_map(graph, frontier.select("v", "dist"), (F.col("dist") + F.col("w")).cast(kind), "min", how=mode, rows=rows)
+        old = known.groupBy("v").agg(F.min("dist").alias("old"))
         lower = got.join(old, "v", "left").where(F.col("msg") < F.coalesce("old", F.lit(limit).cast(kind)))
-        frontier = cut(lower.select("v", F.col("msg").alias("dist")))
-        rows = frontier.count()
-        if rows:
-            dist = dist.unionByName(frontier).groupBy("v").agg(F.min("dist").alias("dist"))
-            dist = cut(dist)
+        frontier = cut(lower.select("v", F.col("msg").alias("dist")).join(degrees, "v"))
+        rows, n = _extent(frontier)
         step += 1
-    whole = graph.vertex_ids.join(dist, "v", "left").select("v", F.coalesce("dist", F.lit(limit).cast(kind)).alias("dist"))
+        if rows:
+            known = known.unionByName(frontier.select("v", "dist"))
+            if step % COMPACT_EVERY == 0:
+                known = cut(known.groupBy("v").agg(F.min("dist").alias("dist")))
+    least = known.groupBy("v").agg(F.min("dist").alias("dist"))
+    whole = graph.vertex_ids.join(least, "v", "left").select("v", F.coalesce("dist", F.lit(limit).cast(kind)).alias("dist"))
     return Traversal(whole, steps)
 
 
@@ -117,20 +133,21 @@ def farthest(graph: Graph, paths: DataFrame, root: int, limit: float = UNREACHED
 
 def breadth_first(graph: Graph, root: int, how: str = "auto") -> Traversal:
     """(v, parent, level); the smallest frontier neighbour becomes the parent; null where unreached."""
+    graph = graph.laid_out()
     degrees = cut(graph.out_degrees())
-    first = graph.spark.range(1).select(
-        F.lit(root).cast("long").alias("v"), F.lit(root).cast("long").alias("parent"), F.lit(0).alias("level")
-    )
-    frontier, seen, rows, level, steps = first, first, 1, 0, []
+    frontier = degrees.where(F.col("v") == root).select("v", F.col("v").alias("parent"), F.lit(0).alias("level"), "out_degree")
+    seen, total, level, steps = frontier.drop("out_degree"), 1, 0, []
+    rows, n = _extent(frontier)
     while rows:
-        n = active_edges(frontier, degrees)
         mode = direction(n, graph.num_edges) if how == "auto" else how
         steps.append((level, rows, n, mode))
-        got = edge_map(graph, frontier.select("v"), F.col("src"), "any", skip=seen, how=mode, rows=rows)
-        frontier = cut(got.select("v", F.col("msg").alias("parent"), F.lit(level + 1).alias("level")))
-        rows = frontier.count()
+        got = edge_map(graph, frontier.select("v"), F.col("src"), "any", skip=seen, how=mode, rows=rows, skip_rows=total)
+        found = got.select("v", F.col("msg").alias("parent"), F.lit(level + 1).alias("level"))
+        frontier = cut(found.join(degrees, "v"))
+        rows, n = _extent(frontier)
+        total += rows
         if rows:
-            seen = seen.unionByName(frontier)
+            seen = seen.unionByName(frontier.drop("out_degree"))
             if (level + 1) % COMPACT_EVERY == 0:
                 seen = cut(seen)
         level += 1
@@ -142,29 +159,38 @@ def betweenness(graph: Graph, root: int) -> DataFrame:
     """(v, sigma, dep, level): paths from the root and its dependency on each vertex.
 
     Unreached vertices have sigma 0 and dep NaN; the root's own dependency is the number it reaches less one.
+    Edges from a level to the next are written by level, once, so that each level reads its own.
     """
+    graph = graph.laid_out()
     walk = breadth_first(graph, root)
     levels = cut(walk.state.where("level is not null").select("v", "level"))
     deepest = len(walk.steps) - 1
     near = levels.select(F.col("v").alias("src"), F.col("level").alias("ls"))
     far = levels.select(F.col("v").alias("dst"), F.col("level").alias("ld"))
-    forward = cut(graph.edges.join(near, "src").join(far, "dst").where("ld = ls + 1").select("src", "dst", "ls"))
+    forward = graph.edges.select("src", "dst").join(near, "src").join(far, "dst").where("ld = ls + 1").select("src", "dst", "ls")
+    path = f"{ensure_checkpoint_dir(graph.spark)}/levels-{uuid.uuid4().hex}"
+    forward.repartition("ls", F.pmod(F.xxhash64("src"), F.lit(64))).write.partitionBy("ls").parquet(path)
+    forward = graph.spark.read.schema("src long, dst long, ls int").parquet(path)
+
+    def between(level: int) -> DataFrame:
+        return forward.where(F.col("ls") == level).select("src", "dst")
+
+    def kept(done: DataFrame, level: int) -> DataFrame:
+        return cut(done) if (level + 1) % COMPACT_EVERY == 0 else done
+
     current = levels.where("level = 0").select("v", F.lit(1.0).alias("sigma"))
     sigma = current
     for level in range(deepest):
-        edges = forward.where(F.col("ls") == level).withColumnRenamed("src", "v")
-        current = cut(edges.join(current, "v").groupBy(F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma")))
-        sigma = sigma.unionByName(current)
-    sigma = cut(sigma)
-    known = levels.join(sigma, "v")
+        current = cut(between(level).withColumnRenamed("src", "v").join(current, "v").groupBy(F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma")))
+        sigma = kept(sigma.unionByName(current), level)
+    known = cut(levels.join(sigma, "v"))
     below = known.where(F.col("level") == deepest).select("v", (1 / F.col("sigma")).alias("dep"))
     dep = below
     for level in range(deepest - 1, -1, -1):
-        edges = forward.where(F.col("ls") == level).withColumnRenamed("dst", "v")
-        got = edges.join(below, "v").groupBy(F.col("src").alias("v")).agg(F.sum("dep").alias("got"))
+        got = between(level).withColumnRenamed("dst", "v").join(below, "v").groupBy(F.col("src").alias("v")).agg(F.sum("dep").alias("got"))
         own = known.where(F.col("level") == level).join(got, "v", "left")
         below = cut(own.select("v", (1 / F.col("sigma") + F.coalesce("got", F.lit(0.0))).alias("dep")))
-        dep = dep.unionByName(below)
+        dep = kept(dep.unionByName(below), level)
     done = known.join(dep, "v").select("v", "sigma", ((F.col("dep") - 1 / F.col("sigma")) * F.col("sigma")).alias("dep"), "level")
     return graph.vertex_ids.join(done, "v", "left").select(
         "v", F.coalesce("sigma", F.lit(0.0)).alias("sigma"), F.coalesce("dep", F.lit(float("nan"))).alias("dep"), "level"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import combiner
-from sparkloom.plans.graph import Graph
+from sparkloom.plans.graph import SALT, Graph
 
 #: A frontier is pushed if its edges are fewer than one in so many of all edges.
 PUSH_SHARE = 20
@@ -46,16 +46,32 @@ def edge_map(
     skip: DataFrame | None = None,
     how: str = "pull",
     rows: int | None = None,
+    skip_rows: int | None = None,
 ) -> DataFrame:
     """(v, msg): what the out-edges of the frontier bring to their targets, combined per target.
 
     ``frontier`` has v and whatever ``message`` uses beside src, dst and w; ``skip`` holds targets (v) that
-    want nothing. ``push`` broadcasts a frontier whose row number was counted (``rows``) and is small; then
-    edges stay where they lie and only combined messages travel. ``pull`` joins both sides by key.
+    want nothing; with a counted, small ``skip_rows`` their messages aren't even made. ``push`` broadcasts a frontier whose row number was counted (``rows``) and is small; then
+    edges stay where they lie and only combined messages travel. ``pull`` joins both sides by key; a hub's row
+    is repeated for each salt of its edges.
     """
     near = frontier.withColumnRenamed("v", "src")
     if how == "push" and rows is not None and rows <= BROADCAST_ROWS:
-        near = F.broadcast(near)
-    sent = graph.edges.join(near, "src").select(F.col("dst").alias("v"), message.alias("msg"))
+        met = graph.edges.join(F.broadcast(near), "src")
+    elif graph.hubs:
+        salts = F.when(F.col("src").isin(list(graph.hubs)), F.sequence(F.lit(0), F.lit(graph.partitions - 1))).otherwise(F.array(F.lit(0)))
+        met = graph.laid.join(near.withColumn(SALT, F.explode(salts)), ["src", SALT])
+    else:
+        met = graph.edges.join(near, "src")
+    sent = met.select(F.col("dst").alias("v"), message.alias("msg"))
+    early = skip is not None and skip_rows is not None and skip_rows <= BROADCAST_ROWS
+    if early:
+        sent = sent.join(F.broadcast(skip.select("v")), "v", "left_anti")
     combined = sent.groupBy("v").agg(combiner(combine)("msg").alias("msg"))
-    return combined if skip is None else combined.join(skip.select("v"), "v", "left_anti")
+    return combined if skip is None or early else combined.join(skip.select("v"), "v", "left_anti")
+
+
+def edge_sum(graph: Graph, frontier: DataFrame, value: Column) -> float:
+    """Global sum over the out-edges of the frontier: what an edge map's calls return together."""
+    near = frontier.withColumnRenamed("v", "src")
+    return graph.edges.join(near, "src").agg(F.sum(value).alias("s")).first()["s"] or 0

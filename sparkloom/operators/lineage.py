@@ -8,26 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use ``spark.checkpoint.dir`` of the session; a temporary folder only where none is named (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one of this machine only where nothing else computes (local mode)."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = context.getCheckpointDir()
-    if current is None:
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
     return context.getCheckpointDir()
 
 
-#: Shuffle files of an execution go when it ends; what it computed stands in the checkpoint by then.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a checkpoint's execution. Its shuffle files go when it ends; what it computed stands in the
+#: checkpoint by then. Constraints aren't kept with it: after a union they can name columns that it doesn't have.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.constraintPropagation.enabled": "false"}
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and return it with its lineage cut by a reliable checkpoint."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
     try:
-        return df.select("*").checkpoint(eager=True)  # a new execution, which takes the setting
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        return df.select("*").checkpoint(eager=True)  # a new execution, which takes the settings
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

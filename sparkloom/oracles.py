@@ -83,6 +83,35 @@ def _report(side: str) -> str:
  count(*) filter ({side[0]} = 0)::bigint zero_{side}, round(100.0 * count(*) filter ({side[0]} = 0) / count(*), 6)::double zero_{side}_percent"""
 
 
+def _lines(side: str) -> str:
+    c = side[0]
+    return f"""'{side}-degree min: ' || min({c}), '{side}-degree max: ' || max({c}), format('{side}-degree mean: {{:.2f}}', avg({c})),
+ format('{side}-degree zero: {{}} ({{:.1f}}%)', count(*) filter ({c} = 0), 100.0 * count(*) filter ({c} = 0) / count(*))"""
+
+
+#: CTEs up to cut(chunk, first, last): the greedy rule over pages of 64 ids, four chunks.
+CHUNKS = f"""with recursive {BOTH}, w as (select v // 64 page, sum(o + 24) n from g group by 1),
+ c as materialized (select page p, (sum(n) over (order by page) - n)::double before from w union all select max(page) + 1, sum(n)::double from w),
+ r(chunk, f, l, rest) as (select -1, 0, 0::bigint, (select max(before) from c) union all
+  select r.chunk + 1, r.l, case when r.chunk = 2 then (select max(p) from c) else x.p end, r.rest - (x.before - y.before)
+  from r join c y on y.p = r.l join c x on x.p = (select max(z.p) from c z where z.p >= r.l and z.before - y.before <= r.rest / (3 - r.chunk))
+  where r.chunk < 3),
+ cut as (select chunk, f * 64 "first", least(l * 64, {V}) "last" from r where chunk >= 0)"""
+
+#: CTE parts(part, bytes, remote): one worker, one socket, eight threads.
+PARTS = f"""with {BOTH}, n as (select count(*) v, sum(o) e, count(*) filter (o > 0) no, count(*) filter (i > 0) ni from g),
+ parts as (select x.p part, x.b::bigint bytes, x.r remote from (select unnest([
+ {{'p': 'out_degree', 'b': v*4, 'r': false}}, {{'p': 'in_degree', 'b': v*4, 'r': false}}, {{'p': 'partition_offset', 'b': 8, 'r': false}},
+ {{'p': 'local_partition_offset', 'b': 8, 'r': false}}, {{'p': 'outgoing_edges', 'b': 8, 'r': false}}, {{'p': 'incoming_edges', 'b': 8, 'r': false}},
+ {{'p': 'outgoing_adj_bitmap', 'b': (v//64+1)*8, 'r': false}}, {{'p': 'incoming_adj_bitmap', 'b': (v//64+1)*8, 'r': false}},
+ {{'p': 'outgoing_adj_index', 'b': (v+1)*8, 'r': true}}, {{'p': 'incoming_adj_index', 'b': (v+1)*8, 'r': true}},
+ {{'p': 'outgoing_adj_list', 'b': e*8, 'r': true}}, {{'p': 'incoming_adj_list', 'b': e*8, 'r': true}},
+ {{'p': 'compressed_outgoing_adj_vertices', 'b': 4, 'r': false}}, {{'p': 'compressed_incoming_adj_vertices', 'b': 4, 'r': false}},
+ {{'p': 'compressed_outgoing_adj_index', 'b': (no+1)*12, 'r': true}}, {{'p': 'compressed_incoming_adj_index', 'b': (ni+1)*12, 'r': true}},
+ {{'p': 'thread_state', 'b': 96, 'r': false}}, {{'p': 'tuned_chunks_dense', 'b': 96, 'r': false}}, {{'p': 'tuned_chunks_sparse', 'b': 96, 'r': false}}]) x from n))"""
+
+SINGLE = HOP.replace("::double w", "::float w")
+
 ORACLES: dict[str, str] = {
     "graph_edges": HOP,
     "out_degree": degree(HOP, "src"),
@@ -97,10 +126,23 @@ ORACLES: dict[str, str] = {
     "degree_distribution": f"with {BOTH} select count(*)::bigint vertices, sum(o)::bigint edges, {_report('out')}, {_report('in')} from g",
     "partition_degree_stats": f"""with {BOTH} select (v // ((({V})+3)//4))::bigint chunk, count(*)::bigint vertices, sum(o)::bigint out_edges,
  sum(i)::bigint in_edges, round(avg(o), 6) avg_out, round(avg(i), 6) avg_in, max(o)::bigint max_out, max(i)::bigint max_in from g group by 1""",
-    "footprint": f"""with n as (select {V} v, (select count(*) from ({HOP})) e),
- p as (select unnest([{{'p':'out_adjacency','b':e*8}}, {{'p':'in_adjacency','b':e*8}}, {{'p':'out_index','b':8*(v+1)}}, {{'p':'in_index','b':8*(v+1)}}, {{'p':'degrees','b':8*v}}]) x from n)
- select x.p part, x.b::bigint bytes, round(100.0*x.b/sum(x.b) over (), 6)::double "percent",
- case when x.b >= 1048576 then format('{{:,.2f}} MB', x.b/1048576) when x.b >= 1024 then format('{{:,.2f}} KB', x.b/1024) else format('{{:,.2f}} B', x.b/1.0) end human from p""",
+    "partition_chunks": f"{CHUNKS} select chunk::int chunk, \"first\"::bigint \"first\", \"last\"::bigint \"last\" from cut",
+    "vertex_owner": f"{CHUNKS} select v::bigint v, chunk::int chunk from range(0, {V}) t(v) join cut on v >= \"first\" and v < \"last\"",
+    "footprint": f"""{PARTS} select part, bytes::bigint bytes, round(100.0*bytes/sum(bytes) over (), 6)::double "percent",
+ case when bytes >= 1048576 then format('{{:,.2f}} MB', bytes/1048576) when bytes >= 1024 then format('{{:,.2f}} KB', bytes/1024) else format('{{:,.2f}} B', bytes/1.0) end human,
+ remote from parts""",
+    "footprint_remote": f"{PARTS} select round(100.0 * sum(bytes) filter (remote) / sum(bytes), 6)::double remote_percent from parts",
+    "degree_report": f"""with {BOTH}, c as (select v // ((({V})+3)//4) chunk, count(*) n, sum(o) o, sum(i) i, avg(o) ao, avg(i) ai, max(o) mo, max(i) mi from g group by 1)
+ select unnest(['vertices: ' || count(*), 'edges: ' || sum(o)::bigint, {_lines('out')}, {_lines('in')}]) "value" from g union all
+ select format('chunk {{}}: vertices {{}}, out {{}}, in {{}}, mean out {{:.1f}}, mean in {{:.1f}}, max out {{}}, max in {{}}', chunk, n, o::bigint, i::bigint, ao, ai, mo, mi) from c""",
+    "gathered_degrees": degree(HOP, "src"),
+    "undirected_load": f"""select v, deg, (select count(*) from ({HOP}))::bigint records
+ from ({degree(f"select src, dst from ({HOP}) union all select dst, src from ({HOP})", "src")})""",
+    "edge_map_global": f"with {SENT} select round(sum(x+w), 2) total from e join f on f.v=e.src",
+    "sssp_distance_float": f"{PATHS.replace(HOP, SINGLE).replace('0.0::double', '0.0::float')} select vs.v, coalesce(s.d, 1e9::float)::double dist from vs left join s using (v)",
+    "run_log_report": """select run::bigint run, place::int place, "value" from (values (1, 0, 'Run: ./pagerank g 10 1'), (1, 1, 'Max Total Process Time: 2.25(s)'), (1, 2, ''),
+ (2, 0, 'Run: ./bfs g 10 1'), (2, 1, 'Max Total Process Time: 0.75(s)'), (2, 2, ''),
+ (3, 0, 'Run: ./sssp g --map-by socket 1'), (3, 1, 'Max Total Process Time: 0.0(s)'), (3, 2, '')) t(run, place, "value")""",
     "vertex_map_sum": f"with {BOTH} select sum(o*2+i)::bigint total from g where v % 3 = 0",
     "edge_map_sum": f"with {SENT} select dst v, round(sum(x+w), 6) msg from e join f on f.v=e.src group by 1",
     "edge_map_min": f"with {SENT} select dst v, round(min(x+w), 6) msg from e join f on f.v=e.src group by 1",
@@ -121,12 +163,12 @@ ORACLES: dict[str, str] = {
     "bfs_reached": f"{walk(SPARSE)} select count(*)::bigint reached from b",
     "bfs_frontier_sizes": f"{walk(SPARSE)} select l::int \"level\", count(*)::bigint size from b group by 1",
     "bc_sigma": f"{BETWEEN} select vs.v, round(coalesce(sigma, 0), 6)::double sigma from vs left join done using (v)",
-    "bc_dependency": f"{BETWEEN} select v, round(dep, 6) dep from done",
+    "bc_dependency": f"{BETWEEN} select vs.v, round(dep, 6) dep from vs left join done using (v)",
     "top20_bc": f"{BETWEEN} select v, round(sigma, 6) sigma, round(dep, 6) dep from done order by v limit 20",
     "edge_roundtrip": f"select src, dst, round(w::float::double, 1) w from ({HOP})",
     "vertex_array_roundtrip": f"select v, deg \"value\" from ({degree(HOP, 'src')})",
     "prepared_roundtrip": HOP,
     "text_edges": _tsv(),
     "dimacs_edges": _gr(),
-    "run_log_summary": "select * from (values (1::bigint, './pagerank g 10 1', 2.25::double), (2::bigint, './bfs g 10 1', 0.75::double)) t(run, command, max_time)",
+    "run_log_summary": "select * from (values (1::bigint, './pagerank g 10 1', 2.25::double), (2::bigint, './bfs g 10 1', 0.75::double), (3::bigint, './sssp g --map-by socket 1', 0.0::double)) t(run, command, max_time)",
 }

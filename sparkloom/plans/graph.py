@@ -2,36 +2,60 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SALT = "salt_"
+#: A source with more than this share of a partition's mean number of edges is a hub.
+HUB_SHARE = 4
+#: ... if it has at least so many.
+HUB_EDGES = 100_000
+
+
 @dataclass(frozen=True)
 class Graph:
     """``edges`` has src, dst and perhaps w; duplicates and loops count. ``num_vertices`` is the caller's.
 
-    ``num_edges`` counts records as they were read: an undirected load keeps the raw number.
+    ``num_edges`` counts records as they were read: an undirected load keeps the raw number. Edges are ``laid``
+    out by source; those of ``hubs``, sources that would fill a partition by themselves, by source and a salt.
     """
 
     edges: DataFrame
     num_vertices: int
     num_edges: int
     symmetric: bool = False
+    laid: DataFrame | None = None
+    hubs: tuple[int, ...] = ()
+    partitions: int = 0
 
     @staticmethod
-    def from_edges(edges: DataFrame, num_vertices: int, partitions: int | None = None) -> Graph:
+    def from_edges(edges: DataFrame, num_vertices: int, partitions: int | None = None, num_edges: int | None = None, symmetric: bool = False) -> Graph:
         """Edges are laid out once by ``src``, the key on which every edge map joins them."""
         n = partitions or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        laid = edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
-        return Graph(laid, num_vertices, laid.count())
+        counts = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
+        total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        size, limit = total["n"] or 0, max(HUB_EDGES, HUB_SHARE * (total["n"] or 0) // n)
+        if (total["most"] or 0) <= limit:
+            heavy, laid = [], _laid(edges, n, "src")
+        else:
+            heavy = [r["src"] for r in counts.where(F.col("n") > limit).select("src").collect()]  # n / HUB_SHARE at most
+            salt = F.when(F.col("src").isin(heavy), F.pmod(F.xxhash64("dst"), F.lit(n))).otherwise(F.lit(0)).cast("int")
+            laid = _laid(edges.withColumn(SALT, salt), n, "src", SALT)
+        laid.count()
+        counts.unpersist()
+        shown = laid.drop(SALT) if heavy else laid
+        return Graph(shown, num_vertices, size if num_edges is None else num_edges, symmetric, laid, tuple(heavy), n)
 
     def unpersist(self) -> None:
-        self.edges.unpersist()
+        if self.laid is not None:
+            self.laid.unpersist()
 
     @property
     def spark(self):
@@ -58,14 +82,27 @@ class Graph:
         joined = self.vertex_ids.join(counted, "v", "left")
         return joined.select("v", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("out_degree", "in_degree")])
 
-    def transpose(self) -> Graph:
-        """Every edge turned round; its own inverse. Laid out anew by the new source when it is iterated."""
+    def _turned(self) -> DataFrame:
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
-        return replace(self, edges=self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+        return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
+
+    def transpose(self) -> Graph:
+        """Every edge turned round; its own inverse. Not laid out yet: ``laid_out`` does that for what iterates."""
+        return Graph(self._turned(), self.num_vertices, self.num_edges, self.symmetric)
 
     def symmetrize(self) -> Graph:
-        """Every record in both directions; a loop counts twice, ``num_edges`` stays the raw number."""
-        return replace(self, edges=self.edges.unionByName(self.transpose().edges), symmetric=True)
+        """Every record in both directions; a loop counts twice, ``num_edges`` stays the raw number. Not laid out yet."""
+        return Graph(self.edges.unionByName(self._turned()), self.num_vertices, self.num_edges, True)
+
+    def laid_out(self) -> Graph:
+        """This graph with its edges laid out by source (of a transposed graph: by target of the first)."""
+        if self.laid is not None:
+            return self
+        return Graph.from_edges(self.edges, self.num_vertices, num_edges=self.num_edges, symmetric=self.symmetric)
+
+
+def _laid(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    return edges.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fixed_chunks(graph: Graph, chunks: int) -> DataFrame:
@@ -94,6 +131,27 @@ def balanced_chunks(graph: Graph, chunks: int, page: int = 4096) -> DataFrame:
     return graph.spark.createDataFrame(rows, "chunk int, first long, last long")
 
 
+def owner(chunks: DataFrame, vertex: str = "v") -> Column:
+    """The chunk that owns a vertex, null for ids outside; ``chunks`` as ``balanced_chunks`` gives them, a row per worker."""
+    out = F.lit(None).cast("int")
+    for r in chunks.collect():
+        out = F.when((F.col(vertex) >= r["first"]) & (F.col(vertex) < r["last"]), F.lit(r["chunk"])).otherwise(out)
+    return out
+
+
+def gather(state: DataFrame, column: str, num_vertices: int, most: int = 10_000_000) -> np.ndarray:
+    """A vertex column as one array on the driver, vertex v's value at v; refuses more than ``most`` vertices."""
+    if num_vertices > most:
+        raise ValueError(f"{num_vertices} values are more than the driver takes ({most}); write them instead")
+    rows = state.select("v", column).toArrow()
+    if rows.num_rows != num_vertices:
+        raise ValueError(f"{rows.num_rows} rows for {num_vertices} vertices")
+    values = rows.column(1).to_numpy()
+    out = np.empty(num_vertices, values.dtype)
+    out[rows.column(0).to_numpy()] = values
+    return out
+
+
 def running_edges(graph: Graph) -> DataFrame:
     """(v, offset): edges of all smaller ids, the index of a compressed adjacency.
 

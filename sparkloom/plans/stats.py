@@ -38,11 +38,55 @@ def chunk_degrees(graph: Graph, chunks: int) -> DataFrame:
     )
 
 
-def footprint(graph: Graph, weighted: bool) -> DataFrame:
-    """(part, bytes, percent, human), the largest first: a graph's parts in compressed adjacency form."""
+def report_lines(graph: Graph, chunks: int = 0) -> DataFrame:
+    """(line, value): the degree report as text; with ``chunks``, a line for each chunk too."""
+    r = degree_distribution(graph).first()
+    lines = [f"vertices: {r['vertices']}", f"edges: {r['edges']}"]
+    for side in ("out", "in"):
+        share = 100.0 * r[f"zero_{side}"] / r["vertices"] if r["vertices"] else 0.0
+        lines += [f"{side}-degree min: {r[f'min_{side}']}", f"{side}-degree max: {r[f'max_{side}']}", f"{side}-degree mean: {r[f'avg_{side}'] or 0:.2f}"]
+        lines.append(f"{side}-degree zero: {r[f'zero_{side}']} ({share:.1f}%)")
+    if chunks:
+        for c in chunk_degrees(graph, chunks).orderBy("chunk").collect():  # a row per worker
+            lines.append(
+                f"chunk {c['chunk']}: vertices {c['vertices']}, out {c['out_edges']}, in {c['in_edges']}, "
+                f"mean out {c['avg_out']:.1f}, mean in {c['avg_in']:.1f}, max out {c['max_out']}, max in {c['max_in']}"
+            )
+    return graph.spark.createDataFrame(list(enumerate(lines)), "line int, value string")
+
+
+def write_degree_report(graph: Graph, path: str, chunks: int = 0) -> None:
+    report_lines(graph, chunks).orderBy("line").select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+#: Bytes of a vertex id, an edge index, a weight, a worker's state, and an entry of a compressed index.
+VERTEX, EDGE, WEIGHT, WORKER, ENTRY = 4, 8, 4, 12, 12
+
+
+def footprint(graph: Graph, weighted: bool, partitions: int = 1, sockets: int = 1, threads: int = 8) -> DataFrame:
+    """(part, bytes, percent, human, remote), the largest first: what a worker that held this graph in compressed adjacency
+    form would keep. ``remote`` parts are those that other workers read."""
     v, e = graph.num_vertices, graph.num_edges * (2 if graph.symmetric else 1)
-    unit = 8 if weighted else 4
-    parts = [("out_adjacency", e * unit), ("in_adjacency", e * unit), ("out_index", 8 * (v + 1)), ("in_index", 8 * (v + 1)), ("degrees", 8 * v)]
-    rows = graph.spark.createDataFrame(parts, "part string, bytes long")
-    total = sum(b for _, b in parts)
-    return rows.select("part", "bytes", F.round(100.0 * F.col("bytes") / total, 6).alias("percent"), human_size(F.col("bytes")).alias("human")).orderBy(F.desc("bytes"), "part")
+    unit = VERTEX + (WEIGHT if weighted else 0)
+    r = degree_distribution(graph).first()
+    parts = [("out_degree", v * VERTEX, False), ("in_degree", v * VERTEX, False)]
+    parts += [("partition_offset", (partitions + 1) * VERTEX, False), ("local_partition_offset", (sockets + 1) * VERTEX, False)]
+    for side, zero in (("outgoing", r["zero_out"]), ("incoming", r["zero_in"])):
+        parts += [
+            (f"{side}_edges", sockets * EDGE, False),
+            (f"{side}_adj_bitmap", sockets * (v // 64 + 1) * EDGE, False),
+            (f"{side}_adj_index", sockets * (v + 1) * EDGE, True),
+            (f"{side}_adj_list", e * unit, True),
+            (f"compressed_{side}_adj_vertices", sockets * VERTEX, False),
+            (f"compressed_{side}_adj_index", (v - zero + 1) * ENTRY, True),
+        ]
+    parts += [("thread_state", threads * WORKER, False), ("tuned_chunks_dense", partitions * threads * WORKER, False), ("tuned_chunks_sparse", partitions * threads * WORKER, False)]
+    rows = graph.spark.createDataFrame(parts, "part string, bytes long, remote boolean")
+    total = sum(b for _, b, _ in parts)
+    share = F.round(100.0 * F.col("bytes") / total, 6).alias("percent")
+    return rows.select("part", "bytes", share, human_size(F.col("bytes")).alias("human"), "remote").orderBy(F.desc("bytes"), "part")
+
+
+def remote_percent(parts: DataFrame) -> DataFrame:
+    """One row: the share of a footprint that other workers read."""
+    return parts.agg(F.round(100.0 * F.sum(F.when(F.col("remote"), F.col("bytes")).otherwise(0)) / F.sum("bytes"), 6).alias("remote_percent"))

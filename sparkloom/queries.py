@@ -12,7 +12,7 @@ from sparkloom.operators import algorithms as A
 from sparkloom.operators import kernels as K
 from sparkloom.operators.lineage import ensure_checkpoint_dir
 from sparkloom.plans import stats, tables
-from sparkloom.plans.graph import balanced_chunks, running_edges
+from sparkloom.plans.graph import balanced_chunks, gather, owner, running_edges
 from sparkloom.sources import prepared, records, text
 
 ITERATIONS = 10
@@ -25,6 +25,7 @@ LOG_LINES = [
     "partiton_id: 1, total_process_time  =2.25(s)",
     "run: 2 sudo  mpirun -np 4 --map-by socket ./bfs g 10 1",
     "partiton_id: 1, total_process_time  =0.75(s)",
+    "run: 3 sudo  mpirun --map-by socket   ./sssp g --map-by socket 1",
 ]
 
 
@@ -77,10 +78,45 @@ def partition_chunks(s, d):
     return balanced_chunks(tables.hop(s, d), 4, page=64)
 
 
+def vertex_owner(s, d):
+    g = tables.hop(s, d)
+    return g.vertex_ids.select("v", owner(balanced_chunks(g, 4, page=64)).alias("chunk"))
+
+
 def footprint(s, d):
     return stats.footprint(tables.hop(s, d), weighted=True)
 
 
+def footprint_remote(s, d):
+    return stats.remote_percent(stats.footprint(tables.hop(s, d), weighted=True))
+
+
+def degree_report(s, d):
+    path = scratch(s, "report")
+    stats.write_degree_report(tables.hop(s, d), path, chunks=4)
+    return s.read.text(path)
+
+
+def gathered_degrees(s, d):
+    """The degrees of the graph, gathered on the driver and given out again by place."""
+    g = tables.hop(s, d)
+    found = gather(g.out_degrees(), "out_degree", g.num_vertices)
+    return s.createDataFrame([(i, int(x)) for i, x in enumerate(found)], "v long, deg long")
+
+
+def undirected_load(s, d):
+    """Records written and loaded in both directions: degrees, and the raw number of records."""
+    path = scratch(s, "edges")
+    records.write_edges(tables.hop_edges(s, d), path)
+    g = records.load_graph(s, path, tables.customers(s, d), undirected=True)
+    return g.out_degrees().select("v", F.col("out_degree").alias("deg"), F.lit(g.num_edges).cast("long").alias("records"))
+
+
+def edge_map_global(s, d):
+    g = tables.hop(s, d)
+    return s.createDataFrame([(round(K.edge_sum(g, _thirds(g), F.col("x") + F.col("w")), 2),)], "total double")
+
+
 def vertex_map_sum(s, d):
     g = tables.hop(s, d)
     state = K.vertex_map(g.vertices(), {"x": F.col("out_degree") * 2 + F.col("in_degree")}, F.col("v") % 3 == 0)
@@ -146,6 +182,14 @@ def sssp_distance(s, d):
     return A.shortest_paths(g, tables.busiest(g)).state.select("v", rounded("dist"))
 
 
+def sssp_distance_float(s, d):
+    """Over 12-byte records, whose weights and distances are single precision."""
+    path = scratch(s, "edges")
+    records.write_edges(tables.hop_edges(s, d), path, weighted=True)
+    g = records.load_graph(s, path, tables.customers(s, d), weighted=True)
+    return A.shortest_paths(g, tables.busiest(g)).state.select("v", F.col("dist").cast("double").alias("dist"))
+
+
 def sssp_farthest(s, d):
     g = tables.hop(s, d)
     root = tables.busiest(g)
@@ -181,7 +225,7 @@ def bc_sigma(s, d):
 
 
 def bc_dependency(s, d):
-    return _between(s, d).where("level is not null").select("v", rounded("dep"))
+    return _between(s, d).select("v", F.when(~F.isnan("dep"), F.round("dep", 6)).alias("dep"))  # null where there is none
 
 
 def top20_bc(s, d):
@@ -226,6 +270,10 @@ def run_log_summary(s, d):
     return text.summarise_runs(text.read_log(s, _lines(s, LOG_LINES, "log"))).select("run", "command", "max_time")
 
 
+def run_log_report(s, d):
+    return text.report_lines(text.summarise_runs(text.read_log(s, _lines(s, LOG_LINES, "log")))).select("run", F.col("place").cast("int").alias("place"), "value")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -234,6 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         edge_map_selective, active_edges_direction, pagerank, pagerank_delta, pagerank_sum, pagerank_top1, cc_labels,
         cc_sizes, cc_count, sssp_distance, sssp_farthest, bfs_tree, bfs_reached, bfs_frontier_sizes, bc_sigma,
         bc_dependency, top20_bc, edge_roundtrip, vertex_array_roundtrip, prepared_roundtrip, text_edges, dimacs_edges,
-        run_log_summary,
+        run_log_summary, run_log_report, vertex_owner, footprint_remote, degree_report, gathered_degrees, undirected_load,
+        edge_map_global, sssp_distance_float,
     )
 }

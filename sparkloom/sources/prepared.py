@@ -23,8 +23,7 @@ def load_graph(spark: SparkSession, path: str) -> Graph | None:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    laid = Graph.from_edges(edges, meta["num_vertices"])
-    return Graph(laid.edges, meta["num_vertices"], meta["num_edges"], meta["symmetric"])
+    return Graph.from_edges(edges, meta["num_vertices"], num_edges=meta["num_edges"], symmetric=meta["symmetric"])
 
 
 def save_vertex_column(state: DataFrame, path: str) -> None:

@@ -4,8 +4,9 @@
 ``format("vertexarray")``: one value per vertex, option ``type`` (uint32, float32 or float64); the place in
 the files, taken in order of their names, is the vertex.
 
-Files are split by byte ranges; a trailing partial record is ignored. Writers put one file per task under
-a temporary name and rename all at commit, so that a task that runs twice leaves one file.
+Files are split by byte ranges; a trailing partial record is ignored. Writers put one file per task into a
+temporary folder of the job's own and move all at commit, so that a task that runs twice leaves one file,
+jobs don't meet, and a second job's files stand beside the first's. Values outside a field's range and nulls are errors.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from sparkloom.plans.graph import Graph
+
 #: Records that one task reads, and records in one batch.
 SPLIT_RECORDS = 8_000_000
 BATCH_RECORDS = 1 << 20
@@ -108,42 +111,55 @@ class Written(WriterCommitMessage):
     name: str
 
 
+def field_values(column: pa.Array, name: str, kind: np.dtype) -> np.ndarray:
+    """A column as a field of records; nulls and integers that don't fit are errors."""
+    if column.null_count:
+        raise ValueError(f"{name}: {column.null_count} nulls")
+    values = column.to_numpy(zero_copy_only=False)
+    if kind.kind == "u" and len(values) and (values.min() < 0 or values.max() > np.iinfo(kind).max):
+        raise ValueError(f"{name}: values outside 0 to {np.iinfo(kind).max}")
+    return values
+
+
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, dtype: np.dtype, overwrite: bool):
         self.path, self.dtype, self.overwrite = options["path"], dtype, overwrite
+        self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         system, inside = open_fs(self.path)
         task = TaskContext.get().partitionId()
-        folder = f"{inside}/_temporary"
+        folder = f"{inside}/_temporary-{self.job}"
         system.create_dir(folder, recursive=True)
         temporary = f"{folder}/{task:06d}-{uuid.uuid4().hex}"
         with system.open_output_stream(temporary) as out:
             for batch in batches:
                 rows = np.empty(batch.num_rows, self.dtype)
                 for name in self.dtype.names:
-                    rows[name] = batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+                    rows[name] = field_values(batch.column(batch.schema.get_field_index(name)), name, self.dtype[name])
                 out.write(rows.tobytes())
-        return Written(temporary, f"part-{task:06d}.bin")
+        return Written(temporary, f"part-{task:06d}-{self.job}.bin")
 
     def commit(self, messages: list[Written | None]) -> None:
         system, inside = open_fs(self.path)
-        if self.overwrite:
-            for old in system.get_file_info(pafs.FileSelector(inside)):
-                if old.is_file:
-                    system.delete_file(old.path)
+        system.create_dir(inside, recursive=True)
+        before = [f.path for f in system.get_file_info(pafs.FileSelector(inside)) if f.is_file] if self.overwrite else []
         for m in messages:
             if m is not None:
                 system.move(m.temporary, f"{inside}/{m.name}")
-        system.delete_dir(f"{inside}/_temporary")
+        for old in before:
+            system.delete_file(old)
+        self._clear(system, inside)
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, inside = open_fs(self.path)
-        for m in messages:
-            if m is not None:
-                system.delete_file(m.temporary)
+        self._clear(*open_fs(self.path))
+
+    def _clear(self, system: pafs.FileSystem, inside: str) -> None:
+        folder = f"{inside}/_temporary-{self.job}"
+        if system.get_file_info(folder).type != pafs.FileType.NotFound:
+            system.delete_dir(folder)
 
 
 class EdgeRecords(DataSource):
@@ -202,10 +218,16 @@ def write_edges(edges: DataFrame, path: str, weighted: bool = False) -> None:
 
 
 def dump_vertex_array(state: DataFrame, value: str, kind: str, path: str) -> None:
-    """A dense raw array: vertex v's value is the v-th; ``state`` has each of 0..V-1 once."""
-    register(state.sparkSession)
+    """A dense raw array in a new or empty folder: vertex v's value is the v-th; each of 0..V-1 must be there once."""
     from pyspark.sql import functions as F
 
+    register(state.sparkSession)
+    if exists(path) and splits(path, 1):
+        raise ValueError(f"{path} holds files already; their order is the vertices'")
+    found = state.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("s"), F.count(F.lit(1)).alias("rows")).first()
+    n = found["rows"]
+    if n and (found["n"], found["lo"], found["hi"], found["s"]) != (n, 0, n - 1, n * (n - 1) // 2):
+        raise ValueError(f"{n} rows aren't the vertices 0 to {n - 1} once each")
     rows = state.select("v", F.col(value).alias("value")).sort("v").select("value")
     rows.write.format("vertexarray").mode("append").option("type", kind).save(path)
 
@@ -217,3 +239,12 @@ def restore_vertex_array(spark: SparkSession, path: str, kind: str, num_vertices
     if found != num_vertices:
         raise ValueError(f"{path} holds {found} values, the graph has {num_vertices} vertices")
     return spark.read.format("vertexarray").option("type", kind).load(path)
+
+
+def load_graph(spark: SparkSession, path: str, num_vertices: int, weighted: bool = False, undirected: bool = False) -> Graph:
+    """A graph from binary records, laid out by source; ``undirected`` holds each record in both directions, ``num_edges`` the raw number."""
+    edges = read_edges(spark, path, weighted)
+    if not undirected:
+        return Graph.from_edges(edges, num_vertices)
+    raw = sum(s.records for s in splits(path, edge_dtype(weighted).itemsize))
+    return Graph(edges, num_vertices, raw).symmetrize().laid_out()

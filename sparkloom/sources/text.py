@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed patterns of a run log: the line that starts a run, and a process's time.
-RUN_START = r"sudo\s+mpirun .*--map-by socket (.*)"
+RUN_START = r"sudo\s+mpirun.*?--map-by socket\s+(.*)"
 RUN_TIME = r"total_process_time\s+=([0-9.]+)\(s\)"
 
 
@@ -30,10 +30,9 @@ def read_text_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summarise_runs(lines: DataFrame) -> DataFrame:
-    """(run, command, max_time) from (file, line, value): a run's greatest process time, in seconds.
+    """(file, run, command, max_time) from (file, line, value): a run's greatest process time, in seconds, 0 without any.
 
-    Lines before a file's first run and runs without a time give no row. A log is small beside the data
-    and ordered, so each file is one group.
+    Lines before a file's first run give no row. A log is small beside the data and ordered, so each file is one group.
     """
     marked = lines.withColumn("start", F.col("value").rlike(RUN_START))
     order = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
@@ -41,8 +40,7 @@ def summarise_runs(lines: DataFrame) -> DataFrame:
     command = F.max(F.when(F.col("start"), F.trim(F.regexp_extract("value", RUN_START, 1))))
     time = F.regexp_extract("value", RUN_TIME, 1)
     times = F.max(F.when(time != "", time.try_cast("double")))
-    found = runs.groupBy("file", "run").agg(command.alias("command"), times.alias("max_time"))
-    return found.where("max_time is not null")
+    return runs.groupBy("file", "run").agg(command.alias("command"), F.coalesce(times, F.lit(0.0)).alias("max_time"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +49,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return whole.where("value <> ''")
 
 
+def report_lines(summary: DataFrame) -> DataFrame:
+    """(file, run, place, value): a line with the command, one with the time, and an empty one for each run."""
+    lines = F.array(F.concat(F.lit("Run: "), "command"), F.concat(F.lit("Max Total Process Time: "), F.col("max_time").cast("string"), F.lit("(s)")), F.lit(""))
+    return summary.select("file", "run", F.posexplode(lines).alias("place", "value"))
+
+
 def write_report(summary: DataFrame, path: str) -> None:
-    """Text lines with each run's command and greatest time."""
-    text = F.format_string("Run: %s / Max Total Process Time: %.6f(s)", "command", "max_time")
-    summary.orderBy("file", "run").select(text.alias("value")).write.mode("overwrite").text(path)
+    """The report's lines as one text file."""
+    report_lines(summary).orderBy("file", "run", "place").select("value").coalesce(1).write.mode("overwrite").text(path)

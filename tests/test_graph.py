@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from sparkloom.functions import combiner
 from sparkloom.operators import algorithms as A
 from sparkloom.operators import kernels as K
-from sparkloom.operators.components import connected_components
-from sparkloom.plans.graph import Graph, balanced_chunks, running_edges
+from sparkloom.operators.components import _state, connected_components
+from sparkloom.plans import graph as graphs
+from sparkloom.plans import stats
+from sparkloom.plans.graph import Graph, balanced_chunks, gather, owner, running_edges
 from sparkloom.sources import prepared, records, text
 
 EDGES = [(0, 1, 1.0), (0, 1, 4.0), (0, 2, 5.0), (1, 3, 2.0), (2, 3, 1.0), (3, 3, 1.0), (3, 4, 3.0), (4, 0, 1.0), (6, 5, 2.0)]
@@ -196,4 +198,98 @@ def test_text_sources(spark, tmp_path):
     got = text.summarise_runs(text.read_log(spark, str(log)))
     assert [tuple(r)[1:] for r in got.collect()] == [(1, "./bfs g 5 1", 1.5)]
     text.write_report(got, str(tmp_path / "report"))
-    assert spark.read.text(str(tmp_path / "report")).collect()[0][0].startswith("Run: ./bfs g 5 1 / Max Total Process Time: 1.5")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()] == ["Run: ./bfs g 5 1", "Max Total Process Time: 1.5(s)", ""]
+    log.write_text("run: 1 sudo  mpirun --map-by socket   ./cc g --map-by socket 1\n")  # a run without a time; the first marker counts
+    assert [tuple(r)[1:] for r in text.summarise_runs(text.read_log(spark, str(log))).collect()] == [(1, "./cc g --map-by socket 1", 0.0)]
+
+
+def test_state_of_many_edges(spark):
+    """The digest that ends the components' loop, over more edges than a sum of hashes can take."""
+    edges = spark.range(30_000_000).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    first = _state(edges)
+    assert first[0] == 30_000_000 and first == _state(edges.repartition(3)) != _state(edges.withColumn("b", F.col("b") + (F.col("a") == 77).cast("int")))
+
+
+def test_writers_lose_nothing(spark, tmp_path, micro):
+    path = str(tmp_path / "edges")
+    for row in ((1, 2), (3, 4)):
+        records.write_edges(spark.createDataFrame([row], "src long, dst long"), path)
+    assert sorted(tuple(r) for r in records.read_edges(spark, path).collect()) == [(1, 2), (3, 4)]
+    for row in ((1 << 32, 0), (-1, 0), (None, 0)):
+        with pytest.raises(Exception, match="values outside|nulls"):
+            records.write_edges(spark.createDataFrame([row], "src long, dst long"), path)
+    assert records.read_edges(spark, path).count() == 2
+    array = str(tmp_path / "array")
+    for vertices in ([0, 1, 1], [0, 2], [1, 2, 3]):
+        with pytest.raises(ValueError):
+            records.dump_vertex_array(spark.createDataFrame([(v, 1) for v in vertices], "v long, x long"), "x", "uint32", array)
+    records.dump_vertex_array(micro.out_degrees(), "out_degree", "uint32", array)
+    with pytest.raises(ValueError):
+        records.dump_vertex_array(micro.out_degrees(), "out_degree", "uint32", array)
+
+
+def test_undirected_load(spark, tmp_path):
+    path = str(tmp_path / "edges")
+    records.write_edges(spark.createDataFrame(EDGES, "src long, dst long, w float"), path, weighted=True)
+    g = records.load_graph(spark, path, 8, weighted=True, undirected=True)
+    assert (g.num_edges, g.symmetric, g.edges.count()) == (9, True, 18)
+    assert column(g.out_degrees(), "out_degree") == [4, 3, 2, 5, 2, 1, 1, 0]
+    assert records.load_graph(spark, path, 8).num_edges == 13  # 108 bytes read as 8-byte records
+    assert len(records.splits(path, 12)) >= 1
+
+
+def test_hubs_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HUB_EDGES", 50)
+    monkeypatch.setattr(graphs, "HUB_SHARE", 1)
+    r = random.Random(3)
+    edges = [(0, r.randrange(1, 200), float(r.randrange(1, 9))) for _ in range(300)] + [(r.randrange(200), r.randrange(200), 1.0) for _ in range(200)]
+    g, plain = make(spark, edges, 200, "double"), Graph(spark.createDataFrame(edges, "src long, dst long, w double"), 200, len(edges))
+    assert g.hubs == (0,) and g.num_edges == len(edges) and g.edges.columns == ["src", "dst", "w"]
+    spread = g.laid.where("src = 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread > 1
+    assert sorted(g.edges.collect()) == sorted(plain.edges.collect())
+    monkeypatch.setattr(graphs, "HUB_EDGES", 10_000)
+    for of in (lambda x: A.shortest_paths(x, 0, "pull").state, lambda x: A.breadth_first(x, 5).state, lambda x: A.pagerank(x, 2).select("v", F.round("pr", 9))):
+        assert sorted(of(g).collect()) == sorted(of(plain).collect())
+    g.unpersist()
+
+
+def test_layouts(micro):
+    back = micro.transpose().laid_out()
+    assert back.laid is not None and back.num_edges == 9 and micro.laid_out() is micro
+    plan = back.edges.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" in plan
+
+
+def test_gather_and_owner(micro):
+    assert gather(micro.out_degrees(), "out_degree", 8).tolist() == [3, 1, 1, 2, 1, 0, 1, 0]
+    with pytest.raises(ValueError):
+        gather(micro.out_degrees(), "out_degree", 8, most=7)
+    with pytest.raises(ValueError):
+        gather(micro.out_degrees().where("v < 3"), "out_degree", 8)
+    chunks = balanced_chunks(micro, 3, page=2)
+    of = {r["chunk"]: (r["first"], r["last"]) for r in chunks.collect()}
+    rows = micro.vertex_ids.select("v", owner(chunks).alias("c")).collect()
+    assert all(of[r["c"]][0] <= r["v"] < of[r["c"]][1] for r in rows) and len(rows) == 8
+
+
+def test_degree_report(spark, tmp_path, micro):
+    stats.write_degree_report(micro, str(tmp_path / "report"), chunks=2)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines[:3] == ["vertices: 8", "edges: 9", "out-degree min: 0"] and lines[-1].startswith("chunk 1: vertices 4, out 2")
+    parts = {r["part"]: r for r in stats.footprint(micro, weighted=True).collect()}
+    assert len(parts) == 19 and parts["outgoing_adj_list"]["bytes"] == 72 and parts["compressed_outgoing_adj_index"]["bytes"] == 84
+
+
+def test_edge_sum(micro):
+    assert K.edge_sum(micro, micro.vertex_ids.where("v = 0"), F.col("w")) == 10
+
+
+def test_shared_folder_is_asked_for():
+    from types import SimpleNamespace
+
+    from sparkloom.operators.lineage import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda _: None)
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
