@@ -1,15 +1,63 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables.
 
 The others are held against brute force in the tests: language model, sampling, labelling, packing, ring
-and fingerprints need state or functions that SQL lacks; spans, line surroundings and similarity components
-could be spelled out but not run on whole tables.
+and fingerprints need state or functions that SQL lacks; similarity components could be spelled out but not
+run on whole tables.
 """
 
 from sparkloom.llm.queries import URL_RULES
+from sparkloom.llm.quality import QualityRules
+from sparkloom.llm.secrets import BASE, WEAK
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+_R = QualityRules()
+_BLANK = r"[\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _spans(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their places: running lengths of what lies between them, and of themselves."""
+    pattern = pattern.replace("'", "''")
+    return f"""select doc_id, {kind} kind, b "start", b + length(h) "end" from (
+  select doc_id, hits[i] h, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))), 0) b
+  from (select doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) i
+   from (select doc_id, regexp_extract_all(t, '{pattern}') hits, string_split_regex(t, '{pattern}') gaps from d)))
+ where length(regexp_extract(h, '{pattern}', {group})) >= {least}"""
+
+
+_NAMES = ", ".join(f"'{x[0]}'" for x in BASE + WEAK)
+_ROLES = ", ".join(f"'{x[1]}'" for x in BASE + WEAK)
+_PARTS = " union all ".join(_spans(k, pattern, group, least) for k, (_, _, pattern, group, least) in enumerate(BASE + WEAK))
+
 ORACLES: dict[str, str] = {
+    "op4_secret_scans": f"""with d as (select doc_id, coalesce(text, '') t from documents), parts as materialized ({_PARTS}),
+ breaks as materialized ({_spans(-1, r"\n\x20*\n\s*", 0, 2)}),
+ s as materialized (select p.*, [{_ROLES}][kind + 1] "role", (select count(*) from breaks b where b.doc_id = p.doc_id and b."start" <= p."start") "scope" from parts p),
+ n as (select s.*, exists (select 1 from s o where o.doc_id = s.doc_id and o."scope" = s."scope" and abs(o."start" - s."start") <= 300 and o."role" = 'id') ids,
+   exists (select 1 from s o where o.doc_id = s.doc_id and o."scope" = s."scope" and abs(o."start" - s."start") <= 300 and o."role" = 'secret') secrets,
+   exists (select 1 from s o where o.doc_id = s.doc_id and o.kind < {len(BASE)} and o."end" > s."start" and o."start" < s."end") covered from s),
+ f as (select * from n where kind < {len(BASE)} or (not covered and case "role" when 'id' then secrets when 'secret' then ids else ids and secrets end)),
+ a as (select doc_id, count(*) filter (kind = 0) x, count(*) filter (kind = 1) y, count(*) filter (kind = 2) z,
+   coalesce(string_agg(concat([{_NAMES}][kind + 1], ':', "start", ':', "end"), ',' order by "start", kind) filter (kind < {len(BASE)}), '') base,
+   string_agg(concat([{_NAMES}][kind + 1], ':', "start", ':', "end"), ',' order by "start", kind) spans from f group by 1)
+ select d.doc_id, coalesce(x, 0)::bigint n_assign, coalesce(y, 0)::bigint n_access, coalesce(z, 0)::bigint n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join a using (doc_id)""",
+    "op8_quality_rules": f"""with d as (select doc_id, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_WORD}') w from documents),
+ grams as (select doc_id, i, array_to_string(w[i:i+{_R.window - 1}], ' ') g from (select doc_id, w, unnest(range(1, len(w) - {_R.window - 2})) i from d)),
+ twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) n from grams) where n > 1),
+ covered as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + {_R.window})) j from twice) group by 1),
+ l as materialized (select doc_id, source, md5(t) digest, line, lower(trim(regexp_replace(line, '{_BLANK}', ' ', 'g'), ' ')) norm,
+  len(regexp_extract_all(line, '{_WORD}')) n from (select *, unnest(string_split(t, chr(10))) line from d) where regexp_matches(line, '{_WORD}')),
+ bad as (select source, norm from l group by 1, 2 having count(distinct digest) > {_R.max_documents}),
+ gone as (select doc_id, sum(n) n from l join bad b on b.norm = l.norm and b.source is not distinct from l.source group by 1),
+ dup as (select doc_id, count(*) - count(distinct line) n from l group by 1),
+ f as (select d.doc_id, len(w)::bigint n_words, length(array_to_string(w, ''))::bigint word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols, coalesce(dup.n, 0)::bigint n_dup_lines,
+  coalesce(covered.n, 0)::bigint n_repeat_words, coalesce(gone.n, 0)::bigint removed_words
+  from d left join dup using (doc_id) left join covered using (doc_id) left join gone using (doc_id)),
+ b as (select *, n_words < {_R.min_words} or 100 * n_repeat_words > {_R.max_repeat_percent} * n_words base_failed from f)
+ select *, not base_failed and not (100 * removed_words > {_R.max_removed_percent} * n_words and n_words - removed_words < {_R.min_words}) kept from b""",
     "op2_url_filters": f"""with p as (select page_id, coalesce(url, '') u from pages),
  r as (select page_id, case when position('://' in u) > 0 then substr(u, position('://' in u) + 3) else '' end r from p),
  h as (select page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
