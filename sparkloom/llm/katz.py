@@ -39,23 +39,23 @@ from sparkloom.operators.lineage import cut
 
 KATZ_K = 5
 #: Tokens that a task packs at once.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_500_000
 #: Bytes of text behind one range of hashes.
 RANGE_BYTES = 40_000_000
 #: A range is worked off in so many slices.
 SLICES = 8
-#: Texts whose words make the code book; it shortens blocks and has no effect on results.
-BOOK_TEXTS = 2_000
+#: Texts whose words make the code book, and its words; it shortens blocks and has no effect on results.
+BOOK_TEXTS, BOOK_WORDS = 16_000, 400_000
 BEGIN, END = np.uint64(1), np.uint64(2)
 _M = np.uint64(0x9E3779B97F4A7C15)
-RARE = 0xFFFF
+RARE = (1 << 24) - 1
 
 
 def freeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block; bytes of equal weight stand together."""
     head = np.array([len(arrays), *[v for a in arrays for v in (ord(a.dtype.char), len(a))]], np.int64)
     planes = [np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes() for a in arrays]
-    return zstandard.compress(head.tobytes() + b"".join(planes), 1)
+    return zstandard.compress(head.tobytes() + b"".join(planes), 3)
 
 
 def thaw(block: bytes) -> list[np.ndarray]:
@@ -85,22 +85,22 @@ def range_borders(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Book:
-    """Two-byte codes of frequent words; others stand by their hash."""
+    """Short codes of frequent words; others stand by their hash."""
 
     def __init__(self, words: np.ndarray):
         self.words = words  # by frequency
-        self.order = np.argsort(words)
+        self.order = np.argsort(words).astype(np.uint32)
         self.sorted = words[self.order]
 
     def codes(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(words), RARE, np.uint16)
-        at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == words, self.order[at], RARE).astype(np.uint16)
+        at, known = found_in(self.sorted, words)
+        return np.where(known, self.order[at], RARE).astype(np.uint32) if len(self.words) else np.full(len(words), RARE, np.uint32)
 
     def words_of(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        out = np.append(self.words, np.zeros(max(0, RARE + 1 - len(self.words)), np.uint64))[codes]
-        out[codes == RARE] = rare
+        out = np.empty(len(codes), np.uint64)
+        known = codes != RARE
+        out[known] = self.words[codes[known]]
+        out[~known] = rare
         return out
 
 
@@ -149,48 +149,82 @@ class Figures:
 # packing
 
 
-def columns_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """The last history word, the one before it, ..., and the word itself, of each token; words end with END."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def columns_of(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different words in order, and by their numbers: the last history word, the one before it, ..., and the word of each token.
+
+    Texts' words end with END.
+    """
+    names, at = np.unique(words, return_inverse=True)
+    begin = np.searchsorted(names, BEGIN)  # no word has this number
+    names = np.insert(names, begin, BEGIN)
+    at = at.astype(np.int32)
+    at += at >= begin
+    starts = np.cumsum(sizes) - sizes
     out = []
     for back in range(1, order):
-        h = np.full(len(words), BEGIN)
-        h[back:] = np.where(place[back:] >= back, words[:-back], BEGIN)
+        h = np.empty_like(at)
+        h[back:] = at[:-back]
+        for i in range(back):
+            h[np.minimum(starts + i, starts + sizes - 1)[sizes > i]] = begin
         out.append(h)
-    return [*out, words]
+    return names, [*out, at]
+
+
+def numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same form, from columns of words."""
+    names, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return names, np.split(at.astype(np.int32), len(columns))
 
 
-def packed(columns: list[np.ndarray], more: np.ndarray, setup: Setup) -> Iterator[tuple[int, bytes]]:
-    """A block for each range: the last history words and their numbers of rows, the other columns coded, ``more``."""
-    names, at = np.unique(columns[0], return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    count = np.bincount(at, minlength=len(names))
+def packed(names: np.ndarray, columns: list[np.ndarray], more: np.ndarray, setup: Setup, rising: bool = False) -> Iterator[tuple[int, bytes]]:
+    """A block for each range: last history words and their numbers of rows, other columns, ``more``; words are coded.
+
+    ``rising``: ``more`` never falls within a last history word, and is kept as differences.
+    """
+    order = np.argsort(columns[0], kind="stable").astype(np.int32)
+    count = np.bincount(columns[0], minlength=len(names))
+    present = np.flatnonzero(count)
+    count = count[present]
     edges = np.r_[0, np.cumsum(count)]
+    codes = setup.book.codes(names)
     others = [c[order] for c in columns[1:]]
-    coded = [setup.book.codes(c) for c in others]
     more = more[order]
-    borders = range_borders(names, setup.parts)
+    if rising:
+        step = np.diff(more, prepend=0)
+        step[edges[:-1]] = more[edges[:-1]]
+        more = step
+    borders = range_borders(names[present], setup.parts)
     for p in range(setup.parts):
         a, b = borders[p], borders[p + 1]
         if a < b:
             s = slice(edges[a], edges[b])
             arrays = []
-            for c, code in zip(others, coded, strict=True):
-                arrays += [code[s], c[s][code[s] == RARE]]
-            yield p, freeze(names[a:b], narrow(count[a:b]), narrow(more[s]), *arrays)
+            for c in (present[a:b], *[c[s] for c in others]):
+                code = codes[c]
+                arrays += [code, names[c[code == RARE]]]
+            yield p, freeze(narrow(count[a:b]), narrow(more[s]), *arrays)
 
 
 class Blocks:
     """Blocks of a range, kept coded; slices of the range are read one at a time."""
 
-    def __init__(self, blocks: list[bytes], setup: Setup):
-        self.setup, self.arrays = setup, [thaw(b) for b in blocks]
-        self.edges = [np.r_[0, np.cumsum(a[1], dtype=np.int64)] for a in self.arrays]
-        self.rare = [[np.r_[0, np.cumsum(code == RARE, dtype=np.int32)] for code in a[3::2]] for a in self.arrays]
+    def __init__(self, blocks: list[bytes], setup: Setup, rising: bool = False):
+        self.setup, self.arrays, self.names, self.edges, self.rare = setup, [], [], [], []
+        while blocks:  # they go as they are read
+            count, more, code, rare, *coded = thaw(blocks.pop(0))
+            self.names.append(setup.book.words_of(code, rare))
+            edges = np.r_[0, np.cumsum(count, dtype=np.int64)]
+            if rising:
+                whole = np.cumsum(more, dtype=np.int64)
+                whole -= np.repeat(whole[edges[:-1]] - more[edges[:-1]], count)
+                more = narrow(whole)
+            self.edges.append(edges)
+            self.arrays.append((count, more, coded))
+            self.rare.append([np.r_[0, np.cumsum(code == RARE, dtype=np.int32)] for code in coded[::2]])
 
     def read(self, i: int, number: int, all_parts: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Columns and ``more`` of the rows of a block whose last history words lie in one of all parts."""
-        names, count, more, *coded = self.arrays[i]
+        names, (count, more, coded) = self.names[i], self.arrays[i]
         a, b = np.searchsorted(ranges(names, all_parts), [number, number + 1])
         s = slice(self.edges[i][a], self.edges[i][b])
         columns = [np.repeat(names[a:b], count[a:b])]
@@ -220,8 +254,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
             rows.append(part.select([0]))
             tokens += len(own)
             if tokens >= CHUNK_TOKENS:
-                yield number, np.concatenate(words), np.concatenate(sizes), rows
-                words, sizes, rows, number, tokens = [], [], [], None, 0
+                own, words = np.concatenate(words), []
+                yield number, own, np.concatenate(sizes), rows
+                sizes, rows, number, tokens = [], [], None, 0
     if words:
         yield number, np.concatenate(words), np.concatenate(sizes), rows
 
@@ -257,30 +292,52 @@ def dealt(rows: DataFrame, key: str, parts: int, work) -> DataFrame:
             for row in work(k, group):
                 yield _rows([row])
 
-    return rows.repartition(parts, key).sortWithinPartitions(key, "kind", "chunk").mapInArrow(run, SCHEMA)
+    # more partitions than keys, so that few tasks get several of them
+    return rows.repartition(4 * parts, key).sortWithinPartitions(key, "kind", "chunk").mapInArrow(run, SCHEMA)
 
 
 # training
 
 
-def merged(columns: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Equal rows as one, in order of the last history word and the others; their counts added."""
-    order = np.lexsort((columns[-1], *columns[-2:0:-1], columns[0]))
-    columns = [c[order] for c in columns]
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(count[order].astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+def merged(columns: list[np.ndarray], count: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows (of numbers) as one, in order of the last history word and the others; their counts, or rows, added."""
+    bits = max((int(c.max(initial=0)) for c in columns), default=0).bit_length()
+    if bits * len(columns) < 64:  # a row as one number
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            key = (key << bits) | c
+        if count is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+        key = key[first]
+        size = len(columns[0])
+        columns = [((key >> (bits * j)) & ((1 << bits) - 1)).astype(np.int32) for j in range(len(columns) - 1, -1, -1)]
+    else:
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        count = None if count is None else count[order]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first, size = np.flatnonzero(new), len(order)
+        columns = [c[first] for c in columns]
+    if count is None:
+        return columns, np.diff(np.r_[first, size])
+    return columns, np.add.reduceat(count.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
 
 
 def pack_types(docs: DataFrame, setup: Setup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("katz")
         for number, words, sizes, _ in chunks(batches):
-            columns, count = merged(columns_of(words, sizes, setup.order), np.ones(len(words), np.int64))
-            for p, block in packed(columns, count, setup):
+            names, columns = columns_of(words, sizes, setup.order)
+            del words
+            columns, count = merged(columns)
+            for p, block in packed(names, columns, count, setup):
                 yield _rows([("types", p, number, block)])
 
     return _placed(docs).mapInArrow(run, SCHEMA)
@@ -294,10 +351,12 @@ def count_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup)
     tokens = words = texts = 0
     for number in range(SLICES):
         parts = [blocks.read(i, p * SLICES + number, setup.parts * SLICES) for i in range(len(blocks.arrays))]
-        columns, count = merged([np.concatenate(c) for c in zip(*[x[0] for x in parts], strict=True)], np.concatenate([x[1] for x in parts]))
+        names, columns = numbered([np.concatenate(c) for c in zip(*[x[0] for x in parts], strict=True)])
+        columns, count = merged(columns, np.concatenate([x[1] for x in parts]))
         if not len(count):
             continue
-        yield from (("grams", p, number, block) for _, block in packed(columns, count, Setup(setup.order, 1, setup.book)))
+        yield from (("grams", p, number, block) for _, block in packed(names, columns, count, Setup(setup.order, 1, setup.book)))
+        columns = [names[c] for c in columns]
         for level in range(2, setup.order + 1):
             _, inverse = np.unique(gram_keys(columns, level), return_inverse=True)
             own = np.bincount(inverse, weights=count).astype(np.int64)
@@ -466,7 +525,7 @@ def code_book(docs: DataFrame) -> Book:
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["word", "n"])
 
     some = docs.select("text").limit(BOOK_TEXTS).mapInArrow(run, "word long, n long")
-    top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(RARE - 2).select("word").collect()
+    top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(BOOK_WORDS).select("word").collect()
     return Book(np.concatenate([np.array([END, BEGIN]), np.array([r["word"] for r in top], np.int64).view(np.uint64)]))
 
 
@@ -477,8 +536,10 @@ def pack_tokens(docs: DataFrame, setup: Setup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("katz")
         for number, words, sizes, rows in chunks(batches):
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            for p, block in packed(columns_of(words, sizes, setup.order), text, setup):
+            text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            names, columns = columns_of(words, sizes, setup.order)
+            del words
+            for p, block in packed(names, columns, text, setup, rising=True):
                 yield _rows([("tokens", p, number, block)])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows[0].schema) as out:
@@ -508,7 +569,8 @@ def score_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup,
     for number, block in rows.pop("texts", []):
         yield "texts", p, number, block
     found = rows.pop("tokens", [])
-    blocks = Blocks([b for _, b in found], setup)
+    blocks = Blocks([b for _, b in found], setup, rising=True)
+    found = [(chunk, None) for chunk, _ in found]
     parts: list[list[list[np.ndarray]]] = [[] for _ in found]
     bases: list[list[np.ndarray]] = [[] for _ in found]
     followers, count, done = np.empty(0, np.uint64), np.empty(0, np.int64), set()
