@@ -48,6 +48,8 @@ LANES = 4
 SMALL_CELL = 6
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Tokens of pivots' sets that are broadcast at most (8 bytes each).
+BROADCAST_TOKENS = 4_000_000
 #: Keys of sets that a task remembers to emit a set once.
 KEPT_KEYS = 300_000
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -279,7 +281,10 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
 def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     """Of (p, k): np, n, i (sizes, intersection), linked, away and back (what must be shared, see ``links``)."""
     left = pairs.join(sets.select("k", F.col("tokens").alias("t")), "k")
-    both = left.join(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), "p")
+    pivots = pairs.select("p").distinct().join(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), "p")
+    pivots = cut(pivots)  # few beside the members; by their size they are broadcast, so that members' sets travel once
+    small = (pivots.agg(F.sum(F.size("tp"))).first()[0] or 0) <= BROADCAST_TOKENS
+    both = left.join(F.broadcast(pivots) if small else pivots, "p")
     rows = both.withColumns({"np": F.size("tp"), "n": F.size("t"), "i": F.size(F.array_intersect("t", "tp"))})
     rows = rows.withColumn("linked", F.col("i") * rule.of >= (F.col("np") + F.col("n") - F.col("i")) * rule.at)
     least = F.greatest(F.lit(1), F.expr(f"({rule.at} * n + {rule.of - 1}) div {rule.of} - i").cast("int"))
