@@ -37,18 +37,15 @@ def hex128(h1: Column, h2: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a 128-bit key of the row's content (r1, r2)."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("r1"), F.xxhash64(F.lit(3), "text", "doc_id").alias("r2"), "doc_id", "text")
+
+
 def prepared(docs: DataFrame) -> DataFrame:
-    """doc_id, text, canonical text and its hashes, and a 128-bit key of the row's content (r1, r2)."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.select(
-        F.xxhash64("doc_id", "text").alias("r1"),
-        F.xxhash64(F.lit(3), "text", "doc_id").alias("r2"),
-        "doc_id",
-        "text",
-        canonical(F.col("text")).alias("canon"),
-    )
-    return rows.select("r1", "r2", "doc_id", "text", "canon", *hashes(F.col("canon")))
+    """The columns of ``placed``, the canonical text and its hashes."""
+    return placed(docs).withColumn("canon", canonical(F.col("text"))).select("*", *hashes(F.col("canon")))
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -104,7 +101,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame, quarter: int = 4) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and that of the next document."""
     rows = fingerprints(docs).select("r1", "r2", "doc_id", "text", "fingerprint")
-    around = neighbours(prepared(docs))
+    around = neighbours(placed(docs))
     given = rows.join(around, ["r1", "r2"]).select(
         F.col("p1").alias("r1"),
         F.col("p2").alias("r2"),
