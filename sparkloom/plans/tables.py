@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.plans.graph import Graph
 
+#: Graphs by application, folder and name, so that queries share one layout of the edges.
+_graphs: dict[tuple[str, str, str], Graph] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph]) -> Graph:
+    """The graph as it was laid out before, or anew if its edges aren't persisted any more."""
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+    graph = _graphs.get(key)
+    if graph is None or not (graph.laid.storageLevel.useMemory or graph.laid.storageLevel.useDisk):
+        graph = _graphs[key] = build(spark, sf_dir)
+    return graph
+
 
 def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer to the next by order key inside one order date, weighted by the order's price."""
@@ -22,16 +36,28 @@ def customers(spark: SparkSession, sf_dir: str) -> int:
 
 
 def hop(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_edges(hop_edges(spark, sf_dir), customers(spark, sf_dir))
+    return _shared(spark, sf_dir, _hop)
 
 
 def hop_sparse(spark: SparkSession, sf_dir: str) -> Graph:
     """The hops that start at every seventh customer: many components, many isolated vertices."""
-    return Graph.from_edges(hop_edges(spark, sf_dir).where("src % 7 = 0"), customers(spark, sf_dir))
+    return _shared(spark, sf_dir, _hop_sparse)
 
 
 def supply(spark: SparkSession, sf_dir: str) -> Graph:
     """Suppliers to parts, parts numbered after the suppliers."""
+    return _shared(spark, sf_dir, _supply)
+
+
+def _hop(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph.from_edges(hop_edges(spark, sf_dir), customers(spark, sf_dir))
+
+
+def _hop_sparse(spark: SparkSession, sf_dir: str) -> Graph:
+    return Graph.from_edges(hop_edges(spark, sf_dir).where("src % 7 = 0"), customers(spark, sf_dir))
+
+
+def _supply(spark: SparkSession, sf_dir: str) -> Graph:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg((F.max("s_suppkey") + 1).alias("n")).first()["n"]
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").agg((F.max("p_partkey") + 1).alias("n")).first()["n"]
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
