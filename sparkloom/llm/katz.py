@@ -373,7 +373,9 @@ def count_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup)
     borders = range_borders(followers, setup.parts)
     for q in range(setup.parts):
         if borders[q] < borders[q + 1]:
-            yield "ask", q, p, freeze(followers[borders[q] : borders[q + 1]])
+            some = followers[borders[q] : borders[q + 1]]
+            codes = setup.book.codes(some)
+            yield "ask", q, p, freeze(codes, some[codes == RARE])
 
 
 def counts_of(rows: dict[str, list[tuple[int, bytes]]], texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -444,11 +446,11 @@ def levels_of(columns: list[np.ndarray], count: np.ndarray, word_count: np.ndarr
     return out
 
 
-def answer_range(q: int, rows: dict[str, list[tuple[int, bytes]]], texts: int) -> Iterator[tuple[str, int, int, bytes]]:
+def answer_range(q: int, rows: dict[str, list[tuple[int, bytes]]], texts: int, book: Book) -> Iterator[tuple[str, int, int, bytes]]:
     """The counts that the ranges asked for, in the order of their words."""
     names, count = counts_of(rows, texts)
     for p, block in rows.get("ask", []):
-        at, known = found_in(names, thaw(block)[0])
+        at, known = found_in(names, book.words_of(*thaw(block)))
         yield "counts", p, q, freeze(narrow(np.where(known, count[at], 0)))
 
 
@@ -511,7 +513,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     counts = tuple(tuple(map(int, x)) for x in sums[3:].reshape(order - 1, KATZ_K + 1))
     figures = Figures(int(sums[0]), int(sums[1]) + (texts > 0), texts, counts)
     asked = counted.where("kind in ('ask', 'vocab')")
-    answers = cut(dealt(asked, "target", setup.parts, lambda q, rows: answer_range(q, rows, texts)))
+    answers = cut(dealt(asked, "target", setup.parts, lambda q, rows: answer_range(q, rows, texts, setup.book)))
     return Model(counted.where("kind in ('grams', 'vocab')").unionByName(answers), setup, figures)
 
 
