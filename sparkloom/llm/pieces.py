@@ -34,7 +34,7 @@ from sparkloom.llm.common import keeps, only
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Characters of text whose lattices are held at once.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 3_000_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SLOTS = 1 << 20
 PREFIX = -2
@@ -46,11 +46,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniforms(*keys: np.ndarray) -> np.ndarray:
-    """Numbers inside (0, 1) that depend on the keys alone."""
-    h = np.zeros(1, np.uint64)
+def mixed(state: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     for k in keys:
-        h = _mix(h * _M1 + np.atleast_1d(k).astype(np.uint64) + _M1)
+        state = _mix(state * _M1 + np.atleast_1d(k).astype(np.uint64) + _M1)
+    return state
+
+
+def uniforms(*keys: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+    """Numbers inside (0, 1) that depend on the keys alone; ``state`` has earlier keys mixed already."""
+    h = mixed(np.zeros(1, np.uint64) if state is None else state, *keys)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -186,18 +190,25 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
         lengths.append(np.full(len(nodes[-1]), k + 1, np.int32))
         ids.append(found[is_piece])
         at = at[(found != -1) & inner[at + k + 1]]
-    empty = np.empty(0, np.int64)
-    node, length, piece = (np.concatenate(x) if x else empty for x in (nodes, lengths, ids))
-    order = np.argsort(node, kind="stable")
-    node, length, piece = node[order], length[order], piece[order]
+    # edges in order of node and length, without sorting: a node's come by length anyway
+    degree = np.zeros(total, np.int64)
+    for at in nodes:
+        degree[at] += 1
+    start = np.r_[0, np.cumsum(degree)]
+    free = start[:-1].copy()
+    node, length, piece = np.empty(start[-1], np.int64), np.empty(start[-1], np.int32), np.empty(start[-1], np.int32)
+    for at, size, found in zip(nodes, lengths, ids, strict=True):
+        place = free[at]
+        node[place], length[place], piece[place] = at, size, found
+        free[at] += 1
     raw = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
     weight = np.where(piece >= 0, vocab.piece_weights[piece], vocab.byte_weight * raw[node])
-    start = np.searchsorted(node, np.arange(total + 1))
     # backward sums, all nodes with the same distance to their word's end at once
     back = np.repeat(first + sizes, sizes + 1) - np.arange(total)
-    order = np.argsort(back[node], kind="stable")
+    level = back[node]
+    order = np.argsort(level.astype(np.uint16) if len(words) and sizes.max() < 1 << 16 else level, kind="stable")
     target, sorted_node, sorted_weight = (node + length)[order], node[order], weight[order]
-    heads = np.flatnonzero(np.r_[True, sorted_node[1:] != sorted_node[:-1]]) if len(order) else empty
+    heads = np.flatnonzero(np.r_[True, sorted_node[1:] != sorted_node[:-1]]) if len(order) else np.empty(0, np.int64)
     head_node = sorted_node[heads]
     count = np.diff(np.r_[heads, len(order)])
     levels = np.searchsorted(back[head_node], np.arange(1, int(sizes.max(initial=0)) + 2))
@@ -212,7 +223,6 @@ def build_lattice(words: list[str], vocab: Vocabulary) -> Lattice:
         beta[head_node[a:b]] = top + np.log(s)
         prob[order[lo:hi]] = e / np.repeat(s, n)
     cum = prob.copy()
-    degree = np.diff(start)
     widest = int(degree.max(initial=1))
     for j in range(1, widest):
         edge = start[:-1][degree > j] + j
@@ -245,12 +255,13 @@ class _Numbers(dict):
 def _draw(lattice: Lattice, word: np.ndarray, node: np.ndarray, step: np.ndarray, seed: np.ndarray, sample: int) -> list[np.ndarray]:
     """Decisions from the given nodes to the ends of their words."""
     out = []
+    state = mixed(np.zeros(1, np.uint64), seed, np.uint64(sample), lattice.turn[word])
     while word.size:
-        edge = lattice.drawn(node, uniforms(seed, np.uint64(sample), lattice.turn[word], step))
+        edge = lattice.drawn(node, uniforms(step, state=state))
         out.append(np.stack([word, step, node, edge]))
         node = node + lattice.length[edge]
         more = ~lattice.ends[node]
-        word, node, step, seed = word[more], node[more], step[more] + 1, seed[more]
+        word, node, step, state = word[more], node[more], step[more] + 1, state[more]
     return out
 
 
@@ -337,7 +348,8 @@ def _bounds(path: Path, lattice: Lattice, values: np.ndarray, seeds: np.ndarray,
     with np.errstate(divide="ignore"):
         mass = prefix + np.log(other)
     own = here - begin >= special[path.text]  # earlier decisions belong to regions of other paths
-    u = uniforms(seeds[path.text], np.uint64(sample), lattice.turn[path.word], path.step + (1 << 20))
+    state = mixed(np.zeros(1, np.uint64), seeds, np.uint64(sample))[path.text]
+    u = uniforms(lattice.turn[path.word], path.step + (1 << 20), state=state)
     fresh = gumbel_below(mass, values[path.text], u)
     path.bound[:] = np.where(own & alive[path.text], fresh, -np.inf)
 
