@@ -41,11 +41,11 @@ KATZ_K = 5
 #: Tokens that a task packs at once.
 CHUNK_TOKENS = 2_500_000
 #: Bytes of text behind one range of hashes.
-RANGE_BYTES = 40_000_000
+RANGE_BYTES = 60_000_000
 #: A range is worked off in so many slices.
 SLICES = 8
-#: Texts whose words make the code book, and its words; it shortens blocks and has no effect on results.
-BOOK_TEXTS, BOOK_WORDS = 16_000, 400_000
+#: Texts of each partition whose words make the code book, and its words; it shortens blocks and has no effect on results.
+BOOK_TEXTS, BOOK_WORDS = 512, 400_000
 BEGIN, END = np.uint64(1), np.uint64(2)
 _M = np.uint64(0x9E3779B97F4A7C15)
 RARE = (1 << 24) - 1
@@ -518,15 +518,19 @@ def train(docs: DataFrame, order: int = 3) -> Model:
 
 
 def code_book(docs: DataFrame) -> Book:
-    """The most frequent words of some texts."""
+    """The most frequent words of some texts of each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = BOOK_TEXTS
         for batch in batches:
-            for step in range(0, batch.num_rows, 128):
+            for step in range(0, min(left, batch.num_rows), 128):
                 words, count = np.unique(word_hashes(batch.slice(step, 128).column(0))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(count)], ["word", "n"])
+            left -= batch.num_rows
+            if left <= 0:
+                return
 
-    some = docs.select("text").limit(BOOK_TEXTS).mapInArrow(run, "word long, n long")
+    some = docs.select("text").mapInArrow(run, "word long, n long")
     top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(BOOK_WORDS).select("word").collect()
     return Book(np.concatenate([np.array([END, BEGIN]), np.array([r["word"] for r in top], np.int64).view(np.uint64)]))
 
