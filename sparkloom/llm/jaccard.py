@@ -254,20 +254,30 @@ def least_shared(rule: Threshold) -> Column:
 
 
 def sets_of(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(k, tokens) of the wanted set keys, each from one document that has it."""
+    """(k, tokens) of the wanted set keys, each from one document that has it; computed once."""
     few = wanted.count() <= BROADCAST_KEYS
     held = keys.join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
     ids = cut(held.groupBy("k").agg(F.min("doc_id").alias("id")).select("id").distinct())
     some = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = whole_sets(some, width).dropDuplicates(["k"])
-    return found.join(F.broadcast(wanted) if few else wanted, "k", "left_semi")
+    found = whole_sets(some, width)
+    found = cut(found.join(F.broadcast(wanted) if few else wanted, "k", "left_semi"))
+    once = found.count() == found.select("k").distinct().count()  # unless ids repeat; then sets needn't travel
+    return found if once else cut(found.dropDuplicates(["k"]))
+
+
+def among(rows: DataFrame, keys: DataFrame, key: str = "k") -> DataFrame:
+    """The rows whose ``key`` is among the keys (one column of that name); up to a size rows don't travel for it."""
+    keys = cut(keys.distinct())
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """The pairs (a, b) of set keys that link, by their whole sets."""
-    left = pairs.select("a", "b").join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    """The pairs (a, b) of set keys that link, by their whole sets; only sets of the pairs travel."""
+    pairs = cut(pairs.select("a", "b"))
+    for end in ("a", "b"):
+        some = among(sets.select(F.col("k").alias(end), F.col("tokens").alias(f"t{end}")), pairs.select(end), end)
+        pairs = pairs.join(some, end)
+    shared = pairs.withColumn("i", F.size(F.array_intersect("ta", "tb")))
     union = F.size("ta") + F.size("tb") - F.col("i")
     return shared.where(F.col("i") * rule.of >= union * rule.at).select("a", "b")
 
@@ -280,10 +290,15 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
 
 def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     """Of (p, k): np, n, i (sizes, intersection), linked, away and back (what must be shared, see ``links``)."""
-    left = pairs.join(sets.select("k", F.col("tokens").alias("t")), "k")
-    pivots = pairs.select("p").distinct().join(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), "p")
-    pivots = cut(pivots)  # few beside the members; by their size they are broadcast, so that members' sets travel once
+    pairs = cut(pairs)
+    pivots = cut(among(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), pairs.select("p"), "p"))
+    # few beside the members; by their size pivots and pairs are broadcast, so that members' sets don't travel
     small = (pivots.agg(F.sum(F.size("tp"))).first()[0] or 0) <= BROADCAST_TOKENS
+    members = sets.select("k", F.col("tokens").alias("t"))
+    if pairs.count() <= BROADCAST_KEYS:
+        left = members.join(F.broadcast(pairs), "k")
+    else:
+        left = pairs.join(among(members, pairs.select("k")), "k")
     both = left.join(F.broadcast(pivots) if small else pivots, "p")
     rows = both.withColumns({"np": F.size("tp"), "n": F.size("t"), "i": F.size(F.array_intersect("t", "tp"))})
     rows = rows.withColumn("linked", F.col("i") * rule.of >= (F.col("np") + F.col("n") - F.col("i")) * rule.at)
@@ -305,6 +320,15 @@ def bits(tokens: str, lane: int) -> Column:
     return F.expr(f"aggregate({tokens}, 0L, (m, t) -> if(((t >> 6) & {LANES - 1}) = {lane}, m | shiftleft(1L, cast(t & 63 as int)), m))")
 
 
+def telling(tokens: DataFrame) -> DataFrame:
+    """(p, token, part) that members of different components share; of those that the same members hold one, for they say the same."""
+    members = [F.expr(f"bit_xor(xxhash64({i}, kind, k))").alias(f"h{i}") for i in range(2)]
+    figures = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b")]
+    apart = tokens.groupBy("p", "token", "part").agg(*figures, *members, F.count(F.lit(1)).alias("c"))
+    apart = apart.where("lo <> hi and (not part or a <> b)")
+    return apart.groupBy("p", "part", "c", "h0", "h1").agg(F.min("token").alias("token")).select("p", "token", "part")
+
+
 def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFrame:
     """Candidates (a, b) among members of a pivot's cells that are in different components."""
     rows = cut(labelled(labelled(seen, labels, "k", "label"), labels, "p", "own"))
@@ -312,11 +336,11 @@ def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFr
     for kind, column in enumerate(("away", "probe", "index")):
         some = rows.select("p", "k", "label", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
         tokens = some if tokens is None else tokens.unionByName(some)
-    # first the few tokens that members of different components share
-    tokens = cut(tokens.withColumn("part", F.col("kind") > 0))
-    apart = tokens.groupBy("p", "token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b"))
-    apart = apart.where("lo <> hi and (not part or a <> b)").select("p", "token", "part")
-    kept = tokens.join(apart, ["p", "token", "part"], "left_semi").drop("part", "label")
+    # first the few tokens that members of different components share; taking them from the rows again needs no disk
+    tokens = tokens.withColumn("part", F.col("kind") > 0)
+    apart = cut(telling(tokens))
+    few = apart.count() <= BROADCAST_KEYS
+    kept = tokens.join(F.broadcast(apart) if few else apart, ["p", "token", "part"], "left_semi").drop("part", "label")
     figures = ["np", "n", "i", "label", "own", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
     kept = cut(kept.join(rows.select("p", "k", *figures), ["p", "k"]))
 
@@ -362,7 +386,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     met = cut(met.select("sig", "k", F.abs("n").alias("n"), (F.col("n") < 0).alias("late")).dropDuplicates(["sig", "k"]))
     sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     held = cut(met.join(sizes, "sig").select("sig", "k", "n", "c"))
-    sets = cut(sets_of(docs, keys, cut(held.select("k").distinct()), width))
+    sets = sets_of(docs, keys, cut(held.select("k").distinct()), width)
     found = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = docs.sparkSession.createDataFrame([], "v long, label long")
     large = held.where(F.col("c") > SMALL_CELL)
@@ -412,7 +436,7 @@ def late_links(docs: DataFrame, keys: DataFrame, late: DataFrame, width: int, ru
     met = tokens.select("sig", F.col("k").alias("b"), F.col("n").alias("nb")).join(F.broadcast(rare) if small else rare, "sig")
     met = cut(met.where("a <> b").where(fitting(rule)).select("a", "b").distinct())
     ends = cut(met.select(F.col("a").alias("k")).unionByName(met.select(F.col("b").alias("k"))).distinct())
-    return cut(verified(met, cut(sets_of(docs, keys, ends, width)), rule))
+    return cut(verified(met, sets_of(docs, keys, ends, width), rule))
 
 
 def classes(docs: DataFrame, width: int = 4, rule: Threshold = Threshold()) -> DataFrame:

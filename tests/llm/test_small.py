@@ -696,6 +696,20 @@ def test_representatives_of_repeated_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, b), (5, a), (7, None), (8, " "), (None, "x y z")], key=str)
 
 
+def test_jaccard_telling(spark):
+    """Tokens beside a pivot that the same members hold are joined once, others each."""
+    from sparkloom.llm.jaccard import telling
+
+    rows = [(9, k, k, 0, t) for k, held in {1: range(60), 2: range(50), 3: range(40, 60)}.items() for t in held]
+    rows += [(9, 4, 4, 0, t) for t in range(100, 140)]  # one member
+    rows += [(8, k, 5, 0, t) for k in (1, 2) for t in range(60)]  # one component
+    rows += [(7, k, k, kind, t) for k, kind in ((1, 1), (2, 2)) for t in range(30)]  # lacked tokens
+    rows += [(7, k, k, 1, t) for k in (5, 6) for t in range(30, 60)]  # lacked, none to meet
+    tokens = spark.createDataFrame(rows, "p long, k long, label long, kind int, token long")
+    got = sorted(telling(tokens.withColumn("part", F.col("kind") > 0)).collect())
+    assert [tuple(r) for r in got] == [(7, 0, True), (9, 0, False), (9, 40, False), (9, 50, False)]
+
+
 def test_jaccard_late(spark, monkeypatch):
     """Sets that no allocation serves are still linked, by single tokens."""
     from sparkloom.llm import jaccard as J
