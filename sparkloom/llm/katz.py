@@ -43,9 +43,11 @@ CHUNK_TOKENS = 2_500_000
 #: Bytes of text behind one range of hashes.
 RANGE_BYTES = 60_000_000
 #: A range is worked off in so many slices.
-SLICES = 8
+SLICES = 16
 #: Texts of each partition whose words make the code book, and its words; it shortens blocks and has no effect on results.
 BOOK_TEXTS, BOOK_WORDS = 512, 400_000
+#: Rows of an Arrow batch: a task's blocks in one batch would stand in the JVM and in Python as a whole.
+BATCH_ROWS = 32
 BEGIN, END = np.uint64(1), np.uint64(2)
 _M = np.uint64(0x9E3779B97F4A7C15)
 RARE = (1 << 24) - 1
@@ -170,12 +172,6 @@ def columns_of(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.nda
     return names, [*out, at]
 
 
-def numbered(columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The same form, from columns of words."""
-    names, at = np.unique(np.concatenate(columns), return_inverse=True)
-    return names, np.split(at.astype(np.int32), len(columns))
-
-
 def packed(names: np.ndarray, columns: list[np.ndarray], more: np.ndarray, setup: Setup, rising: bool = False) -> Iterator[tuple[int, bytes]]:
     """A block for each range: last history words and their numbers of rows, other columns, ``more``; words are coded.
 
@@ -220,7 +216,7 @@ class Blocks:
                 more = narrow(whole)
             self.edges.append(edges)
             self.arrays.append((count, more, coded))
-            self.rare.append([np.r_[0, np.cumsum(code == RARE, dtype=np.int32)] for code in coded[::2]])
+            self.rare.append([np.r_[0, np.cumsum(code == RARE, dtype=np.int32)][edges] for code in coded[::2]])
 
     def read(self, i: int, number: int, all_parts: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Columns and ``more`` of the rows of a block whose last history words lie in one of all parts."""
@@ -229,9 +225,34 @@ class Blocks:
         s = slice(self.edges[i][a], self.edges[i][b])
         columns = [np.repeat(names[a:b], count[a:b])]
         for j, rare in enumerate(self.rare[i]):
-            columns.append(self.setup.book.words_of(coded[2 * j][s], coded[2 * j + 1][rare[s.start] : rare[s.stop]]))
+            columns.append(self.setup.book.words_of(coded[2 * j][s], coded[2 * j + 1][rare[a] : rare[b]]))
         return columns, more[s]
 
+    def numbered(self, number: int, all_parts: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """The same over all blocks: different words in order, columns of their numbers, ``more``. Words of rows are never spread out."""
+        book, parts = self.setup.book, []
+        for names, edges, rare, (count, more, coded) in zip(self.names, self.edges, self.rare, self.arrays, strict=True):
+            a, b = np.searchsorted(ranges(names, all_parts), [number, number + 1])
+            s = slice(edges[a], edges[b])
+            columns = [(coded[2 * j][s], coded[2 * j + 1][at[a] : at[b]]) for j, at in enumerate(rare)]
+            parts.append((names[a:b], count[a:b], more[s], columns))
+        used = np.zeros(len(book.words), bool)
+        for code in (code for part in parts for code, _ in part[3]):
+            used[code[code != RARE]] = True
+        names = [book.words[used], *[x for part in parts for x in (part[0], *[rare for _, rare in part[3]])]]
+        names = np.unique(np.concatenate(names))
+        place = np.zeros(len(book.words), np.int32)
+        place[used] = np.searchsorted(names, book.words[used])
+        out = [[np.repeat(np.searchsorted(names, first).astype(np.int32), count) for first, count, _, _ in parts]]
+        for j in range(self.setup.order - 1):
+            out.append([])
+            for code, rare in (part[3][j] for part in parts):
+                other = code == RARE
+                at = place[np.where(other, 0, code)]
+                at[other] = np.searchsorted(names, rare)
+                out[-1].append(at)
+        return names, [np.concatenate(x) for x in out], np.concatenate([part[2] for part in parts])
+
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
     """Texts (id, text, place) in chunks: number, words with end marks, sizes, and the rows without texts."""
@@ -283,6 +304,17 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield at, rows
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """``cut`` with small Arrow batches."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        conf.set(name, str(BATCH_ROWS))
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
 def dealt(rows: DataFrame, key: str, parts: int, work) -> DataFrame:
     """``work(key, rows by kind)`` for each value of the key, one group at a time."""
 
@@ -350,25 +382,23 @@ def count_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup)
     followers = np.empty(0, np.uint64)
     tokens = words = texts = 0
     for number in range(SLICES):
-        parts = [blocks.read(i, p * SLICES + number, setup.parts * SLICES) for i in range(len(blocks.arrays))]
-        names, columns = numbered([np.concatenate(c) for c in zip(*[x[0] for x in parts], strict=True)])
-        columns, count = merged(columns, np.concatenate([x[1] for x in parts]))
+        names, columns, count = blocks.numbered(p * SLICES + number, setup.parts * SLICES)
+        columns, count = merged(columns, count)
         if not len(count):
             continue
         yield from (("grams", p, number, block) for _, block in packed(names, columns, count, Setup(setup.order, 1, setup.book)))
-        columns = [names[c] for c in columns]
         for level in range(2, setup.order + 1):
-            _, inverse = np.unique(gram_keys(columns, level), return_inverse=True)
-            own = np.bincount(inverse, weights=count).astype(np.int64)
+            own = count if level == setup.order else merged([*columns[: level - 1], columns[-1]], count)[1]
             seen[level - 2] += [(own == r).sum() for r in range(1, KATZ_K + 2)]
-        names, at = np.unique(columns[0], return_inverse=True)
-        total = np.bincount(at, weights=count).astype(np.int64)
+        total = np.bincount(columns[0], weights=count, minlength=len(names)).astype(np.int64)
+        follow = names[np.bincount(columns[-1], minlength=len(names)) > 0]
         tokens += int(count.sum())
-        texts += int(total[names == BEGIN].sum())
-        word = names != BEGIN
+        begins = names == BEGIN
+        texts += int(total[begins].sum())
+        word = (total > 0) & ~begins
         words += int(word.sum())
         yield "vocab", p, number, freeze(names[word], narrow(total[word]))
-        followers = np.union1d(followers, columns[-1])
+        followers = np.union1d(followers, follow)
     yield "figures", p, 0, freeze(np.array([tokens, words, texts, *seen.ravel()], np.int64))
     borders = range_borders(followers, setup.parts)
     for q in range(setup.parts):
@@ -424,8 +454,14 @@ def levels_of(columns: list[np.ndarray], count: np.ndarray, word_count: np.ndarr
     """Orders two and up of a slice's n-grams, with exactly normalised weights; word_count: of each row's word."""
     out: list[Level] = []
     for level in range(2, setup.order + 1):
-        keys, first, own = np.unique(gram_keys(columns, level), return_index=True, return_inverse=True)
-        c = np.bincount(own, weights=count)
+        if level == setup.order:  # rows differ
+            keys = gram_keys(columns, level)
+            first = np.argsort(keys)
+            keys, c = keys[first], count[first].astype(float)
+        else:
+            keys, first, own = np.unique(gram_keys(columns, level), return_index=True, return_inverse=True)
+            c = np.bincount(own, weights=count)
+            del own
         histories, history = np.unique(history_keys(columns, level)[first], return_inverse=True)
         total = np.bincount(history, weights=c, minlength=len(histories))
         d = figures.discounts(level)
@@ -493,7 +529,7 @@ class Model:
         """One row per text: doc_id, n_tokens, n_known, base_score, score (log10 probabilities)."""
         setup, figures, parts = self.setup, self.figures, self.setup.parts
         tokens = pack_tokens(docs, setup).unionByName(self.rows.where("kind in ('grams', 'counts')"))
-        scored = cut(dealt(tokens, "target", parts, lambda p, rows: score_range(p, rows, setup, figures)))
+        scored = computed(dealt(tokens, "target", parts, lambda p, rows: score_range(p, rows, setup, figures)))
         asked = scored.where("kind = 'base'").unionByName(self.rows.where("kind = 'vocab'"))
         added = dealt(asked, "target", parts, lambda q, rows: base_range(rows, setup, figures))
         back = scored.where("kind in ('texts', 'sums')").unionByName(added)
@@ -506,14 +542,14 @@ def train(docs: DataFrame, order: int = 3) -> Model:
     """The model of all texts of ``docs``."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     setup = Setup(order, max(8, -(-size // RANGE_BYTES)), code_book(docs))
-    counted = cut(dealt(pack_types(docs, setup), "target", setup.parts, lambda p, rows: count_range(p, rows, setup)))
+    counted = computed(dealt(pack_types(docs, setup), "target", setup.parts, lambda p, rows: count_range(p, rows, setup)))
     found = [thaw(r["block"])[0] for r in counted.where("kind = 'figures'").select("block").collect()]  # a few numbers per range
     sums = np.sum(found, axis=0) if found else np.zeros(3 + (order - 1) * (KATZ_K + 1), np.int64)
     texts = int(sums[2])
     counts = tuple(tuple(map(int, x)) for x in sums[3:].reshape(order - 1, KATZ_K + 1))
     figures = Figures(int(sums[0]), int(sums[1]) + (texts > 0), texts, counts)
     asked = counted.where("kind in ('ask', 'vocab')")
-    answers = cut(dealt(asked, "target", setup.parts, lambda q, rows: answer_range(q, rows, texts, setup.book)))
+    answers = computed(dealt(asked, "target", setup.parts, lambda q, rows: answer_range(q, rows, texts, setup.book)))
     return Model(counted.where("kind in ('grams', 'vocab')").unionByName(answers), setup, figures)
 
 
@@ -559,14 +595,16 @@ def pack_tokens(docs: DataFrame, setup: Setup) -> DataFrame:
 
 def range_levels(rows: dict[str, list[tuple[int, bytes]]], setup: Setup, figures: Figures) -> Iterator[tuple[list[Level], int, np.ndarray, np.ndarray]]:
     """Of each slice of a range that has any: levels, number, and the words that follow in the range with their counts."""
-    grams = [(number, Blocks([b], setup)) for number, b in sorted(rows.pop("grams", []))]
+    grams = sorted(rows.pop("grams", []))  # slices are read one at a time, twice
     followers = np.empty(0, np.uint64)
-    for _, g in grams:
-        followers = np.union1d(followers, g.read(0, 0, 1)[0][-1])
+    for _, block in grams:
+        names, columns, _ = Blocks([block], setup).numbered(0, 1)
+        followers = np.union1d(followers, names[np.bincount(columns[-1], minlength=len(names)) > 0])
     count = [thaw(b)[0].astype(np.int64) for _, b in sorted(rows.pop("counts", []))]
     count = np.concatenate(count) if count else np.empty(0, np.int64)
-    for number, g in grams:
-        columns, c = g.read(0, 0, 1)
+    while grams:
+        number, block = grams.pop(0)
+        columns, c = Blocks([block], setup).read(0, 0, 1)
         yield levels_of(columns, c, count[np.searchsorted(followers, columns[-1])], setup, figures), number, followers, count
 
 
@@ -575,8 +613,9 @@ def score_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup,
     for number, block in rows.pop("texts", []):
         yield "texts", p, number, block
     found = rows.pop("tokens", [])
-    blocks = Blocks([b for _, b in found], setup, rising=True)
-    found = [(chunk, None) for chunk, _ in found]
+    coded = [b for _, b in found]
+    found = [(chunk, None) for chunk, _ in found]  # Blocks lets go of what it has read
+    blocks = Blocks(coded, setup, rising=True)
     parts: list[list[list[np.ndarray]]] = [[] for _ in found]
     bases: list[list[np.ndarray]] = [[] for _ in found]
     followers, count, done = np.empty(0, np.uint64), np.empty(0, np.int64), set()
@@ -593,6 +632,8 @@ def score_range(p: int, rows: dict[str, list[tuple[int, bytes]]], setup: Setup,
 
     for levels, number, followers, count in range_levels(rows, setup, figures):  # noqa: B020
         done.add(number)
+        for level in levels:  # only the table shows these
+            level.history = level.shorter = np.empty(0)
         work(levels, number)
     for number in set(range(SLICES)) - done:
         work(None, number)

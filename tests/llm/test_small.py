@@ -151,6 +151,38 @@ def test_katz(spark, docs, rows, empty, order, tmp_path):
     assert back[2]["n_tokens"] == 1 and back[1]["n_known"] == sum(c[w] > 0 for w in ws)
 
 
+def test_katz_range_memory():
+    """A range's n-grams are counted by word numbers: words of rows are never spread out as 64-bit hashes."""
+    import tracemalloc
+
+    from sparkloom.llm import katz as K
+
+    r = np.random.default_rng(1)
+    book = K.Book(np.concatenate([[K.END, K.BEGIN], np.unique(K.mix(np.arange(10, 20000, dtype=np.uint64)))]).astype(np.uint64))
+    setup, blocks, want = K.Setup(3, 1, book), [], collections.Counter()
+    for chunk in range(4):
+        w = K.mix((r.zipf(1.3, 250_000) % 100_000 + 10).astype(np.uint64))
+        w[299::300] = K.END
+        w[-1] = K.END
+        ends = np.flatnonzero(w == K.END)
+        names, columns = K.columns_of(w, np.diff(np.r_[-1, ends]), 3)
+        want.update(zip(*[names[c].tolist() for c in columns], strict=True))
+        columns, count = K.merged(columns)
+        blocks += [(chunk, b) for _, b in K.packed(names, columns, count, setup)]
+    tracemalloc.start()
+    try:
+        rows = list(K.count_range(0, {"types": blocks}, setup))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    got = {}
+    for _, _, _, block in (x for x in rows if x[0] == "grams"):
+        columns, count = K.Blocks([block], setup).read(0, 0, 1)
+        got.update(zip(zip(*[c.tolist() for c in columns], strict=True), count.tolist(), strict=True))
+    assert got == want
+    assert peak < 45_000_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="aAbé \n\t\x0bz\u00a0", max_size=200), max_size=6), st.sampled_from([64, 97]))
 def test_word_hashes(texts, block):
