@@ -271,15 +271,31 @@ def among(rows: DataFrame, keys: DataFrame, key: str = "k") -> DataFrame:
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """The pairs (a, b) of set keys that link, by their whole sets; only sets of the pairs travel."""
+def paired(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set keys with the sizes (na, nb) and tokens (ta, tb) of both; only sets of the pairs travel."""
     pairs = cut(pairs.select("a", "b"))
-    for end in ("a", "b"):
-        some = among(sets.select(F.col("k").alias(end), F.col("tokens").alias(f"t{end}")), pairs.select(end), end)
-        pairs = pairs.join(some, end)
-    shared = pairs.withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    union = F.size("ta") + F.size("tb") - F.col("i")
-    return shared.where(F.col("i") * rule.of >= union * rule.at).select("a", "b")
+    one, two = (sets.select(F.col("k").alias(end), F.col("n").alias(f"n{end}"), F.col("tokens").alias(f"t{end}")) for end in ("a", "b"))
+    if pairs.count() <= BROADCAST_KEYS:
+        some = one.join(F.broadcast(pairs), "a")
+    else:
+        some = pairs.join(among(one, pairs.select("a"), "a"), "a")
+    return some.join(among(two, pairs.select("b"), "b"), "b")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (a, b) of set keys that can link, by 16 bits of each token: a quarter of the bytes of whole sets."""
+    part = F.expr("array_distinct(transform(tokens, t -> cast((shiftright(t, 24) & 65535) - 32768 as smallint)))")
+    both = paired(pairs, sets.select("k", F.size("tokens").alias("n"), part.alias("tokens")))
+    # tokens of one set that have the same bits count as shared
+    most = F.size(F.array_intersect("ta", "tb")) + F.least(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
+    return both.where(most >= needed(rule, "na", "nb")).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (a, b) of set keys that link, by their whole sets."""
+    both = paired(pairs, sets.select("k", F.size("tokens").alias("n"), "tokens"))
+    shared = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
+    return shared.where(F.col("i") * rule.of >= (F.col("na") + F.col("nb") - F.col("i")) * rule.at).select("a", "b")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -315,56 +331,121 @@ def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     return rows.select("p", "k", "np", "n", "i", "linked", away.alias("away"), probe.alias("probe"), index.alias("index"), *marks)
 
 
+def place(token: str) -> tuple[str, str]:
+    """Lane and bit of a token in bitmaps, by the first bits of its hash: in the order of the sets."""
+    first = LANES.bit_length() - 1
+    return f"cast(shiftrightunsigned({token}, {64 - first}) as int)", f"cast(shiftrightunsigned({token}, {58 - first}) & 63 as int)"
+
+
 def bits(tokens: str, lane: int) -> Column:
-    """64 of the bits of a set's bitmap: one for each token, by its hash; tokens may share one."""
-    return F.expr(f"aggregate({tokens}, 0L, (m, t) -> if(((t >> 6) & {LANES - 1}) = {lane}, m | shiftleft(1L, cast(t & 63 as int)), m))")
+    """64 of the bits of a set's bitmap: one for each token; tokens may share one."""
+    at, bit = place("t")
+    return F.expr(f"aggregate({tokens}, 0L, (m, t) -> if({at} = {lane}, m | shiftleft(1L, {bit}), m))")
+
+
+def later(token: str, lane: int) -> Column:
+    """The bits of a lane that come after a token's."""
+    at, bit = place(token)
+    return F.expr(f"case when {at} < {lane} then -1L when {at} > {lane} then 0L else shiftleft(shiftleft(-1L, {bit}), 1) end")
 
 
 def telling(tokens: DataFrame) -> DataFrame:
-    """(p, token, part) that members of different components share; of those that the same members hold one, for they say the same."""
+    """(p, token, part) that members of different components share; of those that the same members hold the first, for they say the same."""
+    sign = F.lit(-(1 << 63))  # sets are in the order of unsigned numbers
     members = [F.expr(f"bit_xor(xxhash64({i}, kind, k))").alias(f"h{i}") for i in range(2)]
     figures = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b")]
     apart = tokens.groupBy("p", "token", "part").agg(*figures, *members, F.count(F.lit(1)).alias("c"))
     apart = apart.where("lo <> hi and (not part or a <> b)")
-    return apart.groupBy("p", "part", "c", "h0", "h1").agg(F.min("token").alias("token")).select("p", "token", "part")
+    return apart.groupBy("p", "part", "c", "h0", "h1").agg(F.min(F.col("token").bitwiseXOR(sign)).bitwiseXOR(sign).alias("token")).select("p", "token", "part")
+
+
+_FIGURES = ["np", "n", "i", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
 
 
-def beside_pivots(seen: DataFrame, labels: DataFrame, rule: Threshold) -> DataFrame:
-    """Candidates (a, b) among members of a pivot's cells that are in different components."""
+def beside_pivots(seen: DataFrame, labels: DataFrame) -> DataFrame:
+    """(p, token, at, kind, k, label, own, ...) of tokens beside a pivot that members of different components share; ``at``: their places."""
     rows = cut(labelled(labelled(seen, labels, "k", "label"), labels, "p", "own"))
     tokens = None
     for kind, column in enumerate(("away", "probe", "index")):
-        some = rows.select("p", "k", "label", F.lit(kind).alias("kind"), F.explode(column).alias("token"))
+        some = rows.select("p", "k", "label", F.lit(kind).alias("kind"), F.posexplode(column).alias("at", "token"))
         tokens = some if tokens is None else tokens.unionByName(some)
     # first the few tokens that members of different components share; taking them from the rows again needs no disk
     tokens = tokens.withColumn("part", F.col("kind") > 0)
     apart = cut(telling(tokens))
     few = apart.count() <= BROADCAST_KEYS
     kept = tokens.join(F.broadcast(apart) if few else apart, ["p", "token", "part"], "left_semi").drop("part", "label")
-    figures = ["np", "n", "i", "label", "own", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
-    kept = cut(kept.join(rows.select("p", "k", *figures), ["p", "k"]))
+    return cut(kept.join(rows.select("p", "k", "label", "own", *_FIGURES), ["p", "k"]))
 
-    def side(kind: int, end: str) -> DataFrame:
-        return kept.where(F.col("kind") == kind).select("p", "token", *[F.col(c).alias(c + end) for c in ("k", *figures)])
 
-    def count(body: Callable[[Column, Column], Column], of: str) -> Column:
-        return sum((F.bit_count(body(F.col(f"{of}{lane}_a"), F.col(f"{of}{lane}_b"))) for lane in range(LANES)), F.lit(0))
+def relabelled(rows: DataFrame, before: DataFrame, labels: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the components as they are by ``labels``, given those of ``before``."""
+    old = before.select("v", F.col("label").alias("old"))
+    moved = cut(labels.join(old, "v", "left").select(F.coalesce("old", "v").alias("old"), F.col("label").alias("new")).where("old <> new").distinct())
+    few = moved.count() <= BROADCAST_KEYS
+    for name in names:
+        to = moved.withColumnRenamed("old", name)
+        rows = rows.join(F.broadcast(to) if few else to, name, "left").withColumn(name, F.coalesce("new", name)).drop("new")
+    return rows
+
+
+def _count(body: Callable[[Column, Column, int], Column], of: str) -> Column:
+    return sum((F.bit_count(body(F.col(f"{of}{lane}_a"), F.col(f"{of}{lane}_b"), lane)) for lane in range(LANES)), F.lit(0))
+
+
+def _shared() -> tuple[Column, Column]:
+    """Bounds from above of what members a and b share outside the pivot and of the pivot, from their bitmaps."""
+    out_a, out_b = F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")
+    one, two = _count(lambda a, b, _: a.bitwiseAND(F.bitwise_not(b)), "more"), _count(lambda a, b, _: b.bitwiseAND(F.bitwise_not(a)), "more")
+    return F.least(out_a - one, out_b - two), F.least("i_a", "i_b", F.col("np_a") - _count(lambda a, b, _: a.bitwiseOR(b), "gone"))
+
+
+def _first(of: str, held: tuple[Column, Column], least: Column) -> Column:
+    """Whether a token can be the first of ``least`` tokens, one at least, that the ``of`` of a and b share, of so many ``held``."""
+    one = held[0] - F.col("at_a") - _count(lambda a, b, lane: a.bitwiseAND(F.bitwise_not(b)).bitwiseAND(later("token", lane)), of)
+    two = held[1] - F.col("at_b") - _count(lambda a, b, lane: b.bitwiseAND(F.bitwise_not(a)).bitwiseAND(later("token", lane)), of)
+    return F.least(one, two) >= F.greatest(F.lit(1), least)
+
+
+def _different(rule: Threshold) -> Column:
+    return (F.col("label_a") != F.col("label_b")) & (F.col("k_a") != F.col("k_b")) & fitting(rule, "n_a", "n_b")
+
+
+def led(kept: DataFrame, rule: Threshold) -> DataFrame:
+    """Candidates (a, b): each member with one of those that lead the tokens it holds beside a pivot, the one it shares most with.
+
+    A token's lead is the member of it that shares most with the pivot.
+    """
+    rows = kept.where("kind = 0").select("p", "token", "k", "label", "i")
+    lead = rows.groupBy("p", "token").agg(F.max(F.struct("i", "k", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    lead = lead.where("lo <> hi").select("p", "token", F.col("m.k").alias("a"), F.col("m.label").alias("l"))
+    met = rows.join(lead, ["p", "token"]).where("label <> l").groupBy("p", "a", F.col("k").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    figures = kept.select("p", "k", "label", *_FIGURES).distinct()
+    for key, end in (("a", "_a"), ("b", "_b")):
+        met = met.join(figures.select("p", F.col("k").alias(key), *[F.col(x).alias(x + end) for x in ("k", "label", *_FIGURES)]), ["p", key])
+    outside, within = _shared()
+    met = met.where(_different(rule) & (outside + within >= needed(rule, "n_a", "n_b")))
+    return met.groupBy("b").agg(F.max(F.struct("c", "a"))["a"].alias("a")).select("a", "b").distinct()
+
+
+def meetings(kept: DataFrame, rule: Threshold) -> DataFrame:
+    """Candidates (a, b) among members of a pivot's cells that are in different components, once for each token that can be their first."""
+
+    def side(kind: int, end: str) -> DataFrame:
+        return kept.where(F.col("kind") == kind).select("p", "token", *[F.col(c).alias(c + end) for c in ("k", "at", "label", "own", *_FIGURES)])
 
-    different = (F.col("label_a") != F.col("label_b")) & (F.col("k_a") != F.col("k_b")) & fitting(rule, "n_a", "n_b")
     need = needed(rule, "n_a", "n_b")
     out_a, out_b = F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")
-    # bitmaps bound from above what two members share: outside the pivot, and of the pivot
-    outside = F.least(out_a - count(lambda a, b: a.bitwiseAND(F.bitwise_not(b)), "more"), out_b - count(lambda a, b: b.bitwiseAND(F.bitwise_not(a)), "more"))
-    within = F.least("i_a", "i_b", F.col("np_a") - count(lambda a, b: a.bitwiseOR(b), "gone"))
+    gone_a, gone_b = F.col("np_a") - F.col("i_a"), F.col("np_b") - F.col("i_b")
+    outside, within = _shared()
     # of two members in different components at least one is outside the pivot's
     sharing = side(0, "_a").where("label_a <> own_a").join(side(0, "_b"), ["p", "token"])
-    sharing = sharing.where(different & (outside + within >= need))
-    lost = F.abs((F.col("np_a") - F.col("i_a")) - (F.col("np_b") - F.col("i_b")))
+    sharing = sharing.where(_different(rule) & (outside + within >= need) & _first("more", (out_a, out_b), need - within))
     differ = F.expr(f"({rule.of - rule.at} * (n_a + n_b)) div {rule.of + rule.at}")
     lacking = side(1, "_a").join(side(2, "_b"), ["p", "token"])
-    lacking = lacking.where(different & (outside + within >= need) & (F.least("i_a", "i_b") >= need) & (out_a + out_b + lost <= differ))
+    lacking = lacking.where(_different(rule) & (outside + within >= need) & (F.least("i_a", "i_b") >= need) & (out_a + out_b + F.abs(gone_a - gone_b) <= differ))
+    lacking = lacking.where(_first("gone", (gone_a, gone_b), need - outside - F.col("np_a") + gone_a + gone_b))
     both = sharing.select("k_a", "k_b").unionByName(lacking.select("k_a", "k_b"))
-    return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")).distinct()
+    return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
 
 
 def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> DataFrame:
@@ -378,6 +459,10 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     the prefixes of their tokens outside p (``away``). Else one of them, x, is smaller than p and the
     other, y, isn't linked with p, and they lack more than half of x's differences to p both; so they meet
     in a part of what x lacks (``probe``) and all that y lacks (``index``).
+
+    Many copies of one text that differ as much as links allow have links by the square of their number. So
+    members are compared with one other each first (``led``), and pairs are made only of what is in different
+    components then.
     """
     order = W.partitionBy("sig").orderBy("k")
     rows = signatures(docs, width, rule)
@@ -390,7 +475,7 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     found = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = docs.sparkSession.createDataFrame([], "v long, label long")
     large = held.where(F.col("c") > SMALL_CELL)
-    pairs = None
+    kept = None
     if not large.isEmpty():
         degree = large.groupBy("k").agg(F.sum("c").alias("d"))
         member = cut(large.join(degree, "k").select("sig", "k", "n", "d"))
@@ -409,7 +494,12 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
         if not more.isEmpty():
             found = found.unionByName(more)
             labels = cut(connected_components(found))
-        pairs = beside_pivots(seen, labels, rule)
+        kept = beside_pivots(seen, labels)
+        more = cut(verified(led(kept, rule), sets, rule))
+        if not more.isEmpty():
+            before, found = labels, found.unionByName(more)
+            labels = cut(connected_components(found))
+            kept = cut(relabelled(kept, before, labels, "label", "own"))
     # cells of few members; a pair's other meetings, in large cells, are as many as either has at most
     often = held.groupBy("k").agg(F.sum((F.col("c") > SMALL_CELL).cast("int")).alias("l"))
     rows = labelled(held.where(F.col("c") <= SMALL_CELL).join(often, "k"), labels, "k", "label")
@@ -419,8 +509,8 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
         F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l")
     )
     few = few.where(F.col("c") + F.col("l") >= least_shared(rule)).select("a", "b")
-    pairs = few if pairs is None else few.unionByName(pairs).distinct()
-    out = found.unionByName(cut(verified(pairs, sets, rule)))
+    pairs = few if kept is None else few.unionByName(meetings(kept, rule)).distinct()
+    out = found.unionByName(cut(verified(alike(pairs, sets, rule), sets, rule)))
     late = cut(met.where("late").select("k").distinct())
     if not late.isEmpty():
         out = out.unionByName(late_links(docs, keys, late, width, rule))

@@ -742,6 +742,37 @@ def test_jaccard_telling(spark):
     assert [tuple(r) for r in got] == [(7, 0, True), (9, 0, False), (9, 40, False), (9, 50, False)]
 
 
+def test_jaccard_meetings(spark):
+    """Members that share much beside a pivot meet in few of these tokens, and no link is lost; each is compared with one first."""
+    from sparkloom.llm import jaccard as J
+
+    r = np.random.default_rng(5)
+    rule, token = J.Threshold(85), r.integers(0, 1 << 64, 400, np.uint64)
+    held = {0: set(range(100))}
+    for k in range(1, 31):
+        held[k] = set(range(int(r.integers(0, 6)), 100)) | {int(x) for x in r.choice(np.arange(100, 160), int(r.integers(36, 58)), False)}
+    for k in range(31, 61):  # shorter than the pivot, nothing beside it
+        held[k] = {int(x) for x in r.choice(100, int(r.integers(82, 95)), False)}
+    rows = [(k, np.sort(token[sorted(x)]).view(np.int64).tolist()) for k, x in held.items()]
+    sets = spark.createDataFrame(rows, "k long, tokens array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in held if k], "p long, k long")
+    linked = {(a, b) for a, b in itertools.combinations(held, 2) if 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])}
+    seen = J.compared(pairs, sets, rule)
+    labels = spark.createDataFrame([(b, 0) for a, b in linked if a == 0] + [(0, 0)], "v long, label long")
+    own = {v for v, _ in labels.collect()}
+    want = {x for x in linked if not own.issuperset(x)}
+    kept = J.beside_pivots(seen, labels)
+    got = [tuple(x) for x in J.meetings(kept, rule).collect()]
+    assert len(want) > 150 and want <= set(got)
+    shared = sum(len(held[a] & held[b] - held[0]) for a, b in set(got))
+    assert len(got) < shared / 2  # both orders of a pair count; they met in every shared token
+    first = [tuple(x) for x in J.led(kept, rule).collect()]
+    assert 0 < len(first) < len(held) and len({b for _, b in first}) == len(first)
+    every = spark.createDataFrame(list(itertools.combinations(held, 2)), "a long, b long")
+    assert {tuple(x) for x in J.verified(every, sets, rule).collect()} == linked
+    assert linked <= {tuple(x) for x in J.alike(every, sets, rule).collect()}
+
+
 def test_jaccard_late(spark, monkeypatch):
     """Sets that no allocation serves are still linked, by single tokens."""
     from sparkloom.llm import jaccard as J
