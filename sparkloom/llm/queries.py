@@ -99,9 +99,36 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), width=4, rule=Threshold(85))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least=30, most=50)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64)
+
+
+#: Fixed value of the query: what both turns of conversation -1 say.
+SPOKEN = "</s>[INST] ok [/INST]"
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.chat import digests, formatted
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", SPOKEN), (-1, 1, "assistant", SPOKEN)], rows.schema)
+    return digests(formatted(rows.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_chat_formatting": op13_chat_formatting,
     "op2_url_filters": op2_url_filters,
     "op3_sentencepiece_sampling": op3_sentencepiece_sampling,
     "op4_secret_scans": op4_secret_scans,
