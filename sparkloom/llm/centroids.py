@@ -43,6 +43,14 @@ MOST = (1 << 63) - 1
 ROWS, EXACT = -1, -2
 
 
+def doubles(x: np.ndarray) -> np.ndarray:
+    """Integers as doubles, infinite where these end."""
+    if x.dtype != object:
+        return x.astype(np.float64)
+    flat = [float(v) if abs(v).bit_length() < 1024 else math.inf for v in x.reshape(-1).tolist()]
+    return np.array(flat, np.float64).reshape(x.shape)
+
+
 @dataclass(frozen=True)
 class Layout:
     """How vectors are stored: ``width`` bytes a component; ``wide`` ones are Python integers in memory."""
@@ -78,7 +86,7 @@ class Layout:
     def norms(self, vectors: np.ndarray) -> np.ndarray:
         """Norms of the segments, as doubles; infinite where doubles end, which screens nothing."""
         with np.errstate(over="ignore"):
-            x = vectors.astype(np.float64)
+            x = doubles(vectors)
             edges = [i * self.dims // BLOCKS for i in range(BLOCKS)] if self.dims >= BLOCKS else list(range(self.dims))
             return np.sqrt(np.add.reduceat(x * x, edges, axis=1))
 
@@ -115,7 +123,7 @@ class Centroids:
         distance = exact(x, c[cluster])
         done, first = len(x), cluster.copy()
         for j in range(len(c)):
-            open_ = (first != j) & ~(bound[:, j] > distance.astype(np.float64) * (1 + SLACK))
+            open_ = (first != j) & ~(bound[:, j] > doubles(distance) * (1 + SLACK))
             if not open_.any():
                 continue
             at = np.flatnonzero(open_)
