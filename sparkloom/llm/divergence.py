@@ -1,7 +1,8 @@
 """Source divergence audit: how far the sources of a language use its frequent terms differently.
 
-Rows (lang, term, source, document) are dealt by language and term, sorted within partitions, and scanned run by
-run: the run of a term gives its document frequency and its counts per source. Tasks sum up what they read
+Rows (lang, term, source, document) are dealt by language and term, sorted within partitions (a term's own bytes decide
+before its language's: which run comes first doesn't matter, and Spark compares the first eight bytes at once), and
+scanned run by run: the run of a term gives its document frequency and its counts per source. Tasks sum up what they read
 before that shuffle, a row for each language, term and source, so that a frequent term or a large source travels
 as a few rows; ``document`` is the smallest one behind a row. Only terms in at least ``least`` documents of their
 language go on; a second scan of the runs emits, per run, partial figures of pairs of sources and the terms that
@@ -41,9 +42,11 @@ from sparkloom.operators.lineage import cut
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Bytes of text that are split at once, and entries that a task sums up before it sends them.
-PIECE, ENTRIES = 1 << 20, 300_000
+PIECE, ENTRIES = 1 << 20, 1_000_000
 #: Sums of pairs that a task holds before it sends them, and rows of an Arrow batch it sends.
 PAIRS, BATCH = 200_000, 20_000
+#: Terms times sources that stand in a matrix at once.
+CELLS = 1 << 20
 
 
 def terms_of(text: bytes) -> Iterator[list[bytes]]:
@@ -66,13 +69,13 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed() -> Iterator[pa.RecordBatch]:
         for (lang, source), (df, n, doc) in held.items():
-            keys = sorted(df)
+            keys, counts = list(df), list(df.values())
             for at in range(0, len(keys), BATCH):
                 own = keys[at : at + BATCH]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array([source] * len(own), pa.string()),
-                        pa.array([doc] * len(own), pa.int64()), pa.array([df[k] for k in own], pa.int64()), pa.array([n[k] for k in own], pa.int64()),
+                        pa.array([doc] * len(own), pa.int64()), pa.array(counts[at : at + BATCH], pa.int64()), pa.array(map(n.__getitem__, own), pa.int64()),
                     ],
                     ["lang", "term", "source", "doc", "df", "n"],
                 )
@@ -166,6 +169,21 @@ def _emit(kind: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 PAIR, TERM = 0, 1
 
 
+def _both(run: np.ndarray, source: np.ndarray, p: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(a, b, x) for sources a < b that share runs: what having their terms both changes, summed over the runs."""
+    used, source = np.unique(source, return_inverse=True)
+    shares, has = (np.zeros((int(run.max(initial=-1)) + 1, len(used)), t) for t in (np.int64, bool))
+    shares[run, source], has[run, source] = p, True
+    low = np.zeros(len(used), np.int64)
+    low[source] = base
+    for a in range(len(used) - 1):
+        own = np.flatnonzero(has[:, a])
+        one, rest, with_ = shares[own, a, None], shares[own, a + 1 :], has[own, a + 1 :]
+        change = np.abs(one - rest) - np.abs(one - low[a + 1 :]) - np.abs(low[a] - rest) + np.abs(low[a] - low[a + 1 :])
+        for b in np.flatnonzero(with_.any(0)).tolist():
+            yield int(used[a]), int(used[a + 1 + b]), int(change[with_[:, b], b].sum())
+
+
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per run: for pairs of its sources what having the term both changes, and the terms above the language's share."""
     sums: dict[tuple, int] = defaultdict(int)
@@ -181,16 +199,20 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(over) >= PAIRS:
             yield from _emit(TERM, over)
             over = []
-        for start, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            lang = langs[start]
-            for i in range(start, start + size - 1):
-                rest = slice(i + 1, start + size)
-                both = np.abs(p[i] - p[rest]) - np.abs(p[i] - base[rest]) - np.abs(base[i] - p[rest]) + np.abs(base[i] - base[rest])
-                for other, x in zip(sources[rest], both.tolist(), strict=True):
-                    sums[lang, sources[i], other] += x
-                if len(sums) >= PAIRS:
-                    yield from _emit(PAIR, [(*k, v) for k, v in sums.items()])
-                    sums.clear()
+        runs = np.repeat(np.arange(len(starts)), sizes)
+        lang_of = np.array(langs, object)
+        for lang in dict.fromkeys(langs):
+            at = np.flatnonzero(lang_of == lang)
+            names, place = np.unique(np.array(sources, object)[at], return_inverse=True)
+            run = np.unique(runs[at], return_inverse=True)[1]
+            step = max(1, CELLS // len(names))
+            for first in range(0, int(run[-1]) + 1, step):
+                own = (run >= first) & (run < first + step)
+                for a, b, x in _both(run[own] - first, place[own], p[at][own], base[at][own]):
+                    sums[lang, names[a], names[b]] += x
+                    if len(sums) >= PAIRS:
+                        yield from _emit(PAIR, [(*k, v) for k, v in sums.items()])
+                        sums.clear()
     yield from _emit(TERM, over)
     yield from _emit(PAIR, [(*k, v) for k, v in sums.items()])
 
@@ -200,7 +222,7 @@ def frequent_terms(docs: DataFrame, least: int = 30) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = docs.select(text("lang"), text("source"), text("text"), F.col("doc_id").cast("long").alias("doc"))
     partial = rows.mapInArrow(_partial, "lang string, term string, source string, doc long, df long, n long")
-    dealt = partial.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "doc")
+    dealt = partial.repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "doc")
     return dealt.mapInArrow(_frequent(least), "lang string, term string, source string, n long, head long")
 
 
@@ -216,7 +238,7 @@ def divergence(docs: DataFrame, least: int = 30, most: int = 50) -> DataFrame:
     langs = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.sum("head").alias("kept"))
     groups = cut(groups.join(langs, "lang").withColumn("base", F.when(F.col("kept") > 0, _share(F.lit(0), F.col("total"), F.col("kept"))).otherwise(F.lit(0))))
     used = counts.where("term <> ''").join(groups.drop("base"), ["lang", "source"])
-    dealt = used.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
+    dealt = used.repartition("lang", "term").sortWithinPartitions("term", "lang", "source")
     figures = cut(dealt.select("lang", "term", "source", "n", "total", "lang_total", "kept").mapInArrow(_figures, "kind int, lang string, source string, item string, value long"))
 
     histogram = used.groupBy("lang", "source", _share(F.col("n"), F.col("total"), F.col("kept")).alias("p")).agg(F.count(F.lit(1)).alias("m"))
