@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,3 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut_measured(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """``cut`` and aggregates over its rows, by the same job.
+
+    The figures are taken where the rows are written, in the job's last stage, whose tasks count once even if an
+    executor is lost and earlier stages run again.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return out, {name: seen.get.get(name) for name in figures}

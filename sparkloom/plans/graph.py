@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 
 
 SALT = "salt_"
+#: Edges of a partition for which the number of partitions follows the number of edges.
+PARTITION_EDGES = 4_000_000
+#: Edges of one adjacency row; a vertex with more has several rows.
+ROW_EDGES = 16_384
 #: A source with more than this share of a partition's mean number of edges is a hub.
 HUB_SHARE = 4
 #: ... if it has at least so many.
@@ -38,9 +44,9 @@ class Graph:
     @staticmethod
     def from_edges(edges: DataFrame, num_vertices: int, partitions: int | None = None, num_edges: int | None = None, symmetric: bool = False) -> Graph:
         """Edges are laid out once by ``src``, the key on which every edge map joins them."""
-        n = partitions or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         counts = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         total = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        n = partitions or max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total["n"] or 0) // PARTITION_EDGES))
         size, limit = total["n"] or 0, max(HUB_EDGES, HUB_SHARE * (total["n"] or 0) // n)
         if (total["most"] or 0) <= limit:
             heavy, laid = [], _laid(edges, n, "src")
@@ -56,6 +62,11 @@ class Graph:
     def unpersist(self) -> None:
         if self.laid is not None:
             self.laid.unpersist()
+        for kept in ("out_rows", "in_rows", "degrees"):
+            if kept in self.__dict__:
+                self.__dict__.pop(kept).unpersist()
+        if "incoming" in self.__dict__:
+            self.__dict__.pop("incoming").unpersist()
 
     @property
     def spark(self):
@@ -86,6 +97,29 @@ class Graph:
         rest = [c for c in self.edges.columns if c not in ("src", "dst")]
         return self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest)
 
+    @cached_property
+    def degrees(self) -> DataFrame:
+        """The out-degrees, dealt by vertex as the edges are, and kept."""
+        return self.out_degrees().repartition(self.partitions, "v").persist(StorageLevel.MEMORY_AND_DISK)
+
+    @cached_property
+    def incoming(self) -> Graph:
+        """The transposed graph, laid out: edges by target. Kept with this graph."""
+        return self.transpose().laid_out()
+
+    @cached_property
+    def out_rows(self) -> DataFrame:
+        """Adjacency rows (v, place, others, and weights if there are any), ``others`` ascending; kept with this graph.
+
+        A vertex has one row for ``ROW_EDGES`` edges; a hub's rows lie by its salts. Built where the edges lie, without an exchange.
+        """
+        return _adjacency(self.laid_out(), [c for c in self.edges.columns if c not in ("src", "dst")])
+
+    @cached_property
+    def in_rows(self) -> DataFrame:
+        """Adjacency rows (v, place, others) of the in-edges: ``others`` are the sources, ascending."""
+        return _adjacency(self.incoming, [])
+
     def transpose(self) -> Graph:
         """Every edge turned round; its own inverse. Not laid out yet: ``laid_out`` does that for what iterates."""
         return Graph(self._turned(), self.num_vertices, self.num_edges, self.symmetric)
@@ -101,6 +135,15 @@ class Graph:
         return Graph.from_edges(self.edges, self.num_vertices, num_edges=self.num_edges, symmetric=self.symmetric)
 
 
+def _adjacency(graph: Graph, rest: list[str]) -> DataFrame:
+    keys = ["src", SALT] if graph.hubs else ["src"]
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("dst", *rest))
+    placed = graph.laid.select(*keys, "dst", *rest, F.floor((number - 1) / ROW_EDGES).cast("int").alias("place"))
+    rows = placed.groupBy(*keys, "place").agg(F.sort_array(F.collect_list(F.struct("dst", *rest))).alias("e"))  # ROW_EDGES at most
+    lists = [F.col("e.dst").alias("others"), *[F.col(f"e.{c}").alias({"w": "weights"}.get(c, c)) for c in rest]]
+    return rows.select(F.col("src").alias("v"), *keys[1:], "place", *lists).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _laid(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
     return edges.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -114,29 +157,52 @@ def fixed_chunks(graph: Graph, chunks: int) -> DataFrame:
 def balanced_chunks(graph: Graph, chunks: int, page: int = 4096) -> DataFrame:
     """(chunk, first, last): ranges of ids with about equal out-degree plus a charge per vertex.
 
-    Weights are summed per page of ids in Spark; only the pages' sums come to the driver, where each chunk
-    takes pages until its share of what is left is reached.
+    Weights are summed per page of ids; one task reads the pages in order and folds them, holding one chunk: it takes
+    pages until its share of what is left is reached. A page's row is 16 bytes for ``page`` vertices.
     """
     charge = 8 * (chunks - 1)
     pages = graph.out_degrees().groupBy(F.expr(f"v div {page}").alias("page")).agg(F.sum(F.col("out_degree") + charge).alias("weight"))
-    weights = [r["weight"] for r in pages.orderBy("page").collect()]
-    left, first, rows = sum(weights), 0, []
-    for chunk in range(chunks):
-        share, held, end = left / (chunks - chunk), 0, first
-        while end < len(weights) and (chunk == chunks - 1 or held + weights[end] <= share):
-            held += weights[end]
-            end += 1
-        rows.append((chunk, first * page, min(end * page, graph.num_vertices)))
-        left, first = left - held, end
-    return graph.spark.createDataFrame(rows, "chunk int, first long, last long")
+    total = pages.agg(F.sum("weight").alias("n")).first()["n"] or 0
+    num_vertices = graph.num_vertices
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, first, at, held, chunk, out = total, 0, 0, 0, 0, []
+        for batch in batches:
+            for weight in batch.column(0).to_pylist():
+                while chunk < chunks - 1 and held + weight > left / (chunks - chunk):
+                    out.append((chunk, first, at))
+                    left, first, held, chunk = left - held, at, 0, chunk + 1
+                held, at = held + weight, at + 1
+        while chunk < chunks:
+            out.append((chunk, first, at))
+            first, chunk = at, chunk + 1
+        rows = [(c, a * page, min(b * page, num_vertices)) for c, a, b in out]
+        columns = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["chunk", "first", "last"])
+
+    return pages.repartition(1).sortWithinPartitions("page").select("weight").mapInArrow(fold, "chunk int, first long, last long")
 
 
 def owner(chunks: DataFrame, vertex: str = "v") -> Column:
-    """The chunk that owns a vertex, null for ids outside; ``chunks`` as ``balanced_chunks`` gives them, a row per worker."""
-    out = F.lit(None).cast("int")
-    for r in chunks.collect():
-        out = F.when((F.col(vertex) >= r["first"]) & (F.col(vertex) < r["last"]), F.lit(r["chunk"])).otherwise(out)
-    return out
+    """The chunk that owns a vertex, null for ids outside; ``chunks`` as ``balanced_chunks`` gives them, a row per worker.
+
+    The ends of the ranges are one array; a binary search in it counts those at or below the vertex.
+    """
+    rows = sorted(chunks.select("chunk", "first", "last").collect(), key=lambda r: (r["first"], r["last"], r["chunk"]))
+    steps = max(1, len(rows).bit_length())
+    ends = F.split(F.lit(",".join(str(r["last"]) for r in rows)), ",").cast("array<bigint>")
+    names = F.split(F.lit(",".join(str(r["chunk"]) for r in rows)), ",").cast("array<int>")
+    v = F.col(vertex)
+    wider = lambda at, half: F.when(F.coalesce(F.get(ends, at + half - 1), F.lit(1 << 62)) <= v, at + half).otherwise(at)
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
+    place = F.aggregate(halves, F.lit(0), wider)
+    return F.when((v >= (rows[0]["first"] if rows else 0)), F.get(names, place))
+
+
+def by_owner(graph: Graph, chunks: DataFrame, number: int, end: str = "dst") -> DataFrame:
+    """The edges with the chunk that owns their ``end``, laid out so that partition i holds the edges of chunk i."""
+    placed = graph.edges.withColumn("chunk", owner(chunks, end))
+    return placed.repartitionById(number, F.coalesce("chunk", F.lit(0))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def gather(state: DataFrame, column: str, num_vertices: int, most: int = 10_000_000) -> np.ndarray:

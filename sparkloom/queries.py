@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import algorithms as A
 from sparkloom.operators import kernels as K
-from sparkloom.operators.lineage import ensure_checkpoint_dir
+from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
 from sparkloom.plans import stats, tables
 from sparkloom.plans.graph import balanced_chunks, gather, owner, running_edges
 from sparkloom.sources import prepared, records, text
@@ -113,8 +113,12 @@ def undirected_load(s, d):
 
 
 def edge_map_global(s, d):
+    """The sum that comes with an edge map's messages."""
     g = tables.hop(s, d)
-    return s.createDataFrame([(round(K.edge_sum(g, _thirds(g), F.col("x") + F.col("w")), 2),)], "total double")
+    message = F.col("x") + F.col("w")
+    sent, total = K.edge_map(g, _thirds(g), message, "min", total=message)
+    cut(sent)
+    return s.createDataFrame([(round(total.value, 2),)], "total double")
 
 
 def vertex_map_sum(s, d):

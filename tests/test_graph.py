@@ -281,8 +281,12 @@ def test_degree_report(spark, tmp_path, micro):
     assert len(parts) == 19 and parts["outgoing_adj_list"]["bytes"] == 72 and parts["compressed_outgoing_adj_index"]["bytes"] == 84
 
 
-def test_edge_sum(micro):
-    assert K.edge_sum(micro, micro.vertex_ids.where("v = 0"), F.col("w")) == 10
+def test_sums_of_the_same_pass(micro):
+    for by in ("edges", "rows"):
+        got, total = K.edge_map(micro, micro.vertex_ids.where("v = 0"), F.col("w"), "min", total=F.col("w"), by=by)
+        assert sorted(tuple(r) for r in got.collect()) == [(1, 1.0), (2, 5.0)] and total.value == 10
+    state, total = K.vertex_map(micro.out_degrees(), {"x": F.col("out_degree") + 1}, F.col("v") < 2, total=F.col("x"))
+    assert column(state, "x")[:3] == [4, 2, None] and total.value == 6
 
 
 def test_shared_folder_is_asked_for():
