@@ -10,7 +10,6 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ from sparkloom.operators.bitmaps import Tester, VertexSet, fits
 from sparkloom.operators.kernels import direction, edge_map, pull_step
 from sparkloom.operators.lineage import cut, cut_measured, ensure_checkpoint_dir
 from sparkloom.operators.steps import StepLog
-from sparkloom.plans.graph import PARTITION_EDGES, Graph
+from sparkloom.plans.graph import PARTITION_EDGES, Graph, kept
 
 DAMPING = 0.85
 #: Super-steps between two checkpoints where a step doesn't need to be read back.
@@ -119,7 +118,7 @@ class Lowest:
     def add(self, frontier: DataFrame) -> None:
         self.since.append(frontier.select("v", self.column))
         if len(self.since) > COMPACT_EVERY:
-            dealt = cut(self.known()).repartition(self.graph.partitions, "v").persist(StorageLevel.MEMORY_AND_DISK)
+            dealt = kept(cut(self.known()).repartition(self.graph.partitions, "v"))
             none = dealt.where("false").select("v", self.column)
             self.close()
             self.base, self.since = dealt, [none]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.queries import GR_LINES, ITERATIONS, TSV_LINES
+from sparkloom.queries import GATHERED, ITERATIONS
 
 HOP = """select o_custkey::bigint src, (lead(o_custkey) over (partition by o_orderdate order by o_orderkey))::bigint dst,
  o_totalprice::double w from orders qualify dst is not null"""
@@ -41,11 +41,31 @@ PATHS = f"""with recursive e as materialized ({HOP}), {VS}, s(v, d) using key (v
  union (select e.dst, min(s.d+e.w) from s join e on e.src=s.v left join recurring.s r on r.v=e.dst
         group by e.dst having min(s.d+e.w) < coalesce(min(r.d), 1e9)))"""
 
-LABELS = f"""with recursive u as materialized (select src, dst from ({SPARSE}) union all select dst, src from ({SPARSE})), {VS},
+
+def labels(edges: str) -> str:
+    """CTEs up to l(v, label)."""
+    return f"""with recursive u as materialized (select src, dst from ({edges}) union all select dst, src from ({edges})), {VS},
  l(v, label) using key (v) as (select v, v from vs
  union (select u.dst, min(l.label) from l join u on u.src=l.v join recurring.l r on r.v=u.dst
         group by u.dst having min(l.label) < min(r.label)))"""
 
+
+LABELS = labels(SPARSE)
+
+#: CTE p(i, v, label, ch): labels of all vertices by round, and whether they fell in it.
+LABEL_ROUNDS = f"""with recursive u as materialized (select src, dst from ({SPARSE}) union all select dst, src from ({SPARSE})), {VS},
+ p(i, v, label, ch) as (select 0, v, v, true from vs union all
+  select it.i + 1, p.v, least(p.label, coalesce(m.x, p.label)), coalesce(m.x < p.label, false) from p
+  left join (select u.dst v, min(p.label) x from p join u on u.src=p.v where p.ch group by 1) m on m.v=p.v, (select any_value(i) i, bool_or(ch) going from p) it
+  where it.going)"""
+
+#: CTE p(i, v, d, ch): distances of all vertices by step, and whether they fell in it.
+PATH_STEPS = f"""with recursive e as materialized ({HOP}), od as materialized (select src v, count(*) od from e group by 1), {VS},
+ p(i, v, d, ch) as (select 0, v, case when v = {root(HOP)} then 0.0::double else 1e9::double end, v = {root(HOP)} from vs union all
+  select it.i + 1, p.v, least(p.d, coalesce(m.x, p.d)), coalesce(m.x < p.d, false) from p
+  left join (select e.dst v, min(p.d+e.w) x from p join e on e.src=p.v where p.ch group by 1) m on m.v=p.v, (select any_value(i) i, bool_or(ch) going from p) it
+  where it.going)"""
+
 BETWEEN = f"""with recursive e as materialized ({HOP}), {VS},
  b(v, l) using key (v) as (select {root(HOP)}::bigint, 0
    union (select distinct e.dst, b.l+1 from b join e on e.src=b.v where not exists (select 1 from recurring.b x where x.v=e.dst))),
@@ -65,19 +85,6 @@ BOTH = f"""e as ({HOP}), {VS}, g as (select vs.v, coalesce(o.n, 0) o, coalesce(i
  left join (select src v, count(*) n from e group by 1) o using (v) left join (select dst v, count(*) n from e group by 1) i using (v))"""
 
 
-def values(rows: list[str]) -> str:
-    return "values " + ", ".join(f"({r})" for r in rows)
-
-
-def _tsv() -> str:
-    return f"select * from ({values([x.replace(chr(9), '::bigint, ') + '::bigint' for x in TSV_LINES])}) t(src, dst)"
-
-
-def _gr() -> str:
-    rows = [x.split()[1:] for x in GR_LINES if x.startswith("a ")]
-    return f"select * from ({values([f'{a}::bigint, {b}::bigint, {c}::double' for a, b, c in rows])}) t(src, dst, w)"
-
-
 def _report(side: str) -> str:
     return f"""min({side[0]})::bigint min_{side}, max({side[0]})::bigint max_{side}, round(avg({side[0]}), 6) avg_{side},
  count(*) filter ({side[0]} = 0)::bigint zero_{side}, round(100.0 * count(*) filter ({side[0]} = 0) / count(*), 6)::double zero_{side}_percent"""
@@ -98,17 +105,16 @@ CHUNKS = f"""with recursive {BOTH}, w as (select v // 64 page, sum(o + 24) n fro
   where r.chunk < 3),
  cut as (select chunk, f * 64 "first", least(l * 64, {V}) "last" from r where chunk >= 0)"""
 
-#: CTE parts(part, bytes, remote): one worker, one socket, eight threads.
-PARTS = f"""with {BOTH}, n as (select count(*) v, sum(o) e, count(*) filter (o > 0) no, count(*) filter (i > 0) ni from g),
- parts as (select x.p part, x.b::bigint bytes, x.r remote from (select unnest([
- {{'p': 'out_degree', 'b': v*4, 'r': false}}, {{'p': 'in_degree', 'b': v*4, 'r': false}}, {{'p': 'partition_offset', 'b': 8, 'r': false}},
- {{'p': 'local_partition_offset', 'b': 8, 'r': false}}, {{'p': 'outgoing_edges', 'b': 8, 'r': false}}, {{'p': 'incoming_edges', 'b': 8, 'r': false}},
- {{'p': 'outgoing_adj_bitmap', 'b': (v//64+1)*8, 'r': false}}, {{'p': 'incoming_adj_bitmap', 'b': (v//64+1)*8, 'r': false}},
- {{'p': 'outgoing_adj_index', 'b': (v+1)*8, 'r': true}}, {{'p': 'incoming_adj_index', 'b': (v+1)*8, 'r': true}},
- {{'p': 'outgoing_adj_list', 'b': e*8, 'r': true}}, {{'p': 'incoming_adj_list', 'b': e*8, 'r': true}},
- {{'p': 'compressed_outgoing_adj_vertices', 'b': 4, 'r': false}}, {{'p': 'compressed_incoming_adj_vertices', 'b': 4, 'r': false}},
- {{'p': 'compressed_outgoing_adj_index', 'b': (no+1)*12, 'r': true}}, {{'p': 'compressed_incoming_adj_index', 'b': (ni+1)*12, 'r': true}},
- {{'p': 'thread_state', 'b': 96, 'r': false}}, {{'p': 'tuned_chunks_dense', 'b': 96, 'r': false}}, {{'p': 'tuned_chunks_sparse', 'b': 96, 'r': false}}]) x from n))"""
+#: CTE parts(chunk, vertices, edges, remote).
+PARTS = f"""{CHUNKS}, x as (select a.chunk, b.chunk "to" from e join cut a on src >= a."first" and src < a."last" join cut b on dst >= b."first" and dst < b."last"),
+ parts as (select cut.chunk::int chunk, ("last" - "first")::bigint vertices, count(x.chunk)::bigint edges, count(x.chunk) filter (x.chunk <> x."to")::bigint remote
+  from cut left join x using (chunk) group by all)"""
+
+#: CTE runs(file, run, command, max_time), over the events that the log is made of.
+RUNS = """with l as (select (event_id % 4)::int file, event_id i, event_type t, user_id u, value x from events),
+ n as (select *, count(*) filter (t = 'signup') over (partition by file order by i rows unbounded preceding) run from l),
+ runs as (select file, run::bigint run, './bfs g ' || max(u) filter (t = 'signup') || ' 1' command,
+  coalesce(max(x) filter (t not in ('signup', 'error')), 0.0)::double max_time from n where run > 0 group by 1, 2)"""
 
 SINGLE = HOP.replace("::double w", "::float w")
 
@@ -128,21 +134,20 @@ ORACLES: dict[str, str] = {
  sum(i)::bigint in_edges, round(avg(o), 6) avg_out, round(avg(i), 6) avg_in, max(o)::bigint max_out, max(i)::bigint max_in from g group by 1""",
     "partition_chunks": f"{CHUNKS} select chunk::int chunk, \"first\"::bigint \"first\", \"last\"::bigint \"last\" from cut",
     "vertex_owner": f"{CHUNKS} select v::bigint v, chunk::int chunk from range(0, {V}) t(v) join cut on v >= \"first\" and v < \"last\"",
-    "footprint": f"""{PARTS} select part, bytes::bigint bytes, round(100.0*bytes/sum(bytes) over (), 6)::double "percent",
- case when bytes >= 1048576 then format('{{:,.2f}} MB', bytes/1048576) when bytes >= 1024 then format('{{:,.2f}} KB', bytes/1024) else format('{{:,.2f}} B', bytes/1.0) end human,
- remote from parts""",
-    "footprint_remote": f"{PARTS} select round(100.0 * sum(bytes) filter (remote) / sum(bytes), 6)::double remote_percent from parts",
+    "range_layout": f"""{CHUNKS} select chunk::int place, count(*)::bigint edges, 1::bigint chunks from e join cut on dst >= "first" and dst < "last" group by 1""",
+    "footprint": f"""{PARTS} select chunk, vertices, edges, remote, edges*12 bytes,
+ case when edges*12 >= 1048576 then format('{{:,.2f}} MB', edges*12/1048576) when edges*12 >= 1024 then format('{{:,.2f}} KB', edges*12/1024) else format('{{:,.2f}} B', edges*12/1.0) end human from parts""",
+    "footprint_remote": f"{PARTS} select round(100.0 * sum(remote) / sum(edges), 6)::double remote_percent from parts",
     "degree_report": f"""with {BOTH}, c as (select v // ((({V})+3)//4) chunk, count(*) n, sum(o) o, sum(i) i, avg(o) ao, avg(i) ai, max(o) mo, max(i) mi from g group by 1)
  select unnest(['vertices: ' || count(*), 'edges: ' || sum(o)::bigint, {_lines('out')}, {_lines('in')}]) "value" from g union all
  select format('chunk {{}}: vertices {{}}, out {{}}, in {{}}, mean out {{:.1f}}, mean in {{:.1f}}, max out {{}}, max in {{}}', chunk, n, o::bigint, i::bigint, ao, ai, mo, mi) from c""",
-    "gathered_degrees": degree(HOP, "src"),
+    "gathered_degrees": f"select * from ({degree(HOP, 'src')}) order by deg desc, v limit {GATHERED}",
     "undirected_load": f"""select v, deg, (select count(*) from ({HOP}))::bigint records
  from ({degree(f"select src, dst from ({HOP}) union all select dst, src from ({HOP})", "src")})""",
     "edge_map_global": f"with {SENT} select round(sum(x+w), 2) total from e join f on f.v=e.src",
     "sssp_distance_float": f"{PATHS.replace(HOP, SINGLE).replace('0.0::double', '0.0::float')} select vs.v, coalesce(s.d, 1e9::float)::double dist from vs left join s using (v)",
-    "run_log_report": """select run::bigint run, place::int place, "value" from (values (1, 0, 'Run: ./pagerank g 10 1'), (1, 1, 'Max Total Process Time: 2.25(s)'), (1, 2, ''),
- (2, 0, 'Run: ./bfs g 10 1'), (2, 1, 'Max Total Process Time: 0.75(s)'), (2, 2, ''),
- (3, 0, 'Run: ./sssp g --map-by socket 1'), (3, 1, 'Max Total Process Time: 0.0(s)'), (3, 2, '')) t(run, place, "value")""",
+    "run_log_report": f"""{RUNS}, t as (select file, run, ['Run: ' || command, 'Max Total Process Time: ' || max_time || '(s)', ''] x from runs)
+ select file, run, unnest(range(0, 3))::int place, unnest(x) "value" from t""",
     "vertex_map_sum": f"with {BOTH} select sum(o*2+i)::bigint total from g where v % 3 = 0",
     "edge_map_sum": f"with {SENT} select dst v, round(sum(x+w), 6) msg from e join f on f.v=e.src group by 1",
     "edge_map_min": f"with {SENT} select dst v, round(min(x+w), 6) msg from e join f on f.v=e.src group by 1",
@@ -164,11 +169,27 @@ ORACLES: dict[str, str] = {
     "bfs_frontier_sizes": f"{walk(SPARSE)} select l::int \"level\", count(*)::bigint size from b group by 1",
     "bc_sigma": f"{BETWEEN} select vs.v, round(coalesce(sigma, 0), 6)::double sigma from vs left join done using (v)",
     "bc_dependency": f"{BETWEEN} select vs.v, round(dep, 6) dep from vs left join done using (v)",
-    "top20_bc": f"{BETWEEN} select v, round(sigma, 6) sigma, round(dep, 6) dep from done order by v limit 20",
+    "top20_bc": f"{BETWEEN} select vs.v, round(coalesce(sigma, 0), 6)::double sigma, round(dep, 6) dep from vs left join done using (v) where vs.v < 20",
     "edge_roundtrip": f"select src, dst, round(w::float::double, 1) w from ({HOP})",
     "vertex_array_roundtrip": f"select v, deg \"value\" from ({degree(HOP, 'src')})",
     "prepared_roundtrip": HOP,
-    "text_edges": _tsv(),
-    "dimacs_edges": _gr(),
-    "run_log_summary": "select * from (values (1::bigint, './pagerank g 10 1', 2.25::double), (2::bigint, './bfs g 10 1', 0.75::double), (3::bigint, './sssp g --map-by socket 1', 0.0::double)) t(run, command, max_time)",
+    "prepared_pagerank": f"{ranks(ITERATIONS)} select v, round(pr, 6) pr from p where i={ITERATIONS}",
+    "text_edges": f"select src, dst from ({HOP})",
+    "dimacs_edges": f"select src, dst, floor(w)::float::double w from ({HOP})",
+    "text_conversion": f"""with e as ({HOP}) select src, count(*)::bigint edges, sum(dst)::bigint dst_sum,
+ (select count(*) from e)::bigint all_edges, (select count(*) from customer)::bigint bad from e group by 1""",
+    "run_log_summary": f"{RUNS} select * from runs",
+    "edge_map_rows": f"with {SENT} select dst v, round(sum(x+w), 6) msg from e join f on f.v=e.src group by 1",
+    "adjacency_rows": f"select src v, count(*)::bigint n, string_agg(dst, ',' order by dst) others from ({HOP}) group by 1",
+    "visited_bitmap": f"select v, deg % 3 = 1 \"found\", deg % 3 = 1 told from ({degree(HOP, 'src')})",
+    "cc_labels_all": f"{labels(HOP)} select v, label from l",
+    "cc_progress": f"{LABEL_ROUNDS} select i::int \"round\", count(*)::bigint active from p where ch group by 1",
+    "cc_round_labels": f"{LABELS} select v, label from l",
+    "sssp_steps": f"""{PATH_STEPS}, s as (select i, count(*) n, sum(coalesce(od, 0)) m from p left join od using (v) where ch group by 1)
+ select i::int step, n::bigint active, m::bigint active_edges, case when m < (select count(*) from e)//20 then 'push' else 'pull' end "mode" from s""",
+    "bfs_tree_all": f"{walk(HOP)} select vs.v, b.par parent, b.l::int \"level\" from vs left join b using (v)",
+    "bfs_pull_reads": f"""{walk(HOP)}, k as (select distinct l from b),
+ t as (select k.l, e.dst, e.src, f.l fl, f.par from k join e on true left join b f on f.v=e.dst where f.l is null or f.l > k.l)
+ select k.l::int "level", coalesce(x.n, 0)::bigint edges_read from k left join (select l, sum(case when fl = l + 1 then n else m end) n from
+  (select l, dst, any_value(fl) fl, count(*) filter (src < par) + 1 n, count(*) m from t group by 1, 2) group by 1) x on x.l=k.l""",
 }

@@ -100,7 +100,7 @@ class Graph:
     @cached_property
     def degrees(self) -> DataFrame:
         """The out-degrees, dealt by vertex as the edges are, and kept."""
-        return self.out_degrees().repartition(self.partitions, "v").persist(StorageLevel.MEMORY_AND_DISK)
+        return kept(self.out_degrees().repartition(self.partitions, "v"))
 
     @cached_property
     def incoming(self) -> Graph:
@@ -141,7 +141,14 @@ def _adjacency(graph: Graph, rest: list[str]) -> DataFrame:
     placed = graph.laid.select(*keys, "dst", *rest, F.floor((number - 1) / ROW_EDGES).cast("int").alias("place"))
     rows = placed.groupBy(*keys, "place").agg(F.sort_array(F.collect_list(F.struct("dst", *rest))).alias("e"))  # ROW_EDGES at most
     lists = [F.col("e.dst").alias("others"), *[F.col(f"e.{c}").alias({"w": "weights"}.get(c, c)) for c in rest]]
-    return rows.select(F.col("src").alias("v"), *keys[1:], "place", *lists).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept(rows.select(F.col("src").alias("v"), *keys[1:], "place", *lists))
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows persisted and computed: only then do plans know how they lie, and leave exchanges out."""
+    out = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out
 
 
 def _laid(edges: DataFrame, partitions: int, *keys: str) -> DataFrame:
@@ -218,6 +225,11 @@ def gather(state: DataFrame, column: str, num_vertices: int, most: int = 10_000_
     return out
 
 
+def gather_top(state: DataFrame, column: str, most: int) -> pa.Table:
+    """The ``most`` vertices with the greatest values, the lowest ids among equals, on the driver as an Arrow table (v, column)."""
+    return state.select("v", column).orderBy(F.desc(column), "v").limit(most).toArrow()
+
+
 def running_edges(graph: Graph) -> DataFrame:
     """(v, offset): edges of all smaller ids, the index of a compressed adjacency.
 

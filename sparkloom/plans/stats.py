@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import human_size
-from sparkloom.plans.graph import Graph, fixed_chunks
+from sparkloom.plans.graph import Graph, fixed_chunks, owner
 
 
 def degree_distribution(graph: Graph) -> DataFrame:
@@ -59,34 +59,28 @@ def write_degree_report(graph: Graph, path: str, chunks: int = 0) -> None:
     report_lines(graph, chunks).orderBy("line").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-#: Bytes of a vertex id, an edge index, a weight, a worker's state, and an entry of a compressed index.
-VERTEX, EDGE, WEIGHT, WORKER, ENTRY = 4, 8, 4, 12, 12
+#: Bytes of an edge's binary record, without and with a weight.
+RECORD_BYTES = {False: 8, True: 12}
 
 
-def footprint(graph: Graph, weighted: bool, partitions: int = 1, sockets: int = 1, threads: int = 8) -> DataFrame:
-    """(part, bytes, percent, human, remote), the largest first: what a worker that held this graph in compressed adjacency
-    form would keep. ``remote`` parts are those that other workers read."""
-    v, e = graph.num_vertices, graph.num_edges * (2 if graph.symmetric else 1)
-    unit = VERTEX + (WEIGHT if weighted else 0)
-    r = degree_distribution(graph).first()
-    parts = [("out_degree", v * VERTEX, False), ("in_degree", v * VERTEX, False)]
-    parts += [("partition_offset", (partitions + 1) * VERTEX, False), ("local_partition_offset", (sockets + 1) * VERTEX, False)]
-    for side, zero in (("outgoing", r["zero_out"]), ("incoming", r["zero_in"])):
-        parts += [
-            (f"{side}_edges", sockets * EDGE, False),
-            (f"{side}_adj_bitmap", sockets * (v // 64 + 1) * EDGE, False),
-            (f"{side}_adj_index", sockets * (v + 1) * EDGE, True),
-            (f"{side}_adj_list", e * unit, True),
-            (f"compressed_{side}_adj_vertices", sockets * VERTEX, False),
-            (f"compressed_{side}_adj_index", (v - zero + 1) * ENTRY, True),
-        ]
-    parts += [("thread_state", threads * WORKER, False), ("tuned_chunks_dense", partitions * threads * WORKER, False), ("tuned_chunks_sparse", partitions * threads * WORKER, False)]
-    rows = graph.spark.createDataFrame(parts, "part string, bytes long, remote boolean")
-    total = sum(b for _, b, _ in parts)
-    share = F.round(100.0 * F.col("bytes") / total, 6).alias("percent")
-    return rows.select("part", "bytes", share, human_size(F.col("bytes")).alias("human"), "remote").orderBy(F.desc("bytes"), "part")
+def footprint(graph: Graph, chunks: DataFrame, weighted: bool) -> DataFrame:
+    """(chunk, vertices, edges, remote, bytes, human): what each chunk of ids holds, its edges being those that leave its vertices.
+
+    ``remote`` edges end in another chunk: what would travel if chunks were workers; ``bytes`` are those of the edges' records.
+    """
+    placed = graph.edges.select(owner(chunks, "src").alias("chunk"), owner(chunks, "dst").alias("to"))
+    counted = placed.groupBy("chunk").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("to") != F.col("chunk")).alias("remote"))
+    sizes = chunks.select("chunk", (F.col("last") - F.col("first")).alias("vertices"))
+    joined = sizes.join(counted, "chunk", "left").select("chunk", "vertices", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("edges", "remote")])
+    joined = joined.withColumn("bytes", F.col("edges") * RECORD_BYTES[weighted])
+    return joined.withColumn("human", human_size(F.col("bytes")))
 
 
 def remote_percent(parts: DataFrame) -> DataFrame:
-    """One row: the share of a footprint that other workers read."""
-    return parts.agg(F.round(100.0 * F.sum(F.when(F.col("remote"), F.col("bytes")).otherwise(0)) / F.sum("bytes"), 6).alias("remote_percent"))
+    """One row: the share of all edges that end in another chunk."""
+    return parts.agg(F.round(100.0 * F.sum("remote") / F.sum("edges"), 6).alias("remote_percent"))
+
+
+def layout_skew(laid: DataFrame) -> DataFrame:
+    """(place, edges, chunks): the edges that lie in each partition, and how many chunks own them."""
+    return laid.groupBy(F.spark_partition_id().alias("place")).agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("chunk").alias("chunks"))

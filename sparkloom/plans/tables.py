@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 
 from sparkloom.plans.graph import Graph
 
-#: Graphs by application, folder and name, so that queries share one layout of the edges.
+#: Graphs by application, folder and name, so that queries share one layout of the edges; the latest used are last.
 _graphs: dict[tuple[str, str, str], Graph] = {}
+#: Graphs that are kept; older ones are let go of.
+KEPT = 4
 
 
 def _shared(spark: SparkSession, sf_dir: str, build: Callable[[SparkSession, str], Graph]) -> Graph:
     """The graph as it was laid out before, or anew if its edges aren't persisted any more."""
     key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-    graph = _graphs.get(key)
+    graph = _graphs.pop(key, None)
     if graph is None or not (graph.laid.storageLevel.useMemory or graph.laid.storageLevel.useDisk):
-        graph = _graphs[key] = build(spark, sf_dir)
+        graph = build(spark, sf_dir)
+    _graphs[key] = graph
+    while len(_graphs) > KEPT:
+        oldest = _graphs.pop(next(iter(_graphs)))
+        if oldest.spark.sparkContext.applicationId == spark.sparkContext.applicationId:
+            oldest.unpersist()
     return graph
 
 

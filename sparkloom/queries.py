@@ -10,23 +10,15 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import algorithms as A
 from sparkloom.operators import kernels as K
+from sparkloom.operators.bitmaps import VertexSet
 from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
 from sparkloom.plans import stats, tables
-from sparkloom.plans.graph import balanced_chunks, gather, owner, running_edges
+from sparkloom.plans.graph import balanced_chunks, by_owner, gather_top, owner, running_edges
 from sparkloom.sources import prepared, records, text
 
 ITERATIONS = 10
-#: Fixed lines of the text queries.
-TSV_LINES = ["0\t1", "0\t1", "3\t3", "4000000000\t2"]
-GR_LINES = ["c a comment", "p sp 5 3", "a 1 2 7", "a 3 3 1", "a 1 2 7"]
-LOG_LINES = [
-    "run: 1 sudo  mpirun -np 4 --map-by socket ./pagerank g 10 1",
-    "partiton_id: 0, total_process_time  =1.5(s)",
-    "partiton_id: 1, total_process_time  =2.25(s)",
-    "run: 2 sudo  mpirun -np 4 --map-by socket ./bfs g 10 1",
-    "partiton_id: 1, total_process_time  =0.75(s)",
-    "run: 3 sudo  mpirun --map-by socket   ./sssp g --map-by socket 1",
-]
+#: Chunks and ids of a page, of the queries on chunks; vertices that are gathered.
+CHUNKS, PAGE, GATHERED = 4, 64, 1000
 
 
 def rounded(column: str) -> F.Column:
@@ -74,21 +66,34 @@ def partition_degree_stats(s, d):
     return stats.chunk_degrees(tables.hop(s, d), 4)
 
 
+def _chunks(s, d):
+    g = tables.hop(s, d)
+    return g, balanced_chunks(g, CHUNKS, page=PAGE)
+
+
 def partition_chunks(s, d):
-    return balanced_chunks(tables.hop(s, d), 4, page=64)
+    return _chunks(s, d)[1]
 
 
 def vertex_owner(s, d):
-    g = tables.hop(s, d)
-    return g.vertex_ids.select("v", owner(balanced_chunks(g, 4, page=64)).alias("chunk"))
+    g, chunks = _chunks(s, d)
+    return g.vertex_ids.select("v", owner(chunks).alias("chunk"))
+
+
+def range_layout(s, d):
+    """Edges where they lie once they are laid out by the chunks that own their targets: a partition for each chunk."""
+    g, chunks = _chunks(s, d)
+    return stats.layout_skew(by_owner(g, chunks, CHUNKS))
 
 
 def footprint(s, d):
-    return stats.footprint(tables.hop(s, d), weighted=True)
+    g, chunks = _chunks(s, d)
+    return stats.footprint(g, chunks, weighted=True)
 
 
 def footprint_remote(s, d):
-    return stats.remote_percent(stats.footprint(tables.hop(s, d), weighted=True))
+    g, chunks = _chunks(s, d)
+    return stats.remote_percent(stats.footprint(g, chunks, weighted=True))
 
 
 def degree_report(s, d):
@@ -98,10 +103,8 @@ def degree_report(s, d):
 
 
 def gathered_degrees(s, d):
-    """The degrees of the graph, gathered on the driver and given out again by place."""
-    g = tables.hop(s, d)
-    found = gather(g.out_degrees(), "out_degree", g.num_vertices)
-    return s.createDataFrame([(i, int(x)) for i, x in enumerate(found)], "v long, deg long")
+    """The vertices of the greatest degrees, gathered on the driver and given out again."""
+    return s.createDataFrame(gather_top(tables.hop(s, d).out_degrees(), "out_degree", GATHERED)).select("v", F.col("out_degree").alias("deg"))
 
 
 def undirected_load(s, d):
@@ -136,6 +139,25 @@ def edge_map_sum(s, d):
     return K.edge_map(g, _thirds(g), F.col("x") + F.col("w"), "sum").select("v", rounded("msg"))
 
 
+def edge_map_rows(s, d):
+    """``edge_map_sum`` over adjacency rows."""
+    g = tables.hop(s, d)
+    return K.edge_map(g, _thirds(g), F.col("x") + F.col("w"), "sum", by="rows").select("v", rounded("msg"))
+
+
+def adjacency_rows(s, d):
+    """Each vertex's neighbours in order, as one string."""
+    return tables.hop(s, d).out_rows.orderBy("v", "place").groupBy("v").agg(F.sum(F.size("others")).alias("n"), F.concat_ws(",", F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("place", "others"))), lambda x: x["others"]))).alias("others"))
+
+
+def visited_bitmap(s, d):
+    """Members of a set of vertices by its bitmap: those that it tells again, and those that a scan finds in it."""
+    g = tables.hop(s, d)
+    held = VertexSet.of(g.out_degrees().where("out_degree % 3 = 1"), g.num_vertices)
+    tester = held.tester()
+    return g.vertex_ids.join(held.vertices().withColumn("told", F.lit(1)), "v", "left").select("v", tester.has(F.col("v")).alias("found"), F.col("told").isNotNull().alias("told"))
+
+
 def edge_map_min(s, d):
     g = tables.hop(s, d)
     return K.edge_map(g, _thirds(g), F.col("x") + F.col("w"), "min").select("v", rounded("msg"))
@@ -169,6 +191,19 @@ def pagerank_top1(s, d):
     return A.pagerank(tables.hop(s, d), ITERATIONS).orderBy(F.desc("pr"), "v").limit(1).select("v", rounded("pr"))
 
 
+def cc_labels_all(s, d):
+    return A.components(tables.hop(s, d))
+
+
+def cc_progress(s, d):
+    """Vertices that speak in each round of label propagation."""
+    return A.label_rounds(tables.hop_sparse(s, d)).metrics().select(F.col("step").alias("round"), "active")
+
+
+def cc_round_labels(s, d):
+    return A.label_rounds(tables.hop_sparse(s, d)).state
+
+
 def cc_labels(s, d):
     return A.components(tables.hop_sparse(s, d))
 
@@ -200,6 +235,24 @@ def sssp_farthest(s, d):
     return A.farthest(g, A.shortest_paths(g, root).state, root).select("v", rounded("dist"))
 
 
+def sssp_steps(s, d):
+    """What the super-steps did (their jobs and seconds aren't repeatable)."""
+    g = tables.hop(s, d)
+    return A.shortest_paths(g, tables.busiest(g)).metrics().select("step", "active", "active_edges", "mode")
+
+
+def bfs_tree_all(s, d):
+    """Over all edges, push and pull steps as they come."""
+    g = tables.hop(s, d)
+    return A.breadth_first(g, tables.busiest(g)).state
+
+
+def bfs_pull_reads(s, d):
+    """In-edges that each level's pull step looks at: those of unvisited vertices, up to the first parent."""
+    g = tables.hop(s, d)
+    return A.breadth_first(g, tables.busiest(g), how="pull").metrics().select(F.col("step").alias("level"), "edges_read")
+
+
 def _walk(s, d):
     g = tables.hop_sparse(s, d)
     return g, A.breadth_first(g, tables.busiest(g))
@@ -233,7 +286,8 @@ def bc_dependency(s, d):
 
 
 def top20_bc(s, d):
-    return _between(s, d).where("level is not null").orderBy("v").limit(20).select("v", rounded("sigma"), rounded("dep"))
+    """The first twenty ids; no dependency where they aren't reached."""
+    return _between(s, d).where("v < 20").select("v", rounded("sigma"), F.when(~F.isnan("dep"), F.round("dep", 6)).alias("dep"))
 
 
 def edge_roundtrip(s, d):
@@ -249,33 +303,79 @@ def vertex_array_roundtrip(s, d):
     return records.restore_vertex_array(s, path, "uint32", g.num_vertices)
 
 
-def prepared_roundtrip(s, d):
+def _prepared(s, d):
+    """The graph, saved and loaded again."""
     path = scratch(s, "prepared")
     if prepared.load_graph(s, path) is None:
         prepared.save_graph(tables.hop(s, d), path)
-    return prepared.load_graph(s, path).edges.select("src", "dst", "w")
+    return prepared.load_graph(s, path)
+
+
+def prepared_roundtrip(s, d):
+    return _prepared(s, d).edges.select("src", "dst", "w")
+
+
+def prepared_pagerank(s, d):
+    """Over a loaded graph, whose edges stay in their buckets."""
+    return A.pagerank(_prepared(s, d), ITERATIONS).select("v", rounded("pr"))
 
 
-def _lines(s, lines: list[str], name: str) -> str:
-    path = scratch(s, name)
-    s.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
-    return path
+def tsv_lines(edges: DataFrame) -> DataFrame:
+    return edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
+
+
+def gr_lines(edges: DataFrame) -> DataFrame:
+    """Edge lines with whole weights, each beside a comment."""
+    line = F.concat_ws(" ", F.lit("a"), "src", "dst", F.floor("w").cast("long"))
+    return edges.select(F.explode(F.array(line, F.concat(F.lit("c "), line))).alias("value"))
 
 
 def text_edges(s, d):
-    return text.read_text_edges(s, _lines(s, TSV_LINES, "tsv"))
+    """The hops as a tab-separated file, read again."""
+    path = scratch(s, "tsv")
+    tsv_lines(tables.hop_edges(s, d)).write.text(path)
+    return text.read_tsv_edges(s, path)
 
 
 def dimacs_edges(s, d):
-    return text.read_gr_edges(s, _lines(s, GR_LINES, "gr"), weighted=True).withColumn("w", F.col("w").cast("double"))
+    path = scratch(s, "gr")
+    gr_lines(tables.hop_edges(s, d)).write.text(path)
+    return text.read_gr_edges(s, path, weighted=True).withColumn("w", F.col("w").cast("double"))
+
+
+def text_conversion(s, d):
+    """The hops as text among lines that are no edges (names of customers), converted to binary records and read again; bad lines counted."""
+    path, out = scratch(s, "tsv"), scratch(s, "edges")
+    names = s.read.parquet(f"{d}/customer.parquet").select(F.concat_ws("\t", "c_custkey", "c_name").alias("value"))
+    tsv_lines(tables.hop_edges(s, d)).unionByName(names).write.text(path)
+    edges, bad = text.convert_edges(s, path, out)
+    found = records.read_edges(s, out)
+    return found.groupBy("src").agg(F.count(F.lit(1)).alias("edges"), F.sum("dst").alias("dst_sum")).withColumns({"all_edges": F.lit(edges).cast("long"), "bad": F.lit(bad).cast("long")})
+
+
+def log_lines(s, d) -> DataFrame:
+    """(file, i, value): a run log in four files, made of the events: a signup starts a run, the others are times of processes or noise."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    start = F.format_string("run: %d sudo  mpirun -np 4 --map-by socket ./bfs g %d 1", "event_id", "user_id")
+    time = F.format_string("partiton_id: %d, total_process_time  =%s(s)", F.col("user_id") % 4, F.col("value").cast("string"))
+    line = F.when(F.col("event_type") == "signup", start).when(F.col("event_type") == "error", F.col("props")).otherwise(time)
+    return e.select((F.col("event_id") % 4).cast("int").alias("file"), F.col("event_id").alias("i"), line.alias("value"))
+
+
+def _log(s, d) -> DataFrame:
+    path = scratch(s, "log")
+    lines = log_lines(s, d).repartition(4, "file").sortWithinPartitions("file", "i")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    summary = text.summarise_runs(text.read_log(s, path))
+    return summary.withColumn("file", F.regexp_extract("file", r"file=(\d)", 1).cast("int"))
 
 
 def run_log_summary(s, d):
-    return text.summarise_runs(text.read_log(s, _lines(s, LOG_LINES, "log"))).select("run", "command", "max_time")
+    return _log(s, d).select("file", "run", "command", "max_time")
 
 
 def run_log_report(s, d):
-    return text.report_lines(text.summarise_runs(text.read_log(s, _lines(s, LOG_LINES, "log")))).select("run", F.col("place").cast("int").alias("place"), "value")
+    return text.report_lines(_log(s, d)).select("file", "run", F.col("place").cast("int").alias("place"), "value")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -287,6 +387,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cc_sizes, cc_count, sssp_distance, sssp_farthest, bfs_tree, bfs_reached, bfs_frontier_sizes, bc_sigma,
         bc_dependency, top20_bc, edge_roundtrip, vertex_array_roundtrip, prepared_roundtrip, text_edges, dimacs_edges,
         run_log_summary, run_log_report, vertex_owner, footprint_remote, degree_report, gathered_degrees, undirected_load,
-        edge_map_global, sssp_distance_float,
+        edge_map_global, sssp_distance_float, range_layout, edge_map_rows, adjacency_rows, visited_bitmap, cc_labels_all,
+        cc_progress, cc_round_labels, sssp_steps, bfs_tree_all, bfs_pull_reads, prepared_pagerank, text_conversion,
     )
 }

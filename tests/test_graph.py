@@ -186,6 +186,54 @@ def test_prepared(spark, tmp_path, micro):
         prepared.load_vertex_column(spark, str(tmp_path / "col"), 9)
 
 
+def test_bad_lines_are_told(spark, tmp_path):
+    tsv = tmp_path / "g.txt"
+    tsv.write_text("1\t2\n3\nx\t4\n\n5\t6\t7\n-1\t2\n 8\t9\n10\t11\r\n")
+    assert sorted(r["line"] for r in text.bad_lines(spark, str(tsv)).collect()) == [" 8\t9", "-1\t2", "3", "x\t4"]
+    with pytest.raises(Exception, match="no edge"):
+        text.read_text_edges(spark, str(tsv)).collect()
+    out = str(tmp_path / "out")
+    assert text.convert_edges(spark, str(tsv), out) == (3, 4)
+    assert sorted(tuple(r) for r in records.read_edges(spark, out).collect()) == [(1, 2), (5, 6), (10, 11)]
+    gr = tmp_path / "g.gr"
+    gr.write_text("c x\na 1 2 9\na 3 4\na 5\na 6 7 1.5e1\n")
+    assert sorted(r["line"] for r in text.bad_lines(spark, str(gr), weighted=True).collect()) == ["a 3 4", "a 5"]
+    assert text.convert_edges(spark, str(gr), str(tmp_path / "w"), weighted=True) == (2, 2)
+    assert sorted(tuple(r) for r in records.read_edges(spark, str(tmp_path / "w"), weighted=True).collect()) == [(1, 2, 9.0), (6, 7, 15.0)]
+
+
+def test_logs_are_read_in_ranges(spark, tmp_path):
+    """Runs that go over several byte ranges of several files."""
+    r, want = random.Random(1), {}
+    (tmp_path / "logs").mkdir()
+    for f in range(3):
+        lines, run = [], 0
+        for i in range(400):
+            kind = r.random()
+            if kind < 0.03:
+                run += 1
+                want[f, run] = (f"./bfs g{i} {f}", 0.0)
+                lines.append(f"run: {i} sudo  mpirun -np 4 --map-by socket ./bfs g{i} {f}")
+            elif kind < 0.7:
+                x = r.randrange(10_000) / 8
+                lines.append(f"partiton_id: {i % 4}, total_process_time  ={x}(s)")
+                if run:
+                    want[f, run] = (want[f, run][0], max(want[f, run][1], x))
+            else:
+                lines.append("noise total_process_time  =1.2.3(s)" if i % 2 else "")
+        (tmp_path / "logs" / f"{f}.log").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300", "2000", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            log = text.read_log(spark, str(tmp_path / "logs"))
+            assert size == "1g" or log.select("file", "block").distinct().count() > 6
+            got = {(int(x["file"][-5]), x["run"]): (x["command"], x["max_time"]) for x in text.summarise_runs(log).collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_text_sources(spark, tmp_path):
     gr = tmp_path / "g.gr"
     gr.write_text("c x\np sp 3 2\na 1 2 9\na  2 3 4\nz 1 1\n")
@@ -220,8 +268,8 @@ def test_writers_lose_nothing(spark, tmp_path, micro):
             records.write_edges(spark.createDataFrame([row], "src long, dst long"), path)
     assert records.read_edges(spark, path).count() == 2
     array = str(tmp_path / "array")
-    for vertices in ([0, 1, 1], [0, 2], [1, 2, 3]):
-        with pytest.raises(ValueError):
+    for vertices in ([0, 1, 1], [0, 2], [1, 2, 3], [0, 0, 3, 3], [0, None]):
+        with pytest.raises(Exception, match="vertices"):
             records.dump_vertex_array(spark.createDataFrame([(v, 1) for v in vertices], "v long, x long"), "x", "uint32", array)
     records.dump_vertex_array(micro.out_degrees(), "out_degree", "uint32", array)
     with pytest.raises(ValueError):
@@ -277,8 +325,10 @@ def test_degree_report(spark, tmp_path, micro):
     stats.write_degree_report(micro, str(tmp_path / "report"), chunks=2)
     lines = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
     assert lines[:3] == ["vertices: 8", "edges: 9", "out-degree min: 0"] and lines[-1].startswith("chunk 1: vertices 4, out 2")
-    parts = {r["part"]: r for r in stats.footprint(micro, weighted=True).collect()}
-    assert len(parts) == 19 and parts["outgoing_adj_list"]["bytes"] == 72 and parts["compressed_outgoing_adj_index"]["bytes"] == 84
+    chunks = spark.createDataFrame([(0, 0, 3), (1, 3, 3), (2, 3, 8)], "chunk int, first long, last long")
+    parts = stats.footprint(micro, chunks, weighted=True)
+    assert [tuple(r)[:5] for r in parts.orderBy("chunk").collect()] == [(0, 3, 5, 2, 60), (1, 0, 0, 0, 0), (2, 5, 4, 1, 48)]
+    assert stats.remote_percent(parts).first()[0] == pytest.approx(100 / 3, abs=1e-6)
 
 
 def test_sums_of_the_same_pass(micro):
@@ -297,3 +347,166 @@ def test_shared_folder_is_asked_for():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=lambda _: None)
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vertex_sets(spark):
+    from sparkloom.operators.bitmaps import VertexSet, bytes_of, fits
+
+    n, r = 100_000, random.Random(2)
+    a, b = ({r.randrange(n) for _ in range(k)} | edge for k, edge in ((3000, {0, 32_767, 32_768, n - 1}), (5, {63, 64})))
+    frame = lambda vs: spark.createDataFrame([(v,) for v in vs], "v long")
+    one, two = VertexSet.of(frame(a), n), VertexSet.of(frame(b), n)
+    assert {x[0] for x in one.vertices().collect()} == a and {x[0] for x in one.union(two).vertices().collect()} == a | b
+    assert one.buckets.agg(one.size()).first()[0] == len(a)
+    testers = one.tester(), two.tester()
+    both = testers[0].union(testers[1])
+    rows = spark.range(n).select("id", *[t.has(F.col("id")) for t in (*testers, both)], both.has(F.lit(None).cast("long"))).collect()
+    for t in (*testers, both):
+        t.drop()
+    assert all((x[1], x[2], x[3], x[4]) == (x[0] in a, x[0] in b, x[0] in a | b, False) for x in rows)
+    none = VertexSet.of(frame(a).where("false"), n).tester()
+    assert spark.range(n).where(none.has(F.col("id"))).count() == 0
+    assert bytes_of(1 << 40, 3) == 3 * 4096 and bytes_of(100, 1 << 30) == 4096 and not fits(1 << 40, 1 << 30)
+
+
+def test_pull_step_reads_in_edges_of_unvisited_vertices(spark):
+    """The plan has no exchange; what is read are the in-edges of unvisited vertices up to the first parent."""
+    from sparkloom.operators.bitmaps import VertexSet
+
+    r = random.Random(4)
+    edges = [(r.randrange(200), r.randrange(200), 1.0) for _ in range(4_000)]
+    g = make(spark, edges, 200, "double")
+    frontier, seen = set(range(20)), set(range(60))
+    tester = lambda vs: VertexSet.of(spark.createDataFrame([(v,) for v in vs], "v long"), 200).tester()
+    got, looked = K.pull_step(g, tester(frontier), tester(seen))
+    above = plan_of(got).split("InMemoryTableScan")[0]  # what reads the adjacency rows as they lie
+    assert "Exchange" not in above and "Join" not in above and "CollectMetrics" in above
+    sources = {v: sorted(a for a, b, _ in edges if b == v) for v in range(200) if v not in seen}
+    first = {v: next((i for i, a in enumerate(s) if a in frontier), None) for v, s in sources.items()}
+    assert dict(tuple(x) for x in got.collect()) == {v: sources[v][i] for v, i in first.items() if i is not None}
+    assert looked.value == sum(len(sources[v]) if i is None else i + 1 for v, i in first.items())
+    g.unpersist()
+
+
+def test_walks_without_bitmaps(spark, micro, monkeypatch):
+    """Sets that don't fit are joined, with the same result."""
+    from sparkloom.operators import bitmaps
+
+    monkeypatch.setattr(bitmaps, "BITMAP_BYTES", 0)
+    for how in ("push", "pull"):
+        assert column(A.breadth_first(micro, 0, how).state, "parent") == [0, 0, 0, 1, 3, None, None, None]
+    assert [x["sigma"] for x in A.betweenness(micro, 0).orderBy("v").collect()] == [1, 2, 1, 3, 3, 0, 0, 0]
+
+
+def test_adjacency_rows(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "ROW_EDGES", 7)
+    r = random.Random(6)
+    edges = [(r.randrange(30), r.randrange(30), float(r.randrange(1, 9))) for _ in range(900)]
+    g = make(spark, edges, 30, "double")
+    rows = g.out_rows.collect()
+    assert max(len(x["others"]) for x in rows) == 7 and all(x["others"] == sorted(x["others"]) for x in rows)
+    assert sorted(tuple(x) for x in K.unfolded(g.out_rows.withColumnRenamed("v", "src")).collect()) == sorted(edges)
+    few = g.vertex_ids.where("v < 3")
+    for combine in ("sum", "min"):
+        by_edges, by_rows = (sorted(tuple(x) for x in K.edge_map(g, few, F.col("w") + F.col("src"), combine, by=by).collect()) for by in ("edges", "rows"))
+        assert by_edges == by_rows
+    assert "Exchange" not in plan_of(g.out_rows).split("InMemoryRelation")[1].split("InMemoryTableScan")[0]  # built where the edges lie
+    assert len(plan_of(K.edge_map(g, few, F.col("w"), "sum", by="rows"))) > 0
+    g.unpersist()
+
+
+def test_label_rounds(spark, micro):
+    walk = A.label_rounds(micro)
+    assert column(walk.state, "label") == [0, 0, 0, 0, 0, 5, 5, 7]
+    assert [x["active"] for x in walk.log.rows][:2] == [8, 5]
+    path = make(spark, [(i, i + 1, 1.0) for i in range(13)], 14)  # rounds follow the length; bases are written on the way
+    walk = A.label_rounds(path)
+    assert column(walk.state, "label") == [0] * 14 and [x["active"] for x in walk.log.rows] == [14, *range(13, 0, -1)]
+    assert column(A.shortest_paths(path, 0).state, "dist") == list(range(14))
+    assert column(A.breadth_first(path, 0).state, "level") == list(range(14))
+    assert [x["sigma"] for x in A.betweenness(path, 0).orderBy("v").collect()] == [1.0] * 14
+    assert column(A.label_rounds(make(spark, [], 2)).state, "label") == [0, 1]
+
+
+def test_steps_are_one_execution(spark, micro):
+    """A step's figures come with the job that writes it: an iteration of the changes writes one checkpoint, and nothing else runs."""
+    from sparkloom.operators.steps import figures
+
+    def jobs(tag, iterations):
+        spark.sparkContext.addJobTag(tag)
+        try:
+            A.pagerank_changes(micro, iterations)
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+        return figures(spark, tag)[0]
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a job for each action, not for each stage
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert jobs("many", 8) - jobs("few", 3) == 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    walk = A.shortest_paths(micro, 0)
+    assert [(x["step"], x["active"], x["active_edges"]) for x in walk.log.rows] == [(0, 1, 3), (1, 2, 2), (2, 1, 2), (3, 1, 1)]
+    assert all(x["jobs"] > 0 and x["tasks"] > 0 and x["seconds"] > 0 for x in walk.metrics().collect())
+
+
+def test_prepared_graph_loads_without_exchange(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    edges = [(r.randrange(50), r.randrange(50), 1.0) for _ in range(500)] + [(0, r.randrange(50), 2.0) for _ in range(300)]
+    for hubs in (False, True):
+        monkeypatch.setattr(graphs, "HUB_EDGES", 100 if hubs else 10_000)
+        monkeypatch.setattr(graphs, "HUB_SHARE", 1)
+        g = make(spark, edges, 50, "double")
+        path = str(tmp_path / f"graph{hubs}")
+        prepared.save_graph(g, path)
+        from sparkloom.sources.prepared import META, _table
+
+        table = _table(spark.read.schema(META).json(f"{path}/meta").first()["edges"])
+        spark.sql(f"DROP TABLE {table}")  # as another session finds it
+        again = prepared.load_graph(spark, path)
+        assert again.hubs == g.hubs == ((0,) if hubs else ())
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            step = K.edge_map(again, again.vertex_ids.withColumn("x", F.lit(1.0)), F.col("x"), "sum")
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            scan = next(i for i, x in enumerate(plan.splitlines()) if "FileScan" in x)
+            above = [x for x in plan.splitlines()[:scan] if "Exchange" in x]
+            assert "Bucketed: true" in plan.splitlines()[scan] and len(above) - ("Range" in "".join(plan.splitlines()[:scan])) == 1, plan  # that of the messages
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert column(A.pagerank(again, 3), "pr") == pytest.approx(column(A.pagerank(g, 3), "pr"))
+        prepared.save_graph(make(spark, edges[:5], 50, "double"), path)  # the latest holds
+        assert prepared.load_graph(spark, path).num_edges == 5
+
+
+def test_owners_of_many_chunks(spark, micro):
+    chunks = spark.range(10_000).select(F.col("id").cast("int").alias("chunk"), (F.col("id") * 3).alias("first"), (F.col("id") * 3 + 3).alias("last"))
+    rows = spark.range(-5, 30_005).select("id", owner(chunks, "id").alias("c"))
+    assert rows.where("c is distinct from case when id between 0 and 29999 then cast(id div 3 as int) end").count() == 0
+    few = balanced_chunks(micro, 5, page=1)
+    laid = graphs.by_owner(micro, few, 5)
+    assert laid.where(F.spark_partition_id() != F.col("chunk")).count() == 0 and laid.count() == 9
+    assert stats.layout_skew(laid).agg(F.max("chunks")).first()[0] == 1
+    laid.unpersist()
+
+
+def test_command_line(spark, tmp_path):
+    from sparkloom.__main__ import run
+
+    path = str(tmp_path / "e")
+    records.write_edges(spark.createDataFrame(EDGES, "src long, dst long, w float"), path)
+    tsv = tmp_path / "e.tsv"
+    tsv.write_text("".join(f"{a}\t{b}\t{w}\n" for a, b, w in EDGES))
+    assert column(run(spark, "pagerank", path, 8, 2)[0], "pr")[0] == pytest.approx(0.63875)
+    assert run(spark, "cc", path, 8)[1][-1] == "components: 3"
+    assert run(spark, "sssp", str(tsv), 8, 0)[1][-1] == "farthest: 4 at 6.0"
+    assert run(spark, "bfs", path, 8, 0)[1][-1] == run(spark, "bc", path, 8, 0)[1][-1] == "reached: 5"
+    for bad in (("bfs", 8), ("nope", 0)):
+        with pytest.raises(ValueError):
+            run(spark, bad[0], path, 8, bad[1])
