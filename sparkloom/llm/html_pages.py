@@ -59,11 +59,14 @@ class PageWriter:
 
     def content(self, tag: str, names: list[str], named: float, nested: list[str]) -> None:
         tag = self.opened(tag, names, named)
+        brief = self.r.random() < 0.15  # an article of a few words
         if self.r.random() < 0.8:
-            self.leaf("h1", self.sentence(3, 12), 1)
+            self.leaf("h1", self.sentence(1, 12), 1)
         for _ in range(self.r.choice([self.r.randint(0, 2), self.r.randint(1, 14), self.r.randint(1, 14)])):
             kind = self.r.random()
-            if kind < 0.78:
+            if brief:
+                self.leaf(self.r.choice(["p", "p", "div", "li"]), self.sentence(1, 9), 1, 0.02)
+            elif kind < 0.78:
                 self.leaf("p", " ".join(self.sentence(1, 24) for _ in range(self.r.randint(1, 6))), 1, 0.02)
             elif kind < 0.86:
                 self.leaf(self.r.choice(["h2", "h3"]), self.sentence(1, 7), 1)

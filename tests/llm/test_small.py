@@ -450,7 +450,7 @@ def test_html(spark, sf):
     want = {i: " ".join(b.text for b in leaf_blocks(re.search(r"(?s)<article[^>]*>(.*)</article>", x)[1])) for i, x in html_of.items()}
     assert {i: r["text"] for i, r in got.items()} == want
     bare = lambda x: re.sub(r"""\s(class|id)\s*=\s*("[^"]*"|'[^']*')""", "", re.sub(r"<(/?)(article|main|nav|header|footer|aside|section)\b", r"<\1div", x))
-    assert sum(main_text(bare(x), model) == want[i] for i, x in html_of.items()) > 0.9 * len(want)
+    assert sum(main_text(bare(x), model) == want[i] for i, x in html_of.items()) > 0.97 * len(want)
 
 
 @pytest.mark.parametrize(
