@@ -237,13 +237,12 @@ def features(blocks: list[Block]) -> list[list[str]]:
         beside = "".join("p" if 0 <= j < len(blocks) and plain[j] else "-" for j in (i - 1, i + 1))
         own |= {f"leaf:{node.leaf if node else '-'}", f"pair:{'>'.join(node.above) if node else ''}", words, f"links:{b.linked // 34}", f"stop:{stop}"}
         head = f"headed:{id(node.home) in headed if node else False}"
-        own |= {head, f"{head}&links:{b.linked // 34}"}
         if "©" in b.text or "(c)" in b.text:
             own.add("copyright")
         if node is None or not (node.names or node.told):  # markup says nothing: the text must
             leaf = node.leaf if node else "-"
             own |= {"untold", f"mass:{rich}", f"mass:{rich}&{words}", f"mass:{rich}&{b.linked // 34}{stop}", f"mass:{rich}&{leaf}"}
-            own |= {f"beside:{beside}", f"beside:{beside}&mass:{rich}", f"{head}&mass:{rich}", f"{head}&{leaf}&{words}"}
+            own |= {f"beside:{beside}", f"beside:{beside}&mass:{rich}", head, f"{head}&links:{b.linked // 34}", f"{head}&mass:{rich}", f"{head}&{leaf}&{words}"}
         elif not node.told:  # names may say nothing
             own |= {f"named&mass:{rich}", f"named&mass:{rich}&{words}", f"named&beside:{beside}"}
         own.add("first" if i == 0 else "last" if i + 1 == len(blocks) else "inside")

@@ -65,7 +65,7 @@ class PageWriter:
         for _ in range(self.r.choice([self.r.randint(0, 2), self.r.randint(1, 14), self.r.randint(1, 14)])):
             kind = self.r.random()
             if brief:
-                self.leaf(self.r.choice(["p", "p", "div", "li"]), self.sentence(1, 9), 1, 0.02)
+                self.leaf(self.r.choice(["p", "p", "p", "li"]), self.sentence(1, 9), 1, 0.02)
             elif kind < 0.78:
                 self.leaf("p", " ".join(self.sentence(1, 24) for _ in range(self.r.randint(1, 6))), 1, 0.02)
             elif kind < 0.86:
