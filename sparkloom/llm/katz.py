@@ -23,9 +23,10 @@ rows are learned and scored each; an empty table gives an empty result; further
 
 from __future__ import annotations
 
-import pickle
+import base64
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ KATZ_K = 5
 #: Tokens that a task packs at once.
 CHUNK_TOKENS = 2_500_000
 #: Bytes of text behind one range of hashes.
-RANGE_BYTES = 60_000_000
+RANGE_BYTES = 40_000_000
 #: A range is worked off in so many slices.
 SLICES = 16
 #: Texts of each partition whose words make the code book, and its words; it shortens blocks and has no effect on results.
@@ -72,6 +73,17 @@ def thaw(block: bytes) -> list[np.ndarray]:
     return out
 
 
+def joined(*parts: bytes) -> bytes:
+    """Byte strings as one, their lengths first."""
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def parted(block: bytes) -> list[bytes]:
+    n = int(np.frombuffer(block, np.int64, 1)[0])
+    ends = np.cumsum(np.frombuffer(block, np.int64, n, 8)).tolist()
+    return [block[8 * (n + 1) + a : 8 * (n + 1) + b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def narrow(x: np.ndarray) -> np.ndarray:
     top = int(x.max(initial=0))
     return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 1 << 32 else np.int64)
@@ -500,7 +512,8 @@ class Model:
 
     def save(self, path: str) -> None:
         """Parquet partitioned by kind; refuses a path that exists."""
-        meta = pickle.dumps((self.setup.order, self.setup.parts, self.setup.book.words.tobytes(), self.figures))
+        book = base64.b64encode(self.setup.book.words.tobytes()).decode()
+        meta = json.dumps({"order": self.setup.order, "parts": self.setup.parts, "book": book, "figures": asdict(self.figures)}).encode()
         spark = self.rows.sparkSession
         head = spark.createDataFrame([("meta", 0, 0, bytearray(meta))], SCHEMA)
         self.rows.unionByName(head).write.partitionBy("kind").parquet(path)
@@ -508,8 +521,11 @@ class Model:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         rows = spark.read.parquet(path).select("kind", "target", "chunk", "block")
-        order, parts, book, figures = pickle.loads(rows.where("kind = 'meta'").first()["block"])
-        return Model(rows.where("kind <> 'meta'"), Setup(order, parts, Book(np.frombuffer(book, np.uint64))), figures)
+        meta = json.loads(bytes(rows.where("kind = 'meta'").first()["block"]))
+        found = meta["figures"]
+        found["counts"] = tuple(map(tuple, found["counts"]))
+        book = Book(np.frombuffer(base64.b64decode(meta["book"]), np.uint64))
+        return Model(rows.where("kind <> 'meta'"), Setup(meta["order"], meta["parts"], book), Figures(**found))
 
     def table(self) -> DataFrame:
         """The model in plain columns: an n-gram of every order from two a row, its discounted and its shorter probability, its history's backoff weight."""
@@ -588,7 +604,7 @@ def pack_tokens(docs: DataFrame, setup: Setup) -> DataFrame:
                 for r in rows:
                     out.write_batch(r)
             body = zstandard.compress(sink.getvalue().to_pybytes(), 1)
-            yield _rows([("texts", number % setup.parts, number, pickle.dumps((narrow(sizes).tobytes(), narrow(sizes).dtype.char, body)))])
+            yield _rows([("texts", number % setup.parts, number, joined(freeze(narrow(sizes)), body))])
 
     return _placed(docs).mapInArrow(run, SCHEMA)
 
@@ -693,9 +709,9 @@ def base_range(rows: dict[str, list[tuple[int, bytes]]], setup: Setup, figures:
 def _finisher(figures: Figures):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "chunk"):
-            raw, char, body = pickle.loads(rows["texts"][0][1])
+            frozen, body = parted(rows["texts"][0][1])
             ids = pa.ipc.open_stream(zstandard.decompress(body)).read_all().column(0).combine_chunks()
-            sizes = np.frombuffer(raw, np.dtype(char)).astype(np.int64)
+            sizes = thaw(frozen)[0].astype(np.int64)
             value, base, known = (np.zeros(len(sizes)) for _ in range(3))
             for _, block in sorted(rows.get("sums", [])):  # in one order, so that sums round alike
                 text, *some = thaw(block)
