@@ -209,7 +209,8 @@ def test_urls(spark):
 
     hosts = ["com", "EXAMPLE.com", "a.example.com", "example.net", "b.example.net", "org", "x.org", "notcom", ""]
     paths = ["/en/", "/en/7", "/en/77?q", "/de/8", "/de/9#x", "/es/1", "", "/en", "?/en/"]
-    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "com/en/", "http://", "x://y://z.com/en/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "com/en/", "http://", "x://y://z.com/en/", "http://a..com/en/", "http://.com/en/", "http://com./en/"]
+    urls += urls[:3] + ["http://" + "a." * 10_000 + "com/en/9", "http://" + "a" * 50_000 + ".net/de/"]  # repeated rows, very long hosts
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(1) for c in ("rule", "key", "host")})
     got = {r["page_id"]: r for r in judge_urls(pages, URL_RULES).collect()}
     for i, u in enumerate(urls):
