@@ -37,6 +37,8 @@ from sparkloom.operators.lineage import cut
 
 #: Words that a worker's younger memory keeps; full, it becomes the older one, which is dropped.
 KEPT_WORDS = 500_000
+#: Characters of a word that is kept at most: what a memory takes is bounded by this and the number of words.
+KEPT_CHARS = 64
 END = (1).to_bytes(4, "little")
 GROUPS = 40
 #: A piece is large from this share of the capacity on.
@@ -104,7 +106,7 @@ def _core(word: str) -> tuple[str, str]:
     return word.lower() if word.isascii() else word, ""
 
 
-def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> None:
+def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> list[str]:
     """Ids of words that the younger memory lacks: from the older one, from their parts, or encoded."""
     young, old = memory
     parts = {}
@@ -127,6 +129,7 @@ def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> None
             young[part] = _bytes(found.ids)
     for word, (core, end) in parts.items():
         young[word] = young[core] + young[end] if end else young[core]
+    return [x for x in (*parts, *needed) if len(x) > KEPT_CHARS]
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
@@ -143,10 +146,12 @@ def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     if len(memory[0]) > KEPT_WORDS:
         memory[:] = [{}, memory[0]]
     words = set().union(*lists)
-    _learn(words.difference(memory[0]), tokenizer, memory)
+    long = _learn(words.difference(memory[0]), tokenizer, memory)
     get = memory[0].__getitem__
     for words in lists:
         yield b"".join(map(get, words)) + END
+    for word in long:  # sentences of unspaced script are words: known for these texts only
+        memory[0].pop(word, None)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:

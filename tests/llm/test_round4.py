@@ -286,3 +286,20 @@ def test_chats(spark, sf, apart):
     whole = how.template.render([{"role": r[2], "text": r[3]} for r in sorted(x for x in rows if x[0] == 777)])[0]
     made = formatted(df, how, segment=5_000).where("conv_id = 777").orderBy("segment").collect()
     assert len(made) > 3 and "".join(r["text"] for r in made) == whole
+
+
+# 7
+
+
+def test_long_words_are_not_kept():
+    """Unspaced script: sentences are words, and a worker's memory doesn't keep them."""
+    from sparkloom.llm import packing
+    from sparkloom.llm.queries import word_tokenizer
+
+    path = word_tokenizer()
+    tokenizer, memory = packing._tokenizer(path)
+    texts = ["".join(chr(0x4E00 + (i * j) % 5000) for j in range(400)) + f" word{i}" for i in range(60)]
+    got = list(packing.encode_texts(texts, path))
+    assert got == [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in texts]
+    assert max(map(len, memory[0])) <= packing.KEPT_CHARS and "word7" in memory[0]
+    assert got == list(packing.encode_texts(texts, path))  # learned again
