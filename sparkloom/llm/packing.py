@@ -23,6 +23,7 @@ import os
 import sys
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,8 +38,8 @@ from sparkloom.operators.lineage import cut
 
 #: Words that a worker's younger memory keeps; full, it becomes the older one, which is dropped.
 KEPT_WORDS = 500_000
-#: Characters of a word that is kept at most: what a memory takes is bounded by this and the number of words.
-KEPT_CHARS = 64
+#: ... and their characters: sentences of unspaced script are words.
+KEPT_CHARS = 32_000_000
 END = (1).to_bytes(4, "little")
 GROUPS = 40
 #: A piece is large from this share of the capacity on.
@@ -106,8 +107,8 @@ def _core(word: str) -> tuple[str, str]:
     return word.lower() if word.isascii() else word, ""
 
 
-def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> list[str]:
-    """Ids of words that the younger memory lacks: from the older one, from their parts, or encoded."""
+def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> int:
+    """Ids of words that the younger memory lacks: from the older one, from their parts, or encoded. Gives the characters that came in."""
     young, old = memory
     parts = {}
     for word in missing:
@@ -129,7 +130,11 @@ def _learn(missing: set[str], tokenizer, memory: list[dict[str, bytes]]) -> list
             young[part] = _bytes(found.ids)
     for word, (core, end) in parts.items():
         young[word] = young[core] + young[end] if end else young[core]
-    return [x for x in (*parts, *needed) if len(x) > KEPT_CHARS]
+    return sum(map(len, missing)) + sum(map(len, needed))
+
+
+#: Characters in the younger memory, by the tokenizer's path.
+_kept: dict[str, int] = defaultdict(int)
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
@@ -143,15 +148,14 @@ def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
             yield _bytes(tokenizer.encode(text, add_special_tokens=False).ids) + END
         return
     lists = [split_words(t) for t in texts]
-    if len(memory[0]) > KEPT_WORDS:
+    if len(memory[0]) > KEPT_WORDS or _kept[path] > KEPT_CHARS:
         memory[:] = [{}, memory[0]]
+        _kept[path] = 0
     words = set().union(*lists)
-    long = _learn(words.difference(memory[0]), tokenizer, memory)
+    _kept[path] += _learn(words.difference(memory[0]), tokenizer, memory)
     get = memory[0].__getitem__
     for words in lists:
         yield b"".join(map(get, words)) + END
-    for word in long:  # sentences of unspaced script are words: known for these texts only
-        memory[0].pop(word, None)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:

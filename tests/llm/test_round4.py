@@ -291,15 +291,17 @@ def test_chats(spark, sf, apart):
 # 7
 
 
-def test_long_words_are_not_kept():
-    """Unspaced script: sentences are words, and a worker's memory doesn't keep them."""
+def test_word_memory_is_bounded_by_characters(monkeypatch):
+    """Unspaced script: sentences are words; the memory turns over by their characters."""
     from sparkloom.llm import packing
     from sparkloom.llm.queries import word_tokenizer
 
+    monkeypatch.setattr(packing, "KEPT_CHARS", 20_000)
     path = word_tokenizer()
     tokenizer, memory = packing._tokenizer(path)
-    texts = ["".join(chr(0x4E00 + (i * j) % 5000) for j in range(400)) + f" word{i}" for i in range(60)]
-    got = list(packing.encode_texts(texts, path))
-    assert got == [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in texts]
-    assert max(map(len, memory[0])) <= packing.KEPT_CHARS and "word7" in memory[0]
-    assert got == list(packing.encode_texts(texts, path))  # learned again
+    texts = ["".join(chr(0x4E00 + (i * j) % 5000) for j in range(400)) + f" word{i}" for i in range(300)]
+    for start in range(0, 300, 20):
+        some = texts[start : start + 20]
+        want = [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in some]
+        assert list(packing.encode_texts(some, path)) == want
+        assert all(sum(map(len, m)) < 60_000 for m in memory[1:] if start > 100)
