@@ -46,6 +46,9 @@ DELETION_SIZE = 120
 LANES = 4
 #: Members of a bucket that are paired without a pivot.
 SMALL_CELL = 6
+#: Cells of more members than this put tokens that many of them hold last; about ``JUDGES`` members tell which.
+LARGE_CELL = 32
+JUDGES = 16
 #: Keys of sets that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 #: Tokens of pivots' sets that are broadcast at most (8 bytes each).
@@ -304,31 +307,58 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
     return rows.join(own, key, "left").withColumn(name, F.coalesce(name, key))
 
 
+def common(pairs: DataFrame, members: DataFrame, pivots: DataFrame, small: bool) -> DataFrame:
+    """(p, often): tokens beside the pivot of a large cell that two or more of some of its members hold.
+
+    It only decides the order in which a cell's tokens are looked at, so that judging by some members loses nothing.
+    """
+    sizes = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE_CELL)
+    sizes = cut(sizes)
+    few = sizes.count() <= BROADCAST_KEYS
+    some = pairs.join(F.broadcast(sizes) if few else sizes, "p").where(F.expr(f"pmod(xxhash64(p, k), c) < {JUDGES}")).select("p", "k")
+    some = cut(some)
+    left = members.join(F.broadcast(some) if some.count() <= BROADCAST_KEYS else some, "k")
+    tokens = left.join(F.broadcast(pivots) if small else pivots, "p").select("p", F.explode(F.array_except("t", "tp")).alias("token"))
+    often = tokens.groupBy("p", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    return cut(often.groupBy("p").agg(F.collect_list("token").alias("often")))
+
+
 def compared(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """Of (p, k): np, n, i (sizes, intersection), linked, away and back (what must be shared, see ``links``)."""
+    """Of (p, k): np, n, i (sizes, intersection), linked, and what must be shared (see ``links``).
+
+    ``away`` are the first tokens outside the pivot, in an order that a cell shares: rare ones, ``rare`` in number,
+    before common ones. For partners that aren't smaller the first ``short`` of them do.
+    """
     pairs = cut(pairs)
     pivots = cut(among(sets.select(F.col("k").alias("p"), F.col("tokens").alias("tp")), pairs.select("p"), "p"))
     # few beside the members; by their size pivots and pairs are broadcast, so that members' sets don't travel
     small = (pivots.agg(F.sum(F.size("tp"))).first()[0] or 0) <= BROADCAST_TOKENS
     members = sets.select("k", F.col("tokens").alias("t"))
+    often = common(pairs, members, pivots, small)
+    light = (often.agg(F.sum(F.size("often"))).first()[0] or 0) <= BROADCAST_TOKENS
     if pairs.count() <= BROADCAST_KEYS:
         left = members.join(F.broadcast(pairs), "k")
     else:
         left = pairs.join(among(members, pairs.select("k")), "k")
     both = left.join(F.broadcast(pivots) if small else pivots, "p")
+    both = both.join(F.broadcast(often) if light else often, "p", "left")
     rows = both.withColumns({"np": F.size("tp"), "n": F.size("t"), "i": F.size(F.array_intersect("t", "tp"))})
     rows = rows.withColumn("linked", F.col("i") * rule.of >= (F.col("np") + F.col("n") - F.col("i")) * rule.at)
     least = F.greatest(F.lit(1), F.expr(f"({rule.at} * n + {rule.of - 1}) div {rule.of} - i").cast("int"))
-    away = F.slice(F.array_except("t", "tp"), F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("i") - least + 1))
+    most = F.greatest(F.lit(1), (needed(rule, "n", "n") - F.col("i")).cast("int"))
     inside = F.col("i") * rule.of >= F.col("n") * rule.at
     some = F.expr("np - i - (n + np - 2 * i + 2) div 2 + 1").cast("int")
     empty = F.expr("cast(array() as array<bigint>)")
     rows = rows.withColumns({"more": F.array_except("t", "tp"), "gone": F.array_except("tp", "t")})
-    away = F.slice("more", F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("i") - least + 1))
+    rows = rows.withColumn("first", F.coalesce(F.array_except("more", "often"), F.col("more")))
+    rows = rows.withColumn("last", F.coalesce(F.array_intersect("more", "often"), empty))
+    away = F.slice(F.concat("first", "last"), F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("i") - least + 1))
+    short = F.greatest(F.lit(0), F.col("n") - F.col("i") - most + 1)
     probe = F.when(inside & (F.col("n") < F.col("np")), F.slice("gone", F.lit(1), F.greatest(F.lit(0), some))).otherwise(empty)
     index = F.when(inside & ~F.col("linked"), F.col("gone")).otherwise(empty)
     marks = [bits(x, lane).alias(f"{x}{lane}") for x in ("more", "gone") for lane in range(LANES)]
-    return rows.select("p", "k", "np", "n", "i", "linked", away.alias("away"), probe.alias("probe"), index.alias("index"), *marks)
+    lists = [away.alias("away"), probe.alias("probe"), index.alias("index"), short.alias("short"), F.size("first").alias("rare")]
+    return rows.select("p", "k", "np", "n", "i", "linked", *lists, *marks)
 
 
 def place(token: str) -> tuple[str, str]:
@@ -350,16 +380,18 @@ def later(token: str, lane: int) -> Column:
 
 
 def telling(tokens: DataFrame) -> DataFrame:
-    """(p, token, part) that members of different components share; of those that the same members hold the first, for they say the same."""
+    """(p, token, part) that members of different components share, one at least among its first (``short``); of those that
+    the same members hold the first in their order (``last``: after all others), for they say the same."""
     sign = F.lit(-(1 << 63))  # sets are in the order of unsigned numbers
     members = [F.expr(f"bit_xor(xxhash64({i}, kind, k))").alias(f"h{i}") for i in range(2)]
-    figures = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b")]
-    apart = tokens.groupBy("p", "token", "part").agg(*figures, *members, F.count(F.lit(1)).alias("c"))
-    apart = apart.where("lo <> hi and (not part or a <> b)")
-    return apart.groupBy("p", "part", "c", "h0", "h1").agg(F.min(F.col("token").bitwiseXOR(sign)).bitwiseXOR(sign).alias("token")).select("p", "token", "part")
+    figures = [F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("kind").alias("a"), F.max("kind").alias("b"), F.max("short").alias("s")]
+    apart = tokens.groupBy("p", "token", "part", "last").agg(*figures, *members, F.count(F.lit(1)).alias("c"))
+    apart = apart.where("lo <> hi and if(part, a <> b, s)")
+    first = F.min(F.struct("last", F.col("token").bitwiseXOR(sign).alias("token")))["token"].bitwiseXOR(sign)
+    return apart.groupBy("p", "part", "c", "h0", "h1").agg(first.alias("token")).select("p", "token", "part")
 
 
-_FIGURES = ["np", "n", "i", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
+_FIGURES = ["np", "n", "i", "short", "rare", *[f"{x}{lane}" for x in ("more", "gone") for lane in range(LANES)]]
 
 
 def beside_pivots(seen: DataFrame, labels: DataFrame) -> DataFrame:
@@ -367,13 +399,14 @@ def beside_pivots(seen: DataFrame, labels: DataFrame) -> DataFrame:
     rows = cut(labelled(labelled(seen, labels, "k", "label"), labels, "p", "own"))
     tokens = None
     for kind, column in enumerate(("away", "probe", "index")):
-        some = rows.select("p", "k", "label", F.lit(kind).alias("kind"), F.posexplode(column).alias("at", "token"))
+        some = rows.select("p", "k", "label", "short", "rare", F.lit(kind).alias("kind"), F.posexplode(column).alias("at", "token"))
+        some = some.withColumns({"short": F.expr("kind = 0 and at < short"), "last": F.expr("kind = 0 and at >= rare")}).drop("rare")
         tokens = some if tokens is None else tokens.unionByName(some)
     # first the few tokens that members of different components share; taking them from the rows again needs no disk
     tokens = tokens.withColumn("part", F.col("kind") > 0)
     apart = cut(telling(tokens))
     few = apart.count() <= BROADCAST_KEYS
-    kept = tokens.join(F.broadcast(apart) if few else apart, ["p", "token", "part"], "left_semi").drop("part", "label")
+    kept = tokens.join(F.broadcast(apart) if few else apart, ["p", "token", "part"], "left_semi").select("p", "k", "kind", "at", "token")
     return cut(kept.join(rows.select("p", "k", "label", "own", *_FIGURES), ["p", "k"]))
 
 
@@ -399,11 +432,15 @@ def _shared() -> tuple[Column, Column]:
     return F.least(out_a - one, out_b - two), F.least("i_a", "i_b", F.col("np_a") - _count(lambda a, b, _: a.bitwiseOR(b), "gone"))
 
 
-def _first(of: str, held: tuple[Column, Column], least: Column) -> Column:
-    """Whether a token can be the first of ``least`` tokens, one at least, that the ``of`` of a and b share, of so many ``held``."""
-    one = held[0] - F.col("at_a") - _count(lambda a, b, lane: a.bitwiseAND(F.bitwise_not(b)).bitwiseAND(later("token", lane)), of)
-    two = held[1] - F.col("at_b") - _count(lambda a, b, lane: b.bitwiseAND(F.bitwise_not(a)).bitwiseAND(later("token", lane)), of)
-    return F.least(one, two) >= F.greatest(F.lit(1), least)
+def _first(of: str, held: tuple[Column, Column], least: Column, hashed: Column) -> Column:
+    """Whether a token can be the first of ``least`` tokens, one at least, that the ``of`` of a and b share, of so many ``held``.
+
+    ``hashed``: all tokens of later hashes come after this one. Else bitmaps can't tell what comes after.
+    """
+    one = _count(lambda a, b, lane: a.bitwiseAND(F.bitwise_not(b)).bitwiseAND(later("token", lane)), of)
+    two = _count(lambda a, b, lane: b.bitwiseAND(F.bitwise_not(a)).bitwiseAND(later("token", lane)), of)
+    one, two = (F.when(hashed, x).otherwise(0) for x in (one, two))
+    return F.least(held[0] - F.col("at_a") - one, held[1] - F.col("at_b") - two) >= F.greatest(F.lit(1), least)
 
 
 def _different(rule: Threshold) -> Column:
@@ -437,13 +474,13 @@ def meetings(kept: DataFrame, rule: Threshold) -> DataFrame:
     out_a, out_b = F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")
     gone_a, gone_b = F.col("np_a") - F.col("i_a"), F.col("np_b") - F.col("i_b")
     outside, within = _shared()
-    # of two members in different components at least one is outside the pivot's
-    sharing = side(0, "_a").where("label_a <> own_a").join(side(0, "_b"), ["p", "token"])
-    sharing = sharing.where(_different(rule) & (outside + within >= need) & _first("more", (out_a, out_b), need - within))
+    # the smaller one has the token among its first
+    sharing = side(0, "_a").where("at_a < short_a").join(side(0, "_b"), ["p", "token"]).where("n_a <= n_b")
+    sharing = sharing.where(_different(rule) & (outside + within >= need) & _first("more", (out_a, out_b), need - within, F.expr("at_a < rare_a")))
     differ = F.expr(f"({rule.of - rule.at} * (n_a + n_b)) div {rule.of + rule.at}")
     lacking = side(1, "_a").join(side(2, "_b"), ["p", "token"])
     lacking = lacking.where(_different(rule) & (outside + within >= need) & (F.least("i_a", "i_b") >= need) & (out_a + out_b + F.abs(gone_a - gone_b) <= differ))
-    lacking = lacking.where(_first("gone", (gone_a, gone_b), need - outside - F.col("np_a") + gone_a + gone_b))
+    lacking = lacking.where(_first("gone", (gone_a, gone_b), need - outside - F.col("np_a") + gone_a + gone_b, F.lit(True)))
     both = sharing.select("k_a", "k_b").unionByName(lacking.select("k_a", "k_b"))
     return both.select(F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b"))
 
@@ -456,7 +493,9 @@ def links(docs: DataFrame, keys: DataFrame, width: int, rule: Threshold) -> Data
     are in other components by then. Two members x and y of different components that may still link
     are found by what they share beside p, not by pairing the cell: an intersection of at least ``need``
     has at least need - min(|x & p|, |y & p|) tokens outside p. Where that is positive, x and y meet in
-    the prefixes of their tokens outside p (``away``). Else one of them, x, is smaller than p and the
+    the prefixes of their tokens outside p (``away``), in any order of tokens that the cell shares; rare ones come
+    first, so that what many members hold is seldom looked at. ``need`` grows with both sizes, so of the smaller
+    one a shorter prefix (``short``) does. Else one of them, x, is smaller than p and the
     other, y, isn't linked with p, and they lack more than half of x's differences to p both; so they meet
     in a part of what x lacks (``probe``) and all that y lacks (``index``).
 

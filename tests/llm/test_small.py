@@ -739,8 +739,11 @@ def test_jaccard_telling(spark):
     rows += [(7, k, k, kind, t) for k, kind in ((1, 1), (2, 2)) for t in range(30)]  # lacked tokens
     rows += [(7, k, k, 1, t) for k in (5, 6) for t in range(30, 60)]  # lacked, none to meet
     tokens = spark.createDataFrame(rows, "p long, k long, label long, kind int, token long")
-    got = sorted(telling(tokens.withColumn("part", F.col("kind") > 0)).collect())
-    assert [tuple(r) for r in got] == [(7, 0, True), (9, 0, False), (9, 40, False), (9, 50, False)]
+    tokens = tokens.withColumn("part", F.col("kind") > 0)
+    told = lambda short, last: [tuple(r) for r in sorted(telling(tokens.withColumns({"short": F.expr(short), "last": F.expr(last)})).collect())]
+    assert told("true", "false") == [(7, 0, True), (9, 0, False), (9, 40, False), (9, 50, False)]
+    assert told("true", "token < 30") == [(7, 0, True), (9, 30, False), (9, 40, False), (9, 50, False)]  # tokens that many hold are last
+    assert told("k = 3", "false") == [(7, 0, True), (9, 40, False), (9, 50, False)]  # among nobody's first
 
 
 def test_jaccard_meetings(spark):
@@ -750,7 +753,7 @@ def test_jaccard_meetings(spark):
     r = np.random.default_rng(5)
     rule, token = J.Threshold(85), r.integers(0, 1 << 64, 400, np.uint64)
     held = {0: set(range(100))}
-    for k in range(1, 31):
+    for k in range(1, 31):  # more than a small cell's members; many share tokens, so that these come last
         held[k] = set(range(int(r.integers(0, 6)), 100)) | {int(x) for x in r.choice(np.arange(100, 160), int(r.integers(36, 58)), False)}
     for k in range(31, 61):  # shorter than the pivot, nothing beside it
         held[k] = {int(x) for x in r.choice(100, int(r.integers(82, 95)), False)}
@@ -759,6 +762,8 @@ def test_jaccard_meetings(spark):
     pairs = spark.createDataFrame([(0, k) for k in held if k], "p long, k long")
     linked = {(a, b) for a, b in itertools.combinations(held, 2) if 100 * len(held[a] & held[b]) >= 85 * len(held[a] | held[b])}
     seen = J.compared(pairs, sets, rule)
+    far = seen.where("k <= 30").selectExpr("sum(size(away))", "sum(least(short, size(away)))", "sum(rare)", "sum(n - i)").first()
+    assert 0 < far[1] < far[0] and far[2] < far[3]
     labels = spark.createDataFrame([(b, 0) for a, b in linked if a == 0] + [(0, 0)], "v long, label long")
     own = {v for v, _ in labels.collect()}
     want = {x for x in linked if not own.issuperset(x)}
