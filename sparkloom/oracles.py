@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.queries import GATHERED, ITERATIONS
+from sparkloom.queries import ITERATIONS
 
 HOP = """select o_custkey::bigint src, (lead(o_custkey) over (partition by o_orderdate order by o_orderkey))::bigint dst,
  o_totalprice::double w from orders qualify dst is not null"""
@@ -141,7 +141,7 @@ ORACLES: dict[str, str] = {
     "degree_report": f"""with {BOTH}, c as (select v // ((({V})+3)//4) chunk, count(*) n, sum(o) o, sum(i) i, avg(o) ao, avg(i) ai, max(o) mo, max(i) mi from g group by 1)
  select unnest(['vertices: ' || count(*), 'edges: ' || sum(o)::bigint, {_lines('out')}, {_lines('in')}]) "value" from g union all
  select format('chunk {{}}: vertices {{}}, out {{}}, in {{}}, mean out {{:.1f}}, mean in {{:.1f}}, max out {{}}, max in {{}}', chunk, n, o::bigint, i::bigint, ao, ai, mo, mi) from c""",
-    "gathered_degrees": f"select * from ({degree(HOP, 'src')}) order by deg desc, v limit {GATHERED}",
+    "gathered_degrees": degree(HOP, "src"),
     "undirected_load": f"""select v, deg, (select count(*) from ({HOP}))::bigint records
  from ({degree(f"select src, dst from ({HOP}) union all select dst, src from ({HOP})", "src")})""",
     "edge_map_global": f"with {SENT} select round(sum(x+w), 2) total from e join f on f.v=e.src",

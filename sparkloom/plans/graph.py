@@ -19,6 +19,8 @@ SALT = "salt_"
 PARTITION_EDGES = 4_000_000
 #: Edges of one adjacency row; a vertex with more has several rows.
 ROW_EDGES = 16_384
+#: Values of one array of a vertex column.
+BLOCK_VALUES = 65_536
 #: A source with more than this share of a partition's mean number of edges is a hub.
 HUB_SHARE = 4
 #: ... if it has at least so many.
@@ -225,9 +227,23 @@ def gather(state: DataFrame, column: str, num_vertices: int, most: int = 10_000_
     return out
 
 
-def gather_top(state: DataFrame, column: str, most: int) -> pa.Table:
-    """The ``most`` vertices with the greatest values, the lowest ids among equals, on the driver as an Arrow table (v, column)."""
-    return state.select("v", column).orderBy(F.desc(column), "v").limit(most).toArrow()
+def gather_blocks(state: DataFrame, column: str, num_vertices: int, block: int = BLOCK_VALUES) -> DataFrame:
+    """(block, values): a vertex column as dense arrays, one for ``block`` ids, vertex v's value at v mod ``block``; nothing passes through the driver.
+
+    Like ``gather`` it refuses a state that lacks a vertex or has one twice: the query that computes the blocks fails.
+    """
+    held = state.where("v is not null").groupBy(F.expr(f"v div {block}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("v", F.col(column).alias("value")))).alias("rows"))
+    every = state.sparkSession.range(-(-num_vertices // block)).withColumnRenamed("id", "block")
+    first = F.col("block") * block
+    ids = F.sequence(first, F.least(first + block, F.lit(num_vertices)) - 1)
+    whole = F.coalesce(F.col("rows.v") == ids, F.lit(False))
+    told = F.format_string(f"block %d doesn't have each of the {num_vertices} vertices once", "block")
+    return every.join(held, "block", "full").select("block", F.when(whole, F.col("rows.value")).otherwise(F.raise_error(told)).alias("values"))
+
+
+def given_out(blocks: DataFrame, column: str, block: int = BLOCK_VALUES) -> DataFrame:
+    """(v, column): the values of ``gather_blocks`` by their places."""
+    return blocks.select("block", F.posexplode("values").alias("place", column)).select((F.col("block") * block + F.col("place")).alias("v"), column)
 
 
 def running_edges(graph: Graph) -> DataFrame:

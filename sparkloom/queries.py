@@ -13,12 +13,12 @@ from sparkloom.operators import kernels as K
 from sparkloom.operators.bitmaps import VertexSet
 from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
 from sparkloom.plans import stats, tables
-from sparkloom.plans.graph import balanced_chunks, by_owner, gather_top, owner, running_edges
+from sparkloom.plans.graph import balanced_chunks, by_owner, gather_blocks, given_out, owner, running_edges
 from sparkloom.sources import prepared, records, text
 
 ITERATIONS = 10
-#: Chunks and ids of a page, of the queries on chunks; vertices that are gathered.
-CHUNKS, PAGE, GATHERED = 4, 64, 1000
+#: Chunks and ids of a page, of the queries on chunks.
+CHUNKS, PAGE = 4, 64
 
 
 def rounded(column: str) -> F.Column:
@@ -103,8 +103,9 @@ def degree_report(s, d):
 
 
 def gathered_degrees(s, d):
-    """The vertices of the greatest degrees, gathered on the driver and given out again."""
-    return s.createDataFrame(gather_top(tables.hop(s, d).out_degrees(), "out_degree", GATHERED)).select("v", F.col("out_degree").alias("deg"))
+    """The degrees of all vertices, gathered into dense arrays and given out again by place."""
+    g = tables.hop(s, d)
+    return given_out(gather_blocks(g.out_degrees(), "out_degree", g.num_vertices), "deg")
 
 
 def undirected_load(s, d):

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sparkloom.functions import combiner
 from sparkloom.operators import algorithms as A
 from sparkloom.operators import kernels as K
@@ -123,6 +124,22 @@ def test_random_components(spark):
     assert all(got.get(v, v) == find(v) for v in range(300))
 
 
+def test_gathered_blocks(spark, sf, micro):
+    """All vertices, in blocks; the query gives each vertex of the graph (it gave the thousand of the greatest degrees)."""
+    blocks = graphs.gather_blocks(micro.out_degrees(), "out_degree", 8, block=3)
+    assert sorted(map(tuple, blocks.collect())) == [(0, [3, 1, 1]), (1, [2, 1, 0]), (2, [1, 0])]
+    assert column(graphs.given_out(blocks, "deg", block=3), "deg") == [3, 1, 1, 2, 1, 0, 1, 0]
+    for wrong in (micro.out_degrees().where("v < 6"), micro.out_degrees().where("v <> 4"), micro.out_degrees().union(micro.out_degrees().where("v = 7")), spark.range(9).selectExpr("id v", "id out_degree"), spark.range(10).selectExpr("id v", "id out_degree")):
+        with pytest.raises(Exception, match="once"):
+            graphs.gather_blocks(wrong, "out_degree", 8, block=3).collect()
+    few = make(spark, [(i, 0, 1.0) for i in range(0, 1_500, 3)], 1_500)
+    whole = graphs.given_out(graphs.gather_blocks(few.out_degrees(), "out_degree", 1_500, block=64), "deg", block=64)
+    assert column(whole, "deg") == [int(i % 3 == 0) for i in range(1_500)]
+    few.unpersist()
+    assert "limit" not in entry.oracle_sql()["gathered_degrees"].lower()
+    assert entry.queries()["gathered_degrees"](spark, sf).count() == spark.read.parquet(f"{sf}/customer.parquet").agg(F.max("c_custkey") + 1).first()[0]
+
+
 def test_random_walk_properties(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60), float(r.randrange(1, 9))) for _ in range(150)]
