@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import UNREACHED, over
+from sparkloom.operators import blocks
 from sparkloom.operators.components import connected_components as star_components
 from sparkloom.operators.bitmaps import Tester, VertexSet, fits
 from sparkloom.operators.kernels import direction, edge_map, pull_step
@@ -258,6 +259,22 @@ def breadth_first(graph: Graph, root: int, how: str = "auto") -> Traversal:
     return Traversal(graph.vertex_ids.join(tree, "v", "left").select("v", "parent", "level"), log)
 
 
+def breadth_first_by_blocks(graph: Graph, root: int) -> DataFrame:
+    """(v, parent, level) as ``breadth_first`` gives it, where steps of the walk aren't of interest: rounds of blocks instead of a job a level.
+
+    Parents come from the levels, by one pass over the edges. A graph with hubs, whose edges would fill a block by themselves, is walked level by level.
+    """
+    graph = graph.laid_out()
+    if graph.hubs:
+        return breadth_first(graph, root).state
+    reached, _ = blocks.levels(graph, root)
+    sent = graph.edges.select("src", "dst").join(reached.withColumnRenamed("v", "src"), "src").where(F.col("dst") != root)
+    found = sent.groupBy(F.col("dst").alias("v")).agg(F.min(F.struct("level", "src")).alias("least"))
+    tree = found.select("v", F.col("least.src").alias("parent"), (F.col("least.level") + 1).alias("level"))
+    first = graph.vertex_ids.where(F.col("v") == root).select("v", F.col("v").alias("parent"), F.lit(0).alias("level"))
+    return graph.vertex_ids.join(cut(tree.unionByName(first)), "v", "left").select("v", "parent", "level")
+
+
 def betweenness(graph: Graph, root: int) -> DataFrame:
     """(v, sigma, dep, level): paths from the root and its dependency on each vertex.
 

@@ -243,9 +243,9 @@ def sssp_steps(s, d):
 
 
 def bfs_tree_all(s, d):
-    """Over all edges, push and pull steps as they come."""
+    """Over all edges."""
     g = tables.hop(s, d)
-    return A.breadth_first(g, tables.busiest(g)).state
+    return A.breadth_first_by_blocks(g, tables.busiest(g))
 
 
 def bfs_pull_reads(s, d):
@@ -256,21 +256,20 @@ def bfs_pull_reads(s, d):
 
 def _walk(s, d):
     g = tables.hop_sparse(s, d)
-    return g, A.breadth_first(g, tables.busiest(g))
+    return g, A.breadth_first_by_blocks(g, tables.busiest(g))
 
 
 def bfs_tree(s, d):
-    g, walk = _walk(s, d)
-    return walk.state.select("v", F.coalesce("parent", F.lit(g.num_vertices)).alias("parent"), "level")
+    g, tree = _walk(s, d)
+    return tree.select("v", F.coalesce("parent", F.lit(g.num_vertices)).alias("parent"), "level")
 
 
 def bfs_reached(s, d):
-    return _walk(s, d)[1].state.agg(F.count("parent").alias("reached"))
+    return _walk(s, d)[1].agg(F.count("parent").alias("reached"))
 
 
 def bfs_frontier_sizes(s, d):
-    walk = _walk(s, d)[1]
-    return walk.metrics().select(F.col("step").alias("level"), F.col("active").alias("size"))
+    return _walk(s, d)[1].where("level is not null").groupBy("level").agg(F.count(F.lit(1)).alias("size"))
 
 
 def _between(s, d):

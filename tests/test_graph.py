@@ -419,6 +419,42 @@ def test_walks_without_bitmaps(spark, micro, monkeypatch):
     assert [x["sigma"] for x in A.betweenness(micro, 0).orderBy("v").collect()] == [1, 2, 1, 3, 3, 0, 0, 0]
 
 
+def test_walk_by_blocks(spark, micro, monkeypatch):
+    """The same trees by rounds of blocks, whose number doesn't follow the length of the walk."""
+    from sparkloom.operators import blocks
+
+    for root in (0, 6):
+        assert sorted(A.breadth_first_by_blocks(micro, root).collect(), key=str) == sorted(A.breadth_first(micro, root, "push").state.collect(), key=str)
+    assert column(A.breadth_first_by_blocks(micro, 9).select("v", "level"), "level") == [None] * 8
+    monkeypatch.setattr(blocks, "BLOCK_EDGES", 40)
+    r = random.Random(11)
+    edges = [(i, i + 1, 1.0) for i in range(199)] + [(i + 1, i, 1.0) for i in range(0, 199, 3)] + [(7, 7, 1.0), (150, 3, 1.0), (150, 3, 1.0)]
+    path = make(spark, edges, 210)
+    assert len(blocks.ranges(path)) > 8
+    found, rounds = blocks.levels(path, 0)
+    assert sorted(map(tuple, found.collect())) == [(i, i) for i in range(200)] and rounds < 20  # a job for each of 200 levels before
+    path.unpersist()
+    for seed, page in ((1, 16_384), (3, 10)):
+        monkeypatch.setattr(blocks, "PAGES", page)
+        r.seed(seed)
+        g = make(spark, [(r.randrange(120), r.randrange(125), 1.0) for _ in range(170)], 120)
+        root = r.randrange(120)
+        level, parent = {root: 0}, {root: root}
+        near, far = {root}, 0
+        rows = [(x["src"], x["dst"]) for x in g.edges.collect()]
+        while near:
+            far, new = far + 1, {}
+            for a, b in rows:
+                if a in near and b not in level and b < 120:
+                    new[b] = min(a, new.get(b, a))
+            level.update(dict.fromkeys(new, far))
+            parent.update(new)
+            near = set(new)
+        assert sorted(map(tuple, A.breadth_first_by_blocks(g, root).where("level is not null").collect())) == sorted((v, parent[v], level[v]) for v in level)
+        assert A.breadth_first_by_blocks(g, root).count() == 120
+        g.unpersist()
+
+
 def test_adjacency_rows(spark, monkeypatch):
     monkeypatch.setattr(graphs, "ROW_EDGES", 7)
     r = random.Random(6)
