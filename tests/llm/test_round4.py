@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -305,3 +306,38 @@ def test_word_memory_is_bounded_by_characters(monkeypatch):
         want = [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in some]
         assert list(packing.encode_texts(some, path)) == want
         assert all(sum(map(len, m)) < 60_000 for m in memory[1:] if start > 100)
+
+
+def test_words_encoded_between_marks(monkeypatch):
+    """Words that are learned together get the ids that they have alone, also marks themselves, combining signs first and long ones; one text is encoded for many words."""
+    from sparkloom.llm import packing
+    from sparkloom.llm.queries import word_tokenizer
+
+    path = word_tokenizer()
+    tokenizer, memory = packing._tokenizer(path)
+    memory[:] = [{}, {}]
+    rng = random.Random(9)
+    signs = ["a", "E", "ß", "Σ", "\u0301", "\u0345", "İ", "7", "'s", "*", ".", ",", "漢", "😀", "\u200d", "\x00", "\x02", "<|endoftext|>", "\ufeff"]
+    words = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(3_000)] + ["x" * 5_000, "é.", "İ.", "aİ,", "\u0958."]
+    called = []
+
+    class Counted:
+        encode = staticmethod(tokenizer.encode)
+
+        @staticmethod
+        def encode_batch_fast(texts, **options):
+            called.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setitem(packing._loaded, path, Counted)
+    for some in (words, [*words[:50], "\x01", "a\x01b", "\x01\x01"]):  # marks among the words: one by one
+        want = [packing._bytes(tokenizer.encode(w, add_special_tokens=False).ids) for w in some]
+        assert packing._encoded(some, Counted) == want
+    called.clear()
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)] + ["", "a\x01b \x01 c"]
+    want = [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in texts]
+    assert list(packing.encode_texts(texts[:-1], path)) == want[:-1] and len(called) < 100  # thousands before
+    assert list(packing.encode_texts(texts, path)) == want
+    memory[:] = [{}, memory[0]]  # older memory
+    assert list(packing.encode_texts(texts, path)) == want
+    memory[:] = [{}, {}]
