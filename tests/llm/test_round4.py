@@ -341,3 +341,99 @@ def test_words_encoded_between_marks(monkeypatch):
     memory[:] = [{}, memory[0]]  # older memory
     assert list(packing.encode_texts(texts, path)) == want
     memory[:] = [{}, {}]
+
+
+class Plan:
+    """Takes the function that a DataFrame would run on its batches."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        self.function = function
+        return self
+
+
+def test_packing_worker_memory_is_bounded_by_a_step(spark):
+    """A batch's texts aren't strings all at once: 120 MB of them here, if so."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkloom.llm import packing
+    from sparkloom.llm.queries import word_tokenizer
+
+    path = word_tokenizer()
+    packing._tokenizer(path)
+    text = " ".join(f"{'wordy' * 12}{chr(97 + i % 26)}" for i in range(160)) + " \U0001f600"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3_000), pa.int64()), pa.array([text, None, ""] + [text] * 2_997)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches(packing.pieces(Plan(spark.range(1).toDF("doc_id").schema), path, 4096).function(iter([batch]))).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6
+    ids = [*packing._loaded[path].encode(text, add_special_tokens=False).ids, 1]
+    first = [r["length"] for r in rows if r["doc_id"] == 0]
+    assert sum(first) == len(ids) and {r["doc_id"] for r in rows} == set(range(3_000)) and len(rows) == 2_998 * len(first) + 2
+
+
+def test_packing_steps_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    from sparkloom.llm import packing
+
+    monkeypatch.setattr(packing, "STEP_BYTES", 10)
+    monkeypatch.setattr(packing, "STEP_TEXTS", 3)
+    for texts in ([], [None], ["x" * 50], ["", None, "", "", "abc"], ["x" * 4] * 5 + ["y" * 30, "z", None, "é" * 5, "z"]):
+        whole = pa.array(["cut", *texts], pa.string()).slice(1)
+        found = list(packing.steps(whole))
+        assert [i for at, n in found for i in range(at, at + n)] == list(range(len(texts)))
+        for at, n in found:
+            assert 1 <= n <= 3 and (n == 1 or sum(len((t or "").encode()) for t in texts[at : at + n]) <= 10)
+
+
+def test_packing_takes_small_batches(spark):
+    """Neither side holds more than a thousand texts for one transfer, and the session's own setting stays."""
+    from sparkloom.llm.packing import pack
+    from sparkloom.llm.queries import word_tokenizer
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def told(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array(["x"])], ["doc_id", "text"])
+
+    docs = spark.range(0, 5_000, 1, 1).mapInArrow(told, "doc_id long, text string")
+    sizes = [r["doc_id"] for r in pack(docs, word_tokenizer()).collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= 1_024 and spark.conf.get(key) == before
+
+
+def test_word_memory_keeps_parts_alone():
+    """A word with capitals or signs at its end takes no place beside its part, and special tokens are such in small letters alone."""
+    from sparkloom.llm import packing
+    from sparkloom.llm.queries import word_tokenizer
+
+    path = word_tokenizer()
+    tokenizer, memory = packing._tokenizer(path)
+    memory[:] = [{}, {}]
+    signs = ["", ".", ",", "!!", "?", ";", ":", "###", ".***", ".&&&", ",%%%", "$$$", "...", "|>", "'", "'s", ".'s", "'s.", "<", ")."]
+    forms = [form + sign for word in ("retion", "été", "İ", "o'", "don't", "7", "a1", "ß", "漢", "e\u0301") for form in (word, word.title(), word.upper()) for sign in signs]
+    special = ["<|endoftext|>", "<|ENDOFTEXT|>", "a<|EndOfText|>.", "A<|startoftext|>###", "<|STARTOFTEXT|>!", "X<|endoftext|>Y."]
+    texts = [*forms, *special, " ".join(forms), " ".join(special), " ".join(forms + special), "PLAIN Text. Plain text!"]
+    want = [packing._bytes(tokenizer.encode(t, add_special_tokens=False).ids) + packing.END for t in texts]
+    for _ in range(2):
+        assert list(packing.encode_texts(texts, path)) == want
+        memory[:] = [{}, memory[0]]
+    memory[:] = [{}, {}]
+    list(packing.encode_texts([f"word{a} Word{a} WORD{a}. word{a}### word{a}!!" for a in "abcdefghij"], path))
+    list(packing.encode_texts([f"été{a}z été{a}z. Été été{a}z###" for a in "abcdefghij"], path))
+    assert len(memory[0]) < 30  # 82 before
+    memory[:] = [{}, {}]
